@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 from .common import read_table
 
 #: Rows of each language that are learned from (about; chosen by hash of the key), and characters of each.
-SAMPLE_ROWS, SAMPLE_CHARS = 300, 6000
+SAMPLE_ROWS, SAMPLE_CHARS = 600, 6000
 #: Bytes of a dictionary, and languages at most (the most frequent).
-DICTIONARY_BYTES, LANGUAGES = 110 << 10, 200
-CHUNK = 4096
-LEVEL = 3
+DICTIONARY_BYTES, LANGUAGES = 384 << 10, 200
+CHUNK = 16384
+LEVEL = 5
 #: Under this share the winner is not relied on.
 MARGIN = 0.004
 UNKNOWN = "und"
