@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 from .common import read_table
 
 #: Rows of each language that are learned from (about; chosen by hash of the key), and characters of each.
-SAMPLE_ROWS, SAMPLE_CHARS = 600, 6000
+SAMPLE_ROWS, SAMPLE_CHARS = 1000, 6000
 #: Bytes of a dictionary, and languages at most (the most frequent).
-DICTIONARY_BYTES, LANGUAGES = 384 << 10, 200
+DICTIONARY_BYTES, LANGUAGES = 512 << 10, 200
 CHUNK = 16384
-LEVEL = 5
+LEVEL = 6
 #: Under this share the winner is not relied on.
 MARGIN = 0.004
 UNKNOWN = "und"
@@ -84,17 +84,30 @@ def identify(docs: DataFrame, dictionaries: list[tuple[str, bytes]], text: str =
     """docs with lang_pred, score and accepted behind its columns (those names must be free).  One pass, no shuffle."""
 
     def classify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = Classifier(dictionaries)
+        of = Classifier(shared.value)
         for batch in it:
             found = [of(x) for x in batch.column(at).to_pylist()]
             more = [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64()), pa.array([x != UNKNOWN and s >= MARGIN for x, s in found], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "lang_pred", "score", "accepted"])
 
+    shared = docs.sparkSession.sparkContext.broadcast(dictionaries)  # LANGUAGES of DICTIONARY_BYTES at most
     at = docs.columns.index(text)
     schema = docs.schema.add("lang_pred", "string").add("score", "double").add("accepted", "boolean")
     return docs.mapInArrow(classify, schema)
 
 
+def keep_identified(docs: DataFrame, dictionaries: list[tuple[str, bytes]], text: str = "text") -> DataFrame:
+    """docs, whatever its columns are called, without the rows whose language is not accepted."""
+
+    def keep(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = Classifier(shared.value)
+        for batch in it:
+            yield batch.filter(pa.array([name != UNKNOWN and score >= MARGIN for name, score in map(of, batch.column(at).to_pylist())], pa.bool_()))
+
+    shared, at = docs.sparkSession.sparkContext.broadcast(dictionaries), docs.columns.index(text)
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op10_language_id(spark, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = fit(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))

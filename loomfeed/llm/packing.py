@@ -44,6 +44,27 @@ def _cells(terms: np.ndarray) -> np.ndarray:
     return (terms & np.uint64(CELLS - 1)).astype(np.int64)
 
 
+def routes_and_cells(ids: np.ndarray, offsets: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least hash of a pair of neighbouring terms of each document, and the cells of its distinct terms, all in turn."""
+    n, stop = len(offsets) - 1, ends[ids]
+    stop[offsets[1:] - 1] = True
+    stops = np.flatnonzero(stop) + 1
+    starts = np.concatenate([[0], stops[:-1]])
+    owner = np.searchsorted(offsets, starts, side="right") - 1
+    term = stops != offsets[owner + 1]  # what holds the end id is none
+    hashes, owner = hash_spans(ids, starts[term], stops[term]), owner[term]
+    routes = np.zeros(n, dtype=np.int64)
+    if len(hashes):
+        firsts = np.searchsorted(owner, np.arange(n + 1))
+        pair = np.full(len(hashes), np.iinfo(np.uint64).max, dtype=np.uint64)
+        pair[:-1] = np.where(owner[1:] == owner[:-1], window_hashes(hashes, 2), pair[:-1])
+        alone = firsts[:-1][np.diff(firsts) == 1]
+        pair[alone] = hashes[alone]
+        some = np.diff(firsts) > 0
+        routes[some] = (np.minimum.reduceat(pair, firsts[:-1][some]) >> np.uint64(1)).astype(np.int64)
+    return routes, np.unique(owner * CELLS + _cells(hashes)) % CELLS
+
+
 def encode_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each document (key, ids, route); and one for each task with the document frequencies that it saw (df)."""
 
@@ -52,15 +73,11 @@ def encode_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text:
         names = ["doc_id", "n_tokens", "route", "ids", "df"]
         for batch, texts in batches(it):
             all_ids, offsets = t.encode(texts)
-            routes, payloads = [], []
-            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                terms = terms_of(all_ids[a : b - 1], t.ends)
-                pairs = window_hashes(terms, 2) if len(terms) > 1 else terms
-                routes.append(int(pairs.min() >> np.uint64(1)) if len(pairs) else 0)
-                frequency[np.unique(_cells(terms))] += 1
-                payloads.append(to_payload(all_ids[a:b]))
+            routes, cells = routes_and_cells(all_ids, offsets, t.ends)
+            frequency += np.bincount(cells, minlength=CELLS).astype("<u4")
+            payloads = [to_payload(all_ids[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             n = len(texts)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(routes, pa.int64()), pa.array(payloads, pa.binary()), pa.nulls(n, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(routes), pa.array(payloads, pa.binary()), pa.nulls(n, pa.binary())], names)
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([frequency.tobytes()], pa.binary())], names)
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(encode, "doc_id long, n_tokens long, route long, ids binary, df binary")

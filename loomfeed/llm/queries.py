@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
+from .decontamination import op9_spaced_seeds
 from .extraction import op6_page_text
 from .language import op10_language_id
 from .licenses import op4_license_scan
+from .neardup import op1_minhash
 from .packing import op2_packing
 from .pseudonyms import op5_pseudonyms
 from .quality import op3_compression_bands
+from .sharding import op8_label_propagation
 from .token_store import op7_token_store
 
 QUERIES = {
+    "op1_minhash": op1_minhash,
     "op2_packing": op2_packing,
     "op3_compression_bands": op3_compression_bands,
     "op4_license_scan": op4_license_scan,
     "op5_pseudonyms": op5_pseudonyms,
     "op6_page_text": op6_page_text,
     "op7_token_store": op7_token_store,
+    "op8_label_propagation": op8_label_propagation,
+    "op9_spaced_seeds": op9_spaced_seeds,
     "op10_language_id": op10_language_id,
 }
 ORACLE_SQL: dict[str, str] = {}
