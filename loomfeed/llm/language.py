@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import read_table
 
@@ -25,10 +26,13 @@ SAMPLE_ROWS, SAMPLE_CHARS = 1000, 6000
 #: Bytes of a dictionary, and languages at most (the most frequent).
 DICTIONARY_BYTES, LANGUAGES = 512 << 10, 200
 CHUNK = 16384
+#: Characters below which a text's ends count too.
+SHORT = 200
 LEVEL = 6
 #: Under this share the winner is not relied on.
 MARGIN = 0.004
 UNKNOWN = "und"
+_SPACE = re.compile(" ")
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -74,6 +78,8 @@ class Classifier:
         if not clean or not self.compressors:
             return UNKNOWN, 0.0
         chunks = [clean[i : i + CHUNK].encode() for i in range(0, len(clean), CHUNK)]
+        if len(clean) < SHORT:  # whole bytes are coarse here: also what follows each space
+            chunks += [clean[m.end() :].encode() for m in _SPACE.finditer(clean)]
         sizes = [sum(len(compress(x)) for x in chunks) for _, compress in self.compressors]
         best = min(range(len(sizes)), key=sizes.__getitem__)
         others = sizes[:best] + sizes[best + 1 :]
@@ -92,8 +98,8 @@ def identify(docs: DataFrame, dictionaries: list[tuple[str, bytes]], text: str =
 
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)  # LANGUAGES of DICTIONARY_BYTES at most
     at = docs.columns.index(text)
-    schema = docs.schema.add("lang_pred", "string").add("score", "double").add("accepted", "boolean")
-    return docs.mapInArrow(classify, schema)
+    more = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType())]
+    return docs.mapInArrow(classify, T.StructType([*docs.schema.fields, *more]))
 
 
 def keep_identified(docs: DataFrame, dictionaries: list[tuple[str, bytes]], text: str = "text") -> DataFrame:

@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import read_table
 
@@ -222,8 +223,8 @@ def pseudonymize(docs: DataFrame, key: bytes = DEFAULT_KEY, text: str = "text",
             yield pa.RecordBatch.from_arrays([*columns, *more], [*batch.schema.names, *(["n_pii", "pii_kinds"] if report else [])])
 
     at = docs.columns.index(text)
-    schema = docs.schema
-    return docs.mapInArrow(replace, schema.add("n_pii", "long").add("pii_kinds", "string") if report else schema)
+    more = [T.StructField("n_pii", T.LongType()), T.StructField("pii_kinds", T.StringType())] if report else []
+    return docs.mapInArrow(replace, T.StructType([*docs.schema.fields, *more]))
 
 
 def op5_pseudonyms(spark, sf_dir: str) -> DataFrame:
