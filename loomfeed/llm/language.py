@@ -30,7 +30,7 @@ CHUNK = 16384
 SHORT = 200
 LEVEL = 6
 #: Under this share the winner is not relied on.
-MARGIN = 0.004
+MARGIN = 0.002
 UNKNOWN = "und"
 _SPACE = re.compile(" ")
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -78,8 +78,8 @@ class Classifier:
         if not clean or not self.compressors:
             return UNKNOWN, 0.0
         chunks = [clean[i : i + CHUNK].encode() for i in range(0, len(clean), CHUNK)]
-        if len(clean) < SHORT:  # whole bytes are coarse here: also what follows each space
-            chunks += [clean[m.end() :].encode() for m in _SPACE.finditer(clean)]
+        if len(clean) < SHORT:  # whole bytes are coarse here: also what follows each space; spaces behind keep blocks from being stored raw
+            chunks = [x + b" " * 64 for x in (*chunks, *(clean[m.end() :].encode() for m in _SPACE.finditer(clean)))]
         sizes = [sum(len(compress(x)) for x in chunks) for _, compress in self.compressors]
         best = min(range(len(sizes)), key=sizes.__getitem__)
         others = sizes[:best] + sizes[best + 1 :]
