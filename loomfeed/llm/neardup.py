@@ -8,8 +8,8 @@ counting the intersection of the full sets.  A pair at the least similarity that
 
 Equal word sequences are one node.  In a bucket every node is compared with one other, the hub, chosen by a hash that differs
 from bucket to bucket, so that a crowd of copies costs as many rows as it has members.  The links give components; what a hub
-leaves open (nodes of one bucket in different components that were not compared yet) is compared in full, within the bounds
-that set sizes allow.
+leaves open (nodes of one bucket in different components) is compared in full, in tiles of bounded size that give back links
+alone, at most one for each node and component.
 
 Defined cases: words are runs of bytes other than white space, A-Z in lower case; a text of one to WORDS - 1 words has its whole
 sequence as its one window; null or empty text has an empty set and no links; repeated keys are one document (its texts' links
@@ -34,6 +34,9 @@ BANDS, ROWS = 48, 5
 #: Least similarity, in percent: 100 * intersection >= PERCENT * union.
 PERCENT = 75
 _STEP = 1 << 16
+#: Windows and documents of a tile (two of them are compared at a time), and columns of a matrix.
+TILE_WINDOWS, TILE_ROWS = 1_000_000, 1_000
+_COLUMNS = 4096
 
 
 def shingle_sets(texts: list[bytes], width: int = WORDS) -> list[np.ndarray]:
@@ -114,6 +117,48 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(100 * common >= PERCENT * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
+def _links_in_tile(table: pa.Table) -> pa.Table:
+    """Rows (node, tile, component, shingles) of one bucket: a link from each node to each other component that it reaches,
+    between two tiles or within one.  Intersections are counted exactly, by products of membership matrices."""
+    order = np.argsort(table.column("node").to_numpy(), kind="stable")
+    table = table.take(pa.array(order))
+    node, tile, component = (table.column(c).to_numpy() for c in ("node", "tile", "component"))
+    sets = table.column("shingles").combine_chunks()
+    sizes = np.diff(sets.offsets.to_numpy())
+    values, owner = sets.flatten().to_numpy(), np.repeat(np.arange(len(node)), sizes)
+    _, column, count = np.unique(values, return_inverse=True, return_counts=True)
+    several = count[column] > 1  # what one set alone holds is in no intersection
+    columns, place = np.unique(column[several], return_inverse=True)
+    owner = owner[several]
+    common = np.zeros((len(node), len(node)), dtype=np.float32)
+    by_place = np.argsort(place, kind="stable")
+    cuts = np.searchsorted(place[by_place], np.arange(0, len(columns) + _COLUMNS, _COLUMNS))
+    for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        part = by_place[i:j]
+        member = np.zeros((len(node), min(_COLUMNS, len(columns) - k * _COLUMNS)), dtype=np.float32)
+        member[owner[part], place[part] - k * _COLUMNS] = 1
+        common += member @ member.T
+    linked = 100 * common >= PERCENT * (sizes[:, None] + sizes[None, :] - common)
+    linked &= component[:, None] != component[None, :]
+    if tile.min() != tile.max():
+        linked &= tile[:, None] != tile[None, :]
+    a, b = np.nonzero(linked)
+    _, first = np.unique(np.stack([a, component[b]]), axis=1, return_index=True)
+    a, b = node[a[first]], node[b[first]]
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def _compare_tiles(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between components in the buckets of rest (bucket, node, component, tiles).
+
+    A bucket is cut into tiles of bounded size by hash; each pair of its tiles is one group, so no task holds a large bucket,
+    and what leaves a group is links alone.
+    """
+    rows = rest.select("bucket", "node", "component", F.pmod(F.xxhash64("node"), "tiles").alias("tile"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
+    rows = rows.select("bucket", F.least("tile", "other").alias("one"), F.greatest("tile", "other").alias("two"), "node", "tile", "component")
+    return rows.join(sets, "node").groupBy("bucket", "one", "two").applyInArrow(_links_in_tile, "a long, b long")
+
+
 def _with_texts(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """Sets of the documents named in nodes."""
     return stage_table(rows.join(nodes, rows["doc_id"] == nodes["node"], "left_semi").select("doc_id", "text").mapInArrow(_sets, "node long, shingles array<long>"), "sets")
@@ -141,21 +186,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     copies = named.groupBy("node").agg(F.count("*").alias("k")).where("k > 1").limit(1).count()
     links = stage_table(_confirm(tried, sets).distinct() if copies else _confirm(tried, sets), "links")
     found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    # Buckets of three or more whose nodes are still apart: all pairs across components that were not tried.
+    # Buckets of three or more whose nodes are still apart: compare the rest in tiles.
     big = crowd.where("members > 2").join(found, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
     big = stage_table(big, "big")
-    apart = stage_table(big.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket"), "apart")
+    tiles = F.ceil(F.greatest(F.sum("n") / TILE_WINDOWS, F.count("*") / TILE_ROWS)).alias("tiles")
+    apart = stage_table(big.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), tiles).where("low < high").select("bucket", "tiles"), "apart")
     if apart.limit(1).count():
-        rest = stage_table(big.join(apart, "bucket", "left_semi"), "rest")
-        other = rest.select("bucket", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "component")))
-        cross = rest.join(other, (rest["bucket"] == other["bucket"]) & (F.col("component") < F.col("component2")) & fits(F.col("n"), F.col("n2")))
-        more = stage_table(cross.select(*pair(F.col("node"), F.col("node2"))).distinct().join(tried, ["a", "b"], "left_anti"), "more")
-        wanted = more.select(F.col("a").alias("node")).union(more.select("b")).distinct()
-        new = _with_texts(rows, stage_table(wanted, "wanted"))
-        late = stage_table(_confirm(more, new).distinct(), "late")
+        rest = stage_table(big.join(apart, "bucket"), "rest")
+        late = stage_table(_compare_tiles(rest, _with_texts(rows, stage_table(rest.select("node").distinct(), "wanted"))).distinct(), "late")
         if late.limit(1).count():
-            links = links.union(late)
-            found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+            found = components(links.union(late).select(F.col("a").alias("u"), F.col("b").alias("v")))
     of_same = stage_table(nodes.join(found, "node", "left").select("same", F.coalesce("component", "node").alias("component_id")), "of_same")
     out = sketches.select("doc_id", "same", "n_shingles").join(of_same, "same", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
