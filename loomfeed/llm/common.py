@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Text that one numpy step holds at a time, in bytes; bounds a task's memory whatever the batch size.
 SLICE_BYTES = 4 << 20
 
@@ -26,12 +28,14 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: short lineage, sizes known to the optimizer."""
+    ship(df.sparkSession)
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
