@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from .common import read_table
 
-#: Rows of each language that are learned from (about; chosen by hash of the key), and characters of each.
+#: Rows of each language that are learned from (about; chosen by hash of key and text, equal rows once), and characters of each.
 SAMPLE_ROWS, SAMPLE_CHARS = 1000, 6000
 #: Bytes of a dictionary, and languages at most (the most frequent).
 DICTIONARY_BYTES, LANGUAGES = 512 << 10, 200
@@ -54,8 +54,8 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     share = F.lit(0.0)
     for name, n in counts:
         share = F.when(F.col(lang) == name, SAMPLE_ROWS / n).otherwise(share)
-    place = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 40))
-    picked = rows.where(place < share * (1 << 40)).select(F.col(lang).alias("l"), place.alias("p"), F.substring(F.col(text), 1, SAMPLE_CHARS).alias("t")).collect()
+    place = F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(1 << 40))
+    picked = rows.where(place < share * (1 << 40)).select(F.col(lang).alias("l"), place.alias("p"), F.substring(F.col(text), 1, SAMPLE_CHARS).alias("t")).distinct().collect()
     texts: dict[str, bytearray] = {name: bytearray() for name, _ in counts}
     for row in sorted(picked, key=lambda r: (r.l, r.p, r.t)):
         if len(texts[row.l]) < DICTIONARY_BYTES:

@@ -44,8 +44,9 @@ def _cells(terms: np.ndarray) -> np.ndarray:
     return (terms & np.uint64(CELLS - 1)).astype(np.int64)
 
 
-def routes_and_cells(ids: np.ndarray, offsets: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The least hash of a pair of neighbouring terms of each document, and the cells of its distinct terms, all in turn."""
+def routes_and_cells(ids: np.ndarray, offsets: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The least hash of a pair of neighbouring terms of each document, its number of terms, and the cells of the distinct
+    terms of all documents in turn."""
     n, stop = len(offsets) - 1, ends[ids]
     stop[offsets[1:] - 1] = True
     stops = np.flatnonzero(stop) + 1
@@ -53,16 +54,15 @@ def routes_and_cells(ids: np.ndarray, offsets: np.ndarray, ends: np.ndarray) ->
     owner = np.searchsorted(offsets, starts, side="right") - 1
     term = stops != offsets[owner + 1]  # what holds the end id is none
     hashes, owner = hash_spans(ids, starts[term], stops[term]), owner[term]
-    routes = np.zeros(n, dtype=np.int64)
+    routes, firsts = np.zeros(n, dtype=np.int64), np.searchsorted(owner, np.arange(n + 1))
     if len(hashes):
-        firsts = np.searchsorted(owner, np.arange(n + 1))
         pair = np.full(len(hashes), np.iinfo(np.uint64).max, dtype=np.uint64)
         pair[:-1] = np.where(owner[1:] == owner[:-1], window_hashes(hashes, 2), pair[:-1])
         alone = firsts[:-1][np.diff(firsts) == 1]
         pair[alone] = hashes[alone]
         some = np.diff(firsts) > 0
         routes[some] = (np.minimum.reduceat(pair, firsts[:-1][some]) >> np.uint64(1)).astype(np.int64)
-    return routes, np.unique(owner * CELLS + _cells(hashes)) % CELLS
+    return routes, np.diff(firsts), np.unique(owner * CELLS + _cells(hashes)) % CELLS
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -70,17 +70,17 @@ def encode_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text:
 
     def encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, frequency = WordTokenizer.of(tokenizer), np.zeros(CELLS, dtype="<u4")
-        names = ["doc_id", "n_tokens", "route", "ids", "df"]
+        names = ["doc_id", "n_terms", "route", "ids", "df"]
         for batch, texts in batches(it):
             all_ids, offsets = t.encode(texts)
-            routes, cells = routes_and_cells(all_ids, offsets, t.ends)
+            routes, n_terms, cells = routes_and_cells(all_ids, offsets, t.ends)
             frequency += np.bincount(cells, minlength=CELLS).astype("<u4")
             payloads = [to_payload(all_ids[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             n = len(texts)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(routes), pa.array(payloads, pa.binary()), pa.nulls(n, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_terms), pa.array(routes), pa.array(payloads, pa.binary()), pa.nulls(n, pa.binary())], names)
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([frequency.tobytes()], pa.binary())], names)
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(encode, "doc_id long, n_tokens long, route long, ids binary, df binary")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(encode, "doc_id long, n_terms long, route long, ids binary, df binary")
 
 
 def document_frequencies(encoded: DataFrame) -> np.ndarray:
@@ -208,10 +208,9 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, window: int =
     encoded = stage_table(encode_documents(docs, tokenizer), "encoded")
     frequency = document_frequencies(encoded)
     rows = encoded.where("df is null")
-    count, total = rows.agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+    count, mean = rows.agg(F.count("*"), F.coalesce(F.avg("n_terms"), F.lit(0.0))).first()
     idf = np.log1p((count - frequency + 0.5) / (frequency + 0.5))
     idf[frequency > max(COMMON * count, 1)] = 0
-    mean = total / max(count, 1) / 2.3  # ids of a word, about; only the scale of the length norm hangs on it
     shared = spark.sparkContext.broadcast(idf)
 
     def pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
