@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, read_table, stage_table, window_hashes, word_hashes
+from .common import batches, distinct, read_table, stage_table, window_hashes, word_hashes
 from .components import components
 
 WORDS = 5
@@ -44,7 +44,7 @@ def shingle_sets(texts: list[bytes], width: int = WORDS) -> list[np.ndarray]:
     words, firsts = word_hashes([x.lower() for x in texts])
     windows, out = window_hashes(words, width), []
     for a, b in zip(firsts[:-1].tolist(), firsts[1:].tolist(), strict=True):
-        out.append(np.unique(windows[a : b - width + 1]) if b - a >= width else window_hashes(words[a:b], b - a) if b > a else words[:0])
+        out.append(distinct(windows[a : b - width + 1]) if b - a >= width else window_hashes(words[a:b], b - a) if b > a else words[:0])
     return out
 
 

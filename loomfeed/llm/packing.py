@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, hash_spans, read_table, stage_table, window_hashes
+from .common import batches, distinct, hash_spans, read_table, stage_table, window_hashes
 from .tokens import WordTokenizer, crc32_of, default_tokenizer, from_payload, to_payload
 
 WINDOW = 4096
@@ -62,7 +62,7 @@ def routes_and_cells(ids: np.ndarray, offsets: np.ndarray, ends: np.ndarray) ->
         pair[alone] = hashes[alone]
         some = np.diff(firsts) > 0
         routes[some] = (np.minimum.reduceat(pair, firsts[:-1][some]) >> np.uint64(1)).astype(np.int64)
-    return routes, np.diff(firsts), np.unique(owner * CELLS + _cells(hashes)) % CELLS
+    return routes, np.diff(firsts), distinct(owner * CELLS + _cells(hashes)) % CELLS
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
