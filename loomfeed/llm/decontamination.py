@@ -88,7 +88,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the documents that leak an item."""
     gone = leaks(docs, benchmark, key, text).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs[key].eqNullSafe(F.col("gone_id")), "left_anti")
+    return docs.join(gone, docs[key].eqNullSafe(gone["gone_id"]), "left_anti")
 
 
 def op9_spaced_seeds(spark, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ SF_DIR = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    return read_table(spark, SF_DIR, "documents").withColumns({"node": F.lit("clash"), "component": F.lit(1), "bucket": F.lit(2), "shard": F.lit(3), "words": F.lit("w")})
+    return read_table(spark, SF_DIR, "documents").withColumns({"node": F.lit("clash"), "component": F.lit(1), "bucket": F.lit(2), "shard": F.lit(3), "words": F.lit("w"), "gone_id": F.lit(4), "kept_id": F.lit(5)})
 
 
 def shingles(text):
