@@ -39,7 +39,7 @@ _PATTERN = re.compile(
     r"|(?<![0-9A-Za-z])(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})(?!-?[0-9A-Za-z])"
     r"|(?<![0-9A-Za-z])(?P<date>[0-9]{4}(?P<s1>[-/.])[0-9]{1,2}(?P=s1)[0-9]{1,2}|[0-9]{1,2}(?P<s2>[-/.])[0-9]{1,2}(?P=s2)[0-9]{4})(?![0-9A-Za-z])"
     r"|(?<![0-9A-Za-z])(?P<card>[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})(?![0-9A-Za-z])"
-    r"|(?<![0-9A-Za-z])(?P<phone>(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-]?[0-9]{3,4}|\+[0-9]{8,15})(?![0-9A-Za-z])"
+    r"|(?<![0-9A-Za-z])(?P<phone>(?:\+[0-9]{1,3}[ .#*$%&!|-]{0,5})?\([0-9]{2,4}\)[ .#*$%&!|-]{0,5}[0-9]{3,4}[ .-]?[0-9]{3,4}|\+[0-9]{1,3}[ .-][0-9]{2,4}[ .-][0-9]{3,4}[ .-]?[0-9]{3,4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}|\+[0-9]{8,15})(?![0-9A-Za-z])"
 )
 
 
@@ -158,7 +158,8 @@ class Pseudonyms:
         d = re.sub("[^0-9]", "", text)
         if not 7 <= len(d) <= 15:
             return None
-        kept = len(re.match(r"\+?([0-9]{1,3})(?=[ .(-])", text)[1]) if text[0] == "+" and re.match(r"\+[0-9]{1,3}[ .(-]", text) else 1 if text[0] == "+" else 0
+        code = re.match(r"\+([0-9]{1,3})[^0-9]", text)
+        kept = len(code[1]) if code else 1 if text[0] == "+" else 0
         rest = d[kept:]
         return _like(text, d[:kept] + str(self._moved(int(rest), 10 ** len(rest), f"phone|{d[:kept]}|{len(rest)}")).zfill(len(rest)))
 
