@@ -158,9 +158,9 @@ def q_run_status(spark, d):
     return metrics.run_status(e.select(F.col("user_id").alias("batch_id"), F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "click", "warning").otherwise("success").alias("status")))
 
 
-@query("SELECT sum(value) AS total_value, sum(CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS total_k FROM events")
+@query("SELECT round(sum(value), 3) AS total_value, sum(CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS total_k FROM events")
 def q_timing_totals(spark, d):
-    return metrics.timing_totals(table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k")), ["value", "k"])
+    return metrics.timing_totals(table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k")), ["value", "k"]).withColumn("total_value", F.round("total_value", 3))  # sums of doubles hang on their order
 
 
 @query(f"""{WITH} SELECT count(*) AS row_count, count(*) FILTER (WHERE sentiment_label = 'P') AS positive_count, count(*) FILTER (WHERE sentiment_label = 'N') AS negative_count, count(*) FILTER (WHERE sentiment_label = 'M') AS mixed_count, count(*) FILTER (WHERE ai_candidate) AS ai_count, CAST(0 AS BIGINT) AS low_confidence_count,

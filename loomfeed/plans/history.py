@@ -27,9 +27,9 @@ def q_sales_latest(spark, d):
     return sales.latest_progress(sales.sales_history(content_orders(spark, d)))
 
 
-@query(f"{WITH} SELECT sales_month, CAST(sum(review_count) AS BIGINT) AS review_count, sum(estimated_sales) AS estimated_sales, count(*) AS item_count FROM h WHERE sales_month = (SELECT max(sales_month) FROM h) GROUP BY 1")
+@query(f"{WITH} SELECT sales_month, CAST(sum(review_count) AS BIGINT) AS review_count, round(sum(estimated_sales), 3) AS estimated_sales, count(*) AS item_count FROM h WHERE sales_month = (SELECT max(sales_month) FROM h) GROUP BY 1")
 def q_sales_period_total(spark, d):
-    return sales.period_total(sales.sales_history(content_orders(spark, d)))
+    return sales.period_total(sales.sales_history(content_orders(spark, d))).withColumn("estimated_sales", F.round("estimated_sales", 3))
 
 
 @query(f"{WITH} SELECT count(*) FILTER (WHERE content_role = 'review') AS total_reviews, count(*) FILTER (WHERE content_role = 'review' AND seq % 7 <> 0) AS dated_reviews, count(*) FILTER (WHERE content_role = 'review' AND seq % 7 = 0) AS undated_reviews, count(*) FILTER (WHERE content_role = 'review' AND seq % 7 <> 0) / CAST(count(*) FILTER (WHERE content_role = 'review') AS DOUBLE) AS coverage FROM o")

@@ -126,7 +126,7 @@ def q_find_quote(spark, d):
     return docs.where(plain).select("content_id", X.find_quote(F.col("t"), F.concat_ws(" ", F.substring("q", 1, 4), F.substring("q", 5, 5))).alias("quote"))
 
 
-@query(f"{WITH} SELECT sum(n_chars) AS chars, count(*) AS rows FROM docs")
+@query(f"{WITH} SELECT CAST(sum(n_chars) AS BIGINT) AS chars, count(*) AS rows FROM docs")
 def q_prompts(spark, d):
     """Every row is in one prompt line: texts' characters and rows, read back from the prompts."""
     docs = content_docs(spark, d).select("content_id", "seq", "content_text_clean", "product_title")
