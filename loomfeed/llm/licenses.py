@@ -1,7 +1,7 @@
 """License scans (operator 4).
 
-Rules are signatures written by hand, in order: a label, a priority, the words that a text must hold before the pattern is
-tried, and the pattern.  Detections that overlap are resolved: the higher priority wins, then the longer, then the earlier
+Rules are signatures written by hand, in order: a label, a priority, the strings that a text must hold (also within words, as
+in "gplv3") before the pattern is tried, and the pattern, which begins no match within a word.  Detections that overlap are resolved: the higher priority wins, then the longer, then the earlier
 rule; one that lies inside a kept interval goes, and so does one that overlaps a kept one of higher priority.  Labels of the
 base phrases stay whatever the rules say.
 
@@ -24,7 +24,7 @@ from .common import batches, read_table
 #: Phrases that count whatever the rules say, and their labels.
 BASE_PHRASES = ((("under", "the", "mit", "license"), "mit"), (("apache", "license", "version", "2"), "apache-2"), (("cc", "by", "nc"), "cc-by-nc"))
 
-# label | words that must occur, all of them | patterns, one a line, tried on lower-case text whose gaps are one space each.
+# label | strings that must occur, all of them, also within words | patterns, one a line, tried on lower-case text whose gaps are one space each.
 # A pattern behind "+" is a strong signature (title and version, identifier or address), one behind "-" a weak mention.
 _RULES = r"""
 mit | mit
@@ -137,7 +137,7 @@ bsd-3 | neither, endorse
 bsd-4 | bsd
 + (?:original|old|4-clause|four[- ]clause) bsd licen[cs]e
 + bsd[- ]4[- ]clause
-bsd-4 | advertising, materials, acknowledgement
+bsd-4 | advertising, materials
 + all advertising materials mentioning features or use of this software
 0bsd | 0bsd
 + \b0bsd\b
@@ -334,21 +334,21 @@ cc0 | creative, zero
 cc-by-nc-nd | cc
 + \bcc[- ]by-?nc-?nd(?:[- ]\d(?:\.\d)?)?
 + \bcc by nc nd\b
-cc-by-nc-nd | noncommercial, noderivatives
-+ creative commons attribution[- ]noncommercial[- ]noderiv(?:ative)?s
+cc-by-nc-nd | commercial, deriv
++ creative commons attribution[- ]non-?commercial[- ]no-?deriv(?:ative)?s
 cc-by-nc-nd | creativecommons
 + creativecommons\.org/licenses/by-nc-nd/\d
 cc-by-nc-sa | cc
 + \bcc[- ]by-?nc-?sa(?:[- ]\d(?:\.\d)?)?
 + \bcc by nc sa\b
-cc-by-nc-sa | noncommercial, sharealike
+cc-by-nc-sa | commercial, share, alike
 + creative commons attribution[- ]non-?commercial[- ]share-?alike
 cc-by-nc-sa | creativecommons
 + creativecommons\.org/licenses/by-nc-sa/\d
 cc-by-nc | cc
 + \bcc[- ]by-?nc(?:[- ]\d(?:\.\d)?)?(?![- ]?(?:sa|nd)\b)
 + \bcc by nc\b(?! (?:sa|nd)\b)
-cc-by-nc | noncommercial
+cc-by-nc | attribution, commercial
 + creative commons attribution[- ]non-?commercial(?![- ](?:share|no))
 cc-by-nc | creativecommons
 + creativecommons\.org/licenses/by-nc/\d
@@ -358,7 +358,7 @@ cc-by-nd | creativecommons
 + creativecommons\.org/licenses/by-nd/\d
 cc-by-sa | cc
 + \bcc[- ]by-?sa(?:[- ]\d(?:\.\d)?)?
-cc-by-sa | sharealike
+cc-by-sa | share, alike
 + creative commons attribution[- ]share-?alike
 cc-by-sa | creativecommons
 + creativecommons\.org/licenses/by-sa/\d
@@ -386,7 +386,7 @@ class Rule(NamedTuple):
     order: int
     label: str
     priority: int
-    words: frozenset[bytes]
+    words: frozenset[str]
     pattern: re.Pattern
 
 
@@ -395,10 +395,11 @@ def rules(text: str = _RULES) -> list[Rule]:
     out, label, words = [], "", frozenset()
     for line in text.strip().split("\n"):
         if line[0] in "+-" and line[1] == " ":
-            out.append(Rule(len(out), label, 2 if line[0] == "+" else 1, words, re.compile(line[2:])))
+            pattern = line[2:] if line[2] == "\\" else f"(?<![a-z0-9])(?:{line[2:]})"
+            out.append(Rule(len(out), label, 2 if line[0] == "+" else 1, words, re.compile(pattern)))
         else:
             label, needed = (x.strip() for x in line.split("|", 1))
-            words = frozenset(x.strip().encode() for x in needed.split(","))
+            words = frozenset(x.strip() for x in needed.split(","))
     return out
 
 
@@ -420,19 +421,21 @@ class Scanner:
         self.rules = rules() if table is None else table
         self.gates = frozenset(w for r in self.rules for w in r.words)
         self.phrases = [(tuple(w.encode() for w in phrase), label) for phrase, label in BASE_PHRASES]
-        self.rare = frozenset((b"license", b"apache", b"cc"))
+        self.rare = frozenset((b"license", b"mit", b"apache", b"cc"))
 
-    def detections(self, text: str, words: set[bytes]) -> list[tuple[int, int, Rule]]:
-        tried = [r for r in self.rules if r.words <= words]
+    def detections(self, text: str) -> list[tuple[int, int, Rule]]:
+        lower = text.lower()
+        held = {w for w in self.gates if w in lower}
+        tried = [r for r in self.rules if r.words <= held]
         if not tried:
             return []
-        plain = _GAPS.sub(" ", text.lower())
+        plain = _GAPS.sub(" ", lower)
         return resolve([(*m.span(), r) for r in tried for m in r.pattern.finditer(plain)])
 
     def __call__(self, text: bytes) -> tuple[int, int, int | None, int | None, str, str, float]:
         words = text.translate(_OTHER).split(b" ")
         words = [w for w in words if w] if b"" in words else words
-        present = self.gates.union(self.rare).intersection(words)
+        present = self.rare.intersection(words)
         starts, base = [], set()
         if present:
             for phrase, label in self.phrases:
@@ -446,7 +449,7 @@ class Scanner:
                         if tuple(words[i : i + len(phrase)]) == phrase:
                             starts.append(i)
                             base.add(label)
-        kept = self.detections(text.decode(), present) if present else []
+        kept = self.detections(text.decode())
         labels = base | {r.label for *_, r in kept}
         strong = sum(r.priority == 2 for *_, r in kept) + len(starts)
         score = 1 - 0.5 ** (2 * strong + sum(r.priority == 1 for *_, r in kept)) if labels else 0.0

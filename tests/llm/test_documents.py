@@ -93,6 +93,44 @@ def test_license_rules(text, labels):
     assert got == labels or (labels == "cc-by-nc-sa" and got == "cc-by-nc,cc-by-nc-sa")  # the base phrase stays
 
 
+@pytest.mark.parametrize(("text", "labels"), [
+    ("licensed under the GPLv3", "gpl-3"), ("GPLv2", "gpl-2"), ("GPL2+", "gpl-2"), ("LGPLv2.1", "lgpl-2.1"), ("the LGPLv3.", "lgpl-3"), ("AGPLv3", "agpl-3"), ("MPLv2", "mpl-2"), ("Beerware License", "beerware"), ("Creative Commons Attribution-Non-Commercial", "cc-by-nc"),
+    ("Creative Commons Attribution-Share-Alike", "cc-by-sa"), ("Creative Commons Attribution-NonCommercial-NoDerivs", "cc-by-nc-nd"), ("Creative Commons Attribution-Non-Commercial-Share-Alike", "cc-by-nc-sa"), ("we submit licenses, permit license plates", ""), ("a success by all", ""),
+])
+def test_license_rules_see_glued_and_hyphenated_forms(text, labels):
+    assert licenses.Scanner()(text.encode())[5] == labels
+
+
+def test_license_gates_hold_the_examples_of_their_patterns():
+    import random
+    from re import _parser
+
+    rng = random.Random(1)
+
+    def example(parsed):
+        out = ""
+        for op, x in parsed:
+            name = str(op)
+            if name == "LITERAL":
+                out += chr(x)
+            elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+                out += "".join(example(x[2]) for _ in range(rng.randint(x[0], min(x[1], x[0] + 1))))
+            elif name == "SUBPATTERN":
+                out += example(x[3])
+            elif name == "BRANCH":
+                out += example(rng.choice(x[1]))
+            elif name == "IN":
+                kind, y = rng.choice(x)
+                out += chr(y) if str(kind) == "LITERAL" else chr(y[0]) if str(kind) == "RANGE" else "1"
+            elif name == "ANY":
+                out += "z"
+        return out
+
+    for rule in licenses.rules():
+        found = [x for x in (example(_parser.parse(rule.pattern.pattern)) for _ in range(60)) if rule.pattern.search(x)]
+        assert found and all(w in x for x in found for w in rule.words), (rule, found[:3])
+
+
 def test_license_rules_are_hundreds_and_resolve():
     assert len(licenses.rules()) >= 200
     a, b, c = (licenses.Rule(i, x, p, frozenset(), re.compile("x")) for i, (x, p) in enumerate((("weak", 1), ("strong", 2), ("inner", 2))))
