@@ -280,6 +280,26 @@ def test_page_groups_share_blocks(spark, monkeypatch):
     assert all(r.text == f"page number {r.page_id} {r.page_id * 7}" for r in extraction.extract(pages).collect())
 
 
+def _unmarked(n, extra):
+    """Pages of own words, and what extra adds to each in the middle."""
+    return [" ".join([f"w{i}x{k}" for k in range(40)] + extra(i) + [f"v{i}x{k}" for k in range(40)]) for i in range(n)]
+
+
+def _page_texts(spark, texts, url="http://h/%d"):
+    pages = spark.createDataFrame([(i, url % i if "%" in url else url, f"<div>{t}</div>") for i, t in enumerate(texts)], "page_id long, url string, html string")
+    return [r.text for r in sorted(extraction.extract(pages).collect(), key=lambda r: r.page_id)]
+
+
+def test_page_groups_share_runs_within_blocks(spark, monkeypatch):
+    """Groups or not: a long run on two pages of a host, and a short one on a share of them, leave the same texts."""
+    long, short = [f"long{k}" for k in range(60)], [f"short{k}" for k in range(6)]
+    texts = _unmarked(40, lambda i: (long if i in (3, 31) else []) + (short if i % 3 == 0 else []))
+    want = _unmarked(40, lambda i: [])
+    assert _page_texts(spark, texts) == want
+    monkeypatch.setattr(extraction, "GROUP", 2)
+    assert _page_texts(spark, texts) == want
+
+
 def test_suffix_array_covers_what_pages_share():
     import random
 
