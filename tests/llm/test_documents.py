@@ -300,6 +300,20 @@ def test_page_groups_share_runs_within_blocks(spark, monkeypatch):
     assert _page_texts(spark, texts) == want
 
 
+@pytest.mark.parametrize("group", [400, 2])
+def test_page_text_keeps_phrases_headings_and_copies(spark, monkeypatch, group):
+    monkeypatch.setattr(extraction, "GROUP", group)
+    phrase = _unmarked(12, lambda i: "one of the most important".split() if i < 2 else [])
+    assert _page_texts(spark, phrase) == phrase  # a phrase on two of twelve pages
+    article = " ".join(f"a{k}" for k in range(80))
+    copies = [article, article, f"print view {article}", *_unmarked(9, lambda i: [])]
+    assert _page_texts(spark, copies) == copies  # exact copies and a print view
+    headings = [f"{x}</div><div>{h}" for x, h in zip(_unmarked(12, lambda i: []), ["Results"] * 2 + [f"h{i}" for i in range(10)], strict=True)]
+    assert _page_texts(spark, headings) == [x.replace("</div><div>", " ") for x in headings]
+    same = ["five words that all share"] * 3 + ["five words that all share, and more"]
+    assert _page_texts(spark, same, "no url") == same  # no host: compared with none
+
+
 def test_suffix_array_covers_what_pages_share():
     import random
 
