@@ -2,8 +2,9 @@
 
 A seed is a window of words of which a fixed mask keeps some, so a hit survives a substitution in the places that the mask
 leaves out.  Seeds of the benchmark items join seeds of the documents; each hit fixes how item and document lie on each other.
-Along that alignment words are compared: stretches without GAP mismatches in a row count as overlaps, and a document leaks an
-item where an overlap has at least LEAST equal words (or all words of a shorter item) and SHARE of its words are equal.
+Along that alignment words are compared: stretches without GAP mismatches in a row are the candidates, and a document leaks an
+item where some part of one has at least LEAST equal words (or all words of a shorter item) and SHARE of its words are equal.
+Every such part holds one of the masks (tests try all patterns), so no leak goes without a hit.
 
 The seeds of the benchmark are broadcast up to SEEDS of them; beyond, both sides are shuffled by seed.
 
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import read_table, stage_table
 
-#: Places that each mask keeps, from 0; six of at most ten words.
-MASKS = ((0, 1, 3, 4, 6, 9), (0, 2, 3, 5, 6, 7), (0, 1, 4, 6, 7, 8))
+#: Places that each mask keeps, from 0; five of at most ten words.  Each accepted pattern of equal words holds one of them.
+MASKS = ((0, 1, 2, 4, 5), (0, 3, 5, 6, 7), (0, 1, 2, 6, 8), (0, 1, 2, 3, 4))
 #: Items of fewer words are sought as they are.
 SPAN = 10
 LEAST, SHARE, GAP = 12, 0.75, 3
@@ -43,6 +44,16 @@ def _seeds(rows: DataFrame, masks: list[tuple[int, ...]], keep: list[str]) -> Da
     return placed.select(*keep, "words", "pos", F.explode(F.array(*seeds)).alias("seed")).where("seed is not null")
 
 
+def _best_part(flags, equal, least) -> F.Column:
+    """The most equal words of a part of a stretch (1: equal) in which SHARE of the words are equal; null if there is none.  With
+    the n-th equal word, from 0, in place p, u = SHARE * p - n; a part from one equal word to another is good where u grows by
+    1 - SHARE at most."""
+    places = F.filter(F.transform(F.split(flags, ""), lambda c, i: F.when(c == "1", i)), lambda i: i.isNotNull())
+    u = F.transform(places, lambda p, n: SHARE * p - n)
+    parts = F.transform(u, lambda x, i: F.size(u) - i - F.array_position(F.transform(F.reverse(F.slice(u, i + 1, F.size(u) - i)), lambda y: y <= x + (1 - SHARE)), F.lit(True)).cast("int") + 1)
+    return F.when(equal >= SHARE * F.length(flags), equal).when(equal >= least, F.array_max(parts))
+
+
 def _verified(aligned: DataFrame) -> DataFrame:
     """Of rows with item_id, item_words, at (the item's place in the document), segment (the document's words there) and hits.
     n_words is null where no overlap is good enough."""
@@ -51,8 +62,8 @@ def _verified(aligned: DataFrame) -> DataFrame:
     overlaps = F.transform(F.split(flags, "0{%d,}" % GAP), lambda s: F.regexp_replace(s, "^0+|0+$", ""))
     equal = lambda s: F.length(F.replace(s, F.lit("0"), F.lit("")))
     least = F.least(F.lit(LEAST), F.size("item_words"))
-    good = F.filter(overlaps, lambda s: (equal(s) >= least) & (equal(s) >= SHARE * F.length(s)))
-    return aligned.select("doc_id", "item_id", "hits", F.array_max(F.transform(good, equal)).alias("n_words"))
+    best = F.transform(F.filter(overlaps, lambda s: equal(s) >= least), lambda s: _best_part(s, equal(s), least))
+    return aligned.select("doc_id", "item_id", "hits", F.array_max(F.filter(best, lambda n: n >= least)).alias("n_words"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:

@@ -129,6 +129,44 @@ def test_shards(docs, spark):
     assert sharding.assign(odd.limit(0)).count() == 0
 
 
+def test_masks_meet_every_accepted_pattern():
+    """No pattern of equal words (ends equal, no gap, enough equal words) avoids all masks: patterns grow by a word while they
+    avoid them; of those that end alike the one with the best balance stands for all."""
+    span, state = max(map(max, decontamination.MASKS)) + 1, {"1": 1}
+    seen: dict = {}
+    for _ in range(1000):
+        grown: dict = {}
+        for (tail, n), balance in {(k, 1) if isinstance(k, str) else k: b for k, b in state.items()}.items():
+            for bit in "10":
+                new, count, value = (tail + bit)[-span:], min(n + int(bit), decontamination.LEAST), balance + (1 if bit == "1" else -3)
+                if new.endswith("0" * decontamination.GAP) or value < -14 or any(len(new) > m[-1] and all(new[len(new) - m[-1] - 1 + k] == "1" for k in m) for m in decontamination.MASKS):
+                    continue
+                assert not (bit == "1" and count >= decontamination.LEAST and value >= 0), new
+                if value > seen.get((new, count), -99):
+                    seen[new, count] = grown[new, count] = value
+        state = grown
+        if not state:
+            return
+    raise AssertionError("endless patterns avoid the masks")
+
+
+@pytest.mark.parametrize("seeds", [10**6, 0])
+def test_decontamination_judges_the_best_part(spark, monkeypatch, seeds):
+    monkeypatch.setattr(decontamination, "SEEDS", seeds)
+    item = [f"i{k}" for k in range(60)]
+    changed = lambda keep: " ".join(w if keep(k) else f"x{k}" for k, w in enumerate(item))
+    rows = [(1, changed(lambda k: k < 30 or k % 3 == 2), 30), (2, changed(lambda k: k % 4 != 3), 45), (3, changed(lambda k: k % 3 != 0), 0), (4, changed(lambda k: k < 11 or k % 3 == 0), 0), (5, changed(lambda k: k % 3 == 2 or k >= 30), 30)]
+    got = {r.doc_id: r.most_words for r in decontamination.judge(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+
+    def best(text):
+        flags = [a == b for a, b in zip(text.split(), item, strict=True)]
+        parts = [(sum(flags[a:b]), b - a) for a in range(60) for b in range(a + 1, 61) if flags[a] and flags[b - 1]]
+        return max([n for n, size in parts if n >= 12 and n >= 0.75 * size], default=0)
+
+    assert got == {i: best(text) for i, text, _ in rows} and got[1] >= 30 and got[2] == 45 and got[5] >= 30
+    assert got[3] == 0
+
+
 def test_decontamination(docs, spark):
     words = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     bench = read_table(spark, SF_DIR, "benchmark")
