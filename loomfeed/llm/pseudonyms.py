@@ -29,6 +29,8 @@ ROUNDS = 8
 DEFAULT_KEY = b"loomfeed pseudonyms"
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
+#: Country codes of two digits; 1 and 7 are codes of one, all others have three.
+_CODES = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 
 # One pass: the first alternative that matches at a place wins.
 _PATTERN = re.compile(
@@ -37,9 +39,9 @@ _PATTERN = re.compile(
     r"|(?<![A-Za-z0-9])(?P<iban>[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
     r"|(?<![0-9A-Za-z.])(?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3})(?!\.?[0-9A-Za-z])"
     r"|(?<![0-9A-Za-z])(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})(?!-?[0-9A-Za-z])"
-    r"|(?<![0-9A-Za-z])(?P<date>[0-9]{4}(?P<s1>[-/.])[0-9]{1,2}(?P=s1)[0-9]{1,2}|[0-9]{1,2}(?P<s2>[-/.])[0-9]{1,2}(?P=s2)[0-9]{4})(?![0-9A-Za-z])"
+    r"|(?<![0-9A-Za-z])(?P<date>[0-9]{4}(?P<s1>[-/.])[0-9]{1,2}(?P=s1)[0-9]{1,2}|[0-9]{1,2}(?P<s2>[-/.])[0-9]{1,2}(?P=s2)[0-9]{4})(?:(?![0-9A-Za-z])|(?=[Tt][0-9]{2}:?[0-9]{2}))"
     r"|(?<![0-9A-Za-z])(?P<card>[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})(?![0-9A-Za-z])"
-    r"|(?<![0-9A-Za-z])(?P<phone>(?:\+[0-9]{1,3}[ .#*$%&!|-]{0,5})?\([0-9]{2,4}\)[ .#*$%&!|-]{0,5}[0-9]{3,4}[ .-]?[0-9]{3,4}|\+[0-9]{1,3}[ .-][0-9]{2,4}[ .-][0-9]{3,4}[ .-]?[0-9]{3,4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}|\+[0-9]{8,15})(?![0-9A-Za-z])"
+    r"|(?<![0-9A-Za-z])(?P<phone>\+1(?:[ ./()-]{0,2}[0-9]){10}(?![0-9A-Za-z])|\+[2-9](?:[ ./()-]{0,2}[0-9]){7,14}(?![0-9A-Za-z])|(?:\+[0-9]{1,3}[ .#*$%&!|-]{0,5})?\([0-9]{2,4}\)[ .#*$%&!|-]{0,5}[0-9]{3,4}[ .-]?[0-9]{3,4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}|\+[01](?:[ ./()-]{0,2}[0-9]){7,14})(?![0-9A-Za-z])"
 )
 
 
@@ -158,8 +160,7 @@ class Pseudonyms:
         d = re.sub("[^0-9]", "", text)
         if not 7 <= len(d) <= 15:
             return None
-        code = re.match(r"\+([0-9]{1,3})[^0-9]", text)
-        kept = len(code[1]) if code else 1 if text[0] == "+" else 0
+        kept = 0 if text[0] != "+" else 1 if d[0] in "17" else 2 if d[:2] in _CODES else 3
         rest = d[kept:]
         return _like(text, d[:kept] + str(self._moved(int(rest), 10 ** len(rest), f"phone|{d[:kept]}|{len(rest)}")).zfill(len(rest)))
 

@@ -160,6 +160,17 @@ def test_pseudonyms_keep_formats_and_links(kind):
     assert pseudonyms.Pseudonyms(b"other key")(value)[0] != new
 
 
+def test_pseudonyms_see_timestamps_and_any_grouping_of_numbers():
+    p = pseudonyms.Pseudonyms()
+    stamp, day = p("2021-03-04T10:00:00Z"), p("2021-03-04")
+    assert stamp == (f"{day[0]}T10:00:00Z", ["date"]) and day[0] != "2021-03-04"
+    for forms in (("+33 1 23 45 67 89", "+33123456789", "+33 (1) 23-45-67-89"), ("+49 30 1234567", "+49301234567", "+49 (30) 1234-567"), ("+1 202 555 0143", "+12025550143", "+1 (202) 555-0143"), ("+358 9 123 4567", "+35891234567"), ("+44 20 7946 0018", "+44 2079 460018")):
+        found = [p(f"call {x}, now") for x in forms]
+        assert all(kinds == ["phone"] for _, kinds in found) and len({re.sub("[^0-9]", "", x) for x, _ in found}) == 1
+        assert all(re.sub("[0-9]", "9", new) == re.sub("[0-9]", "9", f"call {x}, now") and x not in new for (new, _), x in zip(found, forms, strict=True))
+    assert p("+1 202 555 0143 12 people")[0].endswith(" 12 people") and p("2021-03-04Tx") == ("2021-03-04Tx", [])
+
+
 def test_pseudonyms_leave_others_alone():
     for text in ("9807915762804490", "1.2.3", "300.1.1.1", "02/30/2001", "000-12-3456", "DE00370400440532013000", "version 3.4.5.6789", "3.14", "a@b"):
         assert pseudonyms.Pseudonyms()(text) == (text, [])
