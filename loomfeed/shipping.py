@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -23,3 +23,10 @@ def ship(spark: SparkSession) -> None:
             z.write(path, path.relative_to(root.parent))
     context.addPyFile(str(target))
     _SHIPPED.add(context.applicationId)
+
+
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """df.mapInArrow with the package at hand in the workers, whether or not a reader of this package ran before: a function
+    takes along the files that the session knows when it is wrapped."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
