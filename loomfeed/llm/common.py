@@ -11,29 +11,58 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shipping import ship
+from ..shipping import map_arrow, ship  # noqa: F401  operators take map_arrow from here
 
 #: Text that one numpy step holds at a time, in bytes; bounds a task's memory whatever the batch size.
 SLICE_BYTES = 4 << 20
+#: Bytes that a task of a shuffle of texts or ids reads, about.
+PART_BYTES = 128 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share.  Only a session on one machine may leave it unset and gets a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+#: Folders written by stage_table and not cleared yet, by application.
+_STAGED: dict[str, list[str]] = {}
+
+
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: short lineage, sizes known to the optimizer."""
     ship(df.sparkSession)
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _STAGED.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def staged(spark: SparkSession) -> list[str]:
+    """The folders of tables staged so far; results read them until they are written themselves."""
+    return list(_STAGED.get(spark.sparkContext.applicationId, []))
+
+
+def clear_staged(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete staged tables, all of this application's or those in paths, once no result needs them."""
+    mine = _STAGED.setdefault(spark.sparkContext.applicationId, [])
+    for path in staged(spark) if paths is None else paths:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        if path in mine:
+            mine.remove(path)
+
+
+def parts_for(spark: SparkSession, n_bytes: int | None) -> int:
+    """Partitions for a shuffle of so many bytes: as many as the session has, and no more than PART_BYTES in each."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(n_bytes or 0) // PART_BYTES))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
