@@ -1,9 +1,10 @@
 """License scans (operator 4).
 
 Rules are signatures written by hand, in order: a label, a priority, the strings that a text must hold (also within words, as
-in "gplv3") before the pattern is tried, and the pattern, which begins no match within a word.  Detections that overlap are resolved: the higher priority wins, then the longer, then the earlier
-rule; one that lies inside a kept interval goes, and so does one that overlaps a kept one of higher priority.  Labels of the
-base phrases stay whatever the rules say.
+in "gplv3") before the pattern is tried, and the pattern, which begins no match within a word.  Comment signs around line breaks
+(as in a header of source code) count as white space.  Detections that overlap are resolved: the higher priority wins, then the
+longer, then the earlier rule; one that lies inside a kept interval goes, and so does one that overlaps it.  Labels of the base
+phrases stay whatever the rules say.
 
 Defined cases: null text is empty; null and repeated keys are kept, a row each; other columns are not read; an empty table
 gives no rows.
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, read_table
+from .common import batches, map_arrow, read_table
 
 #: Phrases that count whatever the rules say, and their labels.
 BASE_PHRASES = ((("under", "the", "mit", "license"), "mit"), (("apache", "license", "version", "2"), "apache-2"), (("cc", "by", "nc"), "cc-by-nc"))
@@ -47,11 +48,12 @@ x11 | x, consortium
 - x consortium
 apache-2 | apache
 + apache licen[cs]e,? ?\(?(?:version|ver\.?|v\.?)? ?2(?:\.0)?\b
-+ licen[cs]ed? under (?:the )?apache[- ]2(?:\.0)?\b
++ licen[cs]ed? under (?:the )?apache[- ]?v?2(?:\.0)?\b
++ apache[- ]?v?2(?:\.0)? licen[cs]e
 + spdx-license-identifier: ?apache-2\.0
 + apache\.org/licenses/license-2\.0
 + apache software licen[cs]e,? ?(?:version|v\.?)? ?2(?:\.0)?\b
-- apache[- ]2\.0
+- apache[- ]?v?2\.0
 apache-1.1 | apache
 + apache (?:software )?licen[cs]e,? ?(?:version|v\.?)? ?1\.1
 + spdx-license-identifier: ?apache-1\.1
@@ -404,14 +406,25 @@ def rules(text: str = _RULES) -> list[Rule]:
 
 
 _OTHER = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in bytes(range(256)).lower())
-_GAPS = re.compile(r"\s+")
+#: Signs of comments at the starts and ends of lines; with the white space around they are one gap.
+_SIGNS = r"(?:/\*+|\*+/?|//+[!/]?|\#+|;+|%+|--+|<!--+|>+|\|+|!+|\"{3}|'{3}|@?rem\b|dnl\b)"
+_GAPS = re.compile(rf"(?:\s+{_SIGNS})?[^\S\n\r]*(?:[\n\r]\s*(?:{_SIGNS}\s*)?)+|\s+")
+_COMMENTED = re.compile(rf"[\n\r]\s*{_SIGNS}")
+
+
+def one_line(text: str) -> str:
+    """The text with one space for each gap."""
+    return _GAPS.sub(" ", text) if _COMMENTED.search(text) else " ".join(text.split())
 
 
 def resolve(found: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:
-    """Detections that stand: by priority, length and order of rule; others that lie inside or overlap them go."""
+    """Detections that stand: by priority, length and order of rule; others that lie inside or overlap them go.  Each looks at
+    its own interval alone, so the cost is that of sorting and of the lengths together."""
     kept: list[tuple[int, int, Rule]] = []
+    taken = bytearray(max((b for _, b, _ in found), default=0))
     for a, b, rule in sorted(found, key=lambda d: (-d[2].priority, d[0] - d[1], d[2].order, d[0])):
-        if not any(a < d and c < b for c, d, _ in kept):
+        if a < b and taken.find(1, a, b) < 0:
+            taken[a:b] = b"\x01" * (b - a)
             kept.append((a, b, rule))
     return kept
 
@@ -429,7 +442,7 @@ class Scanner:
         tried = [r for r in self.rules if r.words <= held]
         if not tried:
             return []
-        plain = _GAPS.sub(" ", lower)
+        plain = one_line(lower)
         return resolve([(*m.span(), r) for r in tried for m in r.pattern.finditer(plain)])
 
     def __call__(self, text: bytes) -> tuple[int, int, int | None, int | None, str, str, float]:
@@ -469,7 +482,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", table: list[R
             columns = zip(*map(scanner, texts), strict=True)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["doc_id", *(x.split()[0] for x in LICENSES.split(", "))])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(look, f"doc_id long, {LICENSES}")
+    return map_arrow(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), look, f"doc_id long, {LICENSES}")
 
 
 def op4_license_scan(spark, sf_dir: str) -> DataFrame:
