@@ -1,13 +1,22 @@
 """Format-preserving pseudonyms (operator 5).
 
 Personal data in a text is found by patterns, validated (check digits, ranges, the calendar) and replaced by a keyed
-permutation of the values of its format: a balanced Feistel network over the value's number, walked in cycles until the
-result is again a valid value that differs.  Equal values get equal pseudonyms in every document, whatever separators they are
-written with; separators, lengths and check digits stay.  Kinds, in this order where they overlap: e-mail addresses, secret
-hexadecimal tokens, IBANs, card numbers, social security numbers, dates, telephone numbers, IP addresses.
+permutation of the values of its format that leaves none in place: a balanced Feistel network over the value's number (walked in
+cycles where the format has fewer values than the network) orders the valid values, and each is replaced by the one behind it.
+So different values of a format have different pseudonyms, and equal values get equal ones in every document, whatever
+separators they are written with; separators and check digits stay.  Kinds, in this order where they overlap: e-mail addresses,
+secret hexadecimal tokens, IBANs, card numbers, social security numbers, dates, telephone numbers, IP addresses.
+
+A date is one value whether written year, day or month first and with or without leading zeros (day first where both could be);
+those with a day up to 12 go to such, and others to others, so that a pseudonym can be read again as the same date.  A month or
+day in one digit may become one of two.  Telephone numbers behind + keep their country code; ten digits without + are read as a
+number behind +1.  An e-mail address has at most 64 characters before the @.
+
+The key is a secret that the caller passes.  Without one the queries take the setting KEY_SETTING of the session, and where it
+is unset a random key of this application: pseudonyms are then linked within it and nobody can undo them.
 
 Defined cases: null text stays null, empty text empty; null and repeated keys are kept, a row each; all other columns pass
-through; an empty table gives no rows.
+through (with report, columns named n_pii and pii_kinds give way); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -15,18 +24,18 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+import secrets
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read_table
+from .common import map_arrow, read_table
 
 ROUNDS = 8
-#: Stands for a secret that a caller passes; results for one key are stable.
-DEFAULT_KEY = b"loomfeed pseudonyms"
+KEY_SETTING = "spark.loomfeed.pseudonyms.key"
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: Country codes of two digits; 1 and 7 are codes of one, all others have three.
@@ -34,7 +43,7 @@ _CODES = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52
 
 # One pass: the first alternative that matches at a place wins.
 _PATTERN = re.compile(
-    r"(?P<email>[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
+    r"(?P<email>(?<![A-Za-z0-9_%+-])(?=[A-Za-z0-9_.%+-]{1,64}@)[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
     r"|(?<![A-Za-z0-9])(?P<token>(?=[0-9A-Fa-f]*[0-9])(?=[0-9A-Fa-f]*[A-Fa-f])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}))(?![A-Za-z0-9])"
     r"|(?<![A-Za-z0-9])(?P<iban>[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
     r"|(?<![0-9A-Za-z.])(?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3})(?!\.?[0-9A-Za-z])"
@@ -57,28 +66,35 @@ def iban_check(country: str, account: str) -> int:
 class Pseudonyms:
     """Replaces the values in texts under one key."""
 
-    def __init__(self, key: bytes = DEFAULT_KEY):
+    def __init__(self, key: bytes):
         self.key = hashlib.blake2b(key, digest_size=32).digest()
         self.known: dict[tuple[str, str], str | None] = {}
 
-    def permute(self, x: int, size: int, tweak: str, fine: Callable[[int], bool] = lambda _: True) -> int:
-        """A permutation of the fine numbers under size: cycle walking over a Feistel network of the next even width."""
+    def _network(self, x: int, size: int, tweak: str, back: bool) -> int:
+        """A permutation of the numbers under size, or its inverse: cycle walking over a Feistel network of the next even width."""
         half = max(1, (size - 1).bit_length() + 1 >> 1)
         mask = (1 << half) - 1
-        y = x
         while True:
-            left, right = y >> half, y & mask
-            for i in range(ROUNDS):
+            left, right = x >> half, x & mask
+            if back:
+                left, right = right, left
+            for i in reversed(range(ROUNDS)) if back else range(ROUNDS):
                 f = hashlib.blake2b(f"{tweak}|{size}|{i}|{right}".encode(), digest_size=32, key=self.key).digest()
                 left, right = right, left ^ int.from_bytes(f, "big") & mask
-            y = left << half | right
-            if y < size and fine(y):
-                return y
+            if back:
+                left, right = right, left
+            x = left << half | right
+            if x < size:
+                return x
 
-    def _moved(self, x: int, size: int, tweak: str, fine: Callable[[int], bool] = lambda _: True) -> int:
-        """As permute, once more where it left x in place; a lone value stays."""
-        y = self.permute(x, size, tweak, fine)
-        return self.permute(y, size, tweak + "'", fine) if y == x else y
+    def permute(self, x: int, size: int, tweak: str, fine: Callable[[int], bool] = lambda _: True) -> int:
+        """The fine number under size that stands behind x in the secret order of them all; x itself only if it is the only one."""
+        place = self._network(x, size, tweak, False)
+        while True:
+            place = (place + 1) % size
+            y = self._network(place, size, tweak, True)
+            if fine(y):
+                return y
 
     def _email(self, text: str) -> str:
         name, _, host = text.rpartition("@")
@@ -87,7 +103,7 @@ class Pseudonyms:
         for i in spots:
             base = 10 if name[i].isdigit() else 26
             x, size = x * base + (int(name[i]) if base == 10 else _LETTERS.index(name[i].lower())), size * base
-        y, out = self._moved(x, size, f"email|{host.lower()}|{re.sub('[a-z]', 'a', re.sub('[0-9]', '9', name.lower()))}"), list(name)
+        y, out = self.permute(x, size, f"email|{host.lower()}|{re.sub('[a-z]', 'a', re.sub('[0-9]', '9', name.lower()))}"), list(name)
         for i in reversed(spots):
             base = 10 if name[i].isdigit() else 26
             y, d = divmod(y, base)
@@ -95,7 +111,7 @@ class Pseudonyms:
         return f"{''.join(out)}@{host}"
 
     def _token(self, text: str) -> str:
-        out = format(self._moved(int(text, 16), 16 ** len(text), f"token|{len(text)}"), f"0{len(text)}x")
+        out = format(self.permute(int(text, 16), 16 ** len(text), f"token|{len(text)}"), f"0{len(text)}x")
         return out.upper() if text.upper() == text else out
 
     def _iban(self, text: str) -> str | None:
@@ -107,7 +123,7 @@ class Pseudonyms:
         for c in account:
             base = 10 if c.isdigit() else 26
             x, size = x * base + (int(c) if base == 10 else ord(c) - 65), size * base
-        y, out = self._moved(x, size, f"iban|{country}|{re.sub('[A-Z]', 'A', re.sub('[0-9]', '9', account))}"), []
+        y, out = self.permute(x, size, f"iban|{country}|{re.sub('[A-Z]', 'A', re.sub('[0-9]', '9', account))}"), []
         for c in reversed(account):
             y, d = divmod(y, 10 if c.isdigit() else 26)
             out.append(str(d) if c.isdigit() else chr(65 + d))
@@ -118,41 +134,31 @@ class Pseudonyms:
         d = re.sub("[^0-9]", "", text)
         if int(d[-1]) != luhn(d[:-1]):
             return None
-        body = str(self._moved(int(d[:-1]), 10 ** (len(d) - 1), f"card|{len(d)}")).zfill(len(d) - 1)
+        body = str(self.permute(int(d[:-1]), 10 ** (len(d) - 1), f"card|{len(d)}")).zfill(len(d) - 1)
         return _like(text, body + str(luhn(body)))
 
     def _ssn(self, text: str) -> str | None:
         fine = lambda n: 0 < n // 1_000_000 < 900 and n // 1_000_000 != 666 and n // 10_000 % 100 > 0 and n % 10_000 > 0
         x = int(text.replace("-", ""))
-        return _like(text, f"{self._moved(x, 10**9, 'ssn', fine):09d}") if fine(x) else None
+        return _like(text, f"{self.permute(x, 10**9, 'ssn', fine):09d}") if fine(x) else None
 
     def _date(self, text: str) -> str | None:
         parts = re.split("[-/.]", text)
         year_first = len(parts[0]) == 4
         y, *rest = map(int, parts if year_first else reversed(parts))
-        orders = [rest] if year_first else [rest, rest[::-1]]  # day first, else month first
-        for k, (m, d) in enumerate(orders):
+        for k, (m, d) in enumerate([rest] if year_first else [rest, rest[::-1]]):  # day first, else month first
             try:
                 x = datetime.date(y, m, d).toordinal() - FIRST_DAY
             except ValueError:
                 continue
             if not 0 <= x <= LAST_DAY - FIRST_DAY:
                 return None
-            # A date in few digits stays one: months and days keep their widths.
-            widths = [len(p) for p in parts]
-
-            def written(n: int, k: int = k, widths: list[int] = widths) -> list[str] | None:
-                day = datetime.date.fromordinal(n + FIRST_DAY)
-                out = [day.year, day.month, day.day] if year_first else [[day.day, day.month], [day.month, day.day]][k] + [day.year]
-                out = [str(v).zfill(w) for v, w in zip(out, widths, strict=True)]
-                again = (int(out[0]), int(out[1])) if not year_first else (0, 0)
-                # Read again it must be the same day: month first only where day first is no date.
-                return out if all(len(v) == w for v, w in zip(out, widths, strict=True)) and (year_first or k == 0 or again[1] > 12) else None
-
-            n = self._moved(x, LAST_DAY - FIRST_DAY + 1, f"date|{widths if min(widths) == 1 else 0}|{k}", lambda n: written(n) is not None)
-            signs = [c for c in text if c in "-/."]
-            a, b, c = written(n)
-            return f"{a}{signs[0]}{b}{signs[1]}{c}"
+            early = lambda n: datetime.date.fromordinal(n + FIRST_DAY).day <= 12
+            kind = early(x)
+            day = datetime.date.fromordinal(self.permute(x, LAST_DAY - FIRST_DAY + 1, f"date|{kind}", lambda n: early(n) == kind) + FIRST_DAY)
+            new = [day.year, day.month, day.day] if year_first else [*([day.day, day.month], [day.month, day.day])[k], day.year]
+            sign = re.search("[-/.]", text)[0]
+            return sign.join(str(v).zfill(len(p)) for v, p in zip(new, parts, strict=True))
         return None
 
     def _phone(self, text: str) -> str | None:
@@ -162,7 +168,8 @@ class Pseudonyms:
             return None
         kept = 0 if text[0] != "+" else 1 if d[0] in "17" else 2 if d[:2] in _CODES else 3
         rest = d[kept:]
-        return _like(text, d[:kept] + str(self._moved(int(rest), 10 ** len(rest), f"phone|{d[:kept]}|{len(rest)}")).zfill(len(rest)))
+        country = "1" if not kept and len(d) == 10 else d[:kept]
+        return _like(text, d[:kept] + str(self.permute(int(rest), 10 ** len(rest), f"phone|{country}|{len(rest)}")).zfill(len(rest)))
 
     def _ip(self, text: str) -> str | None:
         """Octets keep their widths, so that the text keeps its length."""
@@ -173,7 +180,7 @@ class Pseudonyms:
         x, size = 0, 1
         for p, (low, n) in zip(parts, ranges, strict=True):
             x, size = x * n + int(p) - low, size * n
-        y, out = self._moved(x, size, f"ip|{[n for _, n in ranges]}"), []
+        y, out = self.permute(x, size, f"ip|{[n for _, n in ranges]}"), []
         for low, n in reversed(ranges):
             y, v = divmod(y, n)
             out.append(str(low + v))
@@ -194,8 +201,7 @@ class Pseudonyms:
             kind = m.lastgroup if m.lastgroup not in ("s1", "s2") else "date"
             new = self.pseudonym(kind, m[kind])
             if new is None:  # not valid: go on behind its first run of digits or letters
-                at = re.compile(r"[0-9A-Za-z]*").match(text, m.start() + 1).end()
-                at = max(at, m.start() + 1)
+                at = _RUN.match(text, m.start() + 1).end()
                 continue
             out += [text[end : m.start()], new]
             kinds.append(kind)
@@ -210,10 +216,20 @@ def _like(shape: str, solid: str) -> str:
 
 
 _HINT = re.compile(r"[0-9]{2}|@")
+_RUN = re.compile(r"[0-9A-Za-z]*")
+
+
+_RANDOM_KEYS: dict[str, bytes] = {}
+
+
+def key_of(spark: SparkSession) -> bytes:
+    """The key that the session's setting names, or a random one for this application."""
+    named = spark.conf.get(KEY_SETTING, None)
+    return named.encode() if named else _RANDOM_KEYS.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
 
 
-def pseudonymize(docs: DataFrame, key: bytes = DEFAULT_KEY, text: str = "text", report: bool = True) -> DataFrame:
-    """docs with pseudonyms in its text; with report also n_pii and pii_kinds (names that must be free).  No shuffle."""
+def pseudonymize(docs: DataFrame, key: bytes, text: str = "text", report: bool = True) -> DataFrame:
+    """docs with pseudonyms in its text; with report also n_pii and pii_kinds.  No shuffle."""
 
     def replace(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = Pseudonyms(key)
@@ -221,13 +237,14 @@ def pseudonymize(docs: DataFrame, key: bytes = DEFAULT_KEY, text: str = "text",
             found = [p(x) if x and _HINT.search(x) else (x, []) for x in batch.column(at).to_pylist()]
             columns = list(batch.columns)
             columns[at] = pa.array([x for x, _ in found], batch.schema.field(at).type)
-            more = [pa.array([len(k) for _, k in found], pa.int64()), pa.array([",".join(sorted(set(k))) for _, k in found], pa.string())] if report else []
-            yield pa.RecordBatch.from_arrays([*columns, *more], [*batch.schema.names, *(["n_pii", "pii_kinds"] if report else [])])
+            counts = [pa.array([len(k) for _, k in found], pa.int64()), pa.array([",".join(sorted(set(k))) for _, k in found], pa.string())] if report else []
+            yield pa.RecordBatch.from_arrays([*(columns[i] for i in kept), *counts], schema.names)
 
-    at = docs.columns.index(text)
     more = [T.StructField("n_pii", T.LongType()), T.StructField("pii_kinds", T.StringType())] if report else []
-    return docs.mapInArrow(replace, T.StructType([*docs.schema.fields, *more]))
+    at, kept = docs.columns.index(text), [i for i, c in enumerate(docs.columns) if c not in [f.name for f in more]]
+    schema = T.StructType([*(docs.schema.fields[i] for i in kept), *more])
+    return map_arrow(docs, replace, schema)
 
 
 def op5_pseudonyms(spark, sf_dir: str) -> DataFrame:
-    return pseudonymize(read_table(spark, sf_dir, "documents").select("doc_id", F.col("text")))
+    return pseudonymize(read_table(spark, sf_dir, "documents").select("doc_id", F.col("text")), key_of(spark))
