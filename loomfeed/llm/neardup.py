@@ -12,8 +12,8 @@ leaves open (nodes of one bucket in different components) is compared in full, i
 alone, at most one for each node and component.
 
 Defined cases: words are runs of bytes other than white space, A-Z in lower case; a text of one to WORDS - 1 words has its whole
-sequence as its one window; null or empty text has an empty set and no links; repeated keys are one document (its texts' links
-are joined); rows with a null key get the component of equal texts, or null; extra columns are not read; an empty table gives
+sequence as its one window; null or empty text has an empty set and no links; repeated keys are one document (its texts, and
+what they link to, are one component); rows with a null key get the component of equal texts, or null; extra columns are not read; an empty table gives
 no rows.
 """
 
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, distinct, read_table, stage_table, window_hashes, word_hashes
+from .common import batches, distinct, map_arrow, read_table, ship, stage_table, window_hashes, word_hashes
 from .components import components
 
 WORDS = 5
@@ -36,6 +36,8 @@ PERCENT = 75
 _STEP = 1 << 16
 #: Windows and documents of a tile (two of them are compared at a time), and columns of a matrix.
 TILE_WINDOWS, TILE_ROWS = 1_000_000, 1_000
+#: Pairs of one hub that one copy of its set serves.
+SPREAD = 20_000
 _COLUMNS = 4096
 
 
@@ -109,12 +111,19 @@ def _sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in shingle_sets(texts)], pa.list_(pa.int64()))], ["node", "shingles"])
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b) whose sets are similar enough."""
-    left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
-    both = pairs.join(left, "a").join(right, "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(100 * common >= PERCENT * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+def _confirm(tried: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs of tried (node, hub) whose sets are similar enough, as a < b.  The set of a hub of many pairs is copied, once
+    for SPREAD of them, so that no task has all of them."""
+    copies = F.ceil(F.count("*") / SPREAD).alias("copies")
+    large = stage_table(tried.groupBy("hub").agg(copies).where("copies > 1"), "spread")
+    with_copy = lambda rows, hub, lot: rows.join(large.withColumnRenamed("hub", "large"), F.col(hub) == F.col("large"), "left").withColumn("copy", lot).drop("large", "copies")
+    left = sets.select("node", F.col("shingles").alias("own"))
+    right = sets.select(F.col("node").alias("hub"), F.col("shingles").alias("others"))
+    right = with_copy(right, "hub", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(1)).cast("long") - 1)))
+    pairs = with_copy(tried, "hub", F.pmod(F.xxhash64("node"), F.coalesce("copies", F.lit(1))).cast("long"))
+    both = pairs.join(left, "node").join(right, ["hub", "copy"])
+    common = F.size(F.array_intersect("own", "others"))
+    return both.where(100 * common >= PERCENT * (F.size("own") + F.size("others") - common)).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
 
 
 def _links_in_tile(table: pa.Table) -> pa.Table:
@@ -156,18 +165,19 @@ def _compare_tiles(rest: DataFrame, sets: DataFrame) -> DataFrame:
     """
     rows = rest.select("bucket", "node", "component", F.pmod(F.xxhash64("node"), "tiles").alias("tile"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
     rows = rows.select("bucket", F.least("tile", "other").alias("one"), F.greatest("tile", "other").alias("two"), "node", "tile", "component")
+    ship(rows.sparkSession)
     return rows.join(sets, "node").groupBy("bucket", "one", "two").applyInArrow(_links_in_tile, "a long, b long")
 
 
 def _with_texts(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """Sets of the documents named in nodes."""
-    return stage_table(rows.join(nodes, rows["doc_id"] == nodes["node"], "left_semi").select("doc_id", "text").mapInArrow(_sets, "node long, shingles array<long>"), "sets")
+    return stage_table(map_arrow(rows.join(nodes, rows["doc_id"] == nodes["node"], "left_semi").select("doc_id", "text"), _sets, "node long, shingles array<long>"), "sets")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of docs."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sketches = stage_table(rows.mapInArrow(_sketch, "doc_id long, same binary, n_shingles long, bands array<long>"), "sketches")
+    sketches = stage_table(map_arrow(rows, _sketch, "doc_id long, same binary, n_shingles long, bands array<long>"), "sketches")
     # One node for each word sequence, named by its least document.
     nodes = sketches.where("n_shingles > 0").groupBy("same").agg(F.min("doc_id").alias("node"))
     nodes = stage_table(nodes, "nodes")
@@ -178,13 +188,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     hubs = stage_table(hubs.select("bucket", "h.hub", "h.hub_n", "members"), "hubs")
     fits = lambda a, b: 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)  # noqa: E731  sizes alone allow the similarity
     crowd = stage_table(members.join(hubs, "bucket").select("bucket", "node", "n", "hub", "hub_n", "members"), "crowd")
-    pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    tried = stage_table(crowd.where("node <> hub").where(fits(F.col("n"), F.col("hub_n"))).select(*pair(F.col("node"), F.col("hub"))).distinct(), "tried")
-    wanted = tried.select(F.col("a").alias("node")).union(tried.select("b")).distinct()
+    tried = crowd.where("node <> hub").where(fits(F.col("n"), F.col("hub_n"))).select(F.least("node", "hub").alias("hub"), F.greatest("node", "hub").alias("node")).distinct()
+    tried = stage_table(tried, "tried")
+    wanted = tried.select("node").union(tried.select("hub")).distinct()
     sets = _with_texts(rows, stage_table(wanted, "wanted"))
-    # A document with several texts is linked if one of them is.
-    copies = named.groupBy("node").agg(F.count("*").alias("k")).where("k > 1").limit(1).count()
-    links = stage_table(_confirm(tried, sets).distinct() if copies else _confirm(tried, sets), "links")
+    # A document with several texts is linked if one of them is, and it links them.
+    several = sketches.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.min("same").alias("one"), F.max("same").alias("other")).where("one <> other").select("doc_id")
+    several = sketches.where("n_shingles > 0").join(several, "doc_id", "left_semi").select("doc_id", "same").distinct()
+    several = stage_table(several.join(nodes, "same").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b").distinct(), "several")
+    links = stage_table(_confirm(tried, sets).union(several.select(F.least("a", "b"), F.greatest("a", "b"))).distinct(), "links")
     found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     # Buckets of three or more whose nodes are still apart: compare the rest in tiles.
     big = crowd.where("members > 2").join(found, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
