@@ -78,6 +78,24 @@ def test_near_duplicates_around_the_threshold(spark, monkeypatch):
     assert sorted(r.doc_id for r in left.where("doc_id is not null").collect()) == sorted(set(want.values()))
 
 
+def test_near_duplicates_join_the_texts_of_a_repeated_key(spark):
+    """Keys that are the least of none of their texts, and one that is of one: all that their texts reach is one component."""
+    one, two, three, four = (" ".join(f"{c}{k}" for k in range(30)) for c in "abcd")
+    rows = [(3, two), (9, two), (5, one), (9, one), (20, three), (21, three), (21, four), (30, four), (40, "alone here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_components(rows)
+    assert want[9] == want[5] == 3 and want[30] == 20
+    got = neardup.near_duplicates(df).collect()
+    assert all((r.component_id, r.kept) == (want[r.doc_id], want[r.doc_id] == r.doc_id) for r in got) and len(got) == len(rows)
+    assert sorted(r.doc_id for r in neardup.drop_near_duplicates(df).collect()) == [3, 20, 40]
+
+
+def test_hubs_of_many_pairs_are_copied(spark, docs, monkeypatch):
+    monkeypatch.setattr(neardup, "SPREAD", 2)
+    want = brute_components([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()} == want
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(3)
     values = neardup.window_hashes(rng.integers(0, 2**63, 3000).astype(np.uint64), 1)

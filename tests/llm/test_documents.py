@@ -63,7 +63,30 @@ def test_compression_verdicts():
     compress = zstandard.ZstdCompressor(level=quality.LEVEL, write_content_size=False).compress
     noise = base64.b64encode(random.Random(1).randbytes(6000))
     assert not quality.verdict(noise, compress)[3] and not quality.verdict(b"word and word " * 400, compress)[3]
-    assert quality.verdict(b"tiny", compress) == (None, 0, 0, True)
+    assert quality.verdict(b"", compress) == (None, 0, 0, True) and quality.verdict(b"tiny", compress)[3]
+    assert all(quality.verdict(x, compress)[3] for x in (b"a", b"some word", b"ten short words are here now for us all", "für die Übung".encode()))
+    assert not quality.verdict(b"ha ha ha ha ha ha ha ha ha ha ha ha ha ha", compress)[3]  # repetition, however short
+
+
+def test_every_byte_is_in_a_chunk():
+    for n in (0, 1, 2048, 2049, 4095, 4096, 4097, 10_001):
+        text = bytes(i % 251 for i in range(n))
+        chunks = quality.chunks_of(text)
+        assert all(len(c) == quality.CHUNK for c in chunks) and bool(chunks) == (n > quality.CHUNK)
+        assert len(chunks) == (-(-n // quality.CHUNK) if n > quality.CHUNK else 0) and (not chunks or chunks[-1] == text[-quality.CHUNK :])
+
+
+def test_a_bad_end_shows():
+    import random
+
+    import zstandard
+
+    compress = zstandard.ZstdCompressor(level=quality.LEVEL, write_content_size=False).compress
+    rng = random.Random(3)
+    words = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 9))) for _ in range(900)]
+    good = " ".join(rng.choices(words, k=600)).encode()[: 2 * quality.CHUNK]
+    noise = rng.randbytes(1500)
+    assert quality.verdict(good + noise, compress)[2] == 1  # of its last chunk 1500 bytes are noise
 
 
 def test_quality_keeps_good_documents(spark):
@@ -131,6 +154,23 @@ def test_license_gates_hold_the_examples_of_their_patterns():
         assert found and all(w in x for x in found for w in rule.words), (rule, found[:3])
 
 
+@pytest.mark.parametrize(("text", "labels"), [
+    ("# GNU General Public\n# License version 3", "gpl-3"), ("/*\n * Licensed under the Apache\n * License, Version 2.0\n */", "apache-2"), ("// Redistribution and use in source\n// and binary forms", "bsd"), ("/* GNU General   *\n *  Public License, version 2 */", "gpl-2"),
+    ("REM Mozilla Public\nREM License 2.0", "mpl-2"), ("<!-- the MIT\n  -- License -->", "mit"), ("dnl GNU Lesser General\ndnl Public License version 3", "lgpl-3"), ("; GNU General\n;\n; Public License", "gpl"), ("> MIT\n> license", "mit"),
+    ("Apache2 license", "apache-2"), ("licensed under Apache v2", "apache-2"), ("LGPLv3", "lgpl-3"), ("GPLv2 or later", "gpl-2"),
+])
+def test_license_rules_see_headers_in_comments(text, labels):
+    assert licenses.Scanner()(text.encode())[5] == labels
+
+
+def test_license_rules_bear_many_detections():
+    import time
+
+    began = time.perf_counter()
+    found = licenses.Scanner()(b"licensed under the GPLv3, and under the BSD license. " * 8000)
+    assert found[5] == "bsd,gpl-3" and time.perf_counter() - began < 5
+
+
 def test_license_rules_are_hundreds_and_resolve():
     assert len(licenses.rules()) >= 200
     a, b, c = (licenses.Rule(i, x, p, frozenset(), re.compile("x")) for i, (x, p) in enumerate((("weak", 1), ("strong", 2), ("inner", 2))))
@@ -138,22 +178,23 @@ def test_license_rules_are_hundreds_and_resolve():
 
 
 def test_pseudonyms(docs, empty, spark):
-    assert pseudonyms.pseudonymize(empty).count() == 0
-    got = pseudonyms.pseudonymize(docs)
+    assert pseudonyms.pseudonymize(empty, KEY).count() == 0
+    got = pseudonyms.pseudonymize(docs, KEY)
     assert got.columns == [*docs.columns, "n_pii", "pii_kinds"]
     same = docs.select("doc_id", "text").exceptAll(got.where("n_pii = 0").select("doc_id", "text"))
     assert same.count() == got.where("n_pii > 0").count()
     assert got.where("text is null").count() == 1
 
 
+KEY = b"a key of these tests"
 VALID = {"email": "jo.Doe7@ex.org", "card": "4111 1111 1111 1111", "ssn": "078-05-1120", "iban": "DE89 3704 0044 0532 0130 00", "date": "31.12.1999", "phone": "+1 (017) 555-7713", "ip": "192.168.10.7", "token": "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"}
 
 
 @pytest.mark.parametrize("kind", sorted(VALID))
 def test_pseudonyms_keep_formats_and_links(kind):
-    p, value = pseudonyms.Pseudonyms(), VALID[kind]
+    p, value = pseudonyms.Pseudonyms(KEY), VALID[kind]
     one, kinds = p(f"about {value}, and")
-    again, _ = pseudonyms.Pseudonyms()(f"{value} again: {value}")
+    again, _ = pseudonyms.Pseudonyms(KEY)(f"{value} again: {value}")
     new = one[len("about ") : -len(", and")]
     assert kinds == [kind] and new != value and again == f"{new} again: {new}" and re.sub("[A-Za-z]", "a", re.sub("[0-9]", "9", new)) == re.sub("[A-Za-z]", "a", re.sub("[0-9]", "9", value)) or kind == "token"
     assert len(new) == len(value) and p(f"x {new} y")[1] == [kind]  # still valid
@@ -161,7 +202,7 @@ def test_pseudonyms_keep_formats_and_links(kind):
 
 
 def test_pseudonyms_see_timestamps_and_any_grouping_of_numbers():
-    p = pseudonyms.Pseudonyms()
+    p = pseudonyms.Pseudonyms(KEY)
     stamp, day = p("2021-03-04T10:00:00Z"), p("2021-03-04")
     assert stamp == (f"{day[0]}T10:00:00Z", ["date"]) and day[0] != "2021-03-04"
     for forms in (("+33 1 23 45 67 89", "+33123456789", "+33 (1) 23-45-67-89"), ("+49 30 1234567", "+49301234567", "+49 (30) 1234-567"), ("+1 202 555 0143", "+12025550143", "+1 (202) 555-0143"), ("+358 9 123 4567", "+35891234567"), ("+44 20 7946 0018", "+44 2079 460018")):
@@ -173,14 +214,50 @@ def test_pseudonyms_see_timestamps_and_any_grouping_of_numbers():
 
 def test_pseudonyms_leave_others_alone():
     for text in ("9807915762804490", "1.2.3", "300.1.1.1", "02/30/2001", "000-12-3456", "DE00370400440532013000", "version 3.4.5.6789", "3.14", "a@b"):
-        assert pseudonyms.Pseudonyms()(text) == (text, [])
+        assert pseudonyms.Pseudonyms(KEY)(text) == (text, [])
+
+
+def test_permutation_is_one_to_one_and_moves_all():
+    p = pseudonyms.Pseudonyms(KEY)
+    for size in (2, 3, 10, 97, 1000):
+        found = [p.permute(x, size, "t") for x in range(size)]
+        assert sorted(found) == list(range(size)) and all(x != y for x, y in enumerate(found))
+    thirds = range(0, 100, 3)
+    assert sorted(p.permute(x, 100, "u", lambda n: n % 3 == 0) for x in thirds) == list(thirds)
+    days = {f"{y}-{m:02d}-{d:02d}" for y in range(1990, 2010) for m in range(1, 13) for d in range(1, 29)}
+    assert len({p._date(x) for x in days}) == len(days) and all(p._date(x) != x for x in days)
+    assert len({p._ip(f"1.1.1.{d}") for d in range(10)}) == 10 and len({p._email(f"{a}{b}@x.org") for a in "abcdefghij" for b in "klmnop"}) == 60
+
+
+def test_pseudonyms_of_one_value_are_one():
+    p = pseudonyms.Pseudonyms(KEY)
+    day = [p._date(x) for x in ("1999-12-31", "31.12.1999", "12/31/1999", "1999/12/31")]
+    y, m, d = day[0].split("-")
+    assert day == [f"{y}-{m}-{d}", f"{d}.{m}.{y}", f"{m}/{d}/{y}", f"{y}/{m}/{d}"] and int(d) > 12
+    early = [p._date(x) for x in ("2001-01-05", "2001-1-5", "05.01.2001", "5/1/2001")]
+    y, m, d = early[0].split("-")
+    assert early == [f"{y}-{m}-{d}", f"{y}-{int(m)}-{int(d)}", f"{d}.{m}.{y}", f"{int(d)}/{int(m)}/{y}"] and int(d) <= 12
+    digits = {re.sub("[^0-9]", "", p._phone(x))[-10:] for x in ("+1 202 555 0143", "(202) 555-0143", "202-555-0143", "+12025550143")}
+    assert len(digits) == 1
+
 
+@pytest.mark.parametrize("unit", ["a", "ab1.", "1 ", "1-2", "a@", "DE89", "b.", "(030) ", "+1", "aB3", "a@b."])
+def test_pseudonyms_take_time_in_proportion(unit):
+    import time
 
-def test_permutation_is_one_to_one():
-    p = pseudonyms.Pseudonyms()
-    assert sorted(p.permute(x, 97, "t") for x in range(97)) == list(range(97))
-    dates = {p._date(f"2001-01-{d:02d}") for d in range(1, 32)}
-    assert len(dates) == 31
+    began = time.perf_counter()
+    text = unit * (400_000 // len(unit))
+    assert pseudonyms.Pseudonyms(KEY)(text)[0] == text and time.perf_counter() - began < 20
+
+
+def test_pseudonym_key_is_a_setting_or_secret(spark):
+    made = pseudonyms.key_of(spark)
+    assert len(made) == 32 and made == pseudonyms.key_of(spark)
+    spark.conf.set(pseudonyms.KEY_SETTING, "named")
+    try:
+        assert pseudonyms.key_of(spark) == b"named"
+    finally:
+        spark.conf.unset(pseudonyms.KEY_SETTING)
 
 
 def test_languages(spark, docs, empty):
@@ -194,6 +271,27 @@ def test_languages(spark, docs, empty):
     assert language.identify(empty.select("doc_id", "text"), model).count() == 0 and language.fit(empty) == []
     assert language.identify(docs.select("text"), []).where("lang_pred <> 'und'").count() == 0
     assert language.keep_identified(docs, model).columns == docs.columns
+    clash = language.identify(docs, model)  # docs has a column of the name score
+    assert clash.columns == [*(c for c in docs.columns if c != "score"), "lang_pred", "score", "accepted"] and clash.count() == docs.count()
+    of = language.Classifier(model)
+    assert of("\u00b2\u00b3 \u00bd \u2460") == ("und", 0.0) and of("12 % _ \u00b2") == ("und", 0.0)
+
+
+def test_languages_learn_from_whole_texts_and_all_labels(spark):
+    """A language whose words come late in its texts, and more languages than a dictionary's share of the whole has room for."""
+    late = [(i, "123 " * 4000 + f"zork{i % 7} plugh xyzzy frotz", "zz") for i in range(30)]
+    others = [(1000 + k, f"{chr(97 + k % 26)}{chr(97 + k // 26)}o la{k} mi{k}", f"l{k:03d}") for k in range(260)]
+    model = language.fit(spark.createDataFrame(late + others, "doc_id long, text string, lang string"))
+    assert len(model) == 261 and model[0][0] == "zz" and b"plugh" in model[0][1]
+    assert language.dictionary_bytes(10**6) * 10**6 <= language.ALL_BYTES and language.dictionary_bytes(4) == language.DICTIONARY_BYTES
+
+
+def test_language_accuracy_holds_at_all_lengths(spark):
+    base = read_table(spark, "/root/testdata/sf0.1", "documents")
+    model = language.fit(base.where(~language.held_out(F.col("doc_id"))))
+    rows = base.where(language.held_out(F.col("doc_id")) & (F.length("text") < 200)).select("text", "lang").collect()
+    of = language.Classifier(model)
+    assert len(rows) > 50 and np.mean([of(r.text)[0] == r.lang for r in rows if language.normal(r.text)]) > 0.95
 
 
 def test_held_out_follows_the_key(spark):
