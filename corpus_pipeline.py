@@ -12,7 +12,7 @@ from loomfeed.llm.decontamination import decontaminate
 from loomfeed.llm.language import fit, keep_identified
 from loomfeed.llm.neardup import drop_near_duplicates
 from loomfeed.llm.packing import pack_documents
-from loomfeed.llm.pseudonyms import pseudonymize
+from loomfeed.llm.pseudonyms import key_of, pseudonymize
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with pseudonyms in place of personal data."""
-    return pseudonymize(docs, report=False)
+    return pseudonymize(docs, key_of(spark), report=False)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
