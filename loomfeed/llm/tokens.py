@@ -136,3 +136,9 @@ def to_payload(ids: np.ndarray) -> bytes:
 
 def from_payload(payload: bytes) -> np.ndarray:
     return np.frombuffer(payload, dtype="<u2" if payload[0] == 2 else "<u4", offset=1).astype(np.uint32)
+
+
+def part_of_payload(payload, start: int, n: int) -> np.ndarray:
+    """n of the ids of a payload (any buffer), from start on; the rest is not read."""
+    width = 2 if payload[0] in (2, b"\x02") else 4
+    return np.frombuffer(payload, dtype=f"<u{width}", count=n, offset=1 + start * width).astype(np.uint32)
