@@ -1,11 +1,15 @@
 """Lexical retrieval packing (operator 2).
 
-Documents become ids; those that share words are dealt to the same part of a table (by the least hash of their word pairs,
-then by key, in ranges, so that a crowd of copies spreads over as many parts as it needs).  Each part is cut into shards of a
-bounded number of ids.  A shard has a BM25 inverted index over the pieces of words, with document frequencies and mean length
-taken over all documents.  Whole windows of long documents stand alone.  For the rest, the longest unused unit is the seed of
-a window; the index ranks its unused neighbours; they fill the window greedily, and one of them is cut where the window ends.
-What is left of it stays in the pool.  The last, short window of a shard is cut into powers of two, which need no padding.
+Documents become ids; those that share words are dealt to the same part of a table (by the least hash of their word pairs; a lot
+spreads a crowd of copies over as many parts as it needs).  Each part is cut into shards of a bounded number of ids.  A shard has
+a BM25 inverted index over the pieces of words, with document frequencies and mean length counted over all documents.  Whole
+windows of long documents stand alone.  For the rest, the longest unused unit is the seed of a window; the index ranks all unused
+units that share a piece with it; they fill the window greedily, the best first, and one of them is cut where the window ends.
+What is left of it stays in the pool.  Only where no ranked unit is left do the longest of the others fill a window.  The last,
+short window of a shard is cut into powers of two, which need no padding.
+
+Document frequencies are exact.  Terms that one document has match no other and are left out.  Up to TERMS others are broadcast
+(a checked count); beyond, each part gets those of its own terms by a join, with the same result.
 
 Defined cases: null text is empty (its ids: the end id alone); null and repeated keys are kept, a piece per row; an empty table
 gives no pieces; other columns are not read.
@@ -20,16 +24,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, distinct, hash_spans, read_table, stage_table, window_hashes
+from .common import batches, distinct, hash_spans, map_arrow, mix64, parts_for, read_table, stage_table, window_hashes
 from .tokens import WordTokenizer, crc32_of, default_tokenizer, from_payload, to_payload
 
 WINDOW = 4096
 #: Ids in a shard of the index.
 SHARD_IDS = 2_000_000
-#: Terms are counted by hash in so many cells; that bounds what is broadcast (8 bytes each).
-CELLS = 1 << 17
-#: Terms in more than this share of all documents say little and are left out of the index.
-COMMON = 0.2
+#: Terms whose document frequencies may be broadcast (12 bytes each), and distinct terms that a task counts before it hands them on.
+TERMS, COUNTED = 4_000_000, 2_000_000
+#: A term in one of so many units of a shard has its weights in a row of a matrix, not in a list.
+DENSE = 4
+#: Bits of a spot, by which documents are dealt: of the least hash, and of the lot (52 together: exact as a double).
+ROUTE_BITS, LOT_BITS = 36, 16
 K1, B = 1.2, 0.75
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -40,13 +46,9 @@ def terms_of(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return hash_spans(ids, np.concatenate([[0], stops[:-1]]).astype(np.int64), stops) if len(stops) else np.zeros(0, dtype=np.uint64)
 
 
-def _cells(terms: np.ndarray) -> np.ndarray:
-    return (terms & np.uint64(CELLS - 1)).astype(np.int64)
-
-
-def routes_and_cells(ids: np.ndarray, offsets: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The least hash of a pair of neighbouring terms of each document, its number of terms, and the cells of the distinct
-    terms of all documents in turn."""
+def routes_and_terms(ids: np.ndarray, offsets: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The least hash of a pair of neighbouring terms of each document, its number of terms; and the terms of all documents in
+    turn, with their documents."""
     n, stop = len(offsets) - 1, ends[ids]
     stop[offsets[1:] - 1] = True
     stops = np.flatnonzero(stop) + 1
@@ -62,72 +64,149 @@ def routes_and_cells(ids: np.ndarray, offsets: np.ndarray, ends: np.ndarray) ->
         pair[alone] = hashes[alone]
         some = np.diff(firsts) > 0
         routes[some] = (np.minimum.reduceat(pair, firsts[:-1][some]) >> np.uint64(1)).astype(np.int64)
-    return routes, np.diff(firsts), distinct(owner * CELLS + _cells(hashes)) % CELLS
+    return routes, np.diff(firsts), hashes, owner
+
+
+def distinct_terms(terms: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """The terms with each once for each of its owners (small numbers that ascend)."""
+    order = np.lexsort((terms, owner))
+    terms, owner = terms[order], owner[order]
+    return terms[np.concatenate([[True], (terms[1:] != terms[:-1]) | (owner[1:] != owner[:-1])])] if len(terms) else terms
+
+
+def count_terms(terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each term once, with the sum of its counts."""
+    order = np.argsort(terms, kind="stable")
+    terms, counts = terms[order], counts[order]
+    firsts = np.flatnonzero(np.concatenate([[True], terms[1:] != terms[:-1]])) if len(terms) else np.zeros(0, dtype=np.int64)
+    return terms[firsts], np.add.reduceat(counts, firsts) if len(firsts) else counts
+
+
+class _Counter:
+    """Counts of terms, in bounded memory: it is emptied when it holds COUNTED terms."""
+
+    def __init__(self) -> None:
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, terms: np.ndarray) -> bool:
+        """Whether it is full."""
+        if len(terms):
+            self.held.append(count_terms(terms, np.ones(len(terms), dtype=np.int64)))
+            self.size += len(self.held[-1][0])
+        if self.size >= COUNTED and len(self.held) > 1:
+            self.held = [self.take()]
+            self.size = len(self.held[0][0])
+        return self.size >= COUNTED
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        terms, counts = (np.concatenate([x[i] for x in self.held]) if self.held else np.zeros(0, t) for i, t in ((0, np.uint64), (1, np.int64)))
+        self.held, self.size = [], 0
+        return count_terms(terms, counts)
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each document (key, ids, route); and one for each task with the document frequencies that it saw (df)."""
+    """A row for each document (doc_id, n_terms, spot, ids), and rows with the terms of documents and their counts (terms, counts)."""
+    names = ["doc_id", "n_terms", "spot", "ids", "terms", "counts"]
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
 
     def encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, frequency = WordTokenizer.of(tokenizer), np.zeros(CELLS, dtype="<u4")
-        names = ["doc_id", "n_terms", "route", "ids", "df"]
+        t, counter, done = WordTokenizer.of(tokenizer), _Counter(), 0
+
+        def counted() -> pa.RecordBatch:
+            terms, counts = counter.take()
+            return pa.RecordBatch.from_arrays([*(pa.nulls(1, x) for x in types[:4]), pa.array([terms.tobytes()]), pa.array([counts.astype("<u4").tobytes()])], names)
+
         for batch, texts in batches(it):
             all_ids, offsets = t.encode(texts)
-            routes, n_terms, cells = routes_and_cells(all_ids, offsets, t.ends)
-            frequency += np.bincount(cells, minlength=CELLS).astype("<u4")
+            routes, n_terms, terms, owner = routes_and_terms(all_ids, offsets, t.ends)
+            full = counter.add(distinct_terms(terms, owner))
             payloads = [to_payload(all_ids[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             n = len(texts)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_terms), pa.array(routes), pa.array(payloads, pa.binary()), pa.nulls(n, pa.binary())], names)
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([frequency.tobytes()], pa.binary())], names)
+            lots = mix64(np.arange(done, done + n, dtype=np.uint64)) & np.uint64((1 << LOT_BITS) - 1)
+            spots = (routes >> (63 - ROUTE_BITS) << LOT_BITS) | lots.astype(np.int64)
+            done += n
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_terms), pa.array(spots), pa.array(payloads, pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names)
+            if full:
+                yield counted()
+        if counter.size:
+            yield counted()
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(encode, "doc_id long, n_terms long, route long, ids binary, df binary")
+    return map_arrow(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), encode, "doc_id long, n_terms long, spot long, ids binary, terms binary, counts binary")
 
 
-def document_frequencies(encoded: DataFrame) -> np.ndarray:
-    """Of each cell over all documents; tasks sum what they read before the shuffle."""
+def document_frequencies(encoded: DataFrame) -> DataFrame:
+    """term and n, the documents that have it, of all terms in two documents or more."""
 
-    def add(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, dtype=np.int64)
+    def unpack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for x in batch.column(0).to_pylist():
-                total += np.frombuffer(x, dtype="<u4")
-        cells = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], ["cell", "n"])
+            for terms, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                terms, counts = np.frombuffer(terms, dtype="<i8"), np.frombuffer(counts, dtype="<u4").astype(np.int64)
+                for i in range(0, len(terms), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(terms[i : i + (1 << 16)]), pa.array(counts[i : i + (1 << 16)])], ["term", "n"])
+
+    rows = map_arrow(encoded.where("terms is not null").select("terms", "counts"), unpack, "term long, n long")
+    return stage_table(rows.groupBy("term").agg(F.sum("n").alias("n")).where("n > 1"), "frequencies")
+
+
+class Frequencies:
+    """Document frequencies by term, from sorted arrays, and the weight that follows."""
+
+    def __init__(self, terms: np.ndarray, counts: np.ndarray, documents: int):
+        self.terms, self.counts, self.documents = terms, counts, documents
 
-    out = np.zeros(CELLS, dtype=np.int64)
-    sums = encoded.where("df is not null").select("df").mapInArrow(add, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    for cell, n in sums.collect():  # CELLS rows at most
-        out[cell] = n
-    return out
+    def idf(self, terms: np.ndarray) -> np.ndarray:
+        """0 for terms that are not known: one document at most has them."""
+        at = np.minimum(np.searchsorted(self.terms, terms), max(len(self.terms) - 1, 0))
+        known = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), dtype=bool)
+        n = np.where(known, self.counts[at] if len(self.terms) else 0, 0).astype(np.float64)
+        return np.where(known, np.log1p((self.documents - n + 0.5) / (n + 0.5)), 0.0)
 
 
-class _Index:
+class Index:
     """BM25 over the units of a shard: postings by term, with the weight of each."""
 
-    def __init__(self, units: list[np.ndarray], idf: np.ndarray, mean: float):
+    def __init__(self, units: list[np.ndarray], frequencies: Frequencies, mean: float):
         n = len(units)
         sizes = np.array([len(x) for x in units], dtype=np.int64)
         terms = np.concatenate(units) if n else np.zeros(0, dtype=np.uint64)
         owner = np.repeat(np.arange(n), sizes)
-        keep = idf[_cells(terms)] > 0
-        terms, owner = terms[keep], owner[keep]
         names, term = np.unique(terms, return_inverse=True)
-        pair, tf = np.unique(term.astype(np.int64) * n + owner, return_counts=True)
-        self.term, self.unit = pair // n if n else pair, pair % n if n else pair
+        idf = frequencies.idf(names)
+        keep = idf[term] > 0
+        pair, tf = np.unique(term[keep].astype(np.int64) * max(n, 1) + owner[keep], return_counts=True)
+        self.term, self.unit = pair // max(n, 1), pair % max(n, 1)
         self.firsts = np.searchsorted(self.term, np.arange(len(names) + 1))
         norm = K1 * (1 - B + B * sizes[self.unit] / max(mean, 1e-9))
-        self.weight = idf[_cells(names)][self.term] * tf * (K1 + 1) / (tf + norm)
+        self.weight = idf[self.term] * tf * (K1 + 1) / (tf + norm)
         by_unit = np.argsort(self.unit, kind="stable")
         self.own, self.own_firsts, self.n = self.term[by_unit], np.searchsorted(self.unit[by_unit], np.arange(n + 1)), n
+        # Terms in many units: their weights as rows of a matrix.
+        self.row = np.full(len(names), -1, dtype=np.int64)
+        many = np.flatnonzero(np.diff(self.firsts) * DENSE > n)
+        self.row[many] = np.arange(len(many))
+        self.rows = np.zeros((len(many), n), dtype=np.float32)
+        dense = self.row[self.term] >= 0
+        self.rows[self.row[self.term[dense]], self.unit[dense]] = self.weight[dense]
 
     def scores(self, seed: int) -> np.ndarray:
         terms = self.own[self.own_firsts[seed] : self.own_firsts[seed + 1]]
+        row = self.row[terms]
+        asked = np.zeros(len(self.rows), dtype=np.float32)
+        asked[row[row >= 0]] = 1
+        terms = terms[row < 0]
         a, sizes = self.firsts[terms], self.firsts[terms + 1] - self.firsts[terms]
         at = np.arange(sizes.sum()) + np.repeat(a - (np.cumsum(sizes) - sizes), sizes)
-        return np.bincount(self.unit[at], weights=self.weight[at], minlength=self.n)
+        return np.bincount(self.unit[at], weights=self.weight[at], minlength=self.n) + asked @ self.rows
 
+    def neighbours(self, seed: int, waiting: np.ndarray) -> np.ndarray:
+        """All waiting units that share a term with the seed, the best first."""
+        scores = self.scores(seed)
+        some = np.flatnonzero(waiting & (scores > 0))
+        return some[np.lexsort((some, -scores[some]))]
 
-def pack_shard(documents: list[tuple[int | None, np.ndarray]], ends: np.ndarray, idf: np.ndarray, mean: float, first: int, window: int = WINDOW) -> tuple[list[tuple], int]:
+
+def pack_shard(documents: list[tuple[int | None, np.ndarray]], ends: np.ndarray, frequencies: Frequencies, mean: float, first: int, window: int = WINDOW) -> tuple[list[tuple], int]:
     """Pieces of a shard's documents (in the order of PIECES) and the number of the next sequence."""
     out: list[tuple] = []
     number = first
@@ -145,7 +224,7 @@ def pack_shard(documents: list[tuple[int | None, np.ndarray]], ends: np.ndarray,
         begin.append(whole)
         stop.append(len(ids))
         units.append(terms_of(ids[whole:], ends))
-    index = _Index(units, idf, mean)
+    index = Index(units, frequencies, mean)
     begin, stop = np.array(begin, dtype=np.int64), np.array(stop, dtype=np.int64)
     waiting = begin < stop
     by_size = np.lexsort((np.arange(len(begin)), begin - stop)).tolist()
@@ -171,13 +250,11 @@ def pack_shard(documents: list[tuple[int | None, np.ndarray]], ends: np.ndarray,
 
         room = take(seed, room)
         if room:
-            scores = index.scores(seed)
-            scores[~waiting] = -1
-            top = np.argpartition(-scores, min(63, len(scores) - 1))[:64] if len(scores) > 64 else np.arange(len(scores))
-            for u in top[np.lexsort((top, -scores[top]))].tolist():
-                if room and waiting[u]:
-                    room = take(u, room)
-        for u in by_size[at:] if room else []:  # no neighbour is left, or they were short
+            for u in index.neighbours(seed, waiting).tolist():
+                if not room:
+                    break
+                room = take(u, room)
+        for u in by_size[at:] if room else []:  # no neighbour is left
             if not room:
                 break
             if waiting[u]:
@@ -206,26 +283,68 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, window: int =
     """Pieces of all documents in sequences of at most `window` ids."""
     spark, tokenizer = docs.sparkSession, tokenizer or default_tokenizer()
     encoded = stage_table(encode_documents(docs, tokenizer), "encoded")
-    frequency = document_frequencies(encoded)
-    rows = encoded.where("df is null")
-    count, mean = rows.agg(F.count("*"), F.coalesce(F.avg("n_terms"), F.lit(0.0))).first()
-    idf = np.log1p((count - frequency + 0.5) / (frequency + 0.5))
-    idf[frequency > max(COMMON * count, 1)] = 0
-    shared = spark.sparkContext.broadcast(idf)
+    rows = encoded.where("ids is not null").select("doc_id", "n_terms", "spot", "ids")
+    count, mean, n_bytes = rows.agg(F.count("*"), F.coalesce(F.avg("n_terms"), F.lit(0.0)), F.sum(F.octet_length("ids").cast("long"))).first()
+    n = parts_for(spark, n_bytes)
+    cuts = np.array(rows.approxQuantile("spot", [i / n for i in range(1, n)], 1 / (20 * n)) if count and n > 1 else [], dtype=np.int64)
+    frequencies = document_frequencies(encoded)
+    broadcast = frequencies.count() <= TERMS
+    known = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    if broadcast:
+        table = frequencies.toArrow()
+        known = (table.column("term").to_numpy().view(np.uint64), table.column("n").to_numpy())
+        order = np.argsort(known[0])
+        known = tuple(x[order] for x in known)
+    shared, limits = spark.sparkContext.broadcast(known), spark.sparkContext.broadcast(cuts)  # TERMS and n at most
+
+    def deal(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Documents with their parts."""
+        for batch in it:
+            spot = batch.column(1)
+            part = np.searchsorted(limits.value, spot.to_numpy(), side="right").astype(np.int64)
+            none = pa.nulls(batch.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(part), batch.column(0), spot, batch.column(2), none, none], names)
+
+    def wanted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The terms of each part's documents."""
+        ends = WordTokenizer.of(tokenizer).ends
+        for batch in it:
+            part = np.searchsorted(limits.value, batch.column(1).to_numpy(), side="right")
+            of_part: dict[int, list[np.ndarray]] = {}
+            for p, payload in zip(part.tolist(), batch.column(2).to_pylist(), strict=True):
+                ids = from_payload(payload)
+                of_part.setdefault(p, []).append(terms_of(ids[len(ids) // window * window :], ends))
+            for p, terms in of_part.items():
+                terms = distinct(np.concatenate(terms)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(terms), p, dtype=np.int64)), pa.array(terms)], ["part", "term"])
 
     def pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A partition holds whole parts, sorted: what is known of a part's terms, then its documents."""
         from pyspark import TaskContext
 
-        number, ends, weights = TaskContext.get().partitionId() << 32, WordTokenizer.of(tokenizer).ends, shared.value
-        held, size = [], 0
+        number, ends = TaskContext.get().partitionId() << 32, WordTokenizer.of(tokenizer).ends
+        held, size, now, terms, counts = [], 0, None, [], []
+        of_part = Frequencies(*shared.value, count)
 
         def emit() -> pa.RecordBatch:
             nonlocal number
-            pieces, number = pack_shard(held, ends, weights, mean, number, window)
+            pieces, number = pack_shard(held, ends, of_part, mean, number, window)
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pieces, strict=True)], [x.split()[0] for x in PIECES.split(", ")])
 
         for batch in it:
-            for key, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            part, keys, payloads, own, n = (batch.column(i).to_pylist() for i in (0, 1, 3, 4, 5))
+            for p, key, payload, term, k in zip(part, keys, payloads, own, n, strict=True):
+                if p != now:
+                    if held:
+                        yield emit()
+                    held, size, now, terms, counts = [], 0, p, [], []
+                if term is not None:
+                    terms.append(term)
+                    counts.append(k)
+                    continue
+                if terms:
+                    x, c = np.array(terms, dtype=np.int64).view(np.uint64), np.array(counts, dtype=np.int64)
+                    of_part, terms, counts = Frequencies(x[np.argsort(x)], c[np.argsort(x)], count), [], []
                 ids = from_payload(payload)
                 if held and size + len(ids) > shard_ids:
                     yield emit()
@@ -235,9 +354,14 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, window: int =
         if held:
             yield emit()
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = rows.select("doc_id", "ids", "route").repartitionByRange(n, "route", "doc_id").sortWithinPartitions("route", "doc_id", "ids")
-    return parts.select("doc_id", "ids").mapInArrow(pack, PIECES)
+    names = ["part", "doc_id", "spot", "ids", "term", "n"]
+    documents = rows.select("doc_id", "spot", "ids")
+    dealt = map_arrow(documents, deal, "part long, doc_id long, spot long, ids binary, term long, n long")
+    if not broadcast:
+        asked = map_arrow(documents, wanted, "part long, term long").distinct().join(frequencies, "term")
+        dealt = dealt.unionByName(asked.select("part", "term", "n"), allowMissingColumns=True)
+    parts = dealt.repartitionByRange(n, "part").sortWithinPartitions("part", F.col("term").isNull(), "spot", "doc_id", "ids")
+    return map_arrow(parts, pack, PIECES)
 
 
 def op2_packing(spark, sf_dir: str) -> DataFrame:
