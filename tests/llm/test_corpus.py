@@ -140,13 +140,34 @@ def test_shards(docs, spark):
     groups = defaultdict(set)
     for r in rows:
         groups[text[r.doc_id]].add(r.shard)
-    several = [g for t, g in groups.items() if list(text.values()).count(t) > 1]
-    assert sum(len(g) == 1 for g in several) >= 0.6 * len(several)
+    assert all(len(g) == 1 for g in groups.values())  # no group that fits a shard is cut
     odd = spark.createDataFrame([(1, None), (1, None), (None, ""), (2, "b")] + [(i, "hot") for i in range(100, 300)], "doc_id long, text string")
     check_shards(sharding.assign(odd).collect())
     assert sharding.assign(odd.limit(0)).count() == 0
 
 
+def test_shards_cut_large_groups_alone(spark):
+    """A group of a third of all rows, groups of half a shard and many small ones: only the first is cut, into few pieces."""
+    rows = [(i, "hot") for i in range(1000)] + [(10_000 + i, f"half {i % 14}") for i in range(14 * 90)] + [(20_000 + i, f"pair {i // 2}") for i in range(400)] + [(30_000 + i, f"own {i}") for i in range(540)]
+    got = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    check_shards(got)
+    text, groups = dict(rows), defaultdict(set)
+    for r in got:
+        groups[text[r.doc_id]].add(r.shard)
+    assert all(len(g) == 1 for t, g in groups.items() if t != "hot") and 5 <= len(groups["hot"]) <= 7
+
+
+def test_shards_of_nothing_but_groups(spark):
+    """No room to spare: the law holds, and few groups are cut."""
+    rows = [(i, f"g {i // 10}") for i in range(1600)]
+    got = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    check_shards(got)
+    groups = defaultdict(set)
+    for r in got:
+        groups[r.doc_id // 10].add(r.shard)
+    assert all(len(g) == 1 for g in groups.values())
+
+
 def test_masks_meet_every_accepted_pattern():
     """No pattern of equal words (ends equal, no gap, enough equal words) avoids all masks: patterns grow by a word while they
     avoid them; of those that end alike the one with the best balance stands for all."""

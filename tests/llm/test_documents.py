@@ -316,25 +316,59 @@ def encoded(texts):
 
 def test_token_store(spark, docs, empty, texts, tmp_path):
     token_store.write_token_store(docs, str(tmp_path / "s"), shard_ids=5000)
-    got = token_store.read_token_store(spark.read.parquet(str(tmp_path / "s"))).collect()
+    store = spark.read.parquet(str(tmp_path / "s"))
+    got = token_store.read_token_store(store).collect()
     want, start = [], 0
-    for i, ids in encoded(sorted(texts, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))):
+    for i, ids in encoded(sorted(texts, key=lambda r: (r[0] is not None, r[0] or 0))):
         want.append((i, start, len(ids), crc32_of(ids)))
         start += len(ids)
     assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == Counter((i, n, c) for i, _, n, c in want)
-    assert sorted((r.start, r.n_tokens) for r in got) == [(s, n) for _, s, n, _ in want]
+    at = 0
+    for r in sorted(got, key=lambda r: r.start):  # gapless, in the order of keys
+        assert r.start == at
+        at += r.n_tokens
+    keys = [r.doc_id for r in sorted(got, key=lambda r: r.start)]
+    assert keys == sorted(keys, key=lambda k: (k is not None, k or 0))
+    # Keyed access: all documents of each key, whatever the shard, and none for keys that are not stored.
+    asked = [*(i for i, _ in texts[::7] if i is not None), 3, 6, -5, 10**9]
+    found = token_store.get(store, asked).collect()
+    assert Counter((r.key, tuple(r.ids)) for r in found) == Counter((i, tuple(ids.tolist())) for i, ids in encoded(texts) if i in asked)
+    assert token_store.get(store, []).count() == 0
+    with pytest.raises(ValueError):
+        token_store.get(store, list(range(token_store.KEYS + 1)))
     token_store.write_token_store(empty, str(tmp_path / "e"))
-    assert token_store.read_token_store(spark.read.parquet(str(tmp_path / "e"))).count() == 0
+    nothing = spark.read.parquet(str(tmp_path / "e"))
+    assert token_store.read_token_store(nothing).count() == 0 and token_store.get(nothing, [1]).count() == 0
+
+
+def test_token_store_reads_few_shards_for_a_key(spark, tmp_path):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("some text of number "), "id").alias("text"))
+    token_store.write_token_store(docs, str(tmp_path / "s"), shard_ids=500)
+    store = spark.read.parquet(str(tmp_path / "s"))
+    assert store.count() > 40
+    plan = token_store.get(store, [17, 3100])._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "LessThanOrEqual(low" in plan and "keys" not in plan.split("ReadSchema")[1].split(">")[0]
+    assert {r.key: len(r.ids) for r in token_store.get(store, [17, 3100, 17]).collect()}.keys() == {17, 3100}
+
+
+def test_token_store_spreads_a_hot_key(spark, tmp_path):
+    """Rows of one key are in many partitions, and `get` returns them all."""
+    docs = spark.createDataFrame([(7, f"text {i % 300}") for i in range(900)] + [(None, f"n {i}") for i in range(300)], "doc_id long, text string")
+    token_store.write_token_store(docs, str(tmp_path / "s"), shard_ids=200)
+    store = spark.read.parquet(str(tmp_path / "s"))
+    assert store.where("high = 7").select(F.shiftright("shard", 32)).distinct().count() > 1
+    assert token_store.get(store, [7]).count() == 900 and token_store.read_token_store(store).count() == 1200
 
 
 def test_perfect_hash():
     keys = np.random.default_rng(1).permutation(10**6)[:5000]
     h = token_store.hashed_keys(keys, np.zeros(5000, int))
-    levels = token_store.build_index(h)
-    assert sorted(token_store.slots_of(levels, h).tolist()) == list(range(5000))
-    row = token_store._shard(0, sorted(keys.tolist()), [np.array([k % 7, 2], np.uint32) for k in sorted(keys.tolist())], {})
+    levels, ranks = token_store.build_index(h)
+    assert sorted(token_store.slots_of(levels, ranks, h).tolist()) == list(range(5000))
+    row = token_store._shard(0, 0, sorted(keys.tolist()), [np.array([k % 7, 2], np.uint32) for k in sorted(keys.tolist())])
     absent = np.arange(2 * 10**6, 2 * 10**6 + 4000)
     assert (token_store.lookup(row, absent, np.zeros(4000, int))[0] < 0).all()
+    assert sum(len(x) * 8 for x in row["levels"]) < 5 * 5000  # bits a key
 
 
 def test_packing(docs, empty, texts):
@@ -359,17 +393,80 @@ def test_packing(docs, empty, texts):
     assert packing.pack_documents(empty).count() == 0
 
 
+def _all_known(units, ends):
+    terms = [np.unique(packing.terms_of(ids, ends)) for _, ids in units]
+    names, n = np.unique(np.concatenate(terms), return_counts=True)
+    return packing.Frequencies(names[n > 1], n[n > 1], len(units))
+
+
 def test_packing_puts_relatives_together():
     rng = np.random.default_rng(0)
     topics = [rng.integers(0, 40000, 200).astype(np.uint32) for _ in range(8)]
     units = [(i, np.concatenate([rng.choice(topics[i % 8], 60), [END_ID]]).astype(np.uint32)) for i in range(160)]
-    pieces, _ = packing.pack_shard(units, np.ones(50000, bool), np.full(packing.CELLS, 2.0), 60, 0, window=610)
+    ends = np.ones(50000, bool)
+    pieces, _ = packing.pack_shard(units, ends, _all_known(units, ends), 60, 0, window=610)
     groups: dict = {}
     for key, _, _, _, _, sequence, _ in pieces:
         groups.setdefault(sequence, set()).add(key % 8)
     assert np.mean([len(g) for g in groups.values()]) < 3
 
 
+def brute_bm25(texts, seed, n_docs, df, mean):
+    """Scores of all documents (lists of terms) for one of them, term by term."""
+    import math
+
+    out = []
+    for words in texts:
+        tf, score = Counter(words), 0.0
+        for w in set(texts[seed]):
+            if tf[w] and df[w] > 1:
+                score += math.log(1 + (n_docs - df[w] + 0.5) / (df[w] + 0.5)) * tf[w] * 2.2 / (tf[w] + 1.2 * (0.25 + 0.75 * len(words) / mean))
+        out.append(score)
+    return out
+
+
+def test_packing_ranks_as_bm25_over_all_documents():
+    """The whole ranking of the index, terms in most documents among them, is that of BM25 by hand."""
+    rng = np.random.default_rng(4)
+    ends = np.ones(3000, bool)
+    units = [np.concatenate([rng.zipf(1.3, rng.integers(5, 90)) % 2990 + 3, [END_ID]]).astype(np.uint32) for _ in range(300)]
+    terms = [packing.terms_of(x, ends) for x in units]
+    df = Counter(w for t in terms for w in set(t.tolist()))
+    mean = np.mean([len(t) for t in terms])
+    index = packing.Index(terms, _all_known([(0, x) for x in units], ends), mean)
+    waiting = np.ones(300, bool)
+    for seed in range(0, 300, 17):
+        want = brute_bm25([t.tolist() for t in terms], seed, 300, df, mean)
+        assert np.allclose(index.scores(seed), want, rtol=1e-4)
+        ranked = index.neighbours(seed, waiting)
+        assert len(ranked) == sum(x > 0 for x in want) > 64  # all of them, not the best few
+        assert all(want[a] >= want[b] - 1e-3 for a, b in zip(ranked[:-1], ranked[1:], strict=True))
+
+
+def test_packing_fills_a_window_from_the_whole_ranking():
+    """A window needs hundreds of short neighbours: all come from the seed's topic, none by size alone."""
+    ends = np.ones(1000, bool)
+    near = [(i, np.array([10, 11, 12, 13 + i % 50, END_ID], np.uint32)) for i in range(800)]
+    far = [(10_000 + i, np.array([500, 501, 502, 503 + i % 50, 504, END_ID], np.uint32)) for i in range(800)]
+    units = [(5000, np.array([10, 11, 12, *range(100, 110), END_ID], np.uint32)), *near, *far]
+    pieces, _ = packing.pack_shard(units, ends, _all_known(units, ends), 5, 0, window=2048)
+    first = [p for p in pieces if p[5] == 0]
+    assert first[0][0] == 5000 and len(first) > 300 and all(p[0] < 10_000 for p in first)
+
+
+def test_packing_counts_documents_exactly(spark, docs, texts, monkeypatch):
+    """Document frequencies are those by hand, whether they are broadcast or joined; the pieces are the same."""
+    t = WordTokenizer.of(default_tokenizer())
+    want = Counter(w for _, ids in encoded(texts) for w in set(packing.terms_of(ids[:-1], t.ends).view(np.int64).tolist()))
+    monkeypatch.setattr(packing, "COUNTED", 500)
+    got = {r.term: r.n for r in packing.document_frequencies(packing.encode_documents(docs, default_tokenizer())).collect()}
+    assert got == {w: n for w, n in want.items() if n > 1}
+    rows = lambda: Counter(tuple(r)[:5] + (r.offset,) for r in packing.pack_documents(docs, shard_ids=20_000).collect())
+    one = rows()
+    monkeypatch.setattr(packing, "TERMS", 0)
+    assert rows() == one
+
+
 PAGE = "<html><head><title>t</title></head><body><nav><a>Menu</a></nav><div class='ad'>Buy &amp; win</div><article><h1>Head</h1><p>One\n two<p>Three &lt;b&gt; <b>bold</b><script>var x='</p>'</script><div id=comments>me too</div></article><footer>end</footer>"
 
 
@@ -383,6 +480,36 @@ def test_page_text(spark):
     assert extraction.extract(pages).count() == len(rows) and extraction.extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("html", "text"), [
+    ('<article><p>Hello <a title="x>link</a> world</p></article>', "Hello link world"), ('<a title="x>link</a> <b class="y">bold</b> end', "link bold end"), ("<p title='a>b c</p><p>it's</p>", "b c it's"),
+    ('<a data-x="<b>q</b>" href="y">k</a><p title=\'it"s\'>ok</p>', "k ok"), ("in<b>line</b>s stay<br>whole", "inlines stay whole"), ('<div class="post reply-count-3"><p>Main text here</p></div>', "Main text here"),
+    ('<div class="site-footer">f</div><p>x</p>', "x"), ('<div class="cookie-banner">f</div><p>x</p>', "x"), ('<div class="menu">only this</div>', "only this"), ('<article>a<div id="comments">c</div></article>', "a"), ("<nav>n</nav><div role=search>s</div>", ""),
+])
+def test_page_marks(html, text):
+    assert extraction.clean_pages([tuple(zip(*extraction.blocks_of(html), strict=True))])[0][0] == text
+
+
+def test_repeats_decide_before_marks(spark):
+    """Footers of a host, marked or not, are found by the suffix array; an advert that is on one page alone by its mark."""
+    foot = "all rights of this house are with its owners"
+    html = "<article>%s</article><footer>%s</footer><div>%s</div><div class=ad>buy thing number %d</div>"
+    pages = spark.createDataFrame([(i, f"http://h/{i}", html % (f"text {i} {foot}", foot, foot, i)) for i in range(6)], "page_id long, url string, html string")
+    for r in extraction.extract(pages).collect():
+        assert (r.text, r.n_repeated, r.n_marked) == (f"text {r.page_id} {foot}", 18, 4)
+
+
+def test_repeats_take_words_on_the_tables_pages(spark):
+    found = extraction.extract(read_table(spark, "/root/testdata/sf0.1", "pages"))
+    pages, repeated, marked = found.agg(F.sum(F.expr("int(n_repeated > 0)")), F.sum("n_repeated"), F.sum("n_marked")).first()
+    assert pages > 0 and repeated > 0 and marked > 0  # menus and adverts there are each page's own: marks decide most
+
+
+def test_groups_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(extraction, "GROUP_BYTES", 2000)
+    texts = _unmarked(12, lambda i: [f"long{k}" for k in range(60)] if i in (3, 9) else [])
+    assert _page_texts(spark, texts) == _unmarked(12, lambda i: [])
+
+
 def test_page_groups_share_blocks(spark, monkeypatch):
     monkeypatch.setattr(extraction, "GROUP", 2)
     pages = spark.createDataFrame([(i, f"http://h/{i}", f"<div>same few words</div><div>page number {i} {i * 7}</div>") for i in range(40)], "page_id long, url string, html string")
