@@ -13,7 +13,7 @@ OPERATION_TEXTS = ("查看全部回答", "查看全部", "查看更多", "展开
 UNIT_SEPARATOR = "\u001f"
 #: Formats that dates are tried in, in this order.
 DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd HH:mm", "yyyy/MM/dd", "yyyy.MM.dd")
-#: What may stand between the characters of a term: spaces and punctuation, as the inside of a character class.
+# Fixed value: what may stand between the characters of a term, spaces and punctuation, as the inside of a character class.
 _JOINERS = r"\s\u00a0\u200b-\u200d\ufeff·・•.\-_—–/\\|:：,，、\[\]【】()（）{}《》<>「」『』\"“”'’`"
 
 
@@ -36,7 +36,7 @@ def remove_invalid_xml_chars(c: Column) -> Column:
 
 
 def clean_text(c: Column) -> Column:
-    """TXT2: without interface phrases, lines of dots and surplus white space."""
+    """TXT2: without interface phrases, lines of dots and surplus white space (fixed patterns)."""
     steps = [(r"\u200b", ""), (r"\u00a0", " "), *((f"(?iu){re.escape(t)}", " ") for t in OPERATION_TEXTS), (r"(?m)^\s*(?:\.{3,}|…+)\s*$", " "), (r"[ \t\f\x0B]+", " "), (r"\s*\n\s*", "\n"), (r"\n{2,}", "\n")]
     return F.btrim(reduce(lambda x, s: F.regexp_replace(x, *s), steps, remove_invalid_xml_chars(c)), F.lit(" \t\r\n|"))
 
@@ -67,8 +67,17 @@ def term_pattern(term: str) -> str:
     return ("(?iu)" if re.search("[A-Za-z]", term) else "") + f"[{_JOINERS}]*".join(letters)
 
 
-def term_matches(text: Column, term: str) -> Column:
-    return text.rlike(term_pattern(term))
+def squeeze(text: Column) -> Column:
+    """The text without anything that may stand between the characters of a term."""
+    return F.regexp_replace(text_or_empty(text), f"[{_JOINERS}]+", "")
+
+
+def term_matches(text: Column, term: str, squeezed: Column | None = None) -> Column:
+    """TXT6.  With the squeezed text a term is a plain substring; one that itself has such characters needs its pattern."""
+    own = re.sub(r"\s+", "", term)
+    if squeezed is None or re.search(f"[{_JOINERS}]", own):
+        return text.rlike(term_pattern(term))
+    return F.lower(squeezed).contains(own.lower()) if re.search("[A-Za-z]", own) else squeezed.contains(own)
 
 
 def latin_token(text: Column, token: str = "AI", before: tuple[str, ...] = (), after: tuple[str, ...] = ()) -> Column:
@@ -80,9 +89,9 @@ def latin_token(text: Column, token: str = "AI", before: tuple[str, ...] = (), a
     return text.rlike("|".join(parts))
 
 
-def match_terms(text: Column, terms: list[str] | tuple[str, ...]) -> Column:
+def match_terms(text: Column, terms: list[str] | tuple[str, ...], squeezed: Column | None = None) -> Column:
     """TXT8: the terms that match, in their order, each once."""
-    hits = [F.when(term_matches(text, t), F.lit(t)) for t in dict.fromkeys(terms)]
+    hits = [F.when(term_matches(text, t, squeezed), F.lit(t)) for t in dict.fromkeys(terms)]
     return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
 
 
@@ -92,16 +101,23 @@ def drop_contained(terms: Column) -> Column:
     return F.aggregate(terms, F.array().cast("array<string>"), kept)
 
 
+def compact(c: Column) -> Column:
+    """Lower case, without white space."""
+    return F.lower(F.regexp_replace(c, r"(?U)\s+", ""))
+
+
 def matched_sentence(text: Column, terms: Column, window: int = 80) -> Column:
-    """TXT9: short texts whole; else the sentences that hold a term; else a window about the first term; else the start."""
-    compact = lambda c: F.lower(F.regexp_replace(c, r"(?U)\s+", ""))
+    """TXT9: short texts whole; else the sentences that hold a term; else a window about the first term; else the start.  Each
+    sentence and each term is made compact once."""
     sentences = F.filter(F.transform(F.split(text, r"[。！？!?；;\r\n]+"), lambda s: F.trim(s)), lambda s: s != "")
-    holding = F.array_distinct(F.filter(sentences, lambda s: F.exists(terms, lambda t: compact(s).contains(compact(t)))))
-    places = F.filter(F.transform(terms, lambda t: F.instr(compact(text), compact(t)) - 1), lambda i: i >= 0)
-    start = F.greatest(F.array_min(places) - window // 2, F.lit(0))
-    return (F.when(F.coalesce(text, F.lit("")) == "", "").when(F.length(text) <= window, text)
-        .when(F.size(holding) > 0, F.array_join(holding, " || "))
-        .when(F.size(places) > 0, F.substring(text, start + 1, F.lit(window))).otherwise(F.substring(text, 1, window)))
+    pairs = F.transform(sentences, lambda s: F.struct(s.alias("s"), compact(s).alias("c")))
+    # An array of one element binds what is used more than once to a name.
+    bound = F.array(F.struct(F.transform(terms, compact).alias("t"), pairs.alias("p"), compact(text).alias("c")))
+    holding = F.array_distinct(F.flatten(F.transform(bound, lambda b: F.transform(F.filter(b["p"], lambda x: F.exists(b["t"], lambda t: x["c"].contains(t))), lambda x: x["s"]))))
+    places = F.flatten(F.transform(bound, lambda b: F.filter(F.transform(b["t"], lambda t: F.instr(b["c"], t) - 1), lambda i: i >= 0)))
+    about = F.get(F.transform(F.array(places), lambda p: F.when(F.size(p) > 0, F.substring(text, F.greatest(F.array_min(p) - window // 2, F.lit(0)) + 1, F.lit(window))).otherwise(F.substring(text, 1, window))), F.lit(0))
+    long = F.get(F.transform(F.array(holding), lambda h: F.when(F.size(h) > 0, F.array_join(h, " || ")).otherwise(about)), F.lit(0))
+    return F.when(F.coalesce(text, F.lit("")) == "", "").when(F.length(text) <= window, text).when(F.coalesce(F.size(terms), F.lit(0)) <= 0, F.substring(text, 1, window)).otherwise(long)
 
 
 def split_terms(c: Column) -> Column:
@@ -115,13 +131,13 @@ def source_file_name(c: Column) -> Column:
 
 
 def find_quote(text: Column, quote: Column) -> Column:
-    """TXT14: where text holds the quote but for white space, the substring of text; else null.  Places of the characters
-    that are not white space in text tell where the compact match begins and ends."""
+    """TXT14: where text holds the quote but for white space, the substring of text; else null.  Only where it does, the text is
+    cut into characters, once, and the places of those that are not white space tell where the match begins and ends."""
     squeezed = lambda c: F.regexp_replace(text_or_empty(c), r"(?U)\s+", "")
-    solid = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.when(F.substring(text, i, F.lit(1)).rlike(r"(?U)\S"), i)), lambda i: i.isNotNull())
-    at = F.instr(squeezed(text), squeezed(quote))
-    first, last = F.get(solid, at - 1), F.get(solid, at + F.length(squeezed(quote)) - 2)
-    return F.when((F.length(squeezed(quote)) > 0) & (at > 0), F.substring(text, first, last - first + 1))
+    at, n = F.instr(squeezed(text), squeezed(quote)), F.length(squeezed(quote))
+    solid = F.filter(F.transform(F.split(text, ""), lambda c, i: F.when(c.rlike(r"(?U)\S"), i + 1)), lambda i: i.isNotNull())
+    found = F.transform(F.array(solid), lambda p: F.substring(text, F.get(p, at - 1), F.get(p, at + n - 2) - F.get(p, at - 1) + 1))
+    return F.when((n > 0) & (at > 0), F.get(found, F.lit(0)))
 
 
 def parse_time(*columns: Column, formats: tuple[str, ...] = DATE_FORMATS) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import PRE_PURCHASE_LABELS, RESEARCH_LABELS, Lexicon, SentimentWords
-from ..functions.text import drop_contained, latin_token, match_terms, matched_sentence, term_matches, text_or_empty
+from ..functions.text import drop_contained, latin_token, match_terms, matched_sentence, squeeze, term_matches, text_or_empty
 
 _EMPTY = "array<string>"
 
@@ -37,44 +37,51 @@ def block_reason(text: Column, lexicon: Lexicon) -> Column:
         .when(_hit(text, lexicon, "post_purchase") & free, "post_purchase_experience").otherwise(""))
 
 
-def research_terms(text: Column, lexicon: Lexicon) -> Column:
-    """CLS2: terms of intensive research and two derived labels."""
-    plain = _without_false_comparisons(text, lexicon)
+def research_terms(text: Column, lexicon: Lexicon, plain: Column | None = None, squeezed: Column | None = None) -> Column:
+    """CLS2: terms of intensive research and two derived labels.  plain and squeezed: the text without false comparisons, and
+    that squeezed, where they are columns already."""
+    plain = _without_false_comparisons(text, lexicon) if plain is None else plain
     derived = _labels((_hit(plain, lexicon, "inferred_research"), RESEARCH_LABELS[0]), (_hit(text, lexicon, "info_search") & _hit(text, lexicon, "choosing"), RESEARCH_LABELS[1]))
-    return F.array_union(match_terms(plain, lexicon.research), derived)
+    return F.array_union(match_terms(plain, lexicon.research, squeeze(plain) if squeezed is None else squeezed), derived)
 
 
-def pre_purchase_terms(text: Column, lexicon: Lexicon) -> Column:
+def pre_purchase_terms(text: Column, lexicon: Lexicon, plain: Column | None = None, squeezed: Column | None = None) -> Column:
     """CLS3: labels of a purchase decision, then the lexicon's decision terms."""
-    plain = _without_false_comparisons(text, lexicon)
+    plain = _without_false_comparisons(text, lexicon) if plain is None else plain
     labels = _labels(*((_hit(plain if name == "true_compare" else text, lexicon, name), label) for name, label in PRE_PURCHASE_LABELS.items()))
-    terms = match_terms(plain, lexicon.decision)
+    terms = match_terms(plain, lexicon.decision, squeeze(plain) if squeezed is None else squeezed)
     if lexicon.ambiguous and "false_compare" in lexicon.patterns:
         terms = F.when(_hit(text, lexicon, "false_compare"), F.filter(terms, lambda t: ~t.isin(*lexicon.ambiguous))).otherwise(terms)
     return F.array_union(labels, terms)
 
 
-def source_terms(text: Column, lexicon: Lexicon) -> tuple[Column, Column]:
+def source_terms(text: Column, lexicon: Lexicon, squeezed: Column | None = None) -> tuple[Column, Column]:
     """TXT7, TXT8: specific sources (the longest of those that hold one another) and generic ones."""
-    strong = drop_contained(match_terms(text, sorted(lexicon.specific, key=len, reverse=True)))
+    squeezed = squeeze(text) if squeezed is None else squeezed
+    strong = drop_contained(match_terms(text, sorted(lexicon.specific, key=len, reverse=True), squeezed))
     token = {lexicon.token, ".".join(lexicon.token) + "."}
-    hits = [F.when(latin_token(text, lexicon.token, lexicon.token_before, lexicon.token_after), F.lit(lexicon.token)) if t in token else F.when(term_matches(text, t), F.lit(t)) for t in lexicon.generic]
+    hits = [F.when(latin_token(text, lexicon.token, lexicon.token_before, lexicon.token_after), F.lit(lexicon.token)) if t in token else F.when(term_matches(text, t, squeezed), F.lit(t)) for t in lexicon.generic]
     return strong, F.array_distinct(F.array_compact(F.array(*hits))) if hits else F.array().cast(_EMPTY)
 
 
 def classify(df: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
     """CLS8: df (content_role, content_text_clean, parent_text_clean) with the classifier's columns; terms stay arrays."""
     lexicon = lexicon or Lexicon()
-    text, parent = text_or_empty(F.col("content_text_clean")), text_or_empty(F.col("parent_text_clean"))
-    strong, generic = source_terms(text, lexicon)
-    parent_strong, parent_generic = source_terms(parent, lexicon)
+    # What all rules look at is made once a row, before them.
+    df = df.withColumns({"_text": text_or_empty(F.col("content_text_clean")), "_parent_text": text_or_empty(F.col("parent_text_clean"))})
+    text, parent, plain = F.col("_text"), F.col("_parent_text"), F.col("_plain")
+    df = df.withColumns({"_plain": _without_false_comparisons(text, lexicon), "_squeezed": squeeze(text), "_parent_squeezed": squeeze(parent)})
+    df = df.withColumn("_plain_squeezed", F.when(F.col("_plain") == text, F.col("_squeezed")).otherwise(squeeze(plain)))
+    strong, generic = source_terms(text, lexicon, F.col("_squeezed"))
+    parent_strong, parent_generic = source_terms(parent, lexicon, F.col("_parent_squeezed"))
     lit = lambda names: F.array(*map(F.lit, names)) if names else F.array().cast(_EMPTY)
     algorithm = [t for t in lexicon.generic if t in lexicon.weak]
+    held = lambda terms: match_terms(text, terms, F.col("_squeezed"))
     df = df.withColumns({
-        "_strong": strong, "_generic": generic, "_weak": match_terms(text, lexicon.weak), "_parent": F.size(parent_strong) + F.size(parent_generic),
+        "_strong": strong, "_generic": generic, "_weak": held(lexicon.weak), "_parent": F.when(parent != "", F.size(parent_strong) + F.size(parent_generic)).otherwise(0),
         "_block": block_reason(text, lexicon), "_human": _hit(text, lexicon, "human_service"),
-        "_actions": match_terms(text, lexicon.actions), "_purchase": match_terms(text, lexicon.purchase),
-        "_decision": match_terms(_without_false_comparisons(text, lexicon), lexicon.decision), "_pre": pre_purchase_terms(text, lexicon), "_research": research_terms(text, lexicon),
+        "_actions": held(lexicon.actions), "_purchase": held(lexicon.purchase),
+        "_decision": match_terms(plain, lexicon.decision, F.col("_plain_squeezed")), "_pre": pre_purchase_terms(text, lexicon, plain, F.col("_plain_squeezed")), "_research": research_terms(text, lexicon, plain, F.col("_plain_squeezed")),
     })
     blocked = F.col("_block") != ""
     nothing = F.array().cast(_EMPTY)
@@ -106,7 +113,7 @@ def classify(df: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
         "ai_source_terms": F.col("_sources"), "ai_action_terms": F.col("_actions"), "purchase_context_terms": F.col("_purchase"), "decision_context_terms": F.col("_decision"),
         "block_reason": F.col("_block"), "matched_sentence": matched_sentence(text, F.col("matched_keywords")),
     })
-    return df.drop("_strong", "_generic", "_weak", "_parent", "_block", "_human", "_actions", "_purchase", "_decision", "_pre", "_research", "_sources", "_general", "_algorithm", "_exclude")
+    return df.drop("_text", "_parent_text", "_plain", "_squeezed", "_parent_squeezed", "_plain_squeezed", "_strong", "_generic", "_weak", "_parent", "_block", "_human", "_actions", "_purchase", "_decision", "_pre", "_research", "_sources", "_general", "_algorithm", "_exclude")
 
 
 def rule_sentiment(text: Column, words: SentimentWords | None = None) -> Column:

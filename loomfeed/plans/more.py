@@ -118,12 +118,16 @@ def q_summarize_sentiment(spark, d):
     return metrics.summarize_sentiment(named, docs.agg(F.count("*").alias("total"), F.count_if(F.col("sentiment_label") == "P").alias("positive")))
 
 
-@query(f"""{WITH} SELECT content_id, CASE WHEN length(trim(content_text_clean)) >= 12 THEN substr(content_text_clean, 3, 9) END AS quote FROM (SELECT *, regexp_matches(substr(content_text_clean, 3, 1) || substr(content_text_clean, 11, 1), '^\\S\\S$') AND instr(regexp_replace(content_text_clean, '\\s+', '', 'g'), regexp_replace(substr(content_text_clean, 3, 9), '\\s+', '', 'g')) = length(regexp_replace(substr(content_text_clean, 1, 2), '\\s+', '', 'g')) + 1 AS plain FROM docs WHERE length(content_text_clean) BETWEEN 12 AND 600) WHERE plain""")
+_SOLID = r"regexp_replace(%s, '\s+', '', 'g')"
+
+
+@query(f"""{WITH}, q AS (SELECT content_id, content_text_clean AS t, {_SOLID % "substr(content_text_clean, 3, 9)"} AS q, {_SOLID % "content_text_clean"} AS s FROM docs),
+    p AS (SELECT *, instr(s, q) AS place, list_filter(list_transform(string_split(t, ''), lambda c, i: CASE WHEN regexp_matches(c, '\\S') THEN i END), lambda i: i IS NOT NULL) AS solid FROM q)
+    SELECT content_id, CASE WHEN q <> '' AND place > 0 THEN substr(t, solid[place], solid[place + length(q) - 1] - solid[place] + 1) END AS quote FROM p""")
 def q_find_quote(spark, d):
-    docs = content_docs(spark, d).where(F.length("content_text_clean").between(12, 600)).select("content_id", F.col("content_text_clean").alias("t"), F.substring("content_text_clean", 3, 9).alias("q"))
-    solid = lambda c: F.regexp_replace(c, r"\s+", "")
-    plain = F.concat(F.substring("t", 3, 1), F.substring("t", 11, 1)).rlike(r"^\S\S$") & (F.instr(solid(F.col("t")), solid(F.col("q"))) == F.length(solid(F.substring("t", 1, 2))) + 1)
-    return docs.where(plain).select("content_id", X.find_quote(F.col("t"), F.concat_ws(" ", F.substring("q", 1, 4), F.substring("q", 5, 5))).alias("quote"))
+    """Nine characters from the third on, with a space among them, sought in their whole text."""
+    docs = content_docs(spark, d).select("content_id", F.col("content_text_clean").alias("t"), F.substring("content_text_clean", 3, 9).alias("q"))
+    return docs.select("content_id", X.find_quote(F.col("t"), F.concat_ws(" ", F.substring("q", 1, 4), F.substring("q", 5, 5))).alias("quote"))
 
 
 @query(f"{WITH} SELECT CAST(sum(n_chars) AS BIGINT) AS chars, count(*) AS rows FROM docs")
