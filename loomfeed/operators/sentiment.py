@@ -1,31 +1,71 @@
-"""Model-scored sentiment as data (LLM1 to LLM7): batches, a scorer that is passed in, validation in SQL, one retry.
+"""Model-scored sentiment as data (LLM1 to LLM7, LLM13): batches, a scorer that is passed in, validation in SQL, retries.
 
 A scorer takes an iterator of frames (batch_id, prompt) and gives frames (batch_id, response) with JSON lines; it runs in
-mapInPandas, and everything about it stays in columns.
+mapInPandas, and everything about it stays in columns.  What a scorer raises is the failure of its batch alone.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import COMPLAINT_NAMES, PRAISE_NAMES, SENTIMENT_NAMES, SentimentWords
 from ..functions.text import json_lines, text_or_empty
-from .classify import rule_sentiment
+from ..lineage import kept
+from ..shipping import ship
+from .classify import detail_wanted, rule_sentiment
+from .joins import unscored, update_analysis
 
 Scorer = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 FAST = "i string, s string, sc string, p string, n string, c string"
 
 
-def batched(df: DataFrame, size: int, seq: str = "seq", lanes: int = 64) -> DataFrame:
-    """LLM1: batch_id over the rows in order, `size` rows a batch.  Rows are dealt to lanes by hash and numbered within each,
-    so that no task numbers them all; a lane's last batch may be short."""
-    lane = F.pmod(F.xxhash64(F.col(seq)), F.lit(lanes))
-    n = F.row_number().over(Window.partitionBy("lane").orderBy(seq))
-    return df.withColumn("lane", lane).withColumn("batch_id", F.concat_ws("-", "lane", F.floor((n - 1) / size).cast("string"))).drop("lane")
+RESPONSES = "batch_id string, response string, error_type string, seconds double"
+
+
+def batched(df: DataFrame, size: int, seq: str = "seq") -> DataFrame:
+    """LLM1: batch_id over the rows in order, `size` rows a batch.  Rows are sorted in ranges and numbered within each, so that
+    no task numbers them all; a range's last batch may be short."""
+    place = F.monotonically_increasing_id()  # the range, by 2**33, and the place in it
+    ranges = df.repartitionByRange(seq).sortWithinPartitions(seq).withColumn("batch_id", place)
+    own = F.col("batch_id")
+    return ranges.withColumn("batch_id", F.concat_ws("-", F.shiftright(own, 33).cast("string"), F.floor(own.bitwiseAND(F.lit((1 << 33) - 1)) / size).cast("string")))
+
+
+def isolated(scorer: Scorer) -> Scorer:
+    """LLM2: the scorer with error_type and seconds of each batch.  A frame of batches for which it raises is asked again batch
+    by batch, so that the failure stays with the batch that caused it."""
+
+    def ask(frame: pd.DataFrame) -> pd.DataFrame:
+        began = time.perf_counter()
+        found = [x[["batch_id", "response"]] for x in scorer(iter([frame]))]
+        out = pd.concat(found) if found else pd.DataFrame({"batch_id": [], "response": []})
+        return out.assign(error_type=None, seconds=(time.perf_counter() - began) / max(len(frame), 1))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            try:
+                yield ask(frame)
+            except Exception:  # noqa: BLE001  whatever a scorer raises
+                for i in range(len(frame)):
+                    one, began = frame.iloc[i : i + 1], time.perf_counter()
+                    try:
+                        yield ask(one)
+                    except Exception as e:  # noqa: BLE001
+                        yield pd.DataFrame({"batch_id": one["batch_id"], "response": "", "error_type": type(e).__name__, "seconds": time.perf_counter() - began})
+
+    return run
+
+
+def asked(batches: DataFrame, scorer: Scorer, keep: Callable[[DataFrame], DataFrame] = kept) -> DataFrame:
+    """RESPONSES of a scorer to batches (batch_id, prompt), with each prompt; asked once, since they are kept."""
+    ship(batches.sparkSession)
+    batches = keep(batches)
+    return keep(batches.mapInPandas(isolated(scorer), RESPONSES)).join(batches, "batch_id", "left")
 
 
 def prompts(df: DataFrame, text: str = "content_text_clean", title: str = "product_title", seq: str = "seq") -> DataFrame:
@@ -54,9 +94,9 @@ def valid_fast(lines: DataFrame, seq: str = "line") -> DataFrame:
 
 
 def valid_detail(lines: DataFrame) -> DataFrame:
-    """LLM4: rows whose four fields are there."""
+    """LLM4: rows whose four fields are there, one of each id."""
     rows = lines.select("batch_id", "line", *(F.expr(f"try_variant_get(v, '$.{k}', 'string')").alias(k) for k in ("i", "e", "r", "g")))
-    return rows.dropna(subset=["i", "e", "r", "g"])
+    return rows.dropna(subset=["i", "e", "r", "g"]).groupBy("i").agg(F.max_by(F.struct("e", "r", "g"), "line").alias("d")).select("i", "d.*")
 
 
 def _name(column: str, names: dict[str, str]) -> Column:
@@ -73,33 +113,121 @@ def missing(targets: DataFrame, valid: DataFrame) -> DataFrame:
     return targets.join(valid.select(F.col("i").alias("_i")), F.col("content_id").cast("string") == F.col("_i"), "left_anti")
 
 
-def score(targets: DataFrame, scorer: Scorer, size: int = 50, retries: int = 1, keep: Callable[[DataFrame], DataFrame] = lambda d: d) -> tuple[DataFrame, DataFrame]:
-    """LLM2, LLM13: valid rows and failures.  What is missing is asked again, in batches of half the size each time.
+def halves(size: int) -> list[int]:
+    """LLM13: batch sizes from size down to one row."""
+    return [size] if size <= 1 else [size, *halves(size // 2)]
 
-    keep cuts the lineage of responses (a checkpoint or a written table), so that a scorer is not asked twice for one row.
+
+def score(targets: DataFrame, scorer: Scorer, size: int = 50, retries: int | None = None, keep: Callable[[DataFrame], DataFrame] = kept, read: Callable[[DataFrame], DataFrame] = valid_fast) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """LLM2, LLM13: valid rows, failures and timings (turn, batch_id, seconds, error_type).
+
+    What is missing is asked again in batches of half the size each time, down to single rows (or for `retries` turns); a
+    failure has the error of its last batch, or MissingResult.  keep makes responses once (a checkpoint or a written table).
     """
-    found, left = None, targets
-    for turn in range(retries + 1):
-        asked = prompts(batched(left, max(1, size >> turn)))
-        responses = keep(asked.mapInPandas(scorer, "batch_id string, response string"))
-        valid = valid_fast(parsed_lines(responses))
-        found = valid if found is None else found.unionByName(valid)
-        left = missing(left, valid)
-    return found, left.select("content_id", F.lit("MissingResult").alias("error_type"))
-
-
-def process(comments: DataFrame, scorer: Scorer | None, size: int = 50, words: SentimentWords | None = None, use_rules: bool = True, keep: Callable[[DataFrame], DataFrame] = lambda d: d) -> dict[str, DataFrame]:
-    """LLM6: rules first, then the scorer for the rest; a dry run (no scorer) stops after the rules."""
-    ruled = comments.withColumn("r", rule_sentiment(F.col("content_text_clean"), words) if use_rules else F.lit(None).cast("struct<label:string,score:int,praise:string,complaint:string,confidence:int>"))
+    found = timings = None
+    left = targets
+    for turn, n in enumerate(halves(size)[: None if retries is None else retries + 1]):
+        responses = asked(prompts(batched(left, n)), scorer, keep)
+        valid = read(parsed_lines(responses))
+        failed = responses.where("error_type is not null").select(F.explode(F.split("prompt", "\n")).alias("line"), "error_type").select(F.get_json_object("line", "$.i").alias("_i"), F.col("error_type").alias("_error"))
+        took = responses.select(F.lit(turn).alias("turn"), "batch_id", "seconds", "error_type")
+        found, timings = (b if a is None else a.unionByName(b) for a, b in ((found, valid), (timings, took)))
+        left = keep(missing(left, valid))
+        if not left.limit(1).count():
+            break
+    failures = left.join(failed.distinct(), F.col("content_id").cast("string") == F.col("_i"), "left").select("content_id", F.coalesce("_error", F.lit("MissingResult")).alias("error_type"))
+    return found, failures, timings
+
+
+_RULED = "struct<label:string,score:int,praise:string,complaint:string,confidence:int>"
+
+
+def process(
+    comments: DataFrame, scorer: Scorer | None, size: int = 50, words: SentimentWords | None = None, use_rules: bool = True, keep: Callable[[DataFrame], DataFrame] = kept,
+    detail_scorer: Scorer | None = None, detail_size: int = 10, detail_limit: int | None = None,
+) -> dict[str, DataFrame]:
+    """LLM6: rules first, then the scorer for the rest, then the detailed scoring of those that deserve it (CLS11), up to a
+    budget over all rows.  A dry run (no scorer) stops after the rules.  Tables: fast, detail, failures, timings, summary."""
+    spark = comments.sparkSession
+    ruled = comments.withColumn("r", rule_sentiment(F.col("content_text_clean"), words) if use_rules else F.lit(None).cast(_RULED))
     columns = lambda prefix, source: ["content_id", *(F.col(f"{prefix}.{c}").alias(n) for c, n in (("label", "sentiment_label"), ("score", "sentiment_score"), ("praise", "praise_code"), ("complaint", "complaint_code"), ("confidence", "confidence"))), F.lit(source).alias("sentiment_source")]
     by_rule = ruled.where("r is not null").select(*columns("r", "rule"))
     rest = ruled.where("r is null").drop("r")
+    no_detail = spark.createDataFrame([], f"content_id {comments.schema['content_id'].dataType.simpleString()}, e string, r string, g string")
+    no_timings = spark.createDataFrame([], "stage string, turn int, batch_id string, seconds double, error_type string")
     if scorer is None:
-        return {"fast": with_names(by_rule), "failures": rest.select("content_id", F.lit("NotScored").alias("error_type"))}
-    found, failures = score(rest, scorer, size, keep=keep)
+        failures = rest.select("content_id", F.lit("NotScored").alias("error_type"))
+        return {"fast": with_names(by_rule), "detail": no_detail, "failures": failures, "timings": no_timings, "summary": run_summary(comments, by_rule, no_detail, failures)}
+    found, failures, timings = score(rest, scorer, size, keep=keep)
     ids = rest.select("content_id")
     scored = ids.join(found, F.col("content_id").cast("string") == F.col("i")).select("content_id", F.upper("s").alias("sentiment_label"), F.col("sc").alias("sentiment_score"), F.col("p").alias("praise_code"), F.col("n").alias("complaint_code"), F.col("c").alias("confidence"), F.lit("llm_fast").alias("sentiment_source"))
-    return {"fast": with_names(by_rule.unionByName(scored)), "failures": failures}
+    fast, timings, detail = by_rule.unionByName(scored), timings.withColumn("stage", F.lit("fast")), no_detail
+    if detail_scorer is not None:
+        wanted = detail_targets(comments, fast, detail_limit)
+        more, lost, took = score(keep(wanted), detail_scorer, detail_size, retries=1, keep=keep, read=valid_detail)
+        detail = ids_of(comments).join(more, F.col("content_id").cast("string") == F.col("i")).select("content_id", "e", "r", "g")
+        failures, timings = failures.unionByName(lost), timings.unionByName(took.withColumn("stage", F.lit("detail")))
+    return {"fast": with_names(fast), "detail": detail, "failures": failures, "timings": timings.select(*no_timings.columns), "summary": run_summary(comments, fast, detail, failures)}
+
+
+def ids_of(df: DataFrame) -> DataFrame:
+    return df.select("content_id").distinct()
+
+
+def detail_targets(comments: DataFrame, fast: DataFrame, budget: int | None, order: tuple[str, ...] = ("seq",)) -> DataFrame:
+    """CLS11: comments that deserve a detailed scoring, the first `budget` in order."""
+    have = lambda c, default: F.col(c) if c in comments.columns else default
+    both = comments.join(fast.select("content_id", F.col("sentiment_label").alias("_label"), F.col("confidence").alias("_confidence")), "content_id")
+    wanted = detail_wanted(F.col("_label"), F.col("_confidence"), have("evidence_level", F.lit("")), have("likes", F.lit(0)).try_cast("int"), F.col("content_text_clean"), have("pre_purchase_decision", F.lit(False)))
+    rows = both.where(wanted) if budget is None else within_budget(both, wanted, budget, list(order))
+    return rows.select(*comments.columns)
+
+
+def run_summary(targets: DataFrame, fast: DataFrame, detail: DataFrame, failures: DataFrame) -> DataFrame:
+    """LLM6: one row of counts of a run."""
+    t = targets.agg(F.count("*").alias("total_count"))
+    f = fast.agg(F.count_if(F.col("sentiment_source") == "rule").alias("rule_count"), F.count_if(F.col("sentiment_source") == "llm_fast").alias("llm_fast_count"))
+    one = lambda df, name: df.agg(F.count("*").alias(name))
+    counts = t.join(f).join(one(detail, "detail_count")).join(one(failures, "failed_count"))  # a row each
+    done = F.col("rule_count") + F.col("llm_fast_count")
+    return counts.withColumn("status", F.when(F.col("total_count") == 0, "nothing_to_do").when(F.col("failed_count") == 0, "success").when(done > 0, "partial").otherwise("failed"))
+
+
+def scoring_targets(contents: DataFrame, fast: DataFrame | None = None, evidence: DataFrame | None = None) -> DataFrame:
+    """LLM7, JN8, JN9: reviews and follow-ups with text, of a backfill those without a valid label, with their evidence level."""
+    rows = contents.where(F.col("content_role").isin("review", "followup") & (F.trim(text_or_empty(F.col("content_text_clean"))) != ""))
+    rows = rows if fast is None else unscored(rows, fast)
+    if evidence is None:
+        return rows
+    level = evidence.groupBy("content_id").agg(F.max("evidence_level").alias("evidence_level"))
+    return rows.drop("evidence_level").join(level, "content_id", "left").withColumn("evidence_level", text_or_empty(F.col("evidence_level")))
+
+
+def backfill(tables: dict[str, DataFrame], project_id: str, scorer: Scorer | None, limit: int | None = None, budget: int | None = 50, size: int = 50, full: bool = True, detail_scorer: Scorer | None = None, keep: Callable[[DataFrame], DataFrame] = kept) -> dict[str, DataFrame]:
+    """LLM7: score a project's reviews that have no valid label, all items in one run that shares one budget of detailed
+    scorings, items in order and rows in theirs (tables: content_master, sentiment_fast, analysis, products).
+
+    Tables of the run, the analysis with its scores, and item_summary: counts of each item.  Without a scorer it is a preview.
+    """
+    own = lambda name: tables[name].where(F.col("project_id") == project_id)
+    rows = scoring_targets(own("content_master"), own("sentiment_fast"), own("analysis"))
+    titles = own("products").groupBy("item_key").agg(F.max("product_title_current").alias("product_title"))
+    rows = rows.drop("product_title").join(titles, "item_key", "left")
+    rows = keep(rows if limit is None else rows.orderBy("seq").limit(max(limit, 0)))
+    out = process(rows, scorer, size, use_rules=not full, keep=keep)
+    if scorer is not None and detail_scorer is not None:
+        wanted = keep(detail_targets(rows, out["fast"], budget, ("item_key", "seq")))
+        more, lost, took = score(wanted, detail_scorer, 10, retries=1, keep=keep, read=valid_detail)
+        detail = wanted.select("content_id").join(more, F.col("content_id").cast("string") == F.col("i")).select("content_id", "e", "r", "g")
+        failures = out["failures"].unionByName(lost)
+        out |= {"detail": detail, "failures": failures, "timings": out["timings"].unionByName(took.withColumn("stage", F.lit("detail"))), "summary": run_summary(rows, out["fast"], detail, failures)}
+    of_item = lambda df, name: rows.select("item_key", "content_id").join(df.select("content_id"), "content_id").groupBy("item_key").agg(F.count("*").alias(name))
+    counts = rows.groupBy("item_key").agg(F.count("*").alias("target_count"))
+    for name, df in (("rule_count", out["fast"].where("sentiment_source = 'rule'")), ("llm_fast_count", out["fast"].where("sentiment_source = 'llm_fast'")), ("detail_count", out["detail"]), ("failed_count", out["failures"].dropDuplicates(["content_id"]))):
+        counts = counts.join(of_item(df, name), "item_key", "left")
+    scores = out["fast"].withColumn("seq", F.lit(0))
+    columns = [c for c in ("sentiment_label", "sentiment_score", "praise_code", "complaint_code", "confidence", "sentiment_source") if c in scores.columns]
+    return out | {"item_summary": counts.fillna(0), "analysis": update_analysis(own("analysis"), scores, columns)}
 
 
 def within_budget(df: DataFrame, wanted: Column, budget: int, order: list[str]) -> DataFrame:

@@ -115,6 +115,44 @@ def test_sentiment_run(spark):
     assert sentiment.process(df, None)["fast"].count() == 1
 
 
+def test_scorer_failures_stay_with_their_batch(spark):
+    """A scorer that raises for one row: all other rows are scored, down to its neighbours in the batch."""
+    import pandas as pd
+
+    def fails(batches):
+        import json
+
+        for x in batches:
+            ids = [[json.loads(line)["i"] for line in p.split("\n")] for p in x["prompt"]]
+            if any("7" in one for one in ids):
+                raise ConnectionError
+            yield pd.DataFrame({"batch_id": x["batch_id"], "response": ["\n".join(f'{{"i":"{i}","s":"P","sc":5,"p":"F","n":"-","c":2}}' for i in one if i != "9") for one in ids]})
+
+    df = spark.range(40).select(F.col("id").alias("content_id"), F.col("id").alias("seq"), F.lit("t").alias("content_text_clean"), F.lit("p").alias("product_title"))
+    found, failures, timings = sentiment.score(df, fails, 8)
+    assert found.count() == 38 and rows(failures, "content_id", "error_type") == [(7, "ConnectionError"), (9, "MissingResult")]
+    assert timings.where("error_type is null").count() > 0 and timings.where("turn = 3 and error_type = 'ConnectionError'").count() == 1
+    assert sentiment.halves(50) == [50, 25, 12, 6, 3, 1] and sentiment.halves(1) == [1]
+
+
+def test_detail_pass_and_summary(spark):
+    df = spark.createDataFrame([(1, 1, "很好", ""), (2, 2, "亮度足，但是有点反光", ""), (3, 3, "太刺眼了，准备退货", "")], "content_id int, seq int, content_text_clean string, product_title string")
+
+    def detail(batches):
+        import json
+
+        import pandas as pd
+
+        for x in batches:
+            yield pd.DataFrame({"batch_id": x["batch_id"], "response": ["\n".join(json.dumps({"i": json.loads(line)["i"], "e": "a", "r": "b", "g": "c"}) for line in p.split("\n")) for p in x["prompt"]]})
+
+    out = sentiment.process(df, scorer, detail_scorer=detail, detail_limit=1)
+    assert rows(out["detail"], "content_id", "e") == [(2, "a")]
+    s = out["summary"].first()
+    assert (s.total_count, s.rule_count, s.llm_fast_count, s.detail_count, s.failed_count, s.status) == (3, 1, 2, 1, 0, "success")
+    assert {r.stage for r in out["timings"].collect()} == {"fast", "detail"}
+
+
 def test_sentiment_batches_keep_everything(spark):
     df = spark.range(300).select(F.col("id").alias("content_id"), F.col("id").alias("seq"), F.lit("t").alias("content_text_clean"), F.lit("p").alias("product_title"))
     b = sentiment.prompts(sentiment.batched(df, 7))
@@ -291,6 +329,18 @@ def test_imports(spark):
     assert late["content_master"].count() == 8 and late["content_master"].where("is_active").count() == 6
 
 
+def test_import_of_two_captures_of_one_item(spark):
+    """One batch with two captures leaves what two imports in turn do."""
+    one, two, other = capture(spark, "ABC", "s1", "2026-07-01", "h1"), capture(spark, "ABCD", "s2", "2026-07-02", "h2"), capture(spark, "XY", "s9", "2026-07-01", "h9").withColumn("item_key", F.lit("other"))
+    apart, _, _ = imported(spark, one, two)
+    together, out, _ = imported(spark, two.unionByName(one))
+    columns = ("content_id", "first_seen_snapshot_id", "last_seen_snapshot_id", "is_active")
+    assert together["content_master"].count() == 4 and rows(together["content_master"], *columns) == rows(apart["content_master"], *columns)
+    assert out["rejects"].count() == 0 and sorted(r.new_count for r in out["update_log"].collect()) == [1, 3]
+    again, out, _ = imported(spark, one.unionByName(two).unionByName(two.withColumns({"snapshot_id": F.lit("s3"), "capture_time": F.lit("2026-07-03 10:00:00")})).unionByName(other))
+    assert rows(out["rejects"], "snapshot_id", "status") == [("s3", "duplicate_file")] and again["content_master"].count() == 6
+
+
 def test_deletion(spark):
     first, second = capture(spark, "ABCDE", "s1", "2026-07-01", "h1"), capture(spark, "XABCDE", "s2", "2026-07-02", "h2")
     state, _, contents = imported(spark, first, second)
