@@ -418,7 +418,46 @@ def test_pages(spark, tmp_path):
     assert rows(pages.images_of(nodes), "image_stage", "image_index", "extract_status") == [("review", 1, "embedded")]
     q, a = pages.question_pairs(F.col("t"))
     assert (one(spark, q, t="问：好用吗\n答：好用"), one(spark, a, t="问：好用吗\n答：好用")) == ("好用吗", "好用")
-    assert one(spark, pages.product_title(F.col("t"), F.lit("a/b.html")), t="<title>灯 - 天猫</title>") == "灯"
+    (tmp_path / "q.html").write_bytes(b"PK\x03\x04 broken")
+    read = {r.path[-6:]: r.html for r in pages.read_pages(spark, str(tmp_path)).collect()}
+    assert read["q.html"] == "" and read["p.html"] == html
+
+
+def page_of(spark, html, path="saved/灯具 - 天猫.html"):
+    return spark.createDataFrame([(1, html, path)], "page_id int, html string, path string")
+
+
+@pytest.mark.parametrize(("html", "want"), [
+    ("<title>护眼灯 学习台灯 - 淘宝网 - 天猫</title>", ("护眼灯 学习台灯", "")), ("<title>商品评价</title>", ("灯具", "")), ('<title>x y</title><meta property="og:title" content="护眼台灯 京东">', ("护眼台灯", "")),
+    ('<script type="application/ld+json">{"@graph": [{"@type": "Product", "name": "吸顶灯", "seller": {"name": "旗舰店"}, "brand": "B"}]}</script><title>页</title>', ("吸顶灯", "旗舰店")),
+    ('<script type="application/ld+json">{"@type": "product", "name": "落地灯", "brand": {"name": "牌子"}}</script>', ("落地灯", "牌子")), ('<div class="x-ItemTitle-1"><b>床头</b> 灯</div><span class="a shopName">小店</span><title>别的</title>', ("床头 灯", "小店")),
+    ('<div id="tbpcDetail_SkuPanelBody"><div><div><div><div><span title="天猫面板灯"></span></div></div></div></div></div><title>tmall.com 页面</title>', ("天猫面板灯", "")), ("<h1>用户评价 · 200+</h1><h1>筒灯 5W</h1>", ("灯具", "")),
+])
+def test_page_products(spark, html, want):
+    r = pages.page_products(page_of(spark, html)).first()
+    assert (r.product_title, r.shop_name) == want
+
+
+def test_review_cards(spark):
+    html = """<section class="comments"><div class="Comment--a1"><div class="userInfo--x"><span>u***1</span></div><div class="meta--z">2026年7月5日 已购：白色</div><div class="content--q">灯很亮，孩子喜欢</div><div class="append-text">用了一周还行</div><div class="shop-reply">谢谢</div><p>有用 12</p><p>4.5分</p><img src="x"><video></video></div>
+        <div class="Comment--a1"><div>全部评价</div><div>123</div><div>没有标记的一条评价文字</div></div><div class="Comment--a1"><div class="userInfo--x"><span>u***1</span></div><div class="meta--z">2026年7月5日 已购：白色</div><div class="content--q">灯很亮，孩子喜欢</div></div><div class="Comment--a1">好评</div></section>"""
+    got = pages.reviews_of_pages(pages.card_nodes(page_of(spark, html))).collect()
+    assert [(r.text, r.user, r.sku, r.append_text, r.reply_text, r.review_date, r.rating, r.like_count, r.image_count, r.video_count) for r in sorted(got, key=lambda r: r.card)] == [
+        ("灯很亮，孩子喜欢", "u***1", "白色", "用了一周还行", "谢谢", "2026-07-05", 4, 12, 1, 1), ("没有标记的一条评价文字", "", "", "", "", "", None, None, 0, 0)]
+
+
+def test_questions_of_pages(spark):
+    html = """<div class="conditionItem--1">亮度<span class="conditionItemCount--2">35</span></div><div class="conditionItem--1">价格</div>
+        <div class="qaItem--1"><i class="questionIcon--2">问</i><span>这个亮吗</span><b class="initTag--3">已购</b><span>很亮</span><p>共 5 个回答</p></div><div class="qaItem--1"><i class="questionIcon--2">问</i><span>没人答的问题</span></div>
+        <div class="qaItem--1">问：线有多长<br>答：一米五</div><div class="qaItem--1"><i class="questionIcon--2">问</i><span>这个亮吗</span><b class="initTag--3">已购</b><span>很亮</span></div>"""
+    meta = lambda platform, marked: spark.createDataFrame([("1", platform, "9", marked)], "page string, platform string, product_id string, marked boolean")
+    nodes = pages.card_nodes(page_of(spark, html), kind="question")
+    got = sorted(pages.questions_of_pages(nodes, meta("tmall", False)).collect(), key=lambda r: r.card)
+    assert [(r.question, r.answer, r.answer_count, r.is_buyer_answer, r.answer_user_status, r.confidence) for r in got] == [("这个亮吗", "很亮", 5, True, "已购", 0.9), ("没人答的问题", "", None, False, "", 0.55), ("线有多长", "一米五", None, False, "", 0.9)]
+    assert got[0].question_tags == "亮度:35;价格"
+    assert pages.questions_of_pages(nodes, meta("jd", False)).count() == 0 and pages.questions_of_pages(nodes, meta("jd", True)).count() == 3
+    contents = pages.content_all_of(pages.contents_of(pages.reviews_of_pages(pages.card_nodes(page_of(spark, html))), pages.questions_of_pages(nodes, meta("tmall", False)))).orderBy("content_id").collect()
+    assert [r.content_id for r in contents] == list(range(1, len(contents) + 1)) and len({r.content_hash for r in contents}) == len(contents)
 
 
 def test_assets(spark):
