@@ -19,10 +19,12 @@ def match_reviews(store: DataFrame, incoming: DataFrame) -> DataFrame:
     by = lambda key, name: store.where(text_or_empty(F.col(key)) != "").groupBy("product_key", key).agg(F.count("*").alias(f"_{name}_n"), F.min("local_review_id").alias(f"_{name}_id"))
     out = incoming.join(by("platform_review_id", "native"), ["product_key", "platform_review_id"], "left").join(by("review_fingerprint", "print"), ["product_key", "review_fingerprint"], "left")
     match = (F.when(F.col("_native_n") == 1, "native_id").when(F.col("_native_n") > 1, "collision").when(F.col("_print_n") == 1, "fingerprint").when(F.col("_print_n") > 1, "collision").otherwise("new"))
-    key = F.coalesce(blank_to_null(F.col("platform_review_id")), F.col("review_fingerprint"))
-    first = Window.partitionBy("product_key", key).orderBy("seq")
+    key = F.coalesce(blank_to_null(F.col("platform_review_id")), blank_to_null(F.col("review_fingerprint")))
+    # Rows without any key stand for themselves; the first of the others is an aggregate, so that no key is in one task.
+    keyed = incoming.select("product_key", key.alias("_key"), "seq").where("_key is not null").groupBy("product_key", "_key").agg(F.min("seq").alias("_first"))
+    out = out.withColumn("_key", key).join(keyed, ["product_key", "_key"], "left")
     out = out.withColumn("match", match).withColumn("matched_id", F.when(F.col("match") == "native_id", F.col("_native_id")).when(F.col("match") == "fingerprint", F.col("_print_id")))
-    return out.withColumn("in_batch_of", F.first("seq").over(first)).drop("_native_n", "_native_id", "_print_n", "_print_id")
+    return out.withColumn("in_batch_of", F.coalesce("_first", "seq")).drop("_key", "_first", "_native_n", "_native_id", "_print_n", "_print_id")
 
 
 def local_ids(df: DataFrame, prefix: str = "rv", seq: str = "seq") -> DataFrame:
@@ -105,6 +107,55 @@ def export_manifest(watched: DataFrame, images: DataFrame, reviews: DataFrame) -
     return rows.groupBy("product_key", "local_review_id").agg(F.count("*").alias("exported_count"), n(new, "new_count"), n(stage("review"), "review_exported"), n(stage("review") & new, "review_new"), n(stage("append"), "append_exported"), n(stage("append") & new, "append_new"))
 
 
+def product_images(reviews: DataFrame, images: DataFrame) -> DataFrame:
+    """AST8: image rows of a product's reviews with their folder, in the order of review, stage and index (as columns; sorted
+    when they are written)."""
+    of = reviews.select("local_review_id", "product_key")
+    folder = F.concat_ws("/", F.lit("products"), "product_key", F.lit("reviews"), "local_review_id")
+    place = F.row_number().over(Window.partitionBy("local_review_id").orderBy("image_stage", "image_index", "image_id"))
+    return images.join(of, "local_review_id").withColumns({"review_folder": folder, "image_order": place})
+
+
+def exported_images(watched: DataFrame, changed: DataFrame, images: DataFrame, reviews: DataFrame, affected: list[str], identified: int) -> DataFrame:
+    """JN14: images of a batch with was_new.  Batches of older stores have no observations (watched): if they identified more
+    images than they changed (changed: image_id), all images of the affected products stand for them, else the changed ones."""
+    if watched.limit(1).count():
+        return images.join(watched.select("image_id", "was_new"), "image_id")
+    new = changed.select("image_id", F.lit(1).alias("was_new")).distinct()
+    if identified > new.count():
+        mine = reviews.where(F.col("product_key").isin(*affected)).select("local_review_id")
+        return images.join(mine, "local_review_id", "left_semi").join(new, "image_id", "left").fillna(0, ["was_new"])
+    return images.join(new, "image_id")
+
+
+def export_tables(exported: DataFrame, reviews: DataFrame, products: DataFrame, created: DataFrame, found: int = 0, warnings: int = 0) -> dict[str, DataFrame]:
+    """AST10: image rows with path and status, counts of each review and product, and the metrics of a batch's export.
+
+    exported: images with was_new and extract_status; created: local_review_id of reviews that the batch has made."""
+    rows = exported.join(reviews.select("local_review_id", "product_key"), "local_review_id")
+    ok = text_or_empty(F.col("extract_status")).isin("embedded", "extracted")
+    path = F.concat_ws("/", F.lit("images"), "product_key", "local_review_id", F.col("image_id"))
+    rows = rows.withColumns({"relative_path": path, "export_status": F.when(ok, "success").otherwise("failed"), "new": F.col("was_new") == 1})
+    n = lambda c, name: F.count_if(F.coalesce(c, F.lit(False))).alias(name)
+    stage = lambda s: F.col("image_stage") == s
+    of_review = rows.groupBy("product_key", "local_review_id").agg(
+        n(stage("review") & F.col("new"), "new_review_image_count"), n(stage("append") & F.col("new"), "new_append_image_count"), n(F.col("new"), "new_total_image_count"),
+        n(stage("review"), "export_review_image_count"), n(stage("append"), "export_append_image_count"), F.count("*").alias("export_total_image_count"),
+    ).withColumn("review_folder", F.concat_ws("/", F.lit("images"), "product_key", "local_review_id"))
+    new_reviews = created.select("local_review_id").distinct().join(reviews.select("local_review_id", "product_key"), "local_review_id").groupBy("product_key").agg(F.count("*").alias("new_review_count"))
+    images_of = rows.groupBy("product_key").agg(n(F.col("new"), "new_image_count"), F.count("*").alias("export_image_count"))
+    of_product = products.select("product_key").distinct().join(new_reviews, "product_key", "left").join(images_of, "product_key", "left").fillna(0)
+    t = rows.agg(
+        F.count("*").alias("identified_image_count"), F.count_distinct("local_review_id").alias("review_with_image_count"), n(~F.col("new"), "historical_image_count"), n(stage("review") & F.col("new"), "new_review_image_count"),
+        n(stage("append") & F.col("new"), "new_append_image_count"), n(F.col("export_status") == "success", "exported_image_count"), n(F.col("export_status") == "failed", "failed_image_count"),
+    )
+    t = t.join(of_product.agg(F.count("*").alias("product_count"), F.coalesce(F.sum("new_review_count"), F.lit(0)).alias("new_review_count")))  # a row each
+    t = t.withColumns({"identified_review_count": F.lit(found).cast("long"), "warning_count": F.col("failed_image_count") + warnings})
+    metrics = ["product_count", "identified_review_count", "new_review_count", "review_with_image_count", "identified_image_count", "historical_image_count", "new_review_image_count", "new_append_image_count", "exported_image_count", "failed_image_count", "warning_count"]
+    summary = t.select(F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("long").alias("value")) for m in metrics))).alias("r")).select("r.*")
+    return {"images": rows.drop("new"), "reviews": of_review, "products": of_product, "summary": summary}
+
+
 def manifest_problems(listed: DataFrame, files: DataFrame) -> DataFrame:
     """AST11: paths that are unsafe, listed without a file, or files that are not listed."""
     l, f = listed.select("path", F.lit(True).alias("_l")), files.select("path", F.lit(True).alias("_f"))

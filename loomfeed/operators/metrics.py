@@ -221,6 +221,15 @@ def timing_totals(df: DataFrame, fields: list[str]) -> DataFrame:
     return df.agg(*(F.coalesce(F.sum(F.col(c).try_cast("double")), F.lit(0.0)).alias(f"total_{c}") for c in fields))
 
 
+def common_failures(failures: DataFrame, k: int = 5) -> DataFrame:
+    """AGG22: the k most frequent values of error_type and of error_message, most frequent first, then by value."""
+    parts = []
+    for field in ("error_type", "error_message"):
+        counts = failures.groupBy(text_or_empty(F.col(field)).alias("value")).agg(F.count("*").alias("n"))
+        parts.append(counts.orderBy(F.desc("n"), "value").limit(k).select(F.lit(field).alias("field"), "value", "n"))
+    return parts[0].union(parts[1])
+
+
 def pre_purchase_details(df: DataFrame) -> DataFrame:
     """AGG23."""
     return df.where(truthy(F.col("pre_purchase_decision")))

@@ -8,8 +8,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import Lexicon
-from ..operators import sentiment, snapshots
+from ..operators import assets, metrics, sentiment, snapshots
 from .adapters import ACTION_WORDS, DOCS, SOURCE_WORDS, content_docs, query, table
+from .models import IMAGES, _upsert
 
 WITH = f"WITH {DOCS}"
 _CAPTURES = """WITH e AS (SELECT 'u:' || CAST(user_id AS VARCHAR) AS item_key, event_id % 3 AS k, event_type || ' ' || CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) AS t FROM events),
@@ -93,3 +94,36 @@ def q_reanalyze(spark, d):
     master = docs.select("project_id", "content_id", "item_key", "content_role", "content_text_clean", "parent_text_clean", F.lit("").alias("sentiment_label"))
     lexicon = Lexicon(specific=SOURCE_WORDS, generic=(), weak=(), research=(), actions=ACTION_WORDS, purchase=(), decision=(), patterns={})
     return snapshots.reanalyze({"content_master": master, "analysis": old, "sentiment_fast": fast}, "p", lexicon, "v2").select("content_id", "item_key", "analysis_version", "sentiment_label")
+
+
+@query("""WITH f AS (SELECT 'E' || CAST(l_linenumber % 7 AS VARCHAR) AS t, 'part ' || CAST(l_partkey % 50 AS VARCHAR) AS m FROM lineitem WHERE l_returnflag = 'R')
+SELECT * FROM (SELECT 'error_type' AS field, t AS value, count(*) AS n FROM f GROUP BY 2 ORDER BY n DESC, value LIMIT 5) UNION ALL SELECT * FROM (SELECT 'error_message', m AS value, count(*) AS n FROM f GROUP BY 2 ORDER BY n DESC, value LIMIT 5)""")
+def q_common_failures(spark, d):
+    li = table(spark, d, "lineitem").where("l_returnflag = 'R'")
+    return metrics.common_failures(li.select(F.concat(F.lit("E"), (F.col("l_linenumber") % 7).cast("string")).alias("error_type"), F.concat(F.lit("part "), (F.col("l_partkey") % 50).cast("string")).alias("error_message")))
+
+
+def _export(spark, d):
+    after, watched = _upsert(spark, d)
+    orders = table(spark, d, "orders")
+    reviews = orders.select(F.col("o_orderkey").cast("string").alias("local_review_id"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("product_key"))
+    created = orders.where("o_orderstatus = 'O'").select(F.col("o_orderkey").cast("string").alias("local_review_id"))
+    images = after.withColumn("extract_status", F.when(F.col("image_index") == 1, "embedded").otherwise("missing"))
+    exported = assets.exported_images(watched, watched.select("image_id").limit(0), images, reviews, [], 0)
+    return assets.export_tables(exported, reviews, reviews.select("product_key"), created, found=3, warnings=2)
+
+
+_EXPORT = f"""WITH {IMAGES}, w AS (SELECT f.local_review_id, f.image_stage, o.content_sha256 IS NULL AS fresh FROM fresh f LEFT JOIN old o ON o.local_review_id = f.local_review_id AND o.image_stage = f.image_stage AND o.content_sha256 = f.content_sha256),
+pw AS (SELECT 'c' || CAST(o_custkey AS VARCHAR) AS product_key, w.* FROM w JOIN orders ON CAST(o_orderkey AS VARCHAR) = local_review_id),
+pr AS (SELECT 'c' || CAST(o_custkey AS VARCHAR) AS product_key, count(*) FILTER (WHERE o_orderstatus = 'O') AS new_review_count FROM orders GROUP BY 1)"""
+
+
+@query(f"""{_EXPORT}, g AS (SELECT product_key, count(*) FILTER (WHERE fresh) AS new_image_count, count(*) AS export_image_count FROM pw GROUP BY 1) SELECT pr.product_key, new_review_count, coalesce(new_image_count, 0) AS new_image_count, coalesce(export_image_count, 0) AS export_image_count FROM pr LEFT JOIN g ON g.product_key = pr.product_key""")
+def q_export_products(spark, d):
+    return _export(spark, d)["products"]
+
+
+@query(f"""{_EXPORT} SELECT 'product_count' AS metric, count(*) AS value FROM pr UNION ALL SELECT 'new_review_count', CAST(sum(new_review_count) AS BIGINT) FROM pr UNION ALL SELECT 'identified_review_count', 3 UNION ALL SELECT 'review_with_image_count', count(DISTINCT local_review_id) FROM pw UNION ALL SELECT 'identified_image_count', count(*) FROM pw
+UNION ALL SELECT 'historical_image_count', count(*) FROM pw WHERE NOT fresh UNION ALL SELECT 'new_review_image_count', count(*) FROM pw WHERE fresh AND image_stage = 'review' UNION ALL SELECT 'new_append_image_count', count(*) FROM pw WHERE fresh AND image_stage = 'append'""")
+def q_export_summary(spark, d):
+    return _export(spark, d)["summary"].where(~F.col("metric").isin("exported_image_count", "failed_image_count", "warning_count"))

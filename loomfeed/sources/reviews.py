@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import as_number, blank_to_null, parse_time, remove_invalid_xml_chars, text_or_empty, truthy
+from ..lineage import kept
+from ..shipping import ship
 
 REQUIRED = ("platform", "product_id", "review_text_raw")
 
@@ -48,6 +50,7 @@ def read_reviews_any(spark: SparkSession, path: str, encodings: tuple[str, ...]
                 rows = [{k.strip(): (v or "").strip() for k, v in r.items() if k} for r in csv.DictReader(io.StringIO(text, newline=""))]
                 yield pd.DataFrame([{"source_file": name, "seq": i, **{f: r.get(f, "") for f in fields}} for i, r in enumerate(rows, 1)], columns=["source_file", "seq", *fields])
 
+    ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[cC][sS][vV]").load(path)
     return clean_reviews(files.select("path", "content").mapInPandas(parse, f"source_file string, seq long, {', '.join(f'{f} string' for f in fields)}"))
 
@@ -104,9 +107,59 @@ def console_frame(df: DataFrame, numbers: tuple[str, ...] = (), flags: tuple[str
     return df.withColumns({**{c: as_number(have(c)) for c in numbers}, **{c: truthy(have(c)) for c in flags}, **{c: text_or_empty(have(c)) for c in texts}, "evidence_level": F.when(level.isin("A", "B", "C", "D"), level).otherwise("")})
 
 
-def input_problems(files: DataFrame, rows: DataFrame | None = None, most_files: int = 10, most_bytes: int = 20 << 20, most_total: int = 50 << 20, most_rows: int = 50_000, suffixes: tuple[str, ...] = ("html", "htm", "csv")) -> DataFrame:
-    """SRC11: (path, reason) of what a batch of files (path, length) must not have; rows: (path, rows) of its tables."""
-    each = files.select("path", F.explode(F.array_compact(F.array(F.when(~F.lower(F.regexp_extract("path", r"\.([^.\\/]+)$", 1)).isin(*suffixes), "suffix"), F.when(F.col("length") > most_bytes, "file too large")))).alias("reason"))
+def require_rows(df: DataFrame, what: str = "reviews") -> DataFrame:
+    """SRC1: df, if it has a row."""
+    if not df.limit(1).count():
+        raise ValueError(f"no {what} are left: every row lacks a platform, a product or a text")
+    return df
+
+
+def one_product(df: DataFrame, banned: tuple[str, ...] = ()) -> DataFrame:
+    """SRC3: file_identity of files that each hold exactly one product; others are refused."""
+    found = file_identity(df, banned)
+    wrong = [r.source_file for r in found.where("product_count <> 1").select("source_file").limit(5).collect()]
+    if wrong:
+        raise ValueError(f"files with more than one product: {', '.join(wrong)}")
+    return found
+
+
+def archive_sizes(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """SRC11: path, length, expanded (bytes of an archive's members, else of the file), encrypted and broken of each file."""
+    ship(spark)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+
+    def look(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import io
+        import zipfile
+
+        def of(data: bytes) -> tuple[int, bool, bool]:
+            if data[:4] != b"PK\x03\x04":
+                return len(data), False, False
+            try:
+                with zipfile.ZipFile(io.BytesIO(data)) as z:
+                    members = z.infolist()
+            except (zipfile.BadZipFile, OSError):
+                return len(data), False, True
+            return sum(m.file_size for m in members), any(m.flag_bits & 1 for m in members), False
+
+        for x in it:
+            found = [of(bytes(b)) for b in x["content"]]
+            yield x[["path", "length"]].assign(expanded=[f[0] for f in found], encrypted=[f[1] for f in found], broken=[f[2] for f in found])
+
+    return files.select("path", "length", "content").mapInPandas(look, "path string, length long, expanded long, encrypted boolean, broken boolean")
+
+
+def input_problems(
+    files: DataFrame, rows: DataFrame | None = None, most_files: int = 10, most_bytes: int = 20 << 20, most_total: int = 50 << 20, most_rows: int = 50_000, suffixes: tuple[str, ...] = ("html", "htm", "csv"),
+    most_expanded: int = 80 << 20,
+) -> DataFrame:
+    """SRC11: (path, reason) of what a batch of files (path, length; of archive_sizes also expanded, encrypted and broken) must
+    not have; rows: (path, rows) of its tables.  An import of assets passes limits of its own."""
+    reasons = [F.when(~F.lower(F.regexp_extract("path", r"\.([^.\\/]+)$", 1)).isin(*suffixes), "suffix"), F.when(F.col("length") > most_bytes, "file too large")]
+    for column, test, reason in (("expanded", F.col("expanded") > most_expanded if "expanded" in files.columns else None, "archive too large"), ("encrypted", F.col("encrypted") if "encrypted" in files.columns else None, "encrypted archive"), ("broken", F.col("broken") if "broken" in files.columns else None, "broken archive")):
+        if column in files.columns:
+            reasons.append(F.when(test, reason))
+    each = files.select("path", F.explode(F.array_compact(F.array(*reasons))).alias("reason"))
     t = files.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("total"))
     whole = t.select(F.lit("*").alias("path"), F.explode(F.array_compact(F.array(F.when(F.col("n") > most_files, "too many files"), F.when(F.col("total") > most_total, "batch too large")))).alias("reason"))
     out = each.union(whole)
@@ -119,17 +172,36 @@ def sanitized(df: DataFrame) -> DataFrame:
 
 
 def save_version(tables: dict[str, DataFrame], path: str, version: int, keys: dict[str, list[str]] | None = None) -> str:
-    """SNK2: write tables as a new version beside those before it, and check their counts and keys; the earlier one stays."""
-    target = f"{path}/v={version}"
+    """SNK2: write tables as a new version beside those before it, check their counts and keys, and publish it last, as a row of
+    the table `versions`.  A version that fails a check, or whose writing stops half-way, is never published: readers (see
+    current_version) keep the one before, which stays where it is."""
+    spark, target = next(iter(tables.values())).sparkSession, f"{path}/v={version}"
+    counts = {}
     for name, df in tables.items():
-        df.write.mode("errorifexists").parquet(f"{target}/{name}")
-    for name, key in (keys or {}).items():
-        back = next(iter(tables.values())).sparkSession.read.parquet(f"{target}/{name}")
-        if back.groupBy(*key).count().where("count > 1").limit(1).count():
+        rows = kept(df)  # counted and written from one and the same result
+        counts[name] = rows.count()
+        rows.write.mode("errorifexists").parquet(f"{target}/{name}")
+    for name, n in counts.items():
+        back = spark.read.schema(tables[name].schema).parquet(f"{target}/{name}")
+        if back.count() != n:
+            raise ValueError(f"{name}: {n} rows were to be written, version {version} has {back.count()}")
+        key = (keys or {}).get(name)
+        if key and back.groupBy(*key).count().where("count > 1").limit(1).count():
             raise ValueError(f"{name}: keys {key} are not unique in version {version}")
+    spark.createDataFrame([(version,)], "version long").coalesce(1).write.mode("append").parquet(f"{path}/versions")
     return target
 
 
+def current_version(spark: SparkSession, path: str) -> int | None:
+    """SNK2: the latest published version; null if there is none."""
+    try:
+        return spark.read.schema("version long").parquet(f"{path}/versions").agg(F.max("version")).first()[0]
+    except Exception as e:  # only a path that is not there means that nothing has been published
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+
+
 def write_csv(df: DataFrame, path: str, bom: bool = True) -> None:
     """SNK3: CSV with a header; the first header begins with a byte order mark if spreadsheets are to read it."""
     first, *rest = df.columns

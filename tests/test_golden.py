@@ -402,10 +402,44 @@ def test_stores(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "log")).count() == 2
     with pytest.raises(ValueError, match="not unique"):
         reviews.save_version({"x": df.union(df)}, str(tmp_path), 2, {"x": ["t"]})
+    assert reviews.current_version(spark, str(tmp_path)) == 1 and reviews.current_version(spark, str(tmp_path / "none")) is None
+    reviews.save_version({"x": df.union(df)}, str(tmp_path), 3)
+    assert reviews.current_version(spark, str(tmp_path)) == 3
     console = reviews.console_frame(spark.createDataFrame([("x", "yes", "b")], "n string, f string, ai_influence_level string"), ("n", "m"), ("f",), ("t",)).first()
     assert (console.n, console.m, console.f, console.evidence_level) == (0, 0, True, "B")
 
 
+def test_inputs_are_checked(spark, tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "big.html", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("index.html", "x" * 100_000)
+    (tmp_path / "bad.html").write_bytes(b"PK\x03\x04 broken")
+    (tmp_path / "ok.html").write_text("fine", encoding="utf-8")
+    found = reviews.input_problems(reviews.archive_sizes(spark, str(tmp_path)).withColumn("path", F.element_at(F.split("path", "/"), -1)), most_expanded=50_000)
+    assert rows(found, "path", "reason") == [("bad.html", "broken archive"), ("big.html", "archive too large")]
+    df = spark.createDataFrame([("f", 1, "jd", "1", "t", "", ""), ("f", 2, "jd", "2", "t", "", "")], "source_file string, seq int, platform string, product_id string, product_title string, shop_name string, product_url string")
+    with pytest.raises(ValueError, match="more than one product"):
+        reviews.one_product(df)
+    assert reviews.one_product(df.limit(1)).first().product_count == 1 and reviews.require_rows(df).count() == 2
+    with pytest.raises(ValueError, match="no reviews are left"):
+        reviews.require_rows(df.limit(0))
+
+
+def test_exports_of_older_batches(spark):
+    images = spark.createDataFrame([("i1", "r1", "review", 1, "embedded"), ("i2", "r1", "append", 1, "missing"), ("i3", "r2", "review", 1, "embedded")], "image_id string, local_review_id string, image_stage string, image_index int, extract_status string")
+    of = spark.createDataFrame([("r1", "p1"), ("r2", "p2")], "local_review_id string, product_key string")
+    none, one = spark.createDataFrame([], "image_id string, was_new int"), spark.createDataFrame([("i1",)], "image_id string")
+    pick = lambda df: rows(df, "image_id", "was_new")
+    assert pick(assets.exported_images(spark.createDataFrame([("i3", 1)], none.schema), one, images, of, ["p1"], 5)) == [("i3", 1)]
+    assert pick(assets.exported_images(none, one, images, of, ["p1"], 5)) == [("i1", 1), ("i2", 0)]  # more identified than changed: all of the products
+    assert pick(assets.exported_images(none, one, images, of, ["p1"], 1)) == [("i1", 1)]
+    out = assets.export_tables(assets.exported_images(none, one, images, of, ["p1"], 5), of, of.select("product_key"), one.select(F.lit("r1").alias("local_review_id")), found=7)
+    assert {r.metric: r.value for r in out["summary"].collect()} == {"product_count": 2, "identified_review_count": 7, "new_review_count": 1, "review_with_image_count": 1, "identified_image_count": 2, "historical_image_count": 1, "new_review_image_count": 1, "new_append_image_count": 0, "exported_image_count": 1, "failed_image_count": 1, "warning_count": 1}
+    assert rows(out["images"], "relative_path", "export_status") == [("images/p1/r1/i1", "success"), ("images/p1/r1/i2", "failed")]
+    assert rows(assets.product_images(of, images), "image_id", "review_folder", "image_order") == [("i1", "products/p1/reviews/r1", 2), ("i2", "products/p1/reviews/r1", 1), ("i3", "products/p2/reviews/r2", 1)]
+
+
 def test_pages(spark, tmp_path):
     html = '<link rel="canonical" href="https://detail.tmall.com/item.htm?id=42"><div class="review-item" data-comment-id="r1"><div class="review-content">很好的灯</div><span class="user-name">u1</span><span>2026-07-01</span><img src="data:image/png;base64,aGk="></div><div class="review-item"><p class="review-content">x</p></div>'
     (tmp_path / "p.html").write_text(html, encoding="utf-8")
