@@ -1,6 +1,11 @@
 """The corpus pipeline: five stages over the documents table, each written as Parquet and read again as the next one's input.
 
 Every stage but the last returns the columns of documents; the last returns the pieces of packed sequences.
+
+Defined cases: documents with null text, or text without a letter, have no language and go in the first stage, as do those whose
+language is not certain (all of them where no document has a label); of equal or near texts the least key stays, of rows with one
+key one; rows with a null key are kept by the second stage, since none can name them, and judged as one by the third; an empty
+benchmark removes nothing; an empty table gives no pieces; very long texts are read whole by every stage.
 """
 
 from __future__ import annotations
