@@ -105,7 +105,7 @@ def q_product_id(spark, d):
 
 
 _LI = r"<li><a href=\"([^\"]*)\">([^<]*)</a></li>"
-_LIS = """p AS (SELECT page_id, html, regexp_extract_all(html, '<li><a href="[^"]*">[^<]*</a></li>') AS lis FROM pages), x AS (SELECT page_id, unnest(lis) AS li, unnest(range(len(lis))) AS i FROM p),
+LIS = """p AS (SELECT page_id, html, regexp_extract_all(html, '<li><a href="[^"]*">[^<]*</a></li>') AS lis FROM pages), x AS (SELECT page_id, unnest(lis) AS li, unnest(range(len(lis))) AS i FROM p),
 c AS (SELECT CAST(page_id AS VARCHAR) AS page, i, trim(regexp_extract(li, '<li><a href="([^"]*)">([^<]*)</a></li>', 2)) AS t, trim(regexp_extract(li, '<li><a href="([^"]*)">([^<]*)</a></li>', 1)) AS h FROM x)"""
 
 
@@ -130,20 +130,24 @@ def q_page_title(spark, d):
     return pages_source.page_products(_pages(spark, d).withColumn("html", F.regexp_replace(html, "<h1>", '<h1 class="shop-name">')))
 
 
-@query(f"""WITH {_LIS} SELECT page, any_value(t) AS text, CAST(0.6 AS DOUBLE) AS confidence, 0 AS image_count, CAST(NULL AS BIGINT) AS like_count FROM c WHERE length(t) BETWEEN 4 AND 5000 AND NOT regexp_matches(t, '^[0-9]+$') GROUP BY page, md5(t)""")
+@query(f"""WITH {LIS} SELECT page, any_value(t) AS text, CAST(0.6 AS DOUBLE) AS confidence, 0 AS image_count, CAST(NULL AS BIGINT) AS like_count FROM c WHERE length(t) BETWEEN 4 AND 5000 AND NOT regexp_matches(t, '^[0-9]+$') GROUP BY page, md5(t)""")
 def q_page_rows(spark, d):
     """Entries of each page's menu as its cards: their text is the one line of their block."""
     nodes = pages_source.card_nodes(table(spark, d, "pages").withColumn("html", F.regexp_replace("html", "<li>", '<li class="review-item">')))
     return pages_source.reviews_of_pages(nodes).select("page", "text", "confidence", "image_count", F.col("like_count").cast("long").alias("like_count"))
 
 
-@query(f"""WITH {_LIS}, q AS (SELECT page, i, trim(regexp_replace(t, '^\\s*(?:问题|问|Q)\\s*[:：]?\\s*', '')) AS question, h AS answer FROM c) SELECT page, question, answer, CAST(0.9 AS DOUBLE) AS confidence, false AS is_buyer_answer FROM q WHERE question <> '' GROUP BY page, question, answer""")
+@query(f"""WITH {LIS}, q AS (SELECT page, i, trim(regexp_replace(t, '^\\s*(?:问题|问|Q)\\s*[:：]?\\s*', '')) AS question, h AS answer FROM c) SELECT page, question, answer, CAST(0.9 AS DOUBLE) AS confidence, false AS is_buyer_answer FROM q WHERE question <> '' GROUP BY page, question, answer""")
 def q_page_qa(spark, d):
     """Entries of each page's menu as its questions, their links as the answers."""
-    html = F.regexp_replace("html", _LI, '<li class="qa-item"><b class="question-text">$2</b><i class="answer-text">$1</i></li>')
-    rows = table(spark, d, "pages").withColumn("html", html)
-    meta = rows.select(F.col("page_id").cast("string").alias("page"), F.lit("tmall").alias("platform"), F.lit("").alias("product_id"), F.lit(False).alias("marked"))
-    return pages_source.questions_of_pages(pages_source.card_nodes(rows, kind="question"), meta).select("page", "question", "answer", "confidence", "is_buyer_answer")
+    asked, meta = question_pages(table(spark, d, "pages"))
+    return pages_source.questions_of_pages(pages_source.card_nodes(asked, kind="question"), meta).select("page", "question", "answer", "confidence", "is_buyer_answer")
+
+
+def question_pages(rows):
+    """Pages whose menus are questions and answers, and what is known of them."""
+    asked = rows.withColumn("html", F.regexp_replace("html", _LI, '<li class="qa-item"><b class="question-text">$2</b><i class="answer-text">$1</i></li>'))
+    return asked, rows.select(F.col("page_id").cast("string").alias("page"), F.lit("tmall").alias("platform"), F.lit("").alias("product_id"), F.lit(False).alias("marked"))
 
 
 @query("""WITH f AS (SELECT doc_id, 'f' || CAST(doc_id AS VARCHAR) || CASE WHEN doc_id % 5 = 0 THEN '.exe' ELSE '.HTML' END AS path, length(text) AS n FROM documents) SELECT path, 'suffix' AS reason FROM f WHERE doc_id % 5 = 0 UNION ALL SELECT path, 'file too large' FROM f WHERE n > 5000 UNION ALL SELECT '*', 'too many files' WHERE (SELECT count(*) FROM f) > 10 UNION ALL SELECT '*', 'batch too large' WHERE (SELECT sum(n) FROM f) > 100000""")

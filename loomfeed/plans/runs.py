@@ -7,10 +7,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..functions.lexicon import Lexicon
 from ..operators import assets, metrics, sentiment, snapshots
+from ..sources import pages
 from .adapters import ACTION_WORDS, DOCS, SOURCE_WORDS, content_docs, query, table
-from .models import IMAGES, _upsert
+from .models import IMAGES, LIS, _upsert, question_pages
 
 WITH = f"WITH {DOCS}"
 _CAPTURES = """WITH e AS (SELECT 'u:' || CAST(user_id AS VARCHAR) AS item_key, event_id % 3 AS k, event_type || ' ' || CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) AS t FROM events),
@@ -127,3 +129,60 @@ def q_export_products(spark, d):
 UNION ALL SELECT 'historical_image_count', count(*) FROM pw WHERE NOT fresh UNION ALL SELECT 'new_review_image_count', count(*) FROM pw WHERE fresh AND image_stage = 'review' UNION ALL SELECT 'new_append_image_count', count(*) FROM pw WHERE fresh AND image_stage = 'append'""")
 def q_export_summary(spark, d):
     return _export(spark, d)["summary"].where(~F.col("metric").isin("exported_image_count", "failed_image_count", "warning_count"))
+
+
+# Functions of texts and times, and lists of contents
+
+
+@query(f"""{WITH} SELECT content_id, array_to_string(list_filter(list_transform(string_split_regex(content_text_clean, '[\\r\\n]+'), lambda x: trim(regexp_replace(x, '[ \\t\\f\\x0B]+', ' ', 'g'), ' |')), lambda x: x <> ''), '/') AS lines FROM docs""")
+def q_visible_lines(spark, d):
+    return content_docs(spark, d).select("content_id", F.array_join(X.split_visible_lines(F.col("content_text_clean")), "/").alias("lines"))
+
+
+@query("SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS at FROM events")
+def q_strict_seconds(spark, d):
+    e = table(spark, d, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("t"))
+    return e.select("event_id", F.date_format(X.strict_seconds(F.col("t")), "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+@query("SELECT user_id, CASE WHEN count(*) FILTER (WHERE event_id % 3 <> 0) = 0 THEN '' ELSE strftime(max(ts) FILTER (WHERE event_id % 3 <> 0), '%Y-%m-%d %H:%M') END AS latest FROM events GROUP BY 1")
+def q_latest_minute(spark, d):
+    """Times in two formats, a third of them unreadable."""
+    t = F.when(F.col("event_id") % 3 == 0, "yesterday").when(F.col("event_id") % 3 == 1, F.date_format("ts", "yyyy/MM/dd HH:mm:ss")).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    return table(spark, d, "events").select("user_id", t.alias("t")).groupBy("user_id").agg(X.latest_minute(F.col("t")).alias("latest"))
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'tmall' WHEN 1 THEN 'taobao' WHEN 2 THEN 'taobao' ELSE '' END AS platform, CASE WHEN c_custkey % 4 = 3 THEN '' ELSE CAST(c_custkey AS VARCHAR) END AS item FROM customer""")
+def q_product_reference(spark, d):
+    k = F.col("c_custkey").cast("string")
+    links = [F.concat(F.lit("look https://detail.tmall.com/item.htm?x=1&id="), k, F.lit(". please")), F.concat(F.lit("http://item.taobao.com/i"), k, F.lit(".htm")), F.concat(F.lit("(https://m.taobao.com/a?itemId="), k, F.lit(")")), F.concat(F.lit("https://nottmall.com/?id="), k)]
+    text = links[3]
+    for i in range(3):
+        text = F.when(F.col("c_custkey") % 4 == i, links[i]).otherwise(text)
+    platform, item = X.product_reference(text)
+    return table(spark, d, "customer").select("c_custkey", platform.alias("platform"), item.alias("item"))
+
+
+@query(f"{WITH} SELECT content_id AS i, 'e' || CAST(seq % 7 AS VARCHAR) AS e FROM docs WHERE seq % 5 <> 0")
+def q_valid_detail(spark, d):
+    """Detailed results as JSON lines, ten of a batch; of a fifth a field is missing."""
+    docs = content_docs(spark, d)
+    line = F.to_json(F.struct(F.col("content_id").alias("i"), F.concat(F.lit("e"), (F.col("seq") % 7).cast("string")).alias("e"), F.lit("r").alias("r"), F.when(F.col("seq") % 5 != 0, "g").alias("g")))
+    responses = docs.groupBy((F.col("seq") % 100).cast("string").alias("batch_id")).agg(F.array_join(F.collect_list(line), "\n").alias("response"))
+    return sentiment.valid_detail(sentiment.parsed_lines(responses)).select("i", "e")
+
+
+@query(f"{WITH} SELECT content_id, sha256(lower(trim(regexp_replace(content_text_clean, '\\s+', ' ', 'g'))) || chr(31) || lower(user_name_masked)) AS fingerprint FROM docs")
+def q_fingerprint(spark, d):
+    return content_docs(spark, d).select("content_id", assets.fingerprint(F.col("content_text_clean"), F.col("user_name_masked")).alias("fingerprint"))
+
+
+@query(f"""WITH {LIS}, q AS (SELECT page, trim(regexp_replace(t, '^\\s*(?:问题|问|Q)\\s*[:：]?\\s*', '')) AS question, h AS answer FROM c), r AS (SELECT DISTINCT page, t FROM c WHERE length(t) BETWEEN 4 AND 5000 AND NOT regexp_matches(t, '^[0-9]+$'))
+SELECT page, 'review' AS content_role, count(*) AS n FROM r GROUP BY 1 UNION ALL SELECT page, 'question', count(DISTINCT question) FROM q WHERE question <> '' GROUP BY 1 UNION ALL SELECT page, 'answer', count(DISTINCT question || chr(31) || answer) FROM q WHERE question <> '' GROUP BY 1""")
+def q_page_contents(spark, d):
+    """Entries of each page's menu as reviews, and again as questions with their links as answers: one list of contents."""
+    rows = table(spark, d, "pages")
+    cards = pages.reviews_of_pages(pages.card_nodes(rows.withColumn("html", F.regexp_replace("html", "<li>", '<li class="review-item">'))))
+    asked, meta = question_pages(rows)
+    contents = pages.content_all_of(pages.contents_of(cards, pages.questions_of_pages(pages.card_nodes(asked, kind="question"), meta)))
+    return contents.groupBy("page", "content_role").agg(F.count("*").alias("n"))
