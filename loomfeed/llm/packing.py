@@ -24,26 +24,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, distinct, hash_spans, map_arrow, mix64, parts_for, read_table, stage_table, window_hashes
+from .common import batches, distinct, hash_spans, map_arrow, mix64, parts_for, read_table, slices, stage_table, window_hashes
 from .tokens import WordTokenizer, crc32_of, default_tokenizer, from_payload, to_payload
 
 WINDOW = 4096
 #: Ids in a shard of the index.
 SHARD_IDS = 2_000_000
+#: Terms are hashes of so many bits; the others leave room for the number of a document among OWNERS, so that one sort finds both.
+TERM_BITS = 48
+_SPARE, OWNERS = np.uint64(64 - TERM_BITS), 1 << 64 - TERM_BITS
 #: Terms whose document frequencies may be broadcast (12 bytes each), and distinct terms that a task counts before it hands them on.
-TERMS, COUNTED = 4_000_000, 2_000_000
+TERMS, COUNTED = 4_000_000, 500_000
+#: Ids whose terms are hashed in one numpy step.
+TERMS_AT_ONCE = 1 << 18
 #: A term in one of so many units of a shard has its weights in a row of a matrix, not in a list.
 DENSE = 4
+#: Bytes of ids by which documents are weighed when they are dealt to parts.
+WEIGHED = 4096
+#: Neighbours that are sorted first.
+FIRST = 256
 #: Bits of a spot, by which documents are dealt: of the least hash, and of the lot (52 together: exact as a double).
 ROUTE_BITS, LOT_BITS = 36, 16
 K1, B = 1.2, 0.75
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def terms_of(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each piece of a word: a run of ids up to one that ends a word."""
-    stops = np.flatnonzero(ends[ids]) + 1
-    return hash_spans(ids, np.concatenate([[0], stops[:-1]]).astype(np.int64), stops) if len(stops) else np.zeros(0, dtype=np.uint64)
+def unit_terms(units: list[np.ndarray], ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (of TERM_BITS) of the pieces of words of all units in turn, and their number in each.  A piece is a run of ids up to
+    one that ends a word; what a unit begins with counts as a whole piece."""
+    terms, counts = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
+    for a, b in slices([len(x) for x in units], TERMS_AT_ONCE):
+        ids, begins = np.concatenate(units[a:b]), np.cumsum([0, *map(len, units[a:b])])
+        stops = np.flatnonzero(ends[ids]) + 1
+        owner = np.searchsorted(begins, stops - 1, side="right") - 1
+        starts = np.maximum(np.concatenate([[0], stops[:-1]]).astype(np.int64), begins[owner]) if len(stops) else stops
+        terms.append(hash_spans(ids, starts, stops) >> _SPARE)
+        counts.append(np.bincount(owner, minlength=b - a))
+    return np.concatenate(terms), np.concatenate(counts)
 
 
 def routes_and_terms(ids: np.ndarray, offsets: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -55,23 +72,27 @@ def routes_and_terms(ids: np.ndarray, offsets: np.ndarray, ends: np.ndarray) ->
     starts = np.concatenate([[0], stops[:-1]])
     owner = np.searchsorted(offsets, starts, side="right") - 1
     term = stops != offsets[owner + 1]  # what holds the end id is none
-    hashes, owner = hash_spans(ids, starts[term], stops[term]), owner[term]
+    hashes, owner = hash_spans(ids, starts[term], stops[term]) >> _SPARE, owner[term]
     routes, firsts = np.zeros(n, dtype=np.int64), np.searchsorted(owner, np.arange(n + 1))
     if len(hashes):
         pair = np.full(len(hashes), np.iinfo(np.uint64).max, dtype=np.uint64)
         pair[:-1] = np.where(owner[1:] == owner[:-1], window_hashes(hashes, 2), pair[:-1])
         alone = firsts[:-1][np.diff(firsts) == 1]
-        pair[alone] = hashes[alone]
+        pair[alone] = mix64(hashes[alone])
         some = np.diff(firsts) > 0
         routes[some] = (np.minimum.reduceat(pair, firsts[:-1][some]) >> np.uint64(1)).astype(np.int64)
     return routes, np.diff(firsts), hashes, owner
 
 
-def distinct_terms(terms: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """The terms with each once for each of its owners (small numbers that ascend)."""
-    order = np.lexsort((terms, owner))
-    terms, owner = terms[order], owner[order]
-    return terms[np.concatenate([[True], (terms[1:] != terms[:-1]) | (owner[1:] != owner[:-1])])] if len(terms) else terms
+def count_documents(terms: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each term once, and how many of the owners (0 and up, in ascending order) have it; by sorts of OWNERS owners at a time."""
+    found = []
+    for first in range(0, int(owner[-1]) + 1 if len(owner) else 0, OWNERS):
+        a, b = np.searchsorted(owner, (first, first + OWNERS))
+        both = distinct((terms[a:b] << _SPARE) | (owner[a:b] - first).astype(np.uint64)) >> _SPARE
+        firsts = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+        found.append((both[firsts], np.diff(np.append(firsts, len(both)))))
+    return found[0] if len(found) == 1 else count_terms(*(np.concatenate([x[i] for x in found]) if found else np.zeros(0, t) for i, t in ((0, np.uint64), (1, np.int64))))
 
 
 def count_terms(terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,11 +110,10 @@ class _Counter:
         self.held: list[tuple[np.ndarray, np.ndarray]] = []
         self.size = 0
 
-    def add(self, terms: np.ndarray) -> bool:
+    def add(self, terms: np.ndarray, counts: np.ndarray) -> bool:
         """Whether it is full."""
-        if len(terms):
-            self.held.append(count_terms(terms, np.ones(len(terms), dtype=np.int64)))
-            self.size += len(self.held[-1][0])
+        self.held.append((terms, counts))
+        self.size += len(terms)
         if self.size >= COUNTED and len(self.held) > 1:
             self.held = [self.take()]
             self.size = len(self.held[0][0])
@@ -120,7 +140,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text:
         for batch, texts in batches(it):
             all_ids, offsets = t.encode(texts)
             routes, n_terms, terms, owner = routes_and_terms(all_ids, offsets, t.ends)
-            full = counter.add(distinct_terms(terms, owner))
+            full = counter.add(*count_documents(terms, owner))
             payloads = [to_payload(all_ids[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             n = len(texts)
             lots = mix64(np.arange(done, done + n, dtype=np.uint64)) & np.uint64((1 << LOT_BITS) - 1)
@@ -166,10 +186,9 @@ class Frequencies:
 class Index:
     """BM25 over the units of a shard: postings by term, with the weight of each."""
 
-    def __init__(self, units: list[np.ndarray], frequencies: Frequencies, mean: float):
-        n = len(units)
-        sizes = np.array([len(x) for x in units], dtype=np.int64)
-        terms = np.concatenate(units) if n else np.zeros(0, dtype=np.uint64)
+    def __init__(self, terms: np.ndarray, sizes: np.ndarray, frequencies: Frequencies, mean: float):
+        """terms of all units in turn, sizes: their number in each."""
+        n = len(sizes)
         owner = np.repeat(np.arange(n), sizes)
         names, term = np.unique(terms, return_inverse=True)
         idf = frequencies.idf(names)
@@ -199,11 +218,15 @@ class Index:
         at = np.arange(sizes.sum()) + np.repeat(a - (np.cumsum(sizes) - sizes), sizes)
         return np.bincount(self.unit[at], weights=self.weight[at], minlength=self.n) + asked @ self.rows
 
-    def neighbours(self, seed: int, waiting: np.ndarray) -> np.ndarray:
-        """All waiting units that share a term with the seed, the best first."""
+    def neighbours(self, seed: int, waiting: np.ndarray) -> Iterator[int]:
+        """All waiting units that share a term with the seed, the best first.  The first FIRST or so are sorted at once, the
+        others when they are asked for."""
         scores = self.scores(seed)
         some = np.flatnonzero(waiting & (scores > 0))
-        return some[np.lexsort((some, -scores[some]))]
+        own = scores[some]
+        limit = np.partition(own, len(own) - FIRST)[len(own) - FIRST] if len(own) > FIRST else -1.0
+        for part in (own > limit, own <= limit):
+            yield from some[part][np.argsort(-own[part], kind="stable")].tolist()
 
 
 def pack_shard(documents: list[tuple[int | None, np.ndarray]], ends: np.ndarray, frequencies: Frequencies, mean: float, first: int, window: int = WINDOW) -> tuple[list[tuple], int]:
@@ -223,8 +246,8 @@ def pack_shard(documents: list[tuple[int | None, np.ndarray]], ends: np.ndarray,
             number += 1
         begin.append(whole)
         stop.append(len(ids))
-        units.append(terms_of(ids[whole:], ends))
-    index = Index(units, frequencies, mean)
+        units.append(ids[whole:])
+    index = Index(*unit_terms(units, ends), frequencies, mean)
     begin, stop = np.array(begin, dtype=np.int64), np.array(stop, dtype=np.int64)
     waiting = begin < stop
     by_size = np.lexsort((np.arange(len(begin)), begin - stop)).tolist()
@@ -250,7 +273,7 @@ def pack_shard(documents: list[tuple[int | None, np.ndarray]], ends: np.ndarray,
 
         room = take(seed, room)
         if room:
-            for u in index.neighbours(seed, waiting).tolist():
+            for u in index.neighbours(seed, waiting):
                 if not room:
                     break
                 room = take(u, room)
@@ -286,7 +309,9 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, window: int =
     rows = encoded.where("ids is not null").select("doc_id", "n_terms", "spot", "ids")
     count, mean, n_bytes = rows.agg(F.count("*"), F.coalesce(F.avg("n_terms"), F.lit(0.0)), F.sum(F.octet_length("ids").cast("long"))).first()
     n = parts_for(spark, n_bytes)
-    cuts = np.array(rows.approxQuantile("spot", [i / n for i in range(1, n)], 1 / (20 * n)) if count and n > 1 else [], dtype=np.int64)
+    # Parts of about equal size: a document counts once for each WEIGHED bytes that it has begun.
+    weighed = rows.select("spot", F.explode(F.sequence(F.lit(0), F.floor(F.octet_length("ids") / WEIGHED).cast("int"))))
+    cuts = np.array(weighed.approxQuantile("spot", [i / n for i in range(1, n)], 1 / (20 * n)) if count and n > 1 else [], dtype=np.int64)
     frequencies = document_frequencies(encoded)
     broadcast = frequencies.count() <= TERMS
     known = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -310,12 +335,12 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, window: int =
         ends = WordTokenizer.of(tokenizer).ends
         for batch in it:
             part = np.searchsorted(limits.value, batch.column(1).to_numpy(), side="right")
-            of_part: dict[int, list[np.ndarray]] = {}
+            of_part: dict[int, list[np.ndarray]] = {}  # the units of each
             for p, payload in zip(part.tolist(), batch.column(2).to_pylist(), strict=True):
                 ids = from_payload(payload)
-                of_part.setdefault(p, []).append(terms_of(ids[len(ids) // window * window :], ends))
-            for p, terms in of_part.items():
-                terms = distinct(np.concatenate(terms)).view(np.int64)
+                of_part.setdefault(p, []).append(ids[len(ids) // window * window :])
+            for p, units in of_part.items():
+                terms = distinct(unit_terms(units, ends)[0]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(terms), p, dtype=np.int64)), pa.array(terms)], ["part", "term"])
 
     def pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,7 +385,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, window: int =
     if not broadcast:
         asked = map_arrow(documents, wanted, "part long, term long").distinct().join(frequencies, "term")
         dealt = dealt.unionByName(asked.select("part", "term", "n"), allowMissingColumns=True)
-    parts = dealt.repartitionByRange(n, "part").sortWithinPartitions("part", F.col("term").isNull(), "spot", "doc_id", "ids")
+    parts = dealt.repartitionById(n, F.col("part").cast("int")).sortWithinPartitions("part", F.col("term").isNull(), "spot", "doc_id", "ids")
     return map_arrow(parts, pack, PIECES)
 
 

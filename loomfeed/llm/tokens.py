@@ -15,7 +15,7 @@ from itertools import repeat
 import numpy as np
 
 #: Words that a worker remembers; then it starts anew.
-MEMORY = 1_200_000
+MEMORY = 900_000
 END_ID = 2
 _TAIL = re.compile(rb"([^\x00-\x20a-z0-9\x7f-\xff]+)$")
 

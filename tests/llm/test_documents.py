@@ -394,7 +394,7 @@ def test_packing(docs, empty, texts):
 
 
 def _all_known(units, ends):
-    terms = [np.unique(packing.terms_of(ids, ends)) for _, ids in units]
+    terms = [np.unique(packing.unit_terms([ids], ends)[0]) for _, ids in units]
     names, n = np.unique(np.concatenate(terms), return_counts=True)
     return packing.Frequencies(names[n > 1], n[n > 1], len(units))
 
@@ -425,20 +425,23 @@ def brute_bm25(texts, seed, n_docs, df, mean):
     return out
 
 
-def test_packing_ranks_as_bm25_over_all_documents():
+def test_packing_ranks_as_bm25_over_all_documents(monkeypatch):
     """The whole ranking of the index, terms in most documents among them, is that of BM25 by hand."""
     rng = np.random.default_rng(4)
     ends = np.ones(3000, bool)
     units = [np.concatenate([rng.zipf(1.3, rng.integers(5, 90)) % 2990 + 3, [END_ID]]).astype(np.uint32) for _ in range(300)]
-    terms = [packing.terms_of(x, ends) for x in units]
+    terms = [packing.unit_terms([x], ends)[0] for x in units]
+    together = packing.unit_terms(units, ends)
+    assert together[0].tolist() == [w for t in terms for w in t.tolist()] and together[1].tolist() == [len(t) for t in terms]
     df = Counter(w for t in terms for w in set(t.tolist()))
     mean = np.mean([len(t) for t in terms])
-    index = packing.Index(terms, _all_known([(0, x) for x in units], ends), mean)
+    index = packing.Index(*together, _all_known([(0, x) for x in units], ends), mean)
     waiting = np.ones(300, bool)
+    monkeypatch.setattr(packing, "FIRST", 40)
     for seed in range(0, 300, 17):
         want = brute_bm25([t.tolist() for t in terms], seed, 300, df, mean)
         assert np.allclose(index.scores(seed), want, rtol=1e-4)
-        ranked = index.neighbours(seed, waiting)
+        ranked = list(index.neighbours(seed, waiting))
         assert len(ranked) == sum(x > 0 for x in want) > 64  # all of them, not the best few
         assert all(want[a] >= want[b] - 1e-3 for a, b in zip(ranked[:-1], ranked[1:], strict=True))
 
@@ -457,7 +460,7 @@ def test_packing_fills_a_window_from_the_whole_ranking():
 def test_packing_counts_documents_exactly(spark, docs, texts, monkeypatch):
     """Document frequencies are those by hand, whether they are broadcast or joined; the pieces are the same."""
     t = WordTokenizer.of(default_tokenizer())
-    want = Counter(w for _, ids in encoded(texts) for w in set(packing.terms_of(ids[:-1], t.ends).view(np.int64).tolist()))
+    want = Counter(w for _, ids in encoded(texts) for w in set(packing.unit_terms([ids], t.ends)[0].tolist()))
     monkeypatch.setattr(packing, "COUNTED", 500)
     got = {r.term: r.n for r in packing.document_frequencies(packing.encode_documents(docs, default_tokenizer())).collect()}
     assert got == {w: n for w, n in want.items() if n > 1}
