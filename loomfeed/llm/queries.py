@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from .decontamination import op9_spaced_seeds
 from .extraction import op6_page_text
 from .language import op10_language_id
@@ -25,4 +27,31 @@ QUERIES = {
     "op9_spaced_seeds": op9_spaced_seeds,
     "op10_language_id": op10_language_id,
 }
-ORACLE_SQL: dict[str, str] = {}
+# What SQL can express of operators whose method it cannot.
+QUERIES["base_quality"] = lambda spark, d: op3_compression_bands(spark, d).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+QUERIES["base_licenses"] = lambda spark, d: op4_license_scan(spark, d).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+QUERIES["base_shards"] = lambda spark, d: op8_label_propagation(spark, d).groupBy("shard").agg(F.count("*").alias("documents"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"), F.count_distinct("slot").alias("slots"))
+QUERIES["base_sizes"] = lambda spark, d: op8_label_propagation(spark, d).select("doc_id", "size", "law")
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"'[^\x20\x09-\x0D]+'"
+_AHEAD = "lead(x, 1) OVER w AS b, lead(x, 2) OVER w AS c, lead(x, 3) OVER w AS d, lead(x, 4) OVER w AS e"
+ORACLE_SQL: dict[str, str] = {
+    "op1_minhash": f"""WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_WORDS}) AS w FROM documents), u AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM docs),
+g AS (SELECT doc_id, x || ' ' || b || ' ' || c || ' ' || d || ' ' || e AS s FROM (SELECT doc_id, x, {_AHEAD} FROM u WINDOW w AS (PARTITION BY doc_id ORDER BY i)) WHERE e IS NOT NULL),
+sets AS (SELECT DISTINCT doc_id, s FROM g UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM docs WHERE len(w) BETWEEN 1 AND 4), sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY 1),
+pairs AS (SELECT l.doc_id AS a, r.doc_id AS b, count(*) AS c FROM sets l JOIN sets r ON l.s = r.s AND l.doc_id < r.doc_id GROUP BY 1, 2), links AS (SELECT a, b FROM pairs JOIN sizes m ON m.doc_id = a JOIN sizes n ON n.doc_id = b WHERE 100 * c >= 75 * (m.n + n.n - c)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links), reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, b FROM reach JOIN edges ON a = other)
+SELECT r.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_id, r.doc_id = min(other) AS kept FROM reach r LEFT JOIN sizes s ON s.doc_id = r.doc_id GROUP BY r.doc_id""",
+    "base_quality": f"""WITH docs AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS ws FROM documents), u AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM docs),
+g AS (SELECT doc_id, i, x || ' ' || b || ' ' || c || ' ' || d || ' ' || e AS s FROM (SELECT doc_id, i, x, {_AHEAD} FROM u WINDOW w AS (PARTITION BY doc_id ORDER BY i)) WHERE e IS NOT NULL),
+twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, s) AS n FROM g) WHERE n > 1), inside AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(5) r(k) GROUP BY 1),
+b AS (SELECT docs.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines, coalesce(inside.n, 0) AS n_repeat_words FROM docs LEFT JOIN inside USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b""",
+    "base_licenses": rf"""WITH docs AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents), u AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) - 1 AS i FROM docs),
+h AS (SELECT doc_id, i, CASE WHEN x = 'under' AND b = 'the' AND c = 'mit' AND d = 'license' THEN 'mit' WHEN x = 'apache' AND b = 'license' AND c = 'version' AND d = '2' THEN 'apache-2' WHEN x = 'cc' AND b = 'by' AND c = 'nc' THEN 'cc-by-nc' END AS label FROM (SELECT doc_id, i, x, {_AHEAD} FROM u WINDOW w AS (PARTITION BY doc_id ORDER BY i)))
+SELECT docs.doc_id, CAST(len(any_value(ws)) AS BIGINT) AS n_words, count(label) AS n_base, min(i) FILTER (WHERE label IS NOT NULL) AS first_word, max(i) FILTER (WHERE label IS NOT NULL) AS last_word, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS base_labels FROM docs LEFT JOIN h ON h.doc_id = docs.doc_id GROUP BY docs.doc_id""",
+    "base_shards": "WITH n AS (SELECT count(*) AS total FROM documents) SELECT CAST(s AS INTEGER) AS shard, total // 16 + CASE WHEN s < total % 16 THEN 1 ELSE 0 END AS documents, 0 AS first_slot, total // 16 + CASE WHEN s < total % 16 THEN 1 ELSE 0 END - 1 AS last_slot, total // 16 + CASE WHEN s < total % 16 THEN 1 ELSE 0 END AS slots FROM n, range(16) r(s) WHERE total >= 16 OR s < total",
+    "base_sizes": "SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size, 'rows' AS law FROM documents",
+}

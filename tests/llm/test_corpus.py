@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomfeed.llm import decontamination, neardup, packing, sharding
+from loomfeed.llm import decontamination, neardup, packing, queries, sharding
 from loomfeed.llm.common import read_table
 from loomfeed.llm.components import components
 
@@ -234,6 +234,41 @@ def test_spaced_seeds_bear_substitutions(spark, monkeypatch):
     assert decontamination.judge(docs, bench.limit(0)).where("not kept").count() == 0 and decontamination.judge(docs.limit(0), bench).count() == 0
 
 
+def test_leaks_are_those_of_brute_force(spark):
+    """Items with words changed at random, in pieces and in several places: the verdict on each pair of document and item and its
+    most equal words are those found by comparing all alignments and all parts."""
+    rng = random.Random(11)
+    items = [[f"w{rng.randrange(30)}" if rng.random() < 0.3 else f"i{k}x{j}" for j in range(rng.choice((6, 12, 25, 40)))] for k in range(8)]
+    docs = []
+    for i in range(60):
+        words = [f"w{rng.randrange(30)}" for _ in range(rng.randrange(20))]
+        item = items[rng.randrange(8)]
+        rate, a = rng.choice((0, 0.1, 0.2, 0.25, 0.3, 0.4)), rng.randrange(len(item) // 2)
+        words += [f"z{rng.randrange(99)}" if rng.random() < rate else w for w in item[a : a + rng.randint(6, 40)]]
+        docs.append((i, words + [f"w{rng.randrange(30)}" for _ in range(rng.randrange(20))]))
+
+    def most(words, item):
+        if len(item) < decontamination.SPAN:
+            return len(item) if any(words[i : i + len(item)] == item for i in range(len(words))) else 0
+        best, least = 0, min(decontamination.LEAST, len(item))
+        for at in range(-len(item), len(words)):
+            flags = [0 <= at + k < len(words) and words[at + k] == w for k, w in enumerate(item)]
+            for a in range(len(flags)):
+                n = run = 0
+                for b in range(a, len(flags)):
+                    n, run = n + flags[b], 0 if flags[b] else run + 1
+                    if run >= decontamination.GAP or not flags[a]:
+                        break
+                    if flags[b] and n >= least and n >= decontamination.SHARE * (b - a + 1):
+                        best = max(best, n)
+        return best
+
+    want = {(i, k): n for i, words in docs for k, item in enumerate(items) if (n := most(words, item))}
+    found = decontamination.leaks(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string"), spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string"))
+    got = {(r.doc_id, r.item_id): r.n_words for r in found.collect()}
+    assert got == want and 10 < len(want) < 60
+
+
 def test_native_operator_has_no_python(docs, spark):
     plan = decontamination.judge(docs, read_table(spark, SF_DIR, "benchmark"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
@@ -259,3 +294,26 @@ def test_pipeline_stages(spark):
     ran = corpus_pipeline.run(spark, SF_DIR)
     total = lambda df: df.agg(F.sum("length"), F.count_distinct("doc_id")).first()
     assert total(ran) == total(packed) and ran.columns == packed.columns
+
+
+def test_pipeline_bears_nulls_repeats_and_empty_tables(spark, tmp_path):
+    base = read_table(spark, SF_DIR, "documents").limit(80)
+    text = base.where("lang = 'en' and length(text) > 300").first().text
+    odd = [(None, None, None, None, None), (9001, None, "en", "s", 0), (9002, "", "en", "s", 0), (9003, "\u00b2 \u00bd 12 %", None, "s", 9), (None, text + " with a null key", None, None, None), (None, text + " with a null key", None, None, None), (9004, "x" * 200_000, "en", "s", 1), (9005, text, "en", "s", 1), (9005, text, "en", "s", 1), (9006, text, "en", "s", 1)]
+    rows = base.unionByName(spark.createDataFrame(odd, base.schema))
+    for name, docs in (("some", rows), ("none", rows.limit(0))):
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        read_table(spark, SF_DIR, "benchmark").write.parquet(str(tmp_path / name / "benchmark.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path / "some"))
+    kept = {r.doc_id for r in got.select("doc_id").distinct().collect()}
+    assert not kept & {9001, 9002, 9003, 9006} and len(kept) > 30  # no letters; copies of a document with a smaller key
+    assert None in kept  # a row with a null key cannot be named by another
+    assert all(r.n == r.total for r in got.where("doc_id is not null").groupBy("doc_id", "doc_tokens").agg(F.sum("length").alias("n"), F.first("doc_tokens").alias("total")).collect())
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_equals_sql(spark, name):
+    from tests.parity import connect, difference
+
+    assert difference(queries.QUERIES[name](spark, "/root/testdata/sf0.01"), connect("/root/testdata/sf0.01"), queries.ORACLE_SQL[name]) == ""
