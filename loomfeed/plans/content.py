@@ -416,11 +416,13 @@ def q_classify_research(spark, d):
 
 
 @query(f"""{WITH}, {CLASSIFIED}, c2 AS (SELECT *, {_RES} AS nr, {_PRE} AS pre, CASE WHEN s2 OR s1 THEN 1 ELSE 0 END AS ns FROM c1),
-c3 AS (SELECT *, CASE WHEN block_reason <> '' THEN '' WHEN ns > 0 THEN 'A' WHEN g THEN 'B' WHEN nr > 0 AND pre THEN 'C' WHEN pre THEN 'D' ELSE '' END AS level FROM c2)
-SELECT content_id, level AS evidence_level, level IN ('A', 'B', 'C') AS ai_candidate, 6 * ns + 6 * CAST(g AS INTEGER) + 2 * nr + 3 * CAST(act AS INTEGER) + 2 * CAST(buy AS INTEGER) + 2 * CAST(dec OR pre AS INTEGER) + CASE WHEN content_role IN ('question', 'answer') AND (ns > 0 OR g) THEN 1 ELSE 0 END AS match_score,
-  CASE WHEN ns > 0 THEN 'specific_ai' WHEN g THEN 'algorithm_or_system' WHEN nr > 0 THEN CASE WHEN human THEN 'mixed_research_and_customer_service' WHEN {_HAS("(?i)gnu")} THEN 'social_media_research' WHEN {_HAS("(?i)apache")} THEN 'search_research' ELSE 'content_research' END WHEN human THEN 'customer_service' WHEN {_HAS("(?i)(?:^|[^A-Za-z0-9_])und(?:$|[^A-Za-z0-9_])")} THEN 'friends_or_family' ELSE 'unknown' END AS source_type FROM c3""")
+c3 AS (SELECT *, CASE WHEN block_reason <> '' THEN '' WHEN ns > 0 THEN 'A' WHEN g THEN 'B' WHEN nr > 0 AND pre THEN 'C' WHEN pre THEN 'D' ELSE '' END AS level FROM c2),
+c4 AS (SELECT *, human AND ns = 0 AND NOT g AS human_only, ns > 0 OR g OR (nr > 0 AND pre AND block_reason = '') AS gate, CASE WHEN human AND ns = 0 AND NOT g THEN 'human_service_only' WHEN block_reason <> '' THEN block_reason WHEN ns = 0 AND NOT g AND nr = 0 THEN 'no_source_or_research' WHEN nr > 0 AND NOT pre THEN 'research_without_purchase_context' ELSE '' END AS excl FROM c3)
+SELECT content_id, CASE WHEN gate AND NOT human_only AND block_reason = '' THEN CASE WHEN ns > 0 THEN 'specific_source' WHEN g THEN 'generic_source' ELSE 'intensive_research' END ELSE excl END AS ai_candidate_gate_reason, CASE WHEN level IN ('A', 'B', 'C') THEN '' WHEN block_reason <> '' THEN block_reason ELSE excl END AS exclude_reason,
+  CASE level WHEN 'A' THEN 'explicit' WHEN 'B' THEN 'generic' WHEN 'C' THEN 'inferred' ELSE 'none' END AS ai_evidence_type, block_reason, pre AS pre_purchase_decision, level AS evidence_level, level IN ('A', 'B', 'C') AS ai_candidate, 6 * ns + 6 * CAST(g AS INTEGER) + 2 * nr + 3 * CAST(act AS INTEGER) + 2 * CAST(buy AS INTEGER) + 2 * CAST(dec OR pre AS INTEGER) + CASE WHEN content_role IN ('question', 'answer') AND (ns > 0 OR g) THEN 1 ELSE 0 END AS match_score,
+  CASE WHEN ns > 0 THEN 'specific_ai' WHEN g THEN 'algorithm_or_system' WHEN nr > 0 THEN CASE WHEN human THEN 'mixed_research_and_customer_service' WHEN {_HAS("(?i)gnu")} THEN 'social_media_research' WHEN {_HAS("(?i)apache")} THEN 'search_research' ELSE 'content_research' END WHEN human THEN 'customer_service' WHEN {_HAS("(?i)(?:^|[^A-Za-z0-9_])und(?:$|[^A-Za-z0-9_])")} THEN 'friends_or_family' ELSE 'unknown' END AS source_type FROM c4""")
 def q_classify_levels(spark, d):
-    return _classified(spark, d).select("content_id", "evidence_level", "ai_candidate", "match_score", "source_type")
+    return _classified(spark, d).select("content_id", "evidence_level", "ai_candidate", "match_score", "source_type", "ai_candidate_gate_reason", "exclude_reason", "ai_evidence_type", "block_reason", "pre_purchase_decision")
 
 
 WORDS = SentimentWords(positive=("the", "que"), service=("with", "avec"), service_positive=("that", "pas"), mixed=("under", "idiot"), negative=("worthless",))

@@ -18,10 +18,11 @@ def _review_rows(spark, d):
     return docs.select("seq", F.col("source_file"), F.upper("platform").alias("platform"), F.when(F.col("seq") % 12 == 0, "").otherwise(F.col("product_id")).alias("product_id"), F.when(F.col("seq") % 3 == 0, "").otherwise(F.col("product_title")).alias("product_title"), "shop_name", F.lit("").alias("product_url"), "platform_content_id", F.col("content_text_clean").alias("review_text_raw"), F.when(F.col("seq") % 2 == 0, F.col("content_text_clean")).otherwise("").alias("review_text_clean"), "user_name_masked", F.regexp_replace("content_time", "-", "/").alias("review_time"), F.when(F.col("seq") % 4 == 0, F.col("review_date")).otherwise("").alias("review_date"), "sku")
 
 
-@query(f"{WITH} SELECT platform, product_id, content_id AS order_id, CASE WHEN seq % 4 = 0 AND review_date <> '' THEN review_date WHEN length(content_time) >= 10 THEN substr(content_time, 1, 10) ELSE '' END AS content_date FROM docs WHERE seq % 12 <> 0")
+@query(f"""{WITH} SELECT platform, product_id, 'review' AS content_role, platform_content_id, md5(content_text_clean) AS content_text_raw, md5(content_text_clean) AS content_text_clean, '' AS parent_text_clean, user_name_masked, replace(content_time, '-', '/') AS content_time,
+  CASE WHEN seq % 4 = 0 AND review_date <> '' THEN review_date WHEN length(content_time) >= 10 THEN substr(content_time, 1, 10) ELSE '' END AS content_date, sku, seq AS content_order FROM docs WHERE seq % 12 <> 0""")
 def q_review_contents(spark, d):
     out = reviews.review_contents(reviews.clean_reviews(_review_rows(spark, d)))
-    return out.select("platform", "product_id", F.col("content_order").cast("string").alias("order_id"), "content_date")
+    return out.withColumns({c: F.md5(c) for c in ("content_text_raw", "content_text_clean")})
 
 
 @query(f"{WITH} SELECT platform, product_id, count(*) AS rows, min(seq) AS first_seq FROM docs WHERE seq % 12 <> 0 GROUP BY 1, 2")
@@ -46,10 +47,10 @@ def q_markdown_cases(spark, d):
     return reviews.markdown_cases(content_docs(spark, d).withColumn("matched_keywords", F.lit("")), ("A", "B", "C", "X")).select("level", "seq", F.md5("text").alias("text"))
 
 
-@query(f"{WITH} SELECT platform, content_id AS local_review_id, md5(CASE WHEN parent_text_clean <> '' AND content_text_clean <> '' THEN content_text_clean || chr(10) || parent_text_clean ELSE content_text_clean || parent_text_clean END) AS review_text, CASE WHEN content_time = '' THEN NULL ELSE substr(content_time, 1, 10) END AS review_date FROM docs")
+@query(f"{WITH} SELECT platform, product_id AS platform_product_id, content_id AS local_review_id, user_name_masked, sku, md5(CASE WHEN parent_text_clean <> '' AND content_text_clean <> '' THEN content_text_clean || chr(10) || parent_text_clean ELSE content_text_clean || parent_text_clean END) AS review_text, CASE WHEN content_time = '' THEN NULL ELSE substr(content_time, 1, 10) END AS review_date FROM docs")
 def q_downstream_reviews(spark, d):
     docs = content_docs(spark, d).select("platform", F.col("product_id").alias("platform_product_id"), F.col("content_id").alias("local_review_id"), "user_name_masked", F.col("content_time").alias("review_time"), "sku", F.col("content_text_clean").alias("review_text"), F.col("parent_text_clean").alias("append_text"))
-    return reviews.downstream_reviews(docs).select("platform", "local_review_id", F.md5("review_text").alias("review_text"), "review_date")
+    return reviews.downstream_reviews(docs).withColumn("review_text", F.md5("review_text"))
 
 
 @query(f"{WITH} SELECT content_id, CASE WHEN seq % 3 = 0 OR sku = 'S0' THEN evidence_level ELSE sku END AS final_value FROM docs")
