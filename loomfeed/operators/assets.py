@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, sha256_of, text_or_empty
+from .tables import numbered
 
 
 def fingerprint(*parts: Column) -> Column:
@@ -30,8 +31,8 @@ def match_reviews(store: DataFrame, incoming: DataFrame) -> DataFrame:
 def local_ids(df: DataFrame, prefix: str = "rv", seq: str = "seq") -> DataFrame:
     """AST3: prefix, product and the fingerprint's start; clashes are numbered from the second on."""
     base = F.concat_ws("_", F.lit(prefix), "platform_product_id", F.substring("review_fingerprint", 1, 12))
-    n = F.row_number().over(Window.partitionBy("_base").orderBy(seq))
-    return df.withColumn("_base", base).withColumn("local_review_id", F.when(n == 1, F.col("_base")).otherwise(F.concat_ws("_", "_base", n.cast("string")))).drop("_base")
+    placed = numbered(df.withColumn("_base", base), ["_base"], seq, name="_n")
+    return placed.withColumn("local_review_id", F.when(F.col("_n") == 1, F.col("_base")).otherwise(F.concat_ws("_", "_base", F.col("_n").cast("string")))).drop("_base", "_n")
 
 
 def upsert_reviews(store: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import text_or_empty
-
-
-def numbered(df: DataFrame, keys: list[str], *order: str | Column, name: str = "n") -> DataFrame:
-    """WIN6: 1, 2, ... within each key."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+from ..lineage import kept
+
+
+def numbered(df: DataFrame, keys: list[str], *order: str | Column, name: str = "n", keep: Callable[[DataFrame], DataFrame] = kept) -> DataFrame:
+    """WIN6: 1, 2, ... within each key (null is one too).  Rows are sorted in ranges of key and order and numbered within each; what
+    the ranges before hold of a key is added, so that a key of very many rows is in no task as a whole.  keep makes the ranges
+    once; order must leave no ties."""
+    ranges = keep(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
+    counts = ranges.groupBy("_range", *keys).agg(F.count("*").alias("_rows"))
+    before = F.sum("_rows").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))  # a row for each range of a key
+    starts = counts.select("_range", *(F.col(k).alias(f"_{k}") for k in keys), F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = ranges.withColumn(name, F.row_number().over(Window.partitionBy("_range", *keys).orderBy(*order))).withColumnRenamed("_range", "_own")
+    same = reduce(lambda x, k: x & F.col(k).eqNullSafe(F.col(f"_{k}")), keys, F.col("_own") == F.col("_range"))
+    return inside.join(starts, same).withColumn(name, (F.col(name) + F.col("_before")).cast("long")).select(*(c for c in df.columns if c != name), name)
 
 
 def next_index(existing: DataFrame, fresh: DataFrame, keys: list[str], index: str, *order: str) -> DataFrame:

@@ -314,7 +314,7 @@ def q_replace_partition(spark, d):
 
 @query(f"{WITH} SELECT content_id, row_number() OVER (PARTITION BY item_key ORDER BY seq) AS n FROM docs")
 def q_dense_ids(spark, d):
-    return tables.numbered(content_docs(spark, d), ["item_key"], "seq").select("content_id", F.col("n").cast("long").alias("n"))
+    return tables.numbered(content_docs(spark, d).select("content_id", "item_key", "seq"), ["item_key"], "seq").select("content_id", F.col("n").cast("long").alias("n"))
 
 
 @query("""WITH u AS (SELECT conv_id, turn, role, text, lead(text) OVER w AS next_text, lead(role) OVER w AS next_role FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)) SELECT conv_id, turn, text AS question, CASE WHEN next_role = 'assistant' AND next_text <> text THEN next_text ELSE '' END AS answer FROM u WHERE role = 'user'""")

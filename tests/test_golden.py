@@ -426,6 +426,15 @@ def test_inputs_are_checked(spark, tmp_path):
         reviews.require_rows(df.limit(0))
 
 
+def test_numbers_within_a_hot_key(spark):
+    """Most rows have one key, some none: numbers are dense, and no range holds all of the key."""
+    df = spark.range(3000).select("id", F.when(F.col("id") % 10 < 8, "hot").when(F.col("id") % 10 == 8, F.lit(None).cast("string")).otherwise(F.concat(F.lit("k"), (F.col("id") % 70).cast("string"))).alias("k"))
+    got = {}
+    for r in tables.numbered(df, ["k"], "id").collect():
+        got.setdefault(r.k, []).append((r.id, r.n))
+    assert all([n for _, n in sorted(x)] == list(range(1, len(x) + 1)) for x in got.values()) and len(got["hot"]) == 2400 and len(got[None]) == 300
+
+
 def test_exports_of_older_batches(spark):
     images = spark.createDataFrame([("i1", "r1", "review", 1, "embedded"), ("i2", "r1", "append", 1, "missing"), ("i3", "r2", "review", 1, "embedded")], "image_id string, local_review_id string, image_stage string, image_index int, extract_status string")
     of = spark.createDataFrame([("r1", "p1"), ("r2", "p2")], "local_review_id string, product_key string")
