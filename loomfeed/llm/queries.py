@@ -12,6 +12,7 @@ from .neardup import op1_minhash
 from .packing import op2_packing
 from .pseudonyms import op5_pseudonyms
 from .quality import op3_compression_bands
+from .resampling import op11_importance_resampling
 from .sharding import op8_label_propagation
 from .token_store import op7_token_store
 
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_label_propagation": op8_label_propagation,
     "op9_spaced_seeds": op9_spaced_seeds,
     "op10_language_id": op10_language_id,
+    "op11_importance_resampling": op11_importance_resampling,
 }
 # What SQL can express of operators whose method it cannot.
 QUERIES["base_quality"] = lambda spark, d: op3_compression_bands(spark, d).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
@@ -35,6 +37,7 @@ QUERIES["base_sizes"] = lambda spark, d: op8_label_propagation(spark, d).select(
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"'[^\x20\x09-\x0D]+'"
+_LETTERS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 _AHEAD = "lead(x, 1) OVER w AS b, lead(x, 2) OVER w AS c, lead(x, 3) OVER w AS d, lead(x, 4) OVER w AS e"
 ORACLE_SQL: dict[str, str] = {
     "op1_minhash": f"""WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_WORDS}) AS w FROM documents), u AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM docs),
@@ -54,4 +57,17 @@ h AS (SELECT doc_id, i, CASE WHEN x = 'under' AND b = 'the' AND c = 'mit' AND d
 SELECT docs.doc_id, CAST(len(any_value(ws)) AS BIGINT) AS n_words, count(label) AS n_base, min(i) FILTER (WHERE label IS NOT NULL) AS first_word, max(i) FILTER (WHERE label IS NOT NULL) AS last_word, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS base_labels FROM docs LEFT JOIN h ON h.doc_id = docs.doc_id GROUP BY docs.doc_id""",
     "base_shards": "WITH n AS (SELECT count(*) AS total FROM documents) SELECT CAST(s AS INTEGER) AS shard, total // 16 + CASE WHEN s < total % 16 THEN 1 ELSE 0 END AS documents, 0 AS first_slot, total // 16 + CASE WHEN s < total % 16 THEN 1 ELSE 0 END - 1 AS last_slot, total // 16 + CASE WHEN s < total % 16 THEN 1 ELSE 0 END AS slots FROM n, range(16) r(s) WHERE total >= 16 OR s < total",
     "base_sizes": "SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size, 'rows' AS law FROM documents",
+    "op11_importance_resampling": f"""WITH tab AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i)) AS t),
+docs AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_LETTERS}) AS ws FROM documents),
+goal AS (SELECT unnest(regexp_extract_all({_LOWER}, {_LETTERS})) AS x FROM benchmark),
+u AS (SELECT doc_id, unnest(ws) AS x FROM docs), words AS (SELECT DISTINCT x FROM (SELECT x FROM u UNION ALL SELECT x FROM goal)),
+bytes AS (SELECT x, list_transform(range(octet_length(encode(x))), lambda i: CAST('0x' || substr(hex(encode(x)), 2 * i + 1, 2) AS BIGINT)) AS b FROM words),
+hashed AS (SELECT x, xor(list_reduce(b, lambda c, v: xor(c >> 8, t[(xor(c, v) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket FROM bytes, tab),
+s AS (SELECT bucket, count(*) AS s FROM u JOIN hashed USING (x) GROUP BY 1), t AS (SELECT bucket, count(*) AS t FROM goal JOIN hashed USING (x) GROUP BY 1),
+sums AS (SELECT (SELECT count(*) FROM u) AS s_all, (SELECT count(*) FROM goal) AS t_all),
+gains AS (SELECT bucket, CAST(floor(1000 * ln(CAST(coalesce(t, 0) + 1 AS DOUBLE) * CAST(s_all + 10000 AS DOUBLE) / (CAST(s + 1 AS DOUBLE) * CAST(t_all + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket), sums),
+w AS (SELECT doc_id, CAST(floor(CAST(sum(gain) AS DOUBLE) / count(*)) AS BIGINT) AS weight FROM u JOIN hashed USING (x) JOIN gains USING (bucket) GROUP BY 1),
+scored AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM docs LEFT JOIN w USING (doc_id)),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT scored.doc_id, n_features, weight, score, CASE WHEN r <= 10 * n // 100 THEN r END AS rank FROM scored LEFT JOIN ranked USING (doc_id)""",
 }
