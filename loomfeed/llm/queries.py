@@ -13,6 +13,7 @@ from .packing import op2_packing
 from .pseudonyms import op5_pseudonyms
 from .quality import op3_compression_bands
 from .resampling import op11_importance_resampling
+from .search import op13_ranked_search
 from .sharding import op8_label_propagation
 from .token_store import op7_token_store
 
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_spaced_seeds": op9_spaced_seeds,
     "op10_language_id": op10_language_id,
     "op11_importance_resampling": op11_importance_resampling,
+    "op13_ranked_search": op13_ranked_search,
 }
 # What SQL can express of operators whose method it cannot.
 QUERIES["base_quality"] = lambda spark, d: op3_compression_bands(spark, d).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
@@ -38,6 +40,7 @@ QUERIES["base_sizes"] = lambda spark, d: op8_label_propagation(spark, d).select(
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 _LETTERS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+_TERMS = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
 _AHEAD = "lead(x, 1) OVER w AS b, lead(x, 2) OVER w AS c, lead(x, 3) OVER w AS d, lead(x, 4) OVER w AS e"
 ORACLE_SQL: dict[str, str] = {
     "op1_minhash": f"""WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_WORDS}) AS w FROM documents), u AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM docs),
@@ -70,4 +73,9 @@ w AS (SELECT doc_id, CAST(floor(CAST(sum(gain) AS DOUBLE) / count(*)) AS BIGINT)
 scored AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM docs LEFT JOIN w USING (doc_id)),
 ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
 SELECT scored.doc_id, n_features, weight, score, CASE WHEN r <= 10 * n // 100 THEN r END AS rank FROM scored LEFT JOIN ranked USING (doc_id)""",
+    "op13_ranked_search": f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, {_TERMS}) AS ws FROM documents), q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER}, {_TERMS})) AS x FROM benchmark),
+u AS (SELECT r, unnest(ws) AS x FROM d), sizes AS (SELECT r, doc_id, CAST(len(ws) AS BIGINT) AS n FROM d WHERE len(ws) > 0), totals AS (SELECT count(*) AS n_all, CAST(sum(n) AS BIGINT) AS l_all FROM sizes),
+p AS (SELECT r, x, count(*) AS tf FROM u GROUP BY 1, 2), w AS (SELECT x, CAST(floor(1000 * ln(CAST(2 * n_all + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM p, totals GROUP BY x, n_all),
+m AS (SELECT r, doc_id, 50 + (50 * n * n_all) // l_all AS m FROM sizes, totals), scored AS (SELECT item_id, doc_id, r, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score FROM q JOIN p USING (x) JOIN w USING (x) JOIN m USING (r) GROUP BY 1, 2, 3)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 50""",
 }

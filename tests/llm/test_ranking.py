@@ -7,10 +7,11 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomfeed.llm import radix, resampling
+from loomfeed.llm import radix, resampling, search
 
 ODD = [(1, None), (2, ""), (3, "  \n"), (4, "one"), (5, "Ünï cödé wörds " * 9), (None, "null key " * 12), (None, "null key " * 12), (7, "same words here " * 10), (8, "same words here " * 10), (8, "same words here " * 10), (-9, "x" * 40_000 + " " + "long text " * 30_000), (9, "\x00\x01 odd\x7f control 12 A-b " * 8), ((1 << 63) - 1, "greatest key " * 10), (-(1 << 63), "least key " * 15)]
 
@@ -74,3 +75,62 @@ def test_radix_ranks_are_stable_whatever_the_blocks(spark, monkeypatch):
         assert [(r.a, r.b, r.i) for r in got] == want
     equal = radix.radix_ranks(df, [F.lit(4).cast("long")]).collect()
     assert sorted(r._at for r in equal) == list(range(len(rows)))
+
+
+def brute_search(rows, queries, top=50):
+    terms = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (t or "").encode().lower())
+    docs = [(key, Counter(terms(text))) for key, text in rows]
+    docs = [x for x in docs if x[1]]
+    n_all, l_all = len(docs), sum(sum(c.values()) for _, c in docs)
+    df = Counter(t for _, c in docs for t in c)
+    asked = {}
+    for item, text in queries:
+        asked.setdefault(item, set()).update(terms(text))
+    out = []
+    for item, own in asked.items():
+        found = []
+        for key, c in docs:
+            m = 50 + 50 * sum(c.values()) * n_all // l_all
+            score = sum(math.floor(1000 * math.log((2 * n_all + 2) / (2 * df[t] + 1))) * (1000000000 * c[t] // (1000 * c[t] + 20 * m)) for t in own if t in c)
+            if score > 0:
+                found.append((-score, key is None, key or 0, key))
+        out += [(item, i + 1, x[3], -x[0]) for i, x in enumerate(sorted(found)[:top])]
+    return sorted(out, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+
+
+@pytest.mark.parametrize("shard_terms, pairs, cells", [(2_000_000, 1_000_000, 2_000_000), (500, 40, 300)])
+def test_search_of_odd_rows(spark, monkeypatch, shard_terms, pairs, cells):
+    rng = random.Random(1)
+    words = [f"w{i}" for i in range(300)]
+    rows = ODD + [(100 + i, " ".join(rng.choices(words, weights=range(1, 301), k=rng.choice([3, 20, 20, 20, 90])))) for i in range(600)]
+    rows += [(2000 + i, rows[20][1]) for i in range(80)]  # ties beyond the limit
+    queries = [(i, " ".join(rng.choices(words, k=12))) for i in range(12)] + [(50, rows[20][1]), (51, None), (52, "unheard of"), (53, "key KEY"), (None, "w7"), (None, "w9 w7"), (54, "w1"), (54, "w2 w1"), (55, "ünï Cödé Ünï")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"m": F.lit("clash"), "keys": F.lit(1), "score": F.lit(0)}).repartition(3)
+    items = spark.createDataFrame(queries, "item_id long, text string").withColumn("term", F.lit("clash"))
+    monkeypatch.setattr(search, "CELLS", cells)
+    got = search.search(search.build_index(docs, shard_terms=shard_terms), items, pairs=pairs)
+    assert got.columns == ["item_id", "rank", "doc_id", "score"]
+    got = sorted(((r.item_id, r.rank, r.doc_id, r.score) for r in got.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+    assert got == brute_search(rows, queries)
+
+
+def test_search_of_empty_tables(spark):
+    none, some = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    assert search.search(search.build_index(none), some, item="doc_id").count() == 0
+    assert search.search(search.build_index(some), none, item="doc_id").count() == 0
+    index = search.build_index(some)
+    assert (index.n_docs, index.n_terms) == (1, 2) and index.rows.count() == 1
+
+
+def test_search_leaves_out_strata_that_cannot_matter():
+    """Short documents that hold both terms come first; of the long ones that hold one, none can reach them."""
+    texts = [b"rare word and a few"] * 60 + [b"word " + b"filler text " * (50 + i) for i in range(200)]
+    hashes, firsts = search.term_hashes(texts)
+    rows = search.shard_rows(list(range(260)), hashes, np.diff(firsts), 260, int(firsts[-1]))
+    terms = search.term_hashes([b"rare word"])[0]
+    block = search.Block(np.zeros(2, dtype=np.int64), terms, 1)
+    best = search.Best(1, 50)
+    strata = list(search.strata_of(rows, block))
+    left = search.search_strata(strata, block, np.array([500, 500]), best)
+    assert len(strata) > 20 and left == len(strata) - 1
+    assert best.found[0][2].tolist() == list(range(50))
