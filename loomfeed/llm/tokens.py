@@ -17,7 +17,8 @@ import numpy as np
 #: Words that a worker remembers; then it starts anew.
 MEMORY = 900_000
 END_ID = 2
-_TAIL = re.compile(rb"([^\x00-\x20a-z0-9\x7f-\xff]+)$")
+#: Punctuation of ASCII at the end of a word, behind a letter or digit of ASCII.
+_TAIL = re.compile(rb"(?<=[A-Za-z0-9])[!-/:-@\[-`{-~]+$")
 
 
 def default_tokenizer() -> str:
@@ -85,8 +86,8 @@ class WordTokenizer:
         tails, stems = {}, set()
         for word in words:
             m = _TAIL.search(word)
-            if m and m.start() and word[m.start() - 1] < 0x80 and b"<|" not in word:
-                tails[word] = (word[: m.start()], m[1])
+            if m and b"<|" not in word:
+                tails[word] = (word[: m.start()], m[0])
                 stems.update(tails[word])
             else:
                 stems.add(word)
@@ -95,8 +96,8 @@ class WordTokenizer:
             if word not in self.known:
                 self._add(word, np.concatenate([self.pool[self.at[k] : self.at[k] + self.length[k]] for k in map(self.known.__getitem__, parts)]))
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, END_ID behind each text's, and the offset of each text (one more at the end)."""
+    def encode(self, texts: list[bytes], end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, end_id behind each text's, and the offset of each text (one more at the end)."""
         if len(self.known) > MEMORY:
             self.clear()
         words: list[bytes] = []
@@ -116,7 +117,7 @@ class WordTokenizer:
         firsts = np.concatenate([[0], np.cumsum(counts)])
         offsets = behind[firsts] + np.arange(len(texts) + 1)
         where = np.arange(behind[-1]) + np.repeat(self.at[index] - behind[:-1], lengths)
-        ids = np.full(offsets[-1], END_ID, dtype=np.uint32)
+        ids = np.full(offsets[-1], end_id, dtype=np.uint32)
         body = np.ones(offsets[-1], dtype=bool)
         body[offsets[1:] - 1] = False
         ids[body] = self.pool[where]
