@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .best_fit import op12_best_fit
 from .decontamination import op9_spaced_seeds
 from .extraction import op6_page_text
 from .language import op10_language_id
@@ -29,6 +30,7 @@ QUERIES = {
     "op9_spaced_seeds": op9_spaced_seeds,
     "op10_language_id": op10_language_id,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_best_fit": op12_best_fit,
     "op13_ranked_search": op13_ranked_search,
 }
 # What SQL can express of operators whose method it cannot.

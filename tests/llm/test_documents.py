@@ -1,5 +1,6 @@
 """Operators on single documents against brute force on the small documents table, and their defined cases."""
 
+import random
 import re
 import zlib
 from collections import Counter

@@ -11,7 +11,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomfeed.llm import radix, resampling, search
+from loomfeed.llm import best_fit, radix, resampling, search
+from loomfeed.llm.tokens import WordTokenizer, crc32_of, default_tokenizer
 
 ODD = [(1, None), (2, ""), (3, "  \n"), (4, "one"), (5, "Ünï cödé wörds " * 9), (None, "null key " * 12), (None, "null key " * 12), (7, "same words here " * 10), (8, "same words here " * 10), (8, "same words here " * 10), (-9, "x" * 40_000 + " " + "long text " * 30_000), (9, "\x00\x01 odd\x7f control 12 A-b " * 8), ((1 << 63) - 1, "greatest key " * 10), (-(1 << 63), "least key " * 15)]
 
@@ -134,3 +135,104 @@ def test_search_leaves_out_strata_that_cannot_matter():
     left = search.search_strata(strata, block, np.array([500, 500]), best)
     assert len(strata) > 20 and left == len(strata) - 1
     assert best.found[0][2].tolist() == list(range(50))
+
+
+def check_pieces(rows, pieces, window):
+    """Every id in one piece, cut at whole windows alone, sequences without gaps."""
+    t, want = WordTokenizer.of(default_tokenizer()), Counter()
+    for key, text in rows:
+        ids = np.array([*t.tokenizer.encode(text or "", add_special_tokens=False).ids, 0], np.uint32)
+        for k, a in enumerate(range(0, len(ids), window)):
+            want[key, k, a, min(window, len(ids) - a), crc32_of(ids[a : a + window])] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in pieces) == want
+    of = {}
+    for r in pieces:
+        of.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in of.values():
+        own.sort()
+        assert [a for a, _ in own] == [sum(n for _, n in own[:i]) for i in range(len(own))] and sum(n for _, n in own) <= window
+    return len(of), -(-sum(r.length for r in pieces) // window)
+
+
+@pytest.mark.parametrize("window, group", [(2048, 4096), (64, 150)])
+def test_best_fit_of_odd_rows(spark, monkeypatch, window, group):
+    monkeypatch.setattr(best_fit, "GROUP", group)
+    rng = random.Random(2)
+    rows = ODD + [(100 + i, " ".join(rng.choices(["word", "another", "long-winded", "x,"], k=rng.randrange(0, 90)))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"unit": F.lit("clash"), "piece": F.lit(1), "length": F.lit("c")})
+    packed = best_fit.pack_best_fit(docs, window=window, with_ids=True)
+    assert packed.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids"]
+    pieces = packed.collect()
+    bins, least = check_pieces(rows, pieces, window)
+    rests = [r.length for r in pieces if r.length < window]
+    assert least <= bins <= len(pieces) - len(rests) + best_fit_decreasing(rests, window)[1] + len(rests) // group
+    assert all(crc32_of(np.array(r.ids, np.uint32)) == r.ids_crc32 for r in pieces)
+    whole = best_fit.sequences(packed).collect()
+    assert len(whole) == bins and all(len(r.ids) <= window for r in whole) and sum(len(r.ids) for r in whole) == sum(r.length for r in pieces)
+    assert best_fit.pack_best_fit(docs.limit(0)).count() == 0
+
+
+def best_fit_decreasing(sizes, window):
+    bins, rooms = np.zeros(len(sizes), dtype=np.int64), []
+    best_fit.place(list(sizes), sorted(range(len(sizes)), key=lambda i: -sizes[i]), bins, rooms, window)
+    return bins, len(rooms)
+
+
+def test_best_fit_places():
+    bins, n = best_fit_decreasing([5, 3, 4, 6, 2], 10)
+    assert n == 2 and sorted(np.bincount(bins, weights=[5, 3, 4, 6, 2]).tolist()) == [10, 10]
+    rng = random.Random(4)
+    for _ in range(30):
+        sizes = [rng.randrange(1, 60) for _ in range(80)]
+        order, rooms, bins = rng.sample(range(80), 80), [], np.zeros(80, dtype=np.int64)
+        best_fit.place(sizes, order, bins, rooms, 60)
+        plain = []  # by hand: the least room that is enough
+        for i in order:
+            b = min((b for b in range(len(plain)) if plain[b] >= sizes[i]), key=lambda b: plain[b], default=None)
+            if b is None:
+                plain.append(60)
+                b = len(plain) - 1
+            plain[b] -= sizes[i]
+        assert sorted(plain) == sorted(rooms) and (np.bincount(bins, weights=sizes) <= 60).all()
+
+
+def test_islands_beat_best_fit_decreasing():
+    """Triples that fill a bin exactly: best fit decreasing needs far more bins, children save some in every epoch."""
+    rng = np.random.default_rng(0)
+    sizes = []
+    for _ in range(60):
+        a = int(rng.integers(380, 490))
+        b = int(rng.integers(250, max(251, (1000 - a) // 2)))
+        sizes += [a, b, 1000 - a - b]
+    sizes = np.array(sizes)
+    first = best_fit.evolve(sizes, [], [0, 0, 0], 1000, children=0)
+    members, found = first, []
+    for e in range(5):
+        members = best_fit.evolve(sizes, members, [e, 0, 0], 1000)
+        found.append(best_fit.worth(members[0], sizes, 1000))
+    assert found == sorted(found, reverse=True) and found[-1][0] < best_fit.worth(first[0], sizes, 1000)[0]
+    assert found[-1][0] <= best_fit_decreasing(sizes.tolist(), 1000)[1] - 4
+    assert best_fit.evolve(sizes, members, [9, 9, 9], 1000)[0].tolist() == best_fit.evolve(sizes, members, [9, 9, 9], 1000)[0].tolist()  # repeatable
+
+
+def test_a_child_takes_whole_bins():
+    rng = np.random.default_rng(1)
+    sizes = rng.integers(1, 50, 300)
+    a, b = (best_fit.evolve(sizes, [], [0, 0, k], 50, children=0)[0] for k in (1, 2))
+    child = best_fit.cross(a, b, sizes, 50, rng)
+    bins = lambda x: {frozenset(np.flatnonzero(x == k).tolist()) for k in range(x.max() + 1)}
+    assert (np.bincount(child, weights=sizes) <= 50).all() and (np.bincount(child) > 0).all()
+    assert len(bins(child) & bins(b)) > len(bins(a) & bins(b)) and bins(child) & bins(a) - bins(b)
+
+
+def test_rounds_join_what_groups_leave(spark, monkeypatch):
+    """Groups of 128 items each leave a bin that is not full; most of that is saved when what they leave is dealt anew."""
+    monkeypatch.setattr(best_fit, "GROUP", 128)
+    rng = random.Random(6)
+    sizes = [rng.randrange(1, 200) for _ in range(2000)]
+    items = spark.createDataFrame(list(enumerate(sizes)), "unit long, length long")
+    alone = best_fit.pack_round(items, 2000, 0, 512).select("sequence").distinct().count()
+    rows = best_fit.pack_items(items, 512).collect()
+    bins, least = len({r.sequence for r in rows}), -(-sum(sizes) // 512)
+    assert sorted(r.unit for r in rows) == list(range(2000))
+    assert least <= bins <= least + (alone - least) // 2
