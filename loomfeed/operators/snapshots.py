@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import Lexicon
 from ..functions.text import parse_time, text_or_empty, truthy
-from ..lineage import kept
 from .classify import classify
-from .identity import compare_with_master, overlap_boundary
+from .identity import overlap_boundary
 from .joins import update_analysis
 
 TOKENS = ("identity_key", "strict_key", "composite_key", "text_key")
@@ -160,54 +157,12 @@ def review_queue(compared: DataFrame) -> DataFrame:
     return compared.where("status = 'uncertain'").select(F.sha2(F.concat_ws("|", "master_content_id", "identity_key", F.col("seq").cast("string")), 256).alias("queue_id"), "item_key", F.col("master_content_id").alias("candidate_content_id"), F.lit(1.0).alias("similarity"), F.lit("inspect").alias("suggested_action"), F.lit(False).alias("resolved"))
 
 
-def update_log(compared: DataFrame) -> DataFrame:
-    """SNP7: counts of each item's import and its status."""
-    out = compared.groupBy("item_key").agg(F.count("*").alias("extracted_count"), *(F.count_if(F.col("status") == s).alias(f"{s}_count") for s in ("new", "existing", "uncertain")))
+def update_log(compared: DataFrame, *capture: str) -> DataFrame:
+    """SNP7: counts of each item's import (or of each capture's) and its status."""
+    out = compared.groupBy("item_key", *capture).agg(F.count("*").alias("extracted_count"), *(F.count_if(F.col("status") == s).alias(f"{s}_count") for s in ("new", "existing", "uncertain")))
     return out.withColumn("result", F.when(F.col("uncertain_count") > 0, "warning").otherwise("success"))
 
 
-def _import_captures(tables: dict[str, DataFrame], batch: DataFrame, allow_backfill: bool) -> dict[str, DataFrame]:
-    """SNP8 for one capture of each item."""
-    files = batch.groupBy("project_id", "item_key", "snapshot_id").agg(*(F.max(c).alias(c) for c in ("file_hash", "capture_time", "source_file")), F.count("*").alias("extracted_count"))
-    judged = backfill_gate(split_duplicates(files, tables["snapshots"]), tables["snapshots"], allow_backfill)
-    state = judged.withColumn("status", F.when(F.col("is_duplicate"), "duplicate_file").otherwise(F.col("status")))
-    good = state.where("status in ('accepted', 'fallback')").select("snapshot_id", "is_backfill")
-    rows = batch.join(good, "snapshot_id")
-    compared = compare_with_master(tables["content_master"], rows)
-    values = {k: F.col(k) for k in ("snapshot_id", "capture_time", "source_file")}
-    master = tables["content_master"]
-    for late in (False, True):
-        part = compared.where(F.col("is_backfill") == late)
-        master = apply_master_update(master, part, values, backfill=late) if late is False or allow_backfill else master
-    new_snapshots = state.where("status in ('accepted', 'fallback')").select("project_id", "item_key", "snapshot_id", "file_hash", "capture_time", F.col("capture_time").alias("imported_at"), "source_file", F.col("extracted_count").cast("string").alias("extracted_count"))
-    return {"content_master": master, "snapshots": tables["snapshots"].unionByName(new_snapshots, allowMissingColumns=True), "review_queue": review_queue(compared), "update_log": update_log(compared), "rejects": state.where("status not in ('accepted', 'fallback')").select("snapshot_id", "item_key", "status"), "compared": compared}
-
-
-def import_batch(tables: dict[str, DataFrame], batch: DataFrame, allow_backfill: bool = False, keep: Callable[[DataFrame], DataFrame] = kept) -> dict[str, DataFrame]:
-    """SNP8: captures of items (identity keys, snapshot_id, capture_time, source_file, file_hash, seq), any number of each.
-
-    Captures of one item take effect one after the other, by capture time (unreadable ones first), then id: a turn imports the
-    next capture of every item, against what the turns before have left.  There are as many turns as the busiest item has
-    captures; keep makes their tables once.  Duplicates and late captures go to rejects and leave the rest alone.  The caller's
-    tables are not written: a preview is the same call.  update_log has a row for each capture.
-    """
-    captures = batch.groupBy("project_id", "item_key", "snapshot_id").agg(F.max("capture_time").alias("capture_time"))
-    in_order = Window.partitionBy("project_id", "item_key").orderBy(F.asc_nulls_first(parse_time(F.col("capture_time"))), "snapshot_id")
-    turns = captures.select("project_id", "item_key", "snapshot_id", F.row_number().over(in_order).alias("_turn"))
-    most = turns.agg(F.max("_turn")).first()[0] or 1
-    if most == 1:
-        return _import_captures(tables, batch, allow_backfill)
-    turns, state, out = keep(turns), dict(tables), {}
-    for turn in range(1, most + 1):
-        part = batch.join(turns.where(F.col("_turn") == turn).drop("_turn"), ["project_id", "item_key", "snapshot_id"], "left_semi")
-        done = _import_captures(state, part.select(*batch.columns), allow_backfill)
-        state |= {k: keep(done[k]) for k in ("content_master", "snapshots")}
-        for k in ("review_queue", "update_log", "rejects", "compared"):
-            rows = keep(done[k])
-            out[k] = rows if turn == 1 else out[k].unionByName(rows)
-    return {"content_master": state["content_master"], "snapshots": state["snapshots"], **out}
-
-
 def reanalyze(tables: dict[str, DataFrame], project_id: str, lexicon: Lexicon | None = None, version: str = "") -> DataFrame:
     """SNP10, JN11: the analysis table with a project's contents graded anew (content_master), each row with its content's
     item_key, and with the scores that the project has kept (sentiment_fast); rows of other projects stay as they are."""

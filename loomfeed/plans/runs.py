@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.lexicon import Lexicon
-from ..operators import assets, metrics, sentiment, snapshots
+from ..operators import assets, imports, metrics, sentiment, snapshots
 from ..sources import pages
 from .adapters import ACTION_WORDS, DOCS, SOURCE_WORDS, content_docs, query, table
 from .models import IMAGES, LIS, _upsert, question_pages
@@ -32,7 +32,7 @@ def q_import_batch(spark, d):
     first = rows.where("k = 0").withColumns({"content_id": F.col("strict_key"), "is_active": F.lit(True), **{c: F.col(v) for c, v in (("first_seen_snapshot_id", "snapshot_id"), ("last_seen_snapshot_id", "snapshot_id"), ("first_seen_at", "capture_time"), ("last_seen_at", "capture_time"), ("source_file_first", "source_file"), ("source_file_last", "source_file"))}})
     master = first.drop("k", "capture_time", "snapshot_id", "source_file", "file_hash")
     known = rows.where("k = 0").select("project_id", "item_key", "snapshot_id", "file_hash", "capture_time", F.col("capture_time").alias("imported_at"), "source_file", F.lit("1").alias("extracted_count")).distinct()
-    out = snapshots.import_batch({"content_master": master, "snapshots": known}, rows.where("k > 0").drop("k"))
+    out = imports.import_batch({"content_master": master, "snapshots": known}, rows.where("k > 0").drop("k"))
     return out["content_master"].select("item_key", "content_text_clean", "first_seen_at", "last_seen_at", "is_active")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomfeed.functions import text as X
 from loomfeed.functions.lexicon import Lexicon, load_lexicon
-from loomfeed.operators import assets, audit, classify, filters, identity, joins, metrics, sales, sentiment, snapshots, tables
+from loomfeed.operators import assets, audit, classify, filters, identity, imports, joins, metrics, sales, sentiment, snapshots, tables
 from loomfeed.sources import pages, reviews
 from loomfeed.streaming import landing
 
@@ -307,7 +307,7 @@ def imported(spark, *captures, **kw):
     state = {"content_master": spark.createDataFrame([], MASTER), "snapshots": spark.createDataFrame([], SNAPSHOTS)}
     contents = None
     for c in captures:
-        out = snapshots.import_batch(state, c, **kw)
+        out = imports.import_batch(state, c, **kw)
         state = {k: spark.createDataFrame(out[k].collect(), out[k].schema) for k in ("content_master", "snapshots")}
         kept = c.join(state["snapshots"].select("snapshot_id"), "snapshot_id", "left_semi")
         contents = kept if contents is None else contents.unionByName(kept)
