@@ -55,46 +55,58 @@ class WordTokenizer:
         self.pool, self.filled = np.zeros(1 << 16, dtype=np.uint32), 0
         self.at, self.length = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
 
-    def _add(self, word: bytes, ids: np.ndarray) -> None:
-        k = len(self.known)
-        if k == len(self.at):
+    def _add(self, words: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Remember words that are not known yet; ids: theirs in turn."""
+        k, n = len(self.known), len(words)
+        while k + n > len(self.at):
             self.at, self.length = np.concatenate([self.at, self.at]), np.concatenate([self.length, self.length])
         while self.filled + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, self.pool])
         self.pool[self.filled : self.filled + len(ids)] = ids
-        self.known[word], self.at[k], self.length[k] = k, self.filled, len(ids)
+        self.at[k : k + n], self.length[k : k + n] = self.filled + np.cumsum(lengths) - lengths, lengths
         self.filled += len(ids)
+        self.known.update(zip(words, range(k, k + n), strict=True))
 
     def _encode(self, words: list[bytes]) -> None:
         """Remember new words.  Words of letters alone are one piece each and go to the tokenizer many at a time."""
-        plain = [w for w in words if w.decode().isalpha()]
+        texts = [w.decode() for w in words]
+        letters = [t.isalpha() for t in texts]
+        plain, odd = [i for i, x in enumerate(letters) if x], [i for i, x in enumerate(letters) if not x]
         groups = [plain[i : i + 400] for i in range(0, len(plain), 400)]
-        odd = [w for w in words if not w.decode().isalpha()]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False), strict=True):
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, dtype=np.uint32)
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(group):
-                for word, a, b in zip(group, [0, *stops[:-1].tolist()], stops.tolist(), strict=True):
-                    self._add(word, ids[a:b])
+                self._add([words[i] for i in group], ids[: stops[-1]], np.diff(stops, prepend=0))
             else:
                 odd += group
-        for word, e in zip(odd, self.tokenizer.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False), strict=True):
-            self._add(word, np.array(e.ids, dtype=np.uint32))
+        if odd:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False)]
+            self._add([words[i] for i in odd], np.array([x for own in found for x in own], dtype=np.uint32), np.array([len(x) for x in found], dtype=np.int64))
+
+    def _places(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
+
+    def _gather(self, index: np.ndarray) -> np.ndarray:
+        """The ids of known words in turn."""
+        lengths = self.length[index]
+        behind = np.cumsum(lengths)
+        return self.pool[np.arange(behind[-1] if len(behind) else 0) + np.repeat(self.at[index] - behind + lengths, lengths)]
 
     def _learn(self, words: set[bytes]) -> None:
         """Closing punctuation behind a letter or digit of ASCII is a piece of its own: encode stem and tail once each."""
-        tails, stems = {}, set()
+        tailed, parts, stems = [], [], set()
         for word in words:
             m = _TAIL.search(word)
             if m and b"<|" not in word:
-                tails[word] = (word[: m.start()], m[0])
-                stems.update(tails[word])
+                tailed.append(word)
+                parts += (word[: m.start()], m[0])
             else:
                 stems.add(word)
+        stems.update(parts)
         self._encode([w for w in stems if w not in self.known])
-        for word, parts in tails.items():
-            if word not in self.known:
-                self._add(word, np.concatenate([self.pool[self.at[k] : self.at[k] + self.length[k]] for k in map(self.known.__getitem__, parts)]))
+        pairs = self._places(parts)
+        self._add(tailed, self._gather(pairs), self.length[pairs].reshape(-1, 2).sum(axis=1))
 
     def encode(self, texts: list[bytes], end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """All ids, end_id behind each text's, and the offset of each text (one more at the end)."""
@@ -111,16 +123,15 @@ class WordTokenizer:
         if len(new):
             fresh = [words[i] for i in new.tolist()]
             self._learn(set(fresh))
-            index[new] = np.fromiter(map(self.known.__getitem__, fresh), dtype=np.int64, count=len(fresh))
+            index[new] = self._places(fresh)
         lengths = self.length[index]
         behind = np.concatenate([[0], np.cumsum(lengths)])
         firsts = np.concatenate([[0], np.cumsum(counts)])
         offsets = behind[firsts] + np.arange(len(texts) + 1)
-        where = np.arange(behind[-1]) + np.repeat(self.at[index] - behind[:-1], lengths)
         ids = np.full(offsets[-1], end_id, dtype=np.uint32)
         body = np.ones(offsets[-1], dtype=bool)
         body[offsets[1:] - 1] = False
-        ids[body] = self.pool[where]
+        ids[body] = self._gather(index)
         return ids, offsets
 
 
