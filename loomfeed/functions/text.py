@@ -15,6 +15,8 @@ UNIT_SEPARATOR = "\u001f"
 DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd HH:mm", "yyyy/MM/dd", "yyyy.MM.dd")
 # Fixed value: what may stand between the characters of a term, spaces and punctuation, as the inside of a character class.
 _JOINERS = r"\s\u00a0\u200b-\u200d\ufeff·・•.\-_—–/\\|:：,，、\[\]【】()（）{}《》<>「」『』\"“”'’`"
+#: The same, character by character: white space and punctuation lie in these ranges.
+_JOINER_CHARS = "".join(c for c in map(chr, (*range(0x100), *range(0x2000, 0x2100), *range(0x3000, 0x3100), *range(0xFE00, 0x10000))) if re.match(f"(?a:[{_JOINERS}])", c))
 
 
 def text_or_empty(c: Column) -> Column:
@@ -69,7 +71,7 @@ def term_pattern(term: str) -> str:
 
 def squeeze(text: Column) -> Column:
     """The text without anything that may stand between the characters of a term."""
-    return F.regexp_replace(text_or_empty(text), f"[{_JOINERS}]+", "")
+    return F.translate(text_or_empty(text), _JOINER_CHARS, "")
 
 
 def term_matches(text: Column, term: str, squeezed: Column | None = None) -> Column:
@@ -80,13 +82,16 @@ def term_matches(text: Column, term: str, squeezed: Column | None = None) -> Col
     return F.lower(squeezed).contains(own.lower()) if re.search("[A-Za-z]", own) else squeezed.contains(own)
 
 
-def latin_token(text: Column, token: str = "AI", before: tuple[str, ...] = (), after: tuple[str, ...] = ()) -> Column:
-    """TXT7: the token outside Latin words, or behind one of `before`, or in front of one of `after`."""
+def latin_token(text: Column, token: str = "AI", before: tuple[str, ...] = (), after: tuple[str, ...] = (), lower: Column | None = None) -> Column:
+    """TXT7: the token outside Latin words, or behind one of `before`, or in front of one of `after`.  It is sought where the text
+    holds its letters at all."""
     own = f"(?:{token}|{token.lower()})"
     parts = [rf"(?<![A-Za-z])(?:{token}|{token.lower()}|{re.escape('.'.join(token) + '.')})(?![A-Za-z])"]
     parts += [f"(?:{'|'.join(before)}){own}"] if before else []
     parts += [f"{own}(?:{'|'.join(after)})"] if after else []
-    return text.rlike("|".join(parts))
+    lower = F.lower(text) if lower is None else lower
+    some = lower.contains(token.lower()) | lower.contains(".".join(token.lower()) + ".")
+    return F.when(some, text.rlike("|".join(parts))).otherwise(F.lit(False))
 
 
 def match_terms(text: Column, terms: list[str] | tuple[str, ...], squeezed: Column | None = None) -> Column:
