@@ -35,7 +35,7 @@ TOP = 50
 #: Terms (with repeats) in a shard, at least one document; bounds what a task holds.
 SHARD_TERMS = 1_000_000
 #: Terms of items in a block of a search, and numbers that one numpy step holds.
-PAIRS, CELLS = 1_000_000, 1_000_000
+PAIRS, CELLS = 1_000_000, 250_000
 #: A term's weight and impact, and m: fixed by the contract.
 WEIGHT, SCALE, TF, NORM, M_LOW, M_SLOPE = 1000, 1_000_000_000, 1000, 20, 50, 50
 INDEX = "m long, keys array<long>, terms array<long>, ends array<int>, tfs array<int>, docs array<int>"
