@@ -409,12 +409,15 @@ _OTHER = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x2
 #: Signs of comments at the starts and ends of lines; with the white space around they are one gap.
 _SIGNS = r"(?:/\*+|\*+/?|//+[!/]?|\#+|;+|%+|--+|<!--+|>+|\|+|!+|\"{3}|'{3}|@?rem\b|dnl\b)"
 _GAPS = re.compile(rf"(?:\s+{_SIGNS})?[^\S\n\r]*(?:[\n\r]\s*(?:{_SIGNS}\s*)?)+|\s+")
-_COMMENTED = re.compile(rf"[\n\r]\s*{_SIGNS}")
+_COMMENTED = re.compile(rf"[\n\r][^\S\n\r]*+{_SIGNS}")
+_WHITE = re.compile(r"\s++")
 
 
 def one_line(text: str) -> str:
-    """The text with one space for each gap."""
-    return _GAPS.sub(" ", text) if _COMMENTED.search(text) else " ".join(text.split())
+    """The text with one space for each gap.  White space is made short first, so that blank lines are read once."""
+    if not _COMMENTED.search(text):
+        return " ".join(text.split())
+    return _GAPS.sub(" ", _WHITE.sub(lambda m: "\n" if "\n" in m[0] or "\r" in m[0] else " ", text))
 
 
 def resolve(found: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:

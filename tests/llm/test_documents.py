@@ -582,3 +582,14 @@ def test_suffix_array_covers_what_pages_share():
         assert (extraction.repeated(tokens, pages, 3) == want).all()
 
 
+
+
+def test_stray_tags_and_blank_lines_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    extraction.blocks_of("<i>" * 100_000 + "x" + "</b>" * 100_000)
+    for text in ("\n" * 500_000 + "mit license", " \n" * 300_000 + "mit\n# license", "\n#" * 200_000, "\n " * 200_000 + "*"):
+        licenses.one_line(text)
+    assert time.perf_counter() - began < 10
+    assert licenses.one_line("a \n\n # b\r\n\r\n// c") == "a b c"
