@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
@@ -18,6 +20,9 @@ CARD_CLASSES = {
 }
 CARD_HINTS = {"review": "(?i)(review|comment|rate-item|feedback|evaluation|评价|评论)", "question": "(?i)(qa|question|answer|ask|everyone|wenda|问大家|问答)"}
 HINTED = 500
+# What marks the conditions and the filters of a page's questions, and how a filter's label reads.
+CONDITION, CONDITION_COUNT, FILTER = "conditionItem--", "conditionItemCount--", "(?i)(tag|filter|topic)"
+FILTER_TAGS, FILTER_LABEL, TAGS = ("button", "li", "span", "div"), r"([\u4e00-\u9fffA-Za-z]{1,10})\s*(\d{1,7})?", 30
 # Where pages name their product and shop.
 PANEL = "tbpcDetail_SkuPanelBody"
 TITLE_CLASSES = ("product-title", "ProductTitle", "item-title", "ItemTitle", "tb-main-title")
@@ -44,6 +49,7 @@ class Page(HTMLParser):
         self.nodes: list[Node] = []
         self.pieces: list[str] = []
         self.open: list[int] = []
+        self.opened: Counter[str] = Counter()  # tags of open nodes
         self.seen: dict[int, dict[str, int]] = {}  # of open parents: children by tag
         self.latest: dict[int, str] = {}  # of open parents: classes of the last child
         self.feed(html)
@@ -60,11 +66,13 @@ class Page(HTMLParser):
         self.nodes.append(node)
         if tag not in _VOID:
             self.open.append(len(self.nodes) - 1)
+            self.opened[tag] += 1
 
     def handle_endtag(self, tag):
-        if any(self.nodes[i].tag == tag for i in self.open):
+        if self.opened[tag]:
             while True:
                 i = self.open.pop()
+                self.opened[self.nodes[i].tag] -= 1
                 self.nodes[i].last = len(self.pieces)
                 self.seen.pop(i, None)
                 self.latest.pop(i, None)
@@ -86,16 +94,17 @@ class Page(HTMLParser):
         return (self.nodes[j] for j in self.chain(i))
 
 
-def cards_of(page: Page, kind: str) -> list[int]:
+def cards_of(page: Page, kind: str, hinted: int | None = HINTED) -> list[int]:
     """The nodes that are cards: by class, and boxes by hint, without those that hold another.  A box in a card by class is a
-    part of it, whatever its name hints at; cards of questions by class leave no room for hints."""
+    part of it, whatever its name hints at; cards of questions by class leave no room for hints.  Of boxes by hint
+    the first `hinted` count (a fixed value of this format; None: all)."""
     by_class = [i for i, n in enumerate(page.nodes) if any(c in n.classes for c in CARD_CLASSES[kind])]
     if kind == "question" and by_class:
         return by_class
     hint = re.compile(CARD_HINTS[kind])
     known = set(by_class)
     within = lambda i: any(j in known for j in page.chain(i))
-    by_hint = [i for i, n in enumerate(page.nodes) if n.tag in _BOXES and hint.search(f"{n.classes} {n.attrs.get('id', '')} {n.attrs.get('data-spm', '')}") and not within(i)][:HINTED]
+    by_hint = [i for i, n in enumerate(page.nodes) if n.tag in _BOXES and hint.search(f"{n.classes} {n.attrs.get('id', '')} {n.attrs.get('data-spm', '')}") and not within(i)][:hinted]
     cards = sorted({*by_class, *by_hint})
     holds, known = set(), set(cards)
     for i in cards:
@@ -108,29 +117,36 @@ def cards_of(page: Page, kind: str) -> list[int]:
     return [i for i in cards if i not in holds] or cards
 
 
-def tags_of(page: Page) -> list[str]:
-    """What a page's questions are about: conditions with counts, else labels of filters."""
-    out: list[str] = []
-    for i, n in enumerate(page.nodes):
-        if "conditionItem--" in n.classes:
-            count = next((m for m in page.nodes[i + 1 :] if "conditionItemCount--" in m.classes and n.first <= m.first and m.last <= n.last), None)
-            number = page.text(count) if count else ""
-            name = " ".join(p for k, p in enumerate(page.pieces[n.first : n.last], n.first) if not count or not count.first <= k < count.last)
-            if name and name not in out:
-                out.append(f"{name}:{number}" if number else name)
-    if out:
-        return out[:30]
-    for n in page.nodes:
-        if n.tag in ("button", "li", "span", "div") and re.search("(?i)(tag|filter|topic)", f"{n.classes} {n.attrs.get('id', '')}"):
-            m = re.fullmatch(r"([\u4e00-\u9fffA-Za-z]{1,10})\s*(\d{1,7})?", page.text(n))
-            if m and page.text(n) not in out:
-                out.append(f"{m[1]}:{m[2]}" if m[2] else m[1])
-        if len(out) >= 30:
-            break
-    return out
+def _conditions(page: Page) -> Iterator[tuple[str, str]]:
+    """Names and counts of conditions.  Nodes stand in order of their first piece, so a condition's count is found by bisection."""
+    counts = [n for n in page.nodes if CONDITION_COUNT in n.classes]
+    firsts = [n.first for n in counts]
+    for node in (n for n in page.nodes if CONDITION in n.classes):
+        at = bisect_left(firsts, node.first)
+        if at < len(counts) and counts[at].last <= node.last:
+            own = counts[at]
+            yield " ".join(page.pieces[node.first : own.first] + page.pieces[own.last : node.last]), page.text(own)
+        else:
+            yield page.text(node), ""
+
+
+def _filters(page: Page) -> Iterator[tuple[str, str]]:
+    """Names and counts in the labels of filters."""
+    for node in page.nodes:
+        if node.tag in FILTER_TAGS and re.search(FILTER, f"{node.classes} {node.attrs.get('id', '')}") and node.last - node.first <= 2:
+            if label := re.fullmatch(FILTER_LABEL, page.text(node)):
+                yield label[1], label[2] or ""
+
+
+def tags_of(page: Page, most: int | None = TAGS) -> list[str]:
+    """What a page's questions are about: conditions, or filters where it has none, each once; the first `most` (None: all)."""
+    for source in (_conditions, _filters):
+        if named := dict.fromkeys(":".join(filter(None, pair)) for pair in source(page) if pair[0]):
+            return list(named)[:most]
+    return []
 
 
-def page_rows(kind: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def page_rows(kind: str, hinted: int | None = HINTED) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Frames (page, html) to the nodes of their cards."""
     columns = ["page", "node", "card", "tag", "class_name", "attrs", "after", "inside_user", "text", "block", "node_id", "src", "width", "height", "tags"]
 
@@ -140,7 +156,7 @@ def page_rows(kind: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataF
             for name, html in zip(frame["page"], frame["html"], strict=True):
                 page = Page(html)
                 tags = tags_of(page) if kind == "question" else []
-                for card, root in enumerate(cards_of(page, kind)):
+                for card, root in enumerate(cards_of(page, kind, hinted)):
                     inside = {root}
                     for i in range(root, len(page.nodes)):
                         n = page.nodes[i]

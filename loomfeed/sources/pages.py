@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean_text, md5_of, normalize, remove_invalid_xml_chars, review_date, text_or_empty
 from ..shipping import ship
-from .page_nodes import page_rows, titles_and_shops
+from .page_nodes import HINTED, page_rows, titles_and_shops
 
 # What tells a marketplace, in this order.
 PLATFORM_SIGNALS = {"tmall": ("tmall.com", "天猫", "天猫超市", "天猫国际"), "taobao": ("taobao.com", "淘宝", "已买到的宝贝", "收藏夹"), "jd": ("jd.com", "京东", "京东商城"), "pdd": ("pinduoduo.com", "yangkeduo.com", "拼多多"), "douyin": ("douyin.com", "抖音商城", "抖音电商")}
@@ -130,10 +130,11 @@ def page_products(pages: DataFrame, key: str = "page_id", html: str = "html", fi
 NODES = "page string, node long, card long, tag string, class_name string, attrs string, after string, inside_user boolean, text string, block string, node_id string, src string, width string, height string, tags array<string>"
 
 
-def card_nodes(pages: DataFrame, key: str = "page_id", html: str = "html", kind: str = "review") -> DataFrame:
-    """The nodes of each page's cards of a kind (review or question), in order: the card itself first, with its block of lines."""
+def card_nodes(pages: DataFrame, key: str = "page_id", html: str = "html", kind: str = "review", hinted: int | None = HINTED) -> DataFrame:
+    """The nodes of each page's cards of a kind (review or question), in order: the card itself first, with its block of lines.
+    Of cards that only their names hint at, the first `hinted` of a page count, as this format has it (None: all)."""
     ship(pages.sparkSession)
-    return pages.select(F.col(key).cast("string").alias("page"), text_or_empty(F.col(html)).alias("html")).mapInPandas(page_rows(kind), NODES)
+    return pages.select(F.col(key).cast("string").alias("page"), text_or_empty(F.col(html)).alias("html")).mapInPandas(page_rows(kind, hinted), NODES)
 
 
 def _first(*patterns: str, where: Column | None = None, column: str = "attrs") -> Column:
