@@ -1,7 +1,8 @@
 """Lexical retrieval packing (operator 2).
 
 Documents become ids; those that share words are dealt to the same part of a table (by the least hash of their word pairs; a lot
-spreads a crowd of copies over as many parts as it needs).  Each part is cut into shards of a bounded number of ids.  A shard has
+spreads a crowd of copies over as many parts as it needs).  The number of parts follows from the number of ids alone: all
+documents are one part up to SHARD_IDS.  A part that turns out larger is cut into shards of a bounded number of ids.  A shard has
 a BM25 inverted index over the pieces of words, with document frequencies and mean length counted over all documents.  Whole
 windows of long documents stand alone.  For the rest, the longest unused unit is the seed of a window; the index ranks all unused
 units that share a piece with it; they fill the window greedily, the best first, and one of them is cut where the window ends.
@@ -17,19 +18,23 @@ gives no pieces; other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, distinct, hash_spans, map_arrow, mix64, parts_for, read_table, slices, stage_table, window_hashes
+from .common import batches, distinct, hash_spans, map_arrow, mix64, read_table, slices, stage_table, window_hashes
 from .tokens import WordTokenizer, crc32_of, default_tokenizer, from_payload, to_payload
 
 WINDOW = 4096
 #: Ids in a shard of the index.
 SHARD_IDS = 2_000_000
+#: How full parts are meant to be, as a share of a shard, so that few need a second one.
+FULL = 0.9
 #: Terms are hashes of so many bits; the others leave room for the number of a document among OWNERS, so that one sort finds both.
 TERM_BITS = 48
 _SPARE, OWNERS = np.uint64(64 - TERM_BITS), 1 << 64 - TERM_BITS
@@ -125,13 +130,20 @@ class _Counter:
         return count_terms(terms, counts)
 
 
+def lots_of(keys: pa.Array) -> np.ndarray:
+    """A lot for each row, from its key and from how often the key stood before in this batch, so that a hot key has many."""
+    x = pd.Series(keys.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64))
+    before = x.groupby(x).cumcount().to_numpy().astype(np.uint64)
+    return (mix64(mix64(x.to_numpy().view(np.uint64)) + before) & np.uint64((1 << LOT_BITS) - 1)).astype(np.int64)
+
+
 def encode_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each document (doc_id, n_terms, spot, ids), and rows with the terms of documents and their counts (terms, counts)."""
     names = ["doc_id", "n_terms", "spot", "ids", "terms", "counts"]
     types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
 
     def encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, counter, done = WordTokenizer.of(tokenizer), _Counter(), 0
+        t, counter = WordTokenizer.of(tokenizer), _Counter()
 
         def counted() -> pa.RecordBatch:
             terms, counts = counter.take()
@@ -143,9 +155,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text:
             full = counter.add(*count_documents(terms, owner))
             payloads = [to_payload(all_ids[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             n = len(texts)
-            lots = mix64(np.arange(done, done + n, dtype=np.uint64)) & np.uint64((1 << LOT_BITS) - 1)
-            spots = (routes >> (63 - ROUTE_BITS) << LOT_BITS) | lots.astype(np.int64)
-            done += n
+            spots = (routes >> (63 - ROUTE_BITS) << LOT_BITS) | lots_of(batch.column(0))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_terms), pa.array(spots), pa.array(payloads, pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names)
             if full:
                 yield counted()
@@ -307,8 +317,10 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, window: int =
     spark, tokenizer = docs.sparkSession, tokenizer or default_tokenizer()
     encoded = stage_table(encode_documents(docs, tokenizer), "encoded")
     rows = encoded.where("ids is not null").select("doc_id", "n_terms", "spot", "ids")
-    count, mean, n_bytes = rows.agg(F.count("*"), F.coalesce(F.avg("n_terms"), F.lit(0.0)), F.sum(F.octet_length("ids").cast("long"))).first()
-    n = parts_for(spark, n_bytes)
+    width = F.when(F.substring("ids", 1, 1) == F.lit(b"\x02"), 2).otherwise(4)  # bytes of an id in its payload
+    n_ids = F.coalesce(F.sum(F.floor(F.octet_length("ids") / width)), F.lit(0))
+    count, mean, n_ids = rows.agg(F.count("*"), F.coalesce(F.avg("n_terms"), F.lit(0.0)), n_ids).first()
+    n = 1 if n_ids <= shard_ids else math.ceil(n_ids / (FULL * shard_ids))
     # Parts of about equal size: a document counts once for each WEIGHED bytes that it has begun.
     weighed = rows.select("spot", F.explode(F.sequence(F.lit(0), F.floor(F.octet_length("ids") / WEIGHED).cast("int"))))
     cuts = np.array(weighed.approxQuantile("spot", [i / n for i in range(1, n)], 1 / (20 * n)) if count and n > 1 else [], dtype=np.int64)

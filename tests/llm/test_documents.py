@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -482,6 +483,26 @@ def test_packing_counts_documents_exactly(spark, docs, texts, monkeypatch):
     assert rows() == one
 
 
+def test_packing_does_not_hang_on_the_session(spark, docs, texts):
+    """Parts follow from the ids: the same sequences whatever the number of shuffle partitions, and one shard where all fit."""
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in ("3", "40"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found += [Counter(map(tuple, packing.pack_documents(docs, shard_ids=k).collect())) for k in (20_000, packing.SHARD_IDS)]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[2] and found[1] == found[3]
+    assert sum(len(ids) for _, ids in encoded(texts)) < packing.SHARD_IDS
+    assert {r[5] >> 32 for r in found[1]} == {0} and len({r[5] >> 32 for r in found[0]}) > 1
+
+
+def test_lots_spread_a_hot_key():
+    lots = packing.lots_of(pa.array([None] * 4000 + [7] * 4000 + list(range(100))))
+    assert len(set(lots[:4000])) > 3500 and len(set(lots[4000:8000])) > 3500
+    assert packing.lots_of(pa.array([5, 9]))[1] == packing.lots_of(pa.array([9]))[0]
+
+
 PAGE = "<html><head><title>t</title></head><body><nav><a>Menu</a></nav><div class='ad'>Buy &amp; win</div><article><h1>Head</h1><p>One\n two<p>Three &lt;b&gt; <b>bold</b><script>var x='</p>'</script><div id=comments>me too</div></article><footer>end</footer>"
 
 
