@@ -129,10 +129,16 @@ def exported_images(watched: DataFrame, changed: DataFrame, images: DataFrame, r
     return images.join(new, "image_id")
 
 
-def export_tables(exported: DataFrame, reviews: DataFrame, products: DataFrame, created: DataFrame, found: int = 0, warnings: int = 0) -> dict[str, DataFrame]:
+REVIEW_COLUMNS = ("platform_review_id", "review_time", "append_time", "reviewer_display_name", "sku", "review_text", "append_text", "source_file_name")
+PRODUCT_COLUMNS = ("platform", "product_id", "product_title")
+
+
+def export_tables(exported: DataFrame, reviews: DataFrame, products: DataFrame, created: DataFrame, found: int = 0, warnings: int = 0, batch_id: str = "", exported_at: str = "") -> dict[str, DataFrame]:
     """AST10: image rows with path and status, counts of each review and product, and the metrics of a batch's export.
 
-    exported: images with was_new and extract_status; created: local_review_id of reviews that the batch has made."""
+    exported: images with was_new and extract_status; created: local_review_id of reviews that the batch has made.  Rows of
+    reviews and products carry what the tables tell of them (see REVIEW_COLUMNS and PRODUCT_COLUMNS; blank where they do not);
+    each metric has the batch and the time of its export."""
     rows = exported.join(reviews.select("local_review_id", "product_key"), "local_review_id")
     ok = text_or_empty(F.col("extract_status")).isin("embedded", "extracted")
     path = F.concat_ws("/", F.lit("images"), "product_key", "local_review_id", F.col("image_id"))
@@ -143,9 +149,13 @@ def export_tables(exported: DataFrame, reviews: DataFrame, products: DataFrame,
         n(stage("review") & F.col("new"), "new_review_image_count"), n(stage("append") & F.col("new"), "new_append_image_count"), n(F.col("new"), "new_total_image_count"),
         n(stage("review"), "export_review_image_count"), n(stage("append"), "export_append_image_count"), F.count("*").alias("export_total_image_count"),
     ).withColumn("review_folder", F.concat_ws("/", F.lit("images"), "product_key", "local_review_id"))
+    told = lambda df, columns: df.withColumns({c: text_or_empty(F.col(c)) if c in df.columns else F.lit("") for c in columns})
+    one = told(products, PRODUCT_COLUMNS).groupBy("product_key").agg(*(F.max(c).alias(c) for c in PRODUCT_COLUMNS))
+    said = reviews.select("local_review_id", *(c for c in REVIEW_COLUMNS if c in reviews.columns))
+    of_review = told(of_review.join(said, "local_review_id", "left"), REVIEW_COLUMNS).join(one, "product_key", "left").fillna("", list(PRODUCT_COLUMNS))
     new_reviews = created.select("local_review_id").distinct().join(reviews.select("local_review_id", "product_key"), "local_review_id").groupBy("product_key").agg(F.count("*").alias("new_review_count"))
     images_of = rows.groupBy("product_key").agg(n(F.col("new"), "new_image_count"), F.count("*").alias("export_image_count"))
-    of_product = products.select("product_key").distinct().join(new_reviews, "product_key", "left").join(images_of, "product_key", "left").fillna(0)
+    of_product = one.join(new_reviews, "product_key", "left").join(images_of, "product_key", "left").fillna(0)
     t = rows.agg(
         F.count("*").alias("identified_image_count"), F.count_distinct("local_review_id").alias("review_with_image_count"), n(~F.col("new"), "historical_image_count"), n(stage("review") & F.col("new"), "new_review_image_count"),
         n(stage("append") & F.col("new"), "new_append_image_count"), n(F.col("export_status") == "success", "exported_image_count"), n(F.col("export_status") == "failed", "failed_image_count"),
@@ -153,7 +163,7 @@ def export_tables(exported: DataFrame, reviews: DataFrame, products: DataFrame,
     t = t.join(of_product.agg(F.count("*").alias("product_count"), F.coalesce(F.sum("new_review_count"), F.lit(0)).alias("new_review_count")))  # a row each
     t = t.withColumns({"identified_review_count": F.lit(found).cast("long"), "warning_count": F.col("failed_image_count") + warnings})
     metrics = ["product_count", "identified_review_count", "new_review_count", "review_with_image_count", "identified_image_count", "historical_image_count", "new_review_image_count", "new_append_image_count", "exported_image_count", "failed_image_count", "warning_count"]
-    summary = t.select(F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("long").alias("value")) for m in metrics))).alias("r")).select("r.*")
+    summary = t.select(F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("long").alias("value")) for m in metrics))).alias("r")).select("r.*", F.lit(batch_id).alias("batch_id"), F.lit(exported_at).alias("exported_at"))
     return {"images": rows.drop("new"), "reviews": of_review, "products": of_product, "summary": summary}
 
 

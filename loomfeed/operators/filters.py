@@ -45,6 +45,21 @@ def options(df: DataFrame, column: str) -> DataFrame:
     return df.select(value.alias("value")).where("value <> ''").distinct().orderBy("value")
 
 
+def facet_counts(df: DataFrame, wanted: dict[str, list]) -> DataFrame:
+    """FLT1, FLT7, AGG25: (facet, value, n) of all facets at once, each under the filters of the others, as a screen of filters
+    shows them.  wanted: the chosen values of each facet; none do not filter.  Blank values have no row.
+
+    A row counts for every facet if it passes all filters, and for the one that it fails alone if it fails one; so one pass and
+    one aggregate, combined before the shuffle, give what a query for each facet would.
+    """
+    passes = {c: F.coalesce(F.col(c).cast("string").isin([str(v) for v in values]), F.lit(False)) if values else F.lit(True) for c, values in wanted.items()}
+    failed = reduce(lambda a, b: a + b, [(~p).cast("int") for p in passes.values()])
+    counted = lambda p: (F.col("_failed") == 0) | ((F.col("_failed") == 1) & ~p)
+    entries = F.array(*(F.when(counted(p), F.struct(F.lit(c).alias("facet"), F.trim(text_or_empty(F.col(c).cast("string"))).alias("value"))) for c, p in passes.items()))
+    rows = df.withColumn("_failed", failed).where("_failed <= 1").select(F.inline(F.array_compact(entries)))
+    return rows.where("value <> ''").groupBy("facet", "value").agg(F.count("*").alias("n"))
+
+
 def reviews_of(df: DataFrame, item: str = "", sentiment: str = "", level: str = "", query: str = "") -> DataFrame:
     """FLT8: reviews of an item by sentiment (code, or `unjudged`), level and text."""
     df = df.where(F.col("content_role").isin("review", "followup"))

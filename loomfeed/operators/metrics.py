@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import DISPLAY_NAMES
@@ -34,17 +34,17 @@ def sentiment_code(df: DataFrame) -> Column:
 def top_terms(df: DataFrame, keys: list[str], terms: str, name: str, seq: str = "seq", k: int = 5) -> DataFrame:
     """AGG6: for each key the k most frequent terms as term:count, ties by first sight.
 
-    Terms are counted before they are ranked, so the last step sees distinct terms of a key only.
+    Terms are counted before they are ranked, and a task passes on its k best of each key only, so that a key with very many
+    terms is held by none.
     """
     counted = df.select(*keys, seq, F.posexplode(terms).alias("_p", "_t")).where("_t <> ''").groupBy(*keys, "_t").agg(F.count("*").alias("_c"), F.min(F.struct(seq, "_p")).alias("_first"))
-    listed = counted.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("_c")).alias("c"), F.col("_first").alias("f"), F.col("_t").alias("t")))).alias("l"))
-    return listed.select(*keys, F.array_join(F.transform(F.slice("l", 1, k), lambda x: F.concat_ws(":", x["t"], (-x["c"]).cast("string"))), ";").alias(name))
+    best = counted.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_c"), "_first"))).where(F.col("_rank") <= k)
+    listed = best.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_rank", "_t", "_c"))).alias("l"))
+    return listed.select(*keys, F.array_join(F.transform("l", lambda x: F.concat_ws(":", x["_t"], x["_c"].cast("string"))), ";").alias(name))
 
 
 def top_rows(df: DataFrame, keys: list[str], score: str, seq: str, k: int) -> DataFrame:
     """AGG7: for each key the k rows with the highest score, ties by seq."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*keys).orderBy(F.desc(score), seq)
     return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k)
 
@@ -78,8 +78,6 @@ def summary_by_keyword(df: DataFrame, fields: dict[str, str] | None = None, seq:
     rows = df.where("ai_candidate").select(seq, "content_text_clean", typed.alias("k")).select(seq, "content_text_clean", "k.keyword_type", F.posexplode("k.terms").alias("_p", "keyword")).where("keyword <> ''")
     hits = rows.groupBy("keyword_type", "keyword").agg(F.count("*").alias("hit_count"), F.min(F.struct(seq, "_p")).alias("_first"))
     texts = rows.where("content_text_clean <> ''").groupBy("keyword_type", "keyword", "content_text_clean").agg(F.min(seq).alias("at"))
-    from pyspark.sql import Window
-
     w = Window.partitionBy("keyword_type", "keyword").orderBy("at")
     three = texts.withColumn("_r", F.row_number().over(w)).where("_r <= 3").groupBy("keyword_type", "keyword").agg(*(F.max(F.when(F.col("_r") == i, F.col("content_text_clean"))).alias(f"example_{i}") for i in (1, 2, 3)))
     return hits.join(three, ["keyword_type", "keyword"], "left").select("keyword_type", "keyword", "hit_count", *(text_or_empty(F.col(f"example_{i}")).alias(f"example_{i}") for i in (1, 2, 3)))

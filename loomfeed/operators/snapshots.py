@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import Lexicon
-from ..functions.text import parse_time, text_or_empty, truthy
+from ..functions.text import parse_time, split_terms, text_or_empty, truthy
 from .classify import classify
 from .identity import overlap_boundary
-from .joins import update_analysis
+from .joins import content_analysis, update_analysis
+from .metrics import evidence_levels, summary_by_keyword, summary_by_product
 
 TOKENS = ("identity_key", "strict_key", "composite_key", "text_key")
 
@@ -189,6 +190,42 @@ def content_all(master: DataFrame, analysis: DataFrame, products: DataFrame) ->
     return master.join(analysis.select(*extra), "content_id", "left").join(p, "item_key", "left")
 
 
+_DEFAULTS = {"pre_purchase_decision": ("boolean", False), "ai_candidate": ("boolean", False), "ai_influence_level": ("string", ""), "evidence_level": ("string", ""), "match_score": ("int", 0)}
+_TERMS = ("ai_source_terms", "ai_action_terms", "purchase_context_terms", "decision_context_terms", "research_terms", "algorithm_terms")
+
+
+def derived_tables(tables: dict[str, DataFrame], project_id: str) -> dict[str, DataFrame]:
+    """SNP9: all tables that follow from a project's contents (content_master, analysis, products): content_all, reviews_raw,
+    qa_pairs_raw, ai_candidates and the summaries by product, keyword and level.
+
+    Contents without an analysis or a product stay, with defaults.  A column that both have comes from the contents, that of the
+    analysis with the suffix _analysis; lists of terms are arrays, or text with separators; columns that are lacking count as
+    empty.  The tables are views of one plan: whoever writes them all keeps content_all first.
+    """
+    own = lambda name: tables[name].where(F.col("project_id") == project_id)
+    analysis, products, master = own("analysis").drop("project_id", "item_key"), own("products"), own("content_master")
+    carried = ["item_key", *(c for c in ("brand_product_id", "brand", "model_name", "product_title_current", "shop_name_current") if c in products.columns)]
+    kept_out = master.drop(*carried[1:])  # what a product says comes from the products
+    c = content_analysis(kept_out, analysis).join(products.select(*carried), "item_key", "left")
+    have = lambda column, kind="string": F.col(column).cast(kind) if column in c.columns else F.lit(None).cast(kind)
+    role = F.col("content_role")
+    named = {
+        "source_file": have("source_file_last"), "product_title": text_or_empty(have("product_title_current")), "shop_name": text_or_empty(have("shop_name_current")), "product_id": have("platform_product_id"),
+        "record_type": F.when(role.isin("review", "followup"), "review").when(role.isin("question", "answer"), "qa"), "review_time": have("content_time"), "review_date": have("content_date"), "content_hash": have("identity_key"),
+    }
+    named |= {x: F.coalesce(have(x, kind), F.lit(default)) for x, (kind, default) in _DEFAULTS.items()}
+    kinds = dict(c.dtypes)
+    listed = lambda x: F.coalesce(F.col(x) if kinds[x].startswith("array") else split_terms(F.col(x)), F.array().cast("array<string>"))
+    named |= {x: listed(x) if x in kinds else F.array().cast("array<string>") for x in _TERMS}
+    content = c.withColumns(named)
+    content = content if "seq" in content.columns else content.withColumn("seq", F.xxhash64("content_id"))
+    found = content.where("ai_candidate")
+    return {
+        "content_all": content, "reviews_raw": content.where("record_type = 'review'"), "qa_pairs_raw": content.where("record_type = 'qa'"), "ai_candidates": found,
+        "summary_by_product": summary_by_product(content), "summary_by_keyword": summary_by_keyword(content), "summary_by_evidence_level": evidence_levels(content).withColumnRenamed("count", "content_count"),
+    }
+
+
 def latest_data_date(content: DataFrame, snapshots: DataFrame, products: DataFrame, today: str) -> DataFrame:
     """SNP12: of each item the latest capture, else the latest date of its contents, else the product's update, else today."""
     s = snapshots.groupBy("item_key").agg(F.max(parse_time(F.col("capture_time"))).alias("a"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,9 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.lexicon import Lexicon
-from ..operators import assets, imports, metrics, sentiment, snapshots
+from ..lineage import scratch_dir
+from ..operators import answers, assets, filters, imports, metrics, sentiment, snapshots
 from ..sources import pages
-from .adapters import ACTION_WORDS, DOCS, SOURCE_WORDS, content_docs, query, table
+from .adapters import ACTION_WORDS, DOCS, SOURCE_WORDS, TERMS, content_docs, query, table
 from .models import IMAGES, LIS, _upsert, question_pages
 
 WITH = f"WITH {DOCS}"
@@ -81,6 +83,82 @@ def q_backfill_items(spark, d):
     return _backfill(spark, d)["item_summary"].select("item_key", "target_count", "llm_fast_count", "detail_count", "failed_count")
 
 
+def _length_scorer(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Stands for a model: labels by the length of the text; some lengths are never answered, batches with others fail."""
+    import json
+
+    def line(p: dict) -> str:
+        n = len(p["t"])
+        if n % 97 == 0:
+            raise TimeoutError
+        return "" if n % 11 == 0 else json.dumps({"i": p["i"], "s": "PNMZ"[n % 4], "sc": n % 10 + 1, "p": "F", "n": "-", "c": n % 3 + 1})
+
+    for x in frames:
+        yield pd.DataFrame({"batch_id": x["batch_id"], "response": ["\n".join(line(json.loads(p)) for p in prompt.split("\n")) for prompt in x["prompt"]]})
+
+
+def _two_runs(spark, d) -> dict:
+    """A third of the contents is scored by a first run; the second has them all, and is repeated."""
+    docs = content_docs(spark, d).drop("sentiment_label")
+    log = f"{scratch_dir(spark)}/answers-{uuid.uuid4().hex}"
+    run = lambda rows, update: answers.incremental(rows, docs.select("content_id", "evidence_level"), lambda: _length_scorer, log, "p", update, "v1", detail_scorer=_detail_scorer)
+    run(docs.where("seq % 3 = 0"), "u1")
+    run(docs, "u2")
+    return run(docs, "u2")
+
+
+_RUNS = f"""WITH {DOCS}, t AS (SELECT *, length(content_text_clean) AS n, bool_or(seq % 3 = 0) OVER (PARTITION BY product_title, content_text_clean) AS early FROM docs WHERE content_role IN ('review', 'followup') AND trim(content_text_clean) <> ''),
+r AS (SELECT *, n % 97 = 0 OR n % 11 = 0 AS lost FROM t)"""
+
+
+@query(f"""{_RUNS} SELECT content_id, CASE WHEN n % 97 = 0 THEN 'TimeoutError' WHEN n % 11 = 0 THEN 'MissingResult' ELSE 'scored' END AS outcome,
+  CASE WHEN NOT lost THEN substr('PNMZ', CAST(n % 4 + 1 AS INTEGER), 1) END AS sentiment_label, CASE WHEN NOT lost THEN CASE WHEN early THEN 'u1' ELSE 'u2' END END AS answered_in FROM r""")
+def q_sentiment_incremental(spark, d):
+    """Each content of the second run: its answer and the run that gave it, or why it has none."""
+    out = _two_runs(spark, d)
+    scored = out["sentiment_fast"].select("content_id", F.lit("scored").alias("outcome"), "sentiment_label", "answered_in")
+    return scored.unionByName(out["sentiment_failures"].select("content_id", F.col("error_type").alias("outcome")), allowMissingColumns=True)
+
+
+@query(f"""{_RUNS} SELECT 'p' AS project_id, 'u2' AS update_id, count(*) AS target_count, count(*) FILTER (WHERE NOT lost AND early) AS reused_count, count(*) FILTER (WHERE NOT lost AND NOT early) AS llm_fast_count, count(*) FILTER (WHERE lost) AS failed_count, 'partial' AS status FROM r""")
+def q_sentiment_run_summary(spark, d):
+    return _two_runs(spark, d)["sentiment_run_summary"].select("project_id", "update_id", "target_count", "reused_count", "llm_fast_count", "failed_count", "status")
+
+
+_DERIVED = f"""WITH {DOCS}, {TERMS}, c AS (SELECT *, CASE WHEN content_role IN ('review', 'followup') THEN 'review' ELSE 'qa' END AS record_type, seq % 4 <> 0 AND ai_candidate AS found FROM docs)"""
+
+
+@query(f"""{_DERIVED} SELECT 'content_all' AS name, content_id AS key, product_title || '/' || record_type || '/' || CASE WHEN seq % 4 <> 0 THEN evidence_level ELSE '' END AS value, 1 AS n FROM c
+UNION ALL SELECT 'reviews_raw', content_id, '', 1 FROM c WHERE record_type = 'review' UNION ALL SELECT 'qa_pairs_raw', content_id, '', 1 FROM c WHERE record_type = 'qa' UNION ALL SELECT 'ai_candidates', content_id, '', 1 FROM c WHERE found
+UNION ALL SELECT 'summary_by_evidence_level', evidence_level, '', count(*) FROM c WHERE found GROUP BY 2
+UNION ALL SELECT 'summary_by_product', product_id, platform, count(*) FILTER (WHERE found) FROM c GROUP BY 2, 3
+UNION ALL SELECT 'summary_by_keyword', term, kind, count(*) FROM terms WHERE seq % 4 <> 0 AND ai_candidate GROUP BY 2, 3""")
+def q_derived_tables(spark, d):
+    """All derived tables of a project; a quarter of its contents has no analysis, contents of another project stay out."""
+    docs = content_docs(spark, d).withColumn("project_id", F.lit("p"))
+    graded = ["evidence_level", "ai_candidate", "pre_purchase_decision", "match_score", "ai_source_terms", "ai_action_terms"]
+    master = docs.drop(*graded, "product_title", "shop_name").withColumns({"platform_product_id": F.col("product_id"), "identity_key": F.col("content_id"), "source_file_last": F.col("source_file"), "content_date": F.col("review_date")})
+    products = docs.select("project_id", "item_key", F.col("product_title").alias("product_title_current"), F.lit("s").alias("shop_name_current"), F.lit("b").alias("brand")).distinct()
+    tables = {"content_master": master.union(master.withColumn("project_id", F.lit("q"))), "analysis": docs.where("seq % 4 <> 0").select("project_id", "item_key", "content_id", *graded), "products": products}
+    out = snapshots.derived_tables(tables, "p")
+    row = lambda name, key, value, n=F.lit(1): out[name].select(F.lit(name).alias("name"), F.col(key).alias("key"), value.alias("value"), n.cast("long").alias("n"))
+    rows = row("content_all", "content_id", F.concat_ws("/", "product_title", "record_type", "evidence_level"))
+    for name in ("reviews_raw", "qa_pairs_raw", "ai_candidates"):
+        rows = rows.union(row(name, "content_id", F.lit("")))
+    levels = row("summary_by_evidence_level", "evidence_level", F.lit(""), F.col("content_count"))
+    return rows.union(levels).union(row("summary_by_product", "product_id", F.col("platform"), F.col("ai_candidate_count"))).union(row("summary_by_keyword", "keyword", F.col("keyword_type"), F.col("hit_count")))
+
+
+_CHOSEN = {"platform": ["en", "de"], "content_role": ["review", "question"], "evidence_level": ["A", "B", "C"], "shop_name": [], "sentiment_label": ["P", "Z"]}
+_PASS = {c: f"{c} IN ({', '.join(repr(v) for v in values)})" if values else "true" for c, values in _CHOSEN.items()}
+
+
+@query(f"WITH {DOCS} " + " UNION ALL ".join(f"SELECT '{c}' AS facet, {c} AS value, count(*) AS n FROM docs WHERE {c} <> '' AND {' AND '.join(p for x, p in _PASS.items() if x != c)} GROUP BY 2" for c in _CHOSEN))
+def q_facet_counts(spark, d):
+    """Five facets, each counted under the choices of the other four."""
+    return filters.facet_counts(content_docs(spark, d), _CHOSEN)
+
+
 @query(f"{_TARGETS} SELECT content_id, evidence_level FROM t")
 def q_evidence_lookup(spark, d):
     docs = content_docs(spark, d)
@@ -122,13 +200,13 @@ pr AS (SELECT 'c' || CAST(o_custkey AS VARCHAR) AS product_key, count(*) FILTER
 
 @query(f"""{_EXPORT}, g AS (SELECT product_key, count(*) FILTER (WHERE fresh) AS new_image_count, count(*) AS export_image_count FROM pw GROUP BY 1) SELECT pr.product_key, new_review_count, coalesce(new_image_count, 0) AS new_image_count, coalesce(export_image_count, 0) AS export_image_count FROM pr LEFT JOIN g ON g.product_key = pr.product_key""")
 def q_export_products(spark, d):
-    return _export(spark, d)["products"]
+    return _export(spark, d)["products"].select("product_key", "new_review_count", "new_image_count", "export_image_count")
 
 
 @query(f"""{_EXPORT} SELECT 'product_count' AS metric, count(*) AS value FROM pr UNION ALL SELECT 'new_review_count', CAST(sum(new_review_count) AS BIGINT) FROM pr UNION ALL SELECT 'identified_review_count', 3 UNION ALL SELECT 'review_with_image_count', count(DISTINCT local_review_id) FROM pw UNION ALL SELECT 'identified_image_count', count(*) FROM pw
 UNION ALL SELECT 'historical_image_count', count(*) FROM pw WHERE NOT fresh UNION ALL SELECT 'new_review_image_count', count(*) FROM pw WHERE fresh AND image_stage = 'review' UNION ALL SELECT 'new_append_image_count', count(*) FROM pw WHERE fresh AND image_stage = 'append'""")
 def q_export_summary(spark, d):
-    return _export(spark, d)["summary"].where(~F.col("metric").isin("exported_image_count", "failed_image_count", "warning_count"))
+    return _export(spark, d)["summary"].where(~F.col("metric").isin("exported_image_count", "failed_image_count", "warning_count")).select("metric", "value")
 
 
 # Functions of texts and times, and lists of contents
