@@ -11,6 +11,7 @@ from .classify import classify
 from .identity import overlap_boundary
 from .joins import content_analysis, update_analysis
 from .metrics import evidence_levels, summary_by_keyword, summary_by_product
+from .tables import stalest_first
 
 TOKENS = ("identity_key", "strict_key", "composite_key", "text_key")
 
@@ -239,7 +240,7 @@ def stale_items(products: DataFrame, snapshots: DataFrame, now: str, days: int =
     latest = snapshots.groupBy("item_key").agg(F.max(parse_time(F.col("capture_time"))).alias("latest"))
     at = F.to_timestamp(F.lit(now))
     out = products.join(latest, "item_key", "left").where(F.col("latest").isNull() | (F.col("latest") < at - F.expr(f"INTERVAL {days} DAYS")))
-    return out.withColumn("days_since_update", F.floor((F.unix_timestamp(at) - F.unix_timestamp("latest")) / 86400)).orderBy(F.asc_nulls_first("latest"), "item_key")
+    return out.withColumn("days_since_update", F.floor((F.unix_timestamp(at) - F.unix_timestamp("latest")) / 86400)).transform(stalest_first)
 
 
 def unresolved(queue: DataFrame) -> DataFrame:

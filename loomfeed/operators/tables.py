@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import text_or_empty
+from ..functions.text import parse_time, text_or_empty
 from ..lineage import kept
 
 
@@ -57,6 +57,21 @@ def top(df: DataFrame, k: int, *order: str | Column) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
+def recent_first(df: DataFrame, *times: str) -> DataFrame:
+    """SRT1: by times as they are read, the latest first; rows whose times do not read come last."""
+    return df.orderBy(*(F.desc_nulls_last(parse_time(F.col(t))) for t in times))
+
+
+def largest_first(df: DataFrame, count: str = "review_count", title: str = "product_title") -> DataFrame:
+    """SRT1: by count, the largest first, equal ones by title."""
+    return df.orderBy(F.desc_nulls_last(count), title)
+
+
+def stalest_first(df: DataFrame, latest: str = "latest", key: str = "item_key") -> DataFrame:
+    """SRT1: those never seen first, then by their latest time."""
+    return df.orderBy(F.asc_nulls_first(latest), key)
+
+
 def project_summary(content: DataFrame) -> DataFrame:
     """SRC12: distinct shops and products (titles where ids are missing), reviews, and questions with answers."""
     some = lambda c: F.nullif(F.trim(text_or_empty(F.col(c))), F.lit(""))

@@ -13,6 +13,7 @@ from ..functions.lexicon import Lexicon
 from ..lineage import scratch_dir
 from ..operators import answers, assets, filters, imports, metrics, sentiment, snapshots
 from ..sources import pages
+from ..streaming import landing
 from .adapters import ACTION_WORDS, DOCS, SOURCE_WORDS, TERMS, content_docs, query, table
 from .models import IMAGES, LIS, _upsert, question_pages
 
@@ -209,6 +210,16 @@ def q_export_summary(spark, d):
     return _export(spark, d)["summary"].where(~F.col("metric").isin("exported_image_count", "failed_image_count", "warning_count")).select("metric", "value")
 
 
+@query("SELECT user_id, count(DISTINCT event_type || ' ' || CAST(CAST(floor(value) AS BIGINT) AS VARCHAR)) AS files FROM events GROUP BY 1")
+def q_stream_first_sights(spark, d):
+    """Events as a stream of files of users: of each user the files that were new when they came."""
+    place = f"{scratch_dir(spark)}/landed-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
+    files = stream.select("user_id", F.concat_ws(" ", "event_type", F.floor("value").cast("string")).alias("file_hash"))
+    landing.land(landing.first_sights(files, "user_id", "file_hash"), f"{place}/rows", f"{place}/state").awaitTermination()
+    return spark.read.schema("user_id long, file_hash string").parquet(f"{place}/rows").groupBy("user_id").agg(F.count("*").alias("files"))
+
+
 # Functions of texts and times, and lists of contents
 
 

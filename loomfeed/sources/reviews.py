@@ -6,12 +6,11 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import as_number, blank_to_null, parse_time, remove_invalid_xml_chars, text_or_empty, truthy
-from ..lineage import kept
 from ..shipping import ship
 
 REQUIRED = ("platform", "product_id", "review_text_raw")
@@ -21,18 +20,21 @@ def _trimmed(df: DataFrame) -> DataFrame:
     return df.select(*(F.trim(text_or_empty(F.col(f"`{c}`"))).alias(c.strip("\ufeff \t")) for c in df.columns))
 
 
-def read_reviews_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+def read_reviews_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", required: bool = True) -> DataFrame:
     """SRC1: strings of a CSV with a header (a byte order mark does no harm), trimmed, with source_file; rows without
-    platform, product or text are dropped.  For files of unknown encodings see read_reviews_any."""
+    platform, product or text are dropped, and input of which no row is left is refused, if one is required (for single files
+    see empty_files).  For files of unknown encodings see read_reviews_any."""
     raw = spark.read.csv(path, header=True, multiLine=True, escape='"', encoding=encoding)
     missing = set(REQUIRED) - {c.strip("\ufeff \t") for c in raw.columns}
     if missing:
         raise ValueError(f"columns are missing: {', '.join(sorted(missing))}")
-    return clean_reviews(_trimmed(raw.withColumn("source_file", F.input_file_name())))
+    out = clean_reviews(_trimmed(raw.withColumn("source_file", F.input_file_name())))
+    return require_rows(out) if required else out
 
 
-def read_reviews_any(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("utf-8-sig", "gb18030")) -> DataFrame:
-    """SRC1: as above, a file at a time: the first encoding that fits decodes it whole; columns the file lacks are empty."""
+def read_reviews_any(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("utf-8-sig", "gb18030"), required: bool = True, most_bytes: int | None = None) -> DataFrame:
+    """SRC1: as above, a file at a time: the first encoding that fits decodes it whole; columns the file lacks are empty.  Files
+    of more than most_bytes are refused before any is read."""
     fields = ("platform", "product_id", "product_url", "product_title", "shop_name", "user_name_masked", "rating", "review_time", "review_date", "sku", "platform_content_id", "review_text_raw", "review_text_clean")
 
     def parse(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -52,7 +54,17 @@ def read_reviews_any(spark: SparkSession, path: str, encodings: tuple[str, ...]
 
     ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[cC][sS][vV]").load(path)
-    return clean_reviews(files.select("path", "content").mapInPandas(parse, f"source_file string, seq long, {', '.join(f'{f} string' for f in fields)}"))
+    if most_bytes is not None:
+        large = [r.path for r in files.where(F.col("length") > most_bytes).select("path").limit(5).collect()]
+        if large:
+            raise ValueError(f"files of more than {most_bytes} bytes: {', '.join(large)}")
+    out = clean_reviews(files.select("path", "content").mapInPandas(parse, f"source_file string, seq long, {', '.join(f'{f} string' for f in fields)}"))
+    return require_rows(out) if required else out
+
+
+def empty_files(files: DataFrame, rows: DataFrame) -> DataFrame:
+    """SRC1: files (path) of which no row is left."""
+    return files.select("path").join(rows.select(F.col("source_file").alias("path")).distinct(), "path", "left_anti")
 
 
 def clean_reviews(df: DataFrame) -> DataFrame:
@@ -178,9 +190,9 @@ def save_version(tables: dict[str, DataFrame], path: str, version: int, keys: di
     spark, target = next(iter(tables.values())).sparkSession, f"{path}/v={version}"
     counts = {}
     for name, df in tables.items():
-        rows = kept(df)  # counted and written from one and the same result
-        counts[name] = rows.count()
-        rows.write.mode("errorifexists").parquet(f"{target}/{name}")
+        seen = Observation()  # counted while it is written: one job a table
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("errorifexists").parquet(f"{target}/{name}")
+        counts[name] = seen.get["n"]
     for name, n in counts.items():
         back = spark.read.schema(tables[name].schema).parquet(f"{target}/{name}")
         if back.count() != n:

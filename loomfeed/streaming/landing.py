@@ -20,3 +20,17 @@ def watch(spark: SparkSession, path: str, checkpoint: str, handle: Callable[[Dat
     rows = spark.readStream.schema(schema).option("header", True).csv(path).withColumn("source_file", F.input_file_name())
     writer = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(handle)
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def first_sights(rows: DataFrame, *key: str, time: str | None = None, within: str | None = None) -> DataFrame:
+    """STR1, SNP1: rows of a stream whose key (an item and the hash of its file, say) no micro-batch has had before.  The keys
+    are state of the query: they survive a restart.  With time and within (as "30 days") a key is forgotten so long after it was
+    first seen, so that the state stays bounded."""
+    if time is None or within is None:
+        return rows.dropDuplicates(list(key))
+    return rows.withWatermark(time, within).dropDuplicatesWithinWatermark(list(key))
+
+
+def land(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append what is there now to the table at path, each micro-batch once, whatever is retried."""
+    return rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("append").format("parquet").start(path)

@@ -3,13 +3,15 @@
 import json
 import os
 from collections import Counter
+from datetime import datetime
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from loomfeed.operators import answers, assets, filters, metrics, snapshots
+from loomfeed.operators import answers, assets, filters, metrics, snapshots, tables
 from loomfeed.sources import reviews
+from loomfeed.streaming import landing
 
 CONTENT = "content_id string, item_key string, content_role string, content_text_clean string, product_title string, seq int"
 
@@ -143,3 +145,41 @@ def test_csv_with_and_without_a_byte_order_mark(spark, tmp_path, bom):
     assert data.startswith(b"\xef\xbb\xbfid,t" if bom else b"id,t")
     back = pd.read_csv(f"{path}/{name}", dtype=str, encoding="utf-8-sig", keep_default_na=False)
     assert [tuple(x) for x in back.to_numpy()] == [("1", 'a "b", c'), ("2", "line\nbreak"), ("3", "")]
+
+
+def test_readers_refuse_what_holds_no_review(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("platform,product_id,review_text_raw\njd,1,\n")
+    for read in (reviews.read_reviews_csv, reviews.read_reviews_any):
+        with pytest.raises(ValueError, match="no reviews are left"):
+            read(spark, str(tmp_path))
+        assert read(spark, str(tmp_path), required=False).count() == 0
+    (tmp_path / "b.csv").write_text("platform,product_id,review_text_raw\nJD,1,good\n")
+    rows = reviews.read_reviews_any(spark, str(tmp_path), most_bytes=100)
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    assert [r.path.rsplit("/", 1)[1] for r in reviews.empty_files(files, rows).collect()] == ["a.csv"]
+    with pytest.raises(ValueError, match="more than 40 bytes"):
+        reviews.read_reviews_any(spark, str(tmp_path), most_bytes=40)
+
+
+def test_sorts(spark):
+    rows = spark.createDataFrame([("a", "2026-01-02", 3, "y"), ("b", None, None, "x"), ("c", "2026/03/01 10:00:00", 3, "x"), ("d", "nonsense", 9, None)], "item_key string, at string, review_count int, product_title string")
+    names = lambda df: "".join(r.item_key for r in df.collect())
+    assert names(tables.recent_first(rows, "at"))[:2] == "ca" and names(tables.largest_first(rows)) == "dcab"
+    assert names(tables.stalest_first(rows.withColumn("latest", F.to_date(F.substring("at", 1, 10).try_cast("date"))).where("item_key < 'c'"))) == "ba"
+
+
+@pytest.mark.parametrize("within", [None, "30 days"])
+def test_stream_knows_files_of_earlier_batches_and_after_a_restart(spark, tmp_path, within):
+    source, target, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    schema = "item string, file_hash string, at timestamp"
+    put = lambda *rows: spark.createDataFrame([(i, h, datetime(2026, 7, 1)) for i, h in rows], schema).write.mode("append").parquet(source)
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        landing.land(landing.first_sights(stream, "item", "file_hash", time="at" if within else None, within=within), target, state).awaitTermination()
+        return sorted((r.item or "", r.file_hash) for r in spark.read.schema(schema).parquet(target).collect())
+
+    put(("i", "h"), ("i", "h"), ("j", "h"))
+    assert run() == [("i", "h"), ("j", "h")]
+    put(("i", "h"), ("i", "k"), (None, "k"))
+    assert len(run()) == 4 and len(run()) == 4  # a run without new files adds nothing
