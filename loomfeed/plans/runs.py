@@ -102,7 +102,7 @@ def _two_runs(spark, d) -> dict:
     """A third of the contents is scored by a first run; the second has them all, and is repeated."""
     docs = content_docs(spark, d).drop("sentiment_label")
     log = f"{scratch_dir(spark)}/answers-{uuid.uuid4().hex}"
-    run = lambda rows, update: answers.incremental(rows, docs.select("content_id", "evidence_level"), lambda: _length_scorer, log, "p", update, "v1", detail_scorer=_detail_scorer)
+    run = lambda rows, update: answers.incremental(rows, docs.select("content_id", "evidence_level"), lambda: _length_scorer, log, "p", update, "v1", size=10, detail_scorer=_detail_scorer)
     run(docs.where("seq % 3 = 0"), "u1")
     run(docs, "u2")
     return run(docs, "u2")

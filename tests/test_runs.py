@@ -49,7 +49,7 @@ def test_incremental_run_asks_once_and_adds_nothing_when_repeated(spark, tmp_pat
     assert [(r.content_id, r.error_type) for r in out["sentiment_failures"].collect()] == [("6", "MissingResult")]
     assert out["sentiment_timings"].count() > 0
     asked = {n: (seen / n).read_text() for n in os.listdir(seen)}
-    assert len(asked) == 3
+    assert sorted(map(len, asked.values()))[:2] == [1, 1] and len(asked) == 3  # answered inputs were asked once
     stored = answers.stored(spark, log, "fast").count()
     again = run(first, "u1")
     assert again["sentiment_run_summary"].first().asDict() == summary and {n: (seen / n).read_text() for n in os.listdir(seen)} == asked
