@@ -13,12 +13,14 @@ import zlib
 from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words that a worker remembers; then it starts anew.
 MEMORY = 900_000
 END_ID = 2
-#: Punctuation of ASCII at the end of a word, behind a letter or digit of ASCII.
-_TAIL = re.compile(rb"(?<=[A-Za-z0-9])[!-/:-@\[-`{-~]+$")
+#: Punctuation of ASCII at the end of a word, behind a letter or digit of ASCII or a letter of Latin-1 (two bytes of UTF-8).
+_TAIL = re.compile(rb"(?:(?<=[A-Za-z0-9])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))[!-/:-@\[-`{-~]+$")
 
 
 def default_tokenizer() -> str:
@@ -93,8 +95,8 @@ class WordTokenizer:
         behind = np.cumsum(lengths)
         return self.pool[np.arange(behind[-1] if len(behind) else 0) + np.repeat(self.at[index] - behind + lengths, lengths)]
 
-    def _learn(self, words: set[bytes]) -> None:
-        """Closing punctuation behind a letter or digit of ASCII is a piece of its own: encode stem and tail once each."""
+    def _learn(self, words: list[bytes]) -> None:
+        """Closing punctuation behind such a letter or digit is a piece of its own: encode stem and tail once each."""
         tailed, parts, stems = [], [], set()
         for word in words:
             m = _TAIL.search(word)
@@ -108,22 +110,29 @@ class WordTokenizer:
         pairs = self._places(parts)
         self._add(tailed, self._gather(pairs), self.length[pairs].reshape(-1, 2).sum(axis=1))
 
+    def _words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The places of all words in turn, and the number of words of each text.  Arrow cuts at white space of ASCII and numbers
+        the distinct words, so that each is looked up once."""
+        lowered = pa.array([text if b"<|" in text else text.lower() for text in texts], pa.string())
+        cut = pc.ascii_split_whitespace(lowered)
+        every = cut.flatten()
+        full = pc.greater(pc.binary_length(every), 0).to_numpy(zero_copy_only=False)  # white space at an end leaves an empty word
+        counts = np.diff(np.concatenate([[0], np.cumsum(full)])[np.asarray(cut.offsets)])
+        coded = every.dictionary_encode()
+        words = coded.dictionary.cast(pa.binary()).to_pylist()
+        index = np.fromiter(map(self.known.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        new = [i for i in np.flatnonzero(index < 0).tolist() if words[i]]
+        if new:
+            fresh = [words[i] for i in new]
+            self._learn(fresh)
+            index[new] = self._places(fresh)
+        return index[np.asarray(coded.indices)[full]], counts
+
     def encode(self, texts: list[bytes], end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """All ids, end_id behind each text's, and the offset of each text (one more at the end)."""
         if len(self.known) > MEMORY:
             self.clear()
-        words: list[bytes] = []
-        counts = np.zeros(len(texts), dtype=np.int64)
-        for i, text in enumerate(texts):
-            own = (text if b"<|" in text else text.lower()).split()
-            counts[i] = len(own)
-            words += own
-        index = np.fromiter(map(self.known.get, words, repeat(-1)), dtype=np.int64, count=len(words))
-        new = np.flatnonzero(index < 0)
-        if len(new):
-            fresh = [words[i] for i in new.tolist()]
-            self._learn(set(fresh))
-            index[new] = self._places(fresh)
+        index, counts = self._words(texts)
         lengths = self.length[index]
         behind = np.concatenate([[0], np.cumsum(lengths)])
         firsts = np.concatenate([[0], np.cumsum(counts)])
