@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,11 +87,12 @@ def slices(sizes: list[int], limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
 
 
 def batches(it: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the incoming batches with their texts."""
+    """Slices of the incoming batches with their texts, which are copied out of a slice at a time."""
     for batch in it:
-        texts = texts_of(batch, column)
-        for a, b in slices([len(x) for x in texts]):
-            yield batch.slice(a, b - a), texts[a:b]
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0)
+        for a, b in slices(sizes.to_pylist()):
+            part = batch.slice(a, b - a)
+            yield part, texts_of(part, column)
 
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
