@@ -6,7 +6,9 @@ Along that alignment words are compared: stretches without GAP mismatches in a r
 item where some part of one has at least LEAST equal words (or all words of a shorter item) and SHARE of its words are equal.
 Every such part holds one of the masks (tests try all patterns), so no leak goes without a hit.
 
-The seeds of the benchmark are broadcast up to SEEDS of them; beyond, both sides are shuffled by seed.
+The seeds of the benchmark are broadcast up to SEEDS of them; beyond, both sides are shuffled by seed.  There a seed in more than
+CROWD places of items, as of a phrase that many items share, is dealt out over salts: each salt has about CROWD of the places, and
+a document's seed is sent to all of them, so that no task joins the whole crowd.
 
 Defined cases: words are runs of ASCII letters and digits and of other characters beyond ASCII, in lower case; null and empty
 texts leak nothing, and items without words are in no document; documents are judged by id, so that equal ids share a verdict
@@ -29,6 +31,8 @@ SPAN = 10
 LEAST, SHARE, GAP = 12, 0.75, 3
 #: Seeds that may be broadcast (about 40 bytes each).
 SEEDS = 1_000_000
+#: Places of items with one seed that one task joins.
+CROWD = 256
 
 
 def words_of(text) -> F.Column:
@@ -66,6 +70,17 @@ def _verified(aligned: DataFrame) -> DataFrame:
     return aligned.select("doc_id", "item_id", "hits", F.array_max(F.filter(best, lambda n: n >= least)).alias("n_words"))
 
 
+def _met(found: DataFrame, seeds: DataFrame) -> DataFrame:
+    """found (with seed) joined with seeds by seed, crowds dealt out over salts."""
+    crowds = seeds.groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("seed", F.ceil(F.col("n") / CROWD).cast("int").alias("salts"))
+    crowds = stage_table(crowds, "crowds")
+    known = F.broadcast(crowds) if crowds.count() <= SEEDS else crowds
+    salts = F.coalesce("salts", F.lit(1))
+    own = seeds.join(known, "seed", "left").select(*seeds.columns, F.pmod(F.xxhash64("item_id", "item_pos"), salts).cast("int").alias("salt"))
+    asked = found.join(known, "seed", "left").select(*found.columns, F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    return asked.join(own, ["seed", "salt"])
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, the most equal words of an overlap and the seeds that hit, for each document and item that it leaks."""
     items = benchmark.select(F.col(item).alias("item_id"), words_of(F.col(item_text)).alias("item_words")).where(F.size("item_words") > 0)
@@ -83,7 +98,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
         found = _seeds(rows, masks, ["doc_id"]).join(F.broadcast(seeds), "seed").select("doc_id", "words", "item_id", at)
         aligned = found.join(F.broadcast(items), "item_id").select("doc_id", "item_id", "at", "item_words", segment).groupBy("doc_id", "item_id", "at", "item_words", "segment").agg(F.count("*").alias("hits"))
     else:
-        found = _seeds(rows, masks, ["doc_id"]).select("doc_id", "pos", "seed").join(seeds, "seed").select("doc_id", "item_id", at).groupBy("doc_id", "item_id", "at").agg(F.count("*").alias("hits"))
+        found = _met(_seeds(rows, masks, ["doc_id"]).select("doc_id", "pos", "seed"), seeds).select("doc_id", "item_id", at).groupBy("doc_id", "item_id", "at").agg(F.count("*").alias("hits"))
         aligned = found.join(items, "item_id").join(rows.withColumnRenamed("doc_id", "own_id"), F.col("doc_id").eqNullSafe(F.col("own_id"))).select("doc_id", "item_id", "at", "item_words", segment, "hits")
     return _verified(aligned).groupBy("doc_id", "item_id").agg(F.max("n_words").alias("n_words"), F.sum("hits").alias("hits")).where("n_words is not null")
 

@@ -234,6 +234,20 @@ def test_spaced_seeds_bear_substitutions(spark, monkeypatch):
     assert decontamination.judge(docs, bench.limit(0)).where("not kept").count() == 0 and decontamination.judge(docs.limit(0), bench).count() == 0
 
 
+def test_a_phrase_of_many_items_is_dealt_out(spark, monkeypatch):
+    """10,000 items share eight words; beyond the broadcast no salt has much more than CROWD of them, and each leak is found alone."""
+    monkeypatch.setattr(decontamination, "SEEDS", 0)
+    phrase = " ".join(f"p{i}" for i in range(8))
+    text = F.concat_ws(" ", F.lit(phrase), *(F.concat(F.lit(f"w{k}x"), "id") for k in range(8)))
+    items = spark.range(10_000).select(F.col("id").alias("item_id"), text.alias("text"))
+    docs = items.where("item_id in (17, 4711)").selectExpr("item_id as doc_id", "concat('before ', text, ' after') as text").unionByName(spark.createDataFrame([(1, phrase), (2, None)], "doc_id long, text string"))
+    got = {(r.doc_id, r.item_id, r.n_words) for r in decontamination.leaks(docs, items).collect()}
+    assert got == {(17, 17, 16), (4711, 4711, 16)}
+    seeds = items.selectExpr("7L as seed", "item_id", "0 as item_pos")
+    met = decontamination._met(spark.createDataFrame([(1, 7), (2, 7), (2, 8)], "doc_id long, seed long"), seeds)
+    assert met.count() == 20_000 and met.groupBy("doc_id", "salt").count().agg(F.max("count")).first()[0] < 2 * decontamination.CROWD
+
+
 def test_leaks_are_those_of_brute_force(spark):
     """Items with words changed at random, in pieces and in several places: the verdict on each pair of document and item and its
     most equal words are those found by comparing all alignments and all parts."""
