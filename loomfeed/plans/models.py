@@ -109,9 +109,16 @@ LIS = """p AS (SELECT page_id, html, regexp_extract_all(html, '<li><a href="[^"]
 c AS (SELECT CAST(page_id AS VARCHAR) AS page, i, trim(regexp_extract(li, '<li><a href="([^"]*)">([^<]*)</a></li>', 2)) AS t, trim(regexp_extract(li, '<li><a href="([^"]*)">([^<]*)</a></li>', 1)) AS h FROM x)"""
 
 
+# Character references as these pages write them: a named one may lack its semicolon, as at the end of a text that was cut.
+_REFERENCES = (("&(?:lt|LT);?", "<"), ("&(?:gt|GT);?", ">"), ("&(?:quot|QUOT);?", '"'), ("&#(?:39|[xX]27);", "''"), ("&(?:amp|AMP);?", "&"))
+
+
 def _named(tag: str) -> str:
     """The text of a page's first element of a kind, in SQL."""
-    return f"trim(replace(replace(replace(regexp_extract(html, '(?s)<{tag}>(.*?)</{tag}>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), ' |')"
+    text = f"regexp_extract(html, '(?s)<{tag}>(.*?)</{tag}>', 1)"
+    for reference, character in _REFERENCES:
+        text = f"regexp_replace({text}, '{reference}', '{character}', 'g')"
+    return f"trim({text}, ' |')"
 
 
 def _pages(spark, d):

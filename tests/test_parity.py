@@ -1,5 +1,7 @@
 """Every query of the library against DuckDB on the smallest tables."""
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from loomfeed.plans.catalog import ORACLE_SQL, QUERIES
@@ -23,6 +25,16 @@ def test_query(spark, duck, name):
         assert df.count() > 0
 
 
+@pytest.mark.parametrize("name", ["q_page_identity", "q_page_title"])
+def test_character_references_of_titles(spark, tmp_path, name):
+    """Named references are read without their semicolon too, as in titles that were cut; quotes and doubly coded ones are."""
+    titles = ["a&amp;&amp;b c&amp", "two &quot;words&quot; &lt;b&gt; &am", "x&ampThe &#39;q&#x27; &AMP; y", "one &amp;lt; two &amp;amp; three"]
+    rows = [(i, "u", f"<html><title>{t}</title><body><h1>{t}</h1></body></html>") for i, t in enumerate(titles * 2, 1)]
+    pq.write_table(pa.table(dict(zip(("page_id", "url", "html"), map(list, zip(*rows, strict=True)), strict=True))), f"{tmp_path}/pages.parquet")
+    sf_dir = str(tmp_path)
+    assert difference(QUERIES[name](spark, sf_dir), connect(sf_dir), ORACLE_SQL[name]) == ""
+
+
 def test_entry_lists_the_same_keys():
     import __spark_entry__
 
