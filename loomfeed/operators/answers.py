@@ -86,10 +86,13 @@ def incremental(
     spark = contents.sparkSession
     title = F.col("product_title") if "product_title" in contents.columns else F.lit("")
     hashed = input_hash(F.lit(version), F.substring(text_or_empty(title), 1, 20), text_or_empty(F.col("content_text_clean")))
-    targets = keep(scoring_targets(contents, None, evidence).withColumn("input_hash", hashed))
+    used = ["content_id", "item_key", "input_hash", "seq", "content_text_clean", "product_title", "evidence_level", "likes", "pre_purchase_decision"]
+    asking = scoring_targets(contents, None, evidence).withColumn("input_hash", hashed)
+    asking = asking.select(*(c for c in used if c in asking.columns))
+    targets = keep(asking.select("content_id", "item_key", "input_hash"))  # without their texts, which only those to be asked need
     error = None
     if make_scorer is not None and not stored_runs(spark, log).where(F.col("run_id") == update_id).limit(1).count():
-        fresh = targets.join(answers(spark, log, "fast").select("input_hash"), "input_hash", "left_anti")
+        fresh = asking.join(answers(spark, log, "fast").select("input_hash"), "input_hash", "left_anti")
         fresh = keep(keep_first(fresh, ["input_hash"], "seq").withColumn("content_id", F.col("input_hash")))
         try:
             scorer = make_scorer() if fresh.limit(1).count() else None
@@ -107,11 +110,10 @@ def incremental(
         said["fast"] = said["fast"].unionByName(own["fast"].withColumn("answered_in", F.lit(update_id)), allowMissingColumns=True)
         mine["failures"] = own["failures"]
     marked = lambda df: df.withColumns({"project_id": F.lit(project_id), "update_id": F.lit(update_id)})
-    ids = targets.select("content_id", "item_key", "input_hash")
     if make_scorer is None:
         said = {name: df.limit(0) for name, df in said.items()}
-    fast, detail = (ids.join(said[name], "input_hash") for name in ("fast", "detail"))
-    failures = ids.join(mine["failures"].distinct(), "input_hash")
+    fast, detail = (targets.join(said[name], "input_hash") for name in ("fast", "detail"))
+    failures = targets.join(mine["failures"].distinct(), "input_hash")
     own_run = F.col("answered_in") == update_id
     count = lambda df, name: df.agg(F.count("*").alias(name))
     parts = [

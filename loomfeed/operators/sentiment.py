@@ -6,6 +6,7 @@ mapInPandas, and everything about it stays in columns.  What a scorer raises is
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Iterator
 
@@ -24,7 +25,7 @@ Scorer = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 FAST = "i string, s string, sc string, p string, n string, c string"
 
 
-RESPONSES = "batch_id string, response string, error_type string, seconds double"
+RESPONSES = "batch_id string, response string, error_type string, seconds double, lost array<string>"
 
 
 def batched(df: DataFrame, size: int, seq: str = "seq") -> DataFrame:
@@ -37,35 +38,39 @@ def batched(df: DataFrame, size: int, seq: str = "seq") -> DataFrame:
 
 
 def isolated(scorer: Scorer) -> Scorer:
-    """LLM2: the scorer with error_type and seconds of each batch.  A frame of batches for which it raises is asked again batch
-    by batch, so that the failure stays with the batch that caused it."""
+    """LLM2: the scorer with error_type and seconds of each batch, and the ids of a batch that failed.  A frame of batches for
+    which it raises is asked again batch by batch, so that the failure stays with the batch that caused it; what is said comes
+    out in one frame all the same."""
 
-    def ask(frame: pd.DataFrame) -> pd.DataFrame:
+    def ask(frame: pd.DataFrame) -> list[tuple]:
         began = time.perf_counter()
-        found = [x[["batch_id", "response"]] for x in scorer(iter([frame]))]
-        out = pd.concat(found) if found else pd.DataFrame({"batch_id": [], "response": []})
-        return out.assign(error_type=None, seconds=(time.perf_counter() - began) / max(len(frame), 1))
+        said = [row for x in scorer(iter([frame])) for row in zip(x["batch_id"].tolist(), x["response"].tolist(), strict=True)]
+        seconds = (time.perf_counter() - began) / max(len(frame), 1)
+        return [(*row, None, seconds, None) for row in said]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             try:
-                yield ask(frame)
+                rows = ask(frame)
             except Exception:  # noqa: BLE001  whatever a scorer raises
+                rows = []
                 for i in range(len(frame)):
                     one, began = frame.iloc[i : i + 1], time.perf_counter()
                     try:
-                        yield ask(one)
+                        rows += ask(one)
                     except Exception as e:  # noqa: BLE001
-                        yield pd.DataFrame({"batch_id": one["batch_id"], "response": "", "error_type": type(e).__name__, "seconds": time.perf_counter() - began})
+                        lost = [json.loads(line)["i"] for line in one["prompt"].iloc[0].split("\n")]
+                        rows.append((one["batch_id"].iloc[0], "", type(e).__name__, time.perf_counter() - began, lost))
+            yield pd.DataFrame(rows, columns=["batch_id", "response", "error_type", "seconds", "lost"])
 
     return run
 
 
 def asked(batches: DataFrame, scorer: Scorer, keep: Callable[[DataFrame], DataFrame] = kept) -> DataFrame:
-    """RESPONSES of a scorer to batches (batch_id, prompt), with each prompt; asked once, since they are kept."""
+    """RESPONSES of a scorer to batches (batch_id, prompt); asked once, since they are kept.  Prompts are not: they hold all
+    texts, and of those that failed the ids are in `lost`."""
     ship(batches.sparkSession)
-    batches = keep(batches)
-    return keep(batches.mapInPandas(isolated(scorer), RESPONSES)).join(batches, "batch_id", "left")
+    return keep(batches.select("batch_id", "prompt").mapInPandas(isolated(scorer), RESPONSES))
 
 
 def prompts(df: DataFrame, text: str = "content_text_clean", title: str = "product_title", seq: str = "seq") -> DataFrame:
@@ -128,8 +133,8 @@ def score(targets: DataFrame, scorer: Scorer, size: int = 50, retries: int | Non
     left = targets
     for turn, n in enumerate(halves(size)[: None if retries is None else retries + 1]):
         responses = asked(prompts(batched(left, n)), scorer, keep)
-        valid = read(parsed_lines(responses))
-        failed = responses.where("error_type is not null").select(F.explode(F.split("prompt", "\n")).alias("line"), "error_type").select(F.get_json_object("line", "$.i").alias("_i"), F.col("error_type").alias("_error"))
+        valid = keep(read(parsed_lines(responses)))
+        failed = responses.where("error_type is not null").select(F.explode("lost").alias("_i"), F.col("error_type").alias("_error"))
         took = responses.select(F.lit(turn).alias("turn"), "batch_id", "seconds", "error_type")
         found, timings = (b if a is None else a.unionByName(b) for a, b in ((found, valid), (timings, took)))
         left = keep(missing(left, valid))

@@ -9,7 +9,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from loomfeed.operators import answers, assets, filters, metrics, snapshots, tables
+from loomfeed.lineage import kept
+from loomfeed.operators import answers, assets, filters, metrics, sentiment, snapshots, tables
 from loomfeed.sources import reviews
 from loomfeed.streaming import landing
 
@@ -183,3 +184,24 @@ def test_stream_knows_files_of_earlier_batches_and_after_a_restart(spark, tmp_pa
     assert run() == [("i", "h"), ("j", "h")]
     put(("i", "h"), ("i", "k"), (None, "k"))
     assert len(run()) == 4 and len(run()) == 4  # a run without new files adds nothing
+
+
+def test_a_failing_frame_comes_out_in_one(spark):
+    """Batches of a frame in which some fail are asked one by one, but what is said of them is one frame, with the lost ids."""
+
+    def fails(frames):
+        for x in frames:
+            if any('"2"' in p for p in x["prompt"]):
+                raise TimeoutError
+            yield x.assign(response="{}")[["batch_id", "response"]]
+
+    frame = pd.DataFrame({"batch_id": ["a", "b", "c"], "prompt": ['{"i":"1"}', '{"i":"2"}\n{"i":"3"}', '{"i":"4"}']})
+    (out,) = sentiment.isolated(fails)(iter([frame]))
+    assert out[["batch_id", "response", "error_type", "lost"]].values.tolist() == [["a", "{}", None, None], ["b", "", "TimeoutError", ["2", "3"]], ["c", "{}", None, None]]
+
+
+def test_what_is_kept_is_read_by_column(spark):
+    """A table that was kept is read for the columns that are asked for, not whole."""
+    df = kept(spark.range(10).withColumns({"text": F.repeat(F.lit("x"), 100), "n": F.col("id") * 2}))
+    plan = df.select("n")._jdf.queryExecution().executedPlan().toString()
+    assert "parquet" in plan and "text" not in plan and df.agg(F.sum("n")).first()[0] == 90
