@@ -20,9 +20,16 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df, made once and read from the shared folder from then on: for results that must not be made twice (as answers of a
-    scorer), and to cut a long lineage.  A table of columns, so that what reads it reads only the columns that it needs and
-    knows its size."""
+    """df, made once and read from the shared folder from then on: for results that must not be made twice, and to cut a long
+    lineage.  Rows keep their partitions."""
+    context, base = df.sparkSession.sparkContext, scratch_dir(df.sparkSession)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(base)
+    return df.checkpoint()
+
+
+def kept_columns(df: DataFrame) -> DataFrame:
+    """The same as a table of columns, for wide rows (texts, answers of a scorer) that are read for a few columns."""
     path = f"{scratch_dir(df.sparkSession)}/kept-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

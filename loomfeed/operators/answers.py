@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import input_hash, text_or_empty
-from ..lineage import kept
+from ..lineage import kept_columns
 from .identity import keep_first
 from .sentiment import Scorer, process, scoring_targets
 
@@ -73,7 +73,7 @@ def answers(spark: SparkSession, log: str, name: str) -> DataFrame:
 
 def incremental(
     contents: DataFrame, evidence: DataFrame | None, make_scorer: Callable[[], Scorer] | None, log: str, project_id: str, update_id: str, version: str = "", size: int = 50,
-    detail_scorer: Scorer | None = None, detail_limit: int | None = None, full: bool = True, keep: Callable[[DataFrame], DataFrame] = kept,
+    detail_scorer: Scorer | None = None, detail_limit: int | None = None, full: bool = True, keep: Callable[[DataFrame], DataFrame] = kept_columns,
 ) -> dict[str, DataFrame]:
     """LLM7: score the new contents of an import (content_id, item_key, content_role, content_text_clean, product_title, seq).
 

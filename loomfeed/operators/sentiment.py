@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lexicon import COMPLAINT_NAMES, PRAISE_NAMES, SENTIMENT_NAMES, SentimentWords
 from ..functions.text import json_lines, text_or_empty
-from ..lineage import kept
+from ..lineage import kept_columns
 from ..shipping import ship
 from .classify import detail_wanted, rule_sentiment
 from .joins import unscored, update_analysis
@@ -66,7 +66,7 @@ def isolated(scorer: Scorer) -> Scorer:
     return run
 
 
-def asked(batches: DataFrame, scorer: Scorer, keep: Callable[[DataFrame], DataFrame] = kept) -> DataFrame:
+def asked(batches: DataFrame, scorer: Scorer, keep: Callable[[DataFrame], DataFrame] = kept_columns) -> DataFrame:
     """RESPONSES of a scorer to batches (batch_id, prompt); asked once, since they are kept.  Prompts are not: they hold all
     texts, and of those that failed the ids are in `lost`."""
     ship(batches.sparkSession)
@@ -123,7 +123,7 @@ def halves(size: int) -> list[int]:
     return [size] if size <= 1 else [size, *halves(size // 2)]
 
 
-def score(targets: DataFrame, scorer: Scorer, size: int = 50, retries: int | None = None, keep: Callable[[DataFrame], DataFrame] = kept, read: Callable[[DataFrame], DataFrame] = valid_fast) -> tuple[DataFrame, DataFrame, DataFrame]:
+def score(targets: DataFrame, scorer: Scorer, size: int = 50, retries: int | None = None, keep: Callable[[DataFrame], DataFrame] = kept_columns, read: Callable[[DataFrame], DataFrame] = valid_fast) -> tuple[DataFrame, DataFrame, DataFrame]:
     """LLM2, LLM13: valid rows, failures and timings (turn, batch_id, seconds, error_type).
 
     What is missing is asked again in batches of half the size each time, down to single rows (or for `retries` turns); a
@@ -148,7 +148,7 @@ _RULED = "struct<label:string,score:int,praise:string,complaint:string,confidenc
 
 
 def process(
-    comments: DataFrame, scorer: Scorer | None, size: int = 50, words: SentimentWords | None = None, use_rules: bool = True, keep: Callable[[DataFrame], DataFrame] = kept,
+    comments: DataFrame, scorer: Scorer | None, size: int = 50, words: SentimentWords | None = None, use_rules: bool = True, keep: Callable[[DataFrame], DataFrame] = kept_columns,
     detail_scorer: Scorer | None = None, detail_size: int = 10, detail_limit: int | None = None,
 ) -> dict[str, DataFrame]:
     """LLM6: rules first, then the scorer for the rest, then the detailed scoring of those that deserve it (CLS11), up to a
@@ -208,7 +208,7 @@ def scoring_targets(contents: DataFrame, fast: DataFrame | None = None, evidence
     return rows.drop("evidence_level").join(level, "content_id", "left").withColumn("evidence_level", text_or_empty(F.col("evidence_level")))
 
 
-def backfill(tables: dict[str, DataFrame], project_id: str, scorer: Scorer | None, limit: int | None = None, budget: int | None = 50, size: int = 50, full: bool = True, detail_scorer: Scorer | None = None, keep: Callable[[DataFrame], DataFrame] = kept) -> dict[str, DataFrame]:
+def backfill(tables: dict[str, DataFrame], project_id: str, scorer: Scorer | None, limit: int | None = None, budget: int | None = 50, size: int = 50, full: bool = True, detail_scorer: Scorer | None = None, keep: Callable[[DataFrame], DataFrame] = kept_columns) -> dict[str, DataFrame]:
     """LLM7: score a project's reviews that have no valid label, all items in one run that shares one budget of detailed
     scorings, items in order and rows in theirs (tables: content_master, sentiment_fast, analysis, products).
 

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from loomfeed.lineage import kept
+from loomfeed.lineage import kept_columns
 from loomfeed.operators import answers, assets, filters, metrics, sentiment, snapshots, tables
 from loomfeed.sources import reviews
 from loomfeed.streaming import landing
@@ -202,6 +202,6 @@ def test_a_failing_frame_comes_out_in_one(spark):
 
 def test_what_is_kept_is_read_by_column(spark):
     """A table that was kept is read for the columns that are asked for, not whole."""
-    df = kept(spark.range(10).withColumns({"text": F.repeat(F.lit("x"), 100), "n": F.col("id") * 2}))
+    df = kept_columns(spark.range(10).withColumns({"text": F.repeat(F.lit("x"), 100), "n": F.col("id") * 2}))
     plan = df.select("n")._jdf.queryExecution().executedPlan().toString()
     assert "parquet" in plan and "text" not in plan and df.agg(F.sum("n")).first()[0] == 90
