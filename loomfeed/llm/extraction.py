@@ -13,9 +13,10 @@ that two or more pages hold.
 Pages of equal text (but for marked parts) count as one.  A page of which long runs that only few others hold are half or more
 of what is left is a copy (a print view): it keeps them.
 
-A host of many pages or bytes is dealt out to groups of about GROUP pages, by hash, with a suffix array each.  Runs and blocks
-that no mark decides about are then counted over all groups, by fingerprints of every run of LEAST and of LONG words, so a group
-removes what one group of the whole host would; of marked text, which goes in any case, n_repeated counts what the group repeats.
+Hosts of any size go one way.  A host's pages are dealt out to groups of about GROUP pages (most have one), pages of equal text
+together, and the suffix array of a group tells how many distinct pages of the group hold each run of LEAST and of LONG words.
+Such counts are added up over the groups of the host, by fingerprints of the runs; who needs a run or block that is repeated on
+the whole host is told so.  So nothing depends on how a host is dealt out: neither texts nor n_repeated nor n_marked.
 
 Defined cases: null html, or html without text, gives an empty text; pages with a null or odd url are compared with none; null
 and repeated keys are kept, a row each; a quote in a tag that nothing closes ends with the tag; other columns are not read; an
@@ -31,10 +32,11 @@ from html import unescape
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import distinct, hash_spans, map_arrow, parts_for, read_table, stage_table, window_hashes
+from .common import batches, distinct, hash_spans, map_arrow, parts_for, read_table, slices, stage_table, window_hashes
 
 #: Words of a run that a share of the pages holds, and of one that two hold; the share; pages that copies may be on in any case.
 LEAST, LONG, ONE_IN, FEW = 5, 50, 4, 3
@@ -200,16 +202,6 @@ def needed(pages: int) -> int:
     return max(min(pages, 3), -(-pages // ONE_IN), 2)
 
 
-def holders(ranks: list[np.ndarray], pages: np.ndarray, width: int) -> np.ndarray:
-    """How many distinct pages hold the `width` words from each place on, by the ranks of the suffix array."""
-    out, n, k = np.zeros(len(pages), dtype=np.int64), len(pages) - width + 1, width.bit_length() - 1
-    if n > 0:
-        size, second = len(pages) + 2, width - (1 << k)
-        runs = np.unique(ranks[k][:n] * size + ranks[k][second : second + n], return_inverse=True)[1]
-        out[:n] = np.bincount(distinct(runs * size + pages[:n]) // size)[runs]
-    return out
-
-
 def _covered(starts: np.ndarray, width: int) -> np.ndarray:
     """The words of the runs of `width` words that begin at these places."""
     change = np.zeros(len(starts) + width, dtype=np.int64)
@@ -230,56 +222,133 @@ def _class(page: Page) -> int:
     return block_print("\n".join(t for t, kind in zip(*page, strict=True) if kind != OUT))
 
 
-def run_prints(words: np.ndarray, width: int) -> list[int]:
-    return (window_hashes(words, width) ^ np.uint64(width)).view(np.int64).tolist()
+def run_prints(words: np.ndarray, width: int) -> np.ndarray:
+    return (window_hashes(words, width) ^ np.uint64(width)).view(np.int64)
+
+
+#: Laws of prints: open runs of LEAST words and open blocks (a share of the pages must hold them), open runs of LONG words (two
+#: must), marked runs of LEAST words and shorter marked blocks (two must); and the number of a host's distinct pages with open text.
+SHARE, TWO, MARKED, PAGES = range(4)
+#: A law, and under it prints, how many distinct pages hold each, and a part of the host that does.
+Counted = tuple[int, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _counted(law: int, prints: np.ndarray, of: np.ndarray, page: np.ndarray, classes: np.ndarray, parts: list[list[int]], least: int) -> Counted:
+    """of, page: which print is found on which page.  A print stands once for each part, its holders with the first alone."""
+    n, m = len(parts), int(classes.max()) + 1
+    pairs = distinct(of * n + page)
+    of, page = pairs // n, pairs % n
+    holders = np.bincount(distinct(of * m + classes[page]) // m, minlength=len(prints))
+    sizes = np.array([len(x) for x in parts])
+    flat, firsts = np.concatenate([np.array(x, dtype=np.int64) for x in parts]), np.cumsum(sizes) - sizes
+    times = sizes[page]
+    at = np.repeat(firsts[page] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+    size = int(flat.max()) + 1
+    pairs = distinct(np.repeat(of, times) * size + flat[at])
+    of, part = pairs // size, pairs % size
+    ok = holders[of] >= least
+    of, part = of[ok], part[ok]
+    first = np.concatenate([[True], of[1:] != of[:-1]])[: len(of)]
+    return law, prints[of], np.where(first, holders[of], 0), part
+
+
+def runs_of(pages: list[tuple[int, list[int], list[str]]], kind: int, whole: bool = False) -> Iterator[Counted]:
+    """The runs and blocks of these pages' blocks of one kind: (class, parts, blocks) of each page.  Runs are told apart, and
+    their holders counted, by the suffix array; pages of one class count as one.  whole: these are all pages of their host, so
+    what one of them holds alone is left out."""
+    if not pages:
+        return
+    names: dict[int, int] = {}
+    of_page, parts = np.array([names.setdefault(c, len(names)) for c, _, _ in pages]), [x for _, x, _ in pages]
+    words, lengths = [], []
+    for i, (_, _, blocks) in enumerate(pages):
+        own = [*(w.encode() for t in blocks for w in _words(t)), b"\x00%d" % i]  # no other page has the last
+        words += own
+        lengths.append(len(own))
+    tokens, page, least = _hash(words), np.repeat(np.arange(len(pages)), lengths), 2 if whole else 1
+    last = np.repeat(np.cumsum(lengths) - 1, lengths)
+    if not whole or repeated(tokens, of_page[page]).any():
+        ranks = suffix_array(tokens)[1]
+        for law, width in ((SHARE, LEAST), (TWO, LONG)) if kind == OPEN else ((MARKED, LEAST),):
+            k, n = width.bit_length() - 1, len(tokens) - width + 1
+            at = np.flatnonzero(np.arange(max(n, 0)) + width <= last[: max(n, 0)])
+            if len(at):
+                same = ranks[k][at] * (len(tokens) + 2) + ranks[k][at + width - (1 << k)]
+                firsts, of = np.unique(same, return_index=True, return_inverse=True)[1:]
+                yield _counted(law, run_prints(tokens, width)[at[firsts]], of, page[at], of_page, parts, least)
+    told = [(block_print(t), i) for i, (_, _, blocks) in enumerate(pages) for t in blocks if kind == OPEN or t.count(" ") + 1 < LEAST]
+    if told:
+        prints, of = np.unique(np.array([x for x, _ in told], dtype=np.int64), return_inverse=True)
+        yield _counted(SHARE if kind == OPEN else MARKED, prints, of, np.array([i for _, i in told]), of_page, parts, least)
+    if kind == OPEN:
+        yield PAGES, np.zeros(1, np.int64), np.array([len(names)]), np.zeros(1, np.int64)
+
+
+def summed(counted: list[Counted]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """part, law, prints and holders of what at least two distinct pages hold, from the counts of all groups."""
+    for law in sorted({x[0] for x in counted}):
+        prints, holders, parts = (np.concatenate([x[i] for x in counted if x[0] == law]) for i in (1, 2, 3))
+        known, of = np.unique(prints, return_inverse=True)
+        n = np.zeros(len(known), dtype=np.int64)
+        np.add.at(n, of, holders)
+        ok = (n[of] >= 2) | (law == PAGES)
+        if not ok.any():
+            continue
+        pairs = distinct(parts[ok] * len(known) + of[ok])
+        part, of = pairs // len(known), pairs % len(known)
+        edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])[: len(part)])
+        for a, b in zip(edges, [*edges[1:], len(part)], strict=True):
+            yield int(part[a]), law, known[of[a:b]], n[of[a:b]]
 
 
-def prints_of(blocks: list[str]) -> list[tuple[int, int]]:
-    """The distinct prints of a page's open blocks (0), and of their runs of LEAST (LEAST) and of LONG words (LONG)."""
-    words = _hash([w.encode() for t in blocks for w in _words(t)])
-    return [(0, x) for x in {*map(block_print, blocks)}] + [(n, x) for n in (LEAST, LONG) for x in {*run_prints(words, n)}]
+#: What the pages of a part must know: the repeated prints of each law, in order, and those of TWO that only few pages hold.
+Known = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
-#: Of the words of a page's blocks of a kind those that short runs, long runs and long runs on few pages cover, and the prints of blocks to leave out.
-Found = tuple[np.ndarray, np.ndarray, np.ndarray, set[int]]
+def known_from(told: list[tuple[int, np.ndarray, np.ndarray]], pages: int) -> Known:
+    """told: law, prints and holders; pages: how many distinct pages with open text the host has."""
+    need = needed(pages)
+    pick = lambda law, ok: distinct(np.concatenate([np.zeros(0, np.int64), *(p[ok(n)] for x, p, n in told if x == law)]))
+    return pick(SHARE, lambda n: n >= need), pick(TWO, lambda n: n >= 2), pick(MARKED, lambda n: n >= 2), pick(TWO, lambda n: (n >= 2) & (n <= max(FEW, need - 1)))
 
 
-def compare(pages: list[Page], kind: int) -> list[Found]:
-    """What the blocks of this kind share over all these pages, by the suffix array.  Pages of one class count as one.  Where a
-    mark speaks against a block, what two pages hold is a repeat, however short their share."""
-    classes: dict[int, int] = {}
-    outside = [_of_kind(page, kind) for page in pages]
-    of_page = [classes.setdefault(_class(page), len(classes)) if blocks else -1 for page, blocks in zip(pages, outside, strict=True)]
-    need = needed(len(classes)) if kind == OPEN else 2
-    held = {(t, c) for c, blocks in zip(of_page, outside, strict=True) for t in blocks}
-    shared = {block_print(t) for t, n in Counter(t for t, _ in held).items() if n >= need}
-    words, marks, ends = [], [], [0]
-    for i, (c, blocks) in enumerate(zip(of_page, outside, strict=True)):
-        own = [*(w.encode() for t in blocks for w in _words(t)), b"\x00%d" % i] if blocks else []  # no other page has the last
-        words += own
-        marks += [c] * len(own)
-        ends.append(len(words))
-    tokens, marks = _hash(words) if words else np.zeros(0, np.uint64), np.array(marks, dtype=np.int64)
-    short = long = few = np.zeros(len(words), dtype=bool)
-    if repeated(tokens, marks).any():
-        ranks = suffix_array(tokens)[1]
-        short = _covered(holders(ranks, marks, LEAST) >= need, LEAST)
-        n = holders(ranks, marks, LONG)
-        long, few = _covered(n >= 2, LONG), _covered((n >= 2) & (n <= max(FEW, need - 1)), LONG)
-    return [(*(x[a : max(a, b - 1)] for x in (short, long, few)), shared) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+NOTHING: Known = (np.zeros(0, np.int64),) * 4
+
+
+def known_of(pages: list[Page]) -> Known:
+    """The same where these pages are all of their host's."""
+    counted = [x for kind in (OPEN, OUT) for x in runs_of([(_class(p), [0], _of_kind(p, kind)) for p in pages if _of_kind(p, kind)], kind, True)]
+    told = list(summed(counted))
+    return known_from([x[1:] for x in told], sum(int(n[0]) for _, law, _, n in told if law == PAGES))
+
+
+#: Of the words of a page's blocks of a kind those that short runs, long runs and long runs on few pages cover, and the blocks to leave out.
+Found = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _among(prints: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(prints), dtype=bool)
+    at = np.searchsorted(known, prints)
+    return known[np.minimum(at, len(known) - 1)] == prints
 
 
-def look_up(blocks: list[str], known: dict[int, bool]) -> Found:
-    """The same of open blocks from the prints that the host's pages share; true: on few pages."""
+def look_up(blocks: list[str], kind: int, known: Known) -> Found:
+    """What is known to be repeated of a page's blocks of a kind.  Of marked text long runs are runs of short ones."""
+    share, two, marked, few = known
+    n, runs = sum(t.count(" ") + 1 for t in blocks), share if kind == OPEN else marked
+    if not len(runs) and (kind == OUT or not len(two)):
+        return (np.zeros(n, dtype=bool),) * 3 + (np.zeros(len(blocks), dtype=bool),)
     words = _hash([w.encode() for t in blocks for w in _words(t)]) if blocks else np.zeros(0, np.uint64)
-    n = len(words)
-    short, long, few = (np.zeros(n, dtype=bool) for _ in range(3))
-    if known:
-        for i, x in enumerate(run_prints(words, LEAST)):
-            short[i] = x in known
-        for i, x in enumerate(run_prints(words, LONG)):
-            long[i], few[i] = x in known, known.get(x, False)
-    return _covered(short, LEAST), _covered(long, LONG), _covered(few, LONG), set(known)
+
+    def covered(width: int, of: np.ndarray) -> np.ndarray:
+        starts = np.zeros(n, dtype=bool)
+        found = _among(run_prints(words, width), of)
+        starts[: len(found)] = found
+        return _covered(starts, width)
+
+    none = NOTHING[0]
+    return covered(LEAST, runs), covered(LONG, two if kind == OPEN else none), covered(LONG, few if kind == OPEN else none), _among(np.array([block_print(t) for t in blocks], dtype=np.int64), runs)
 
 
 def decide(kind: int, blocks: list[str], found: Found) -> tuple[list[str | None], int]:
@@ -288,11 +357,11 @@ def decide(kind: int, blocks: list[str], found: Found) -> tuple[list[str | None]
     copied = bool(few.any()) and 2 * few.sum() >= (few | ~short).sum()
     removed = (short | long) & ~few if copied and kind == OPEN else short | long
     out, words, k = [], 0, 0
-    for block in blocks:
+    for block, everywhere in zip(blocks, shared.tolist(), strict=True):
         own = _words(block)
         gone, safe = _long_runs(removed[k : k + len(own)]), copied and kind == OPEN and few[k : k + len(own)].all()
         k += len(own)
-        if gone.all() or (not safe and block_print(block) in shared):
+        if gone.all() or (not safe and everywhere):
             out.append(None)
             words += len(own)
         else:
@@ -301,22 +370,17 @@ def decide(kind: int, blocks: list[str], found: Found) -> tuple[list[str | None]
     return out, words
 
 
-def clean_pages(pages: list[Page], known: dict[int, bool] | None = None, alone: bool = False) -> list[tuple[str, int, int]]:
-    """Text, n_repeated and n_marked of pages: (blocks, kinds) of each.  known: prints that the pages of their host share, and
-    whether only few do; without it the pages are all of their host's.  alone: they are of no host and compared with none."""
-    none: Found = (*(np.zeros(0, dtype=bool),) * 3, set())
-    marked = [none] * len(pages) if alone else compare(pages, OUT)
-    opened = [look_up(_of_kind(page, OPEN), known or {}) for page in pages] if alone or known is not None else compare(pages, OPEN)
+def clean_pages(pages: list[Page], known: Known | None = None) -> list[tuple[str, int, int]]:
+    """Text, n_repeated and n_marked of pages: (blocks, kinds) of each.  known: what their host's pages share; without it the
+    pages are all of their host's."""
+    known = known_of(pages) if known is None else known
     out = []
-    for page, *found in zip(pages, opened, marked, strict=True):
+    for page in pages:
         left: dict[int, Iterator[str | None]] = {}
         n_repeated = n_marked = 0
-        for kind, of_kind in zip((OPEN, OUT), found, strict=True):
+        for kind in (OPEN, OUT):
             blocks = _of_kind(page, kind)
-            if of_kind is none:
-                left[kind] = iter(blocks)
-                continue
-            kept, words = decide(kind, blocks, of_kind)
+            kept, words = decide(kind, blocks, look_up(blocks, kind, known))
             left[kind], n_repeated = iter(kept), n_repeated + words
         kept = []
         for block, kind in zip(*page, strict=True):
@@ -335,79 +399,128 @@ def block_print(block: str) -> int:
     return xxhash.xxh3_64_intdigest(block.encode()) - (1 << 63)
 
 
+OUTSIDE = "host string, groups long, group long, part long, class long, open string, out string"
+COUNTED = "host string, bucket long, law int, prints array<long>, holders array<long>, parts array<long>"
+TOLD = "host string, part long, law int, prints array<long>, holders array<long>"
 TEXTS = "page_id long, url string, text string, n_chars long, n_repeated long, n_marked long"
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """page_id, url, text, n_chars, n_repeated and n_marked of each page.  Pages are parsed twice (for what groups share, and
-    for the texts), so that their blocks are shuffled once and never stored."""
+    """page_id, url, text, n_chars, n_repeated and n_marked of each page.  Pages are parsed twice (for what a host repeats, and
+    for the texts), so that whole pages are shuffled once and never stored; what lies outside of articles is shuffled once more,
+    to the suffix arrays."""
     spark = pages.sparkSession
 
-    def prints(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-        for batch in it:
-            for host, part, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                page = tuple(zip(*blocks_of(x or ""), strict=True)) or ((), ())
-                if blocks := _of_kind(page, OPEN):
-                    rows = [(host, part, _class(page), *found) for found in prints_of(blocks)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["host", "part", "page", "width", "print"])
+    def page_of(html: bytes) -> Page:
+        return tuple(zip(*blocks_of(html.decode()), strict=True)) or ((), ())
+
+    def outside(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What pages hold outside their articles, dealt out by class."""
+        types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        for batch, texts in batches(it, "html"):
+            rows = []
+            for host, groups, part, x in zip(*(batch.column(i).to_pylist() for i in range(3)), texts, strict=True):
+                page = page_of(x)
+                own = ["\n".join(_of_kind(page, kind)) for kind in (OPEN, OUT)]  # no block has a line end
+                if any(own):
+                    rows.append((host, groups, (c := _class(page)) % groups, part, c, *own))
+            columns = list(zip(*rows, strict=True)) or [()] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [x.split()[0] for x in OUTSIDE.split(", ")])
+
+    def runs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A partition holds whole groups, sorted by class: the suffix array of one group at a time.  Equal pages are held once."""
+        held: dict[tuple[int, str, str], set[int]] = {}
+        now: tuple | None = None
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            host, groups, _ = now
+            for place, kind in ((1, OPEN), (2, OUT)):
+                own: dict[tuple[int, str], set[int]] = {}
+                for x, parts in held.items():
+                    if x[place]:
+                        own.setdefault((x[0], x[place]), set()).update(parts)
+                for law, prints, holders, parts in runs_of([(c, sorted(p), t.split("\n")) for (c, t), p in own.items()], kind, groups == 1):
+                    bucket = prints % groups
+                    order = np.lexsort((parts, bucket))
+                    bucket = bucket[order]
+                    edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])[: len(bucket)])
+                    offsets = pa.array([*edges, len(bucket)], pa.int32())
+                    lists = [pa.ListArray.from_arrays(offsets, pa.array(x[order], pa.int64())) for x in (prints, holders, parts)]
+                    yield pa.RecordBatch.from_arrays([pa.array([host] * len(edges), pa.string()), pa.array(bucket[edges], pa.int64()), pa.array([law] * len(edges), pa.int32()), *lists], [x.split()[0] for x in COUNTED.split(", ")])
 
-    def parse(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            found = [blocks_of(x or "") for x in batch.column(5).to_pylist()]
-            blocks = pa.array([[t for t, _ in f] for f in found], pa.list_(pa.string()))
-            kinds = pa.array([[k for _, k in f] for f in found], pa.list_(pa.int8()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], blocks, kinds, pa.nulls(len(found), pa.int64()), pa.nulls(len(found), pa.bool_())], names)
+            for host, groups, group, part, c, *own in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if (host, groups, group) != now:
+                    if held:
+                        yield from emit()
+                    held, now = {}, (host, groups, group)
+                held.setdefault((c, *own), set()).add(part)
+        if held:
+            yield from emit()
 
-    def clean(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A partition holds whole groups, sorted, what other groups share first: one group at a time.  A group that turns out
-        larger (equal rows are dealt alike) goes in parts: what decides about its open blocks is known beforehand."""
-        held: list[tuple] = []
-        known: dict[int, bool] | None = None
-        now, size = None, 0
-
-        def emit() -> pa.RecordBatch:
-            found = clean_pages([(r[2], r[3]) for r in held], known, now[0] == "")
-            columns = [[r[0] for r in held], [r[1] for r in held], [t for t, _, _ in found], [len(t) for t, _, _ in found], [n for _, n, _ in found], [n for _, _, n in found]]
-            types = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [x.split()[0] for x in TEXTS.split(", ")])
+    def sums(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A partition holds whole buckets of prints, sorted."""
+        held: list[Counted] = []
+        now: tuple | None = None
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            for part, law, prints, holders in summed(held):
+                columns = ([now[0]], [part], [law], [prints], [holders])
+                types = (pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [x.split()[0] for x in TOLD.split(", ")])
 
         for batch in it:
-            for host, part, large, page, address, blocks, kinds, shared, few in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and ((host, part) != now or (large and (len(held) >= 2 * GROUP or size >= 2 * GROUP_BYTES))):
-                    yield emit()
-                    held, size = [], 0
-                if (host, part) != now:
-                    now, known = (host, part), {} if large else None
-                if shared is not None:
-                    known[shared] = few
-                else:
-                    held.append((page, address, blocks, kinds))
-                    size += sum(map(len, blocks))
-        if held:
-            yield emit()
+            for i, at in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if at != now:
+                    yield from emit()
+                    held, now = [], at
+                held.append((batch.column(2)[i].as_py(), *(batch.column(k)[i].values.to_numpy() for k in (3, 4, 5))))
+        yield from emit()
+
+    def parse(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in batches(it, "html"):
+            found = [page_of(x) for x in texts]
+            blocks, kinds = pa.array(["\n".join(b) for b, _ in found], pa.string()), pa.array(["".join(map(str, k)) for _, k in found], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], blocks, kinds], ["host", "part", "page_id", "url", "blocks", "kinds"])
+
+    def clean(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A partition holds whole parts of hosts, sorted, what they must know first."""
+        told: list[tuple[int, np.ndarray, np.ndarray]] = []
+        now, known, pages = None, NOTHING, 0
+        types = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+        for whole in it:
+            for a, b in slices(pc.fill_null(pc.binary_length(whole.column(4)), 0).to_pylist()):
+                batch, rows = whole.slice(a, b - a), []
+                for i, (host, part, page, address, blocks, kinds, law) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True)):
+                    if (host, part) != now:
+                        now, told, known, pages = (host, part), [], None, 0
+                    if law is not None:
+                        told.append((law, batch.column(7)[i].values.to_numpy(), batch.column(8)[i].values.to_numpy()))
+                        pages = batch.column(9)[i].as_py()
+                        continue
+                    known = known_from(told, pages) if known is None else known
+                    text, repeated, marked = clean_pages([(blocks.split("\n"), list(map(int, kinds))) if kinds else ([], [])], known)[0]
+                    rows.append((page, address, text, len(text), repeated, marked))
+                columns = list(zip(*rows, strict=True)) or [()] * len(types)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [x.split()[0] for x in TEXTS.split(", ")])
 
-    names = ["host", "part", "large", "page_id", "url", "blocks", "kinds", "shared", "few"]
-    schema = "host string, part long, large boolean, page_id long, url string, blocks array<string>, kinds array<byte>, shared long, few boolean"
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)", 1)), F.lit("")).alias("host")
     picked = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html")).select("*", host)
     sized = stage_table(picked.groupBy("host").agg(F.count("*").alias("pages"), F.coalesce(F.sum(F.octet_length("html").cast("long")), F.lit(0)).alias("bytes")), "hosts")
     # Hosts of more than one group: less than one for GROUP pages.
     large = sized.withColumn("groups", F.ceil(F.greatest(F.col("pages") / GROUP, F.col("bytes") / GROUP_BYTES))).where("groups > 1").select("host", "groups")
-    part = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("groups", F.lit(1))).alias("part")
-    # What is known of a large host comes from its prints; nothing is of pages without a host.
-    dealt = picked.join(large, "host", "left").select("host", part, (F.col("groups").isNotNull() | (F.col("host") == "")).alias("large"), "page_id", "url", "html", F.col("groups"))
-    seen = stage_table(map_arrow(dealt.where("groups > 1 and host <> ''").select("host", "part", "html"), prints, "host string, part long, page long, width long, print long").distinct(), "prints")
-    need = F.greatest(F.least("pages", F.lit(3)), F.ceil(F.col("pages") / ONE_IN), F.lit(2))
-    sizes = seen.where("width = 0").groupBy("host").agg(F.count_distinct("page").alias("pages")).select("host", need.alias("need"))
-    counts = seen.groupBy("host", "width", "print").agg(F.count_distinct("page").alias("n")).where("n > 1").join(sizes, "host")
-    few = ((F.col("width") == LONG) & (F.col("n") <= F.greatest(F.lit(FEW), F.col("need") - 1))).alias("few")
-    many = stage_table(counts.where((F.col("width") == LONG) | (F.col("n") >= F.col("need"))).select("host", "width", "print", few), "shared")
-    shared = seen.select("host", "part", "width", "print").distinct().join(many, ["host", "width", "print"])
-    shared = shared.select("host", "part", F.lit(True).alias("large"), *(F.lit(None).cast(t).alias(c) for c, t in (("page_id", "long"), ("url", "string"), ("blocks", "array<string>"), ("kinds", "array<tinyint>"))), F.col("print").alias("shared"), "few")
+    groups = F.coalesce("groups", F.lit(1)).cast("long")
+    dealt = picked.join(large, "host", "left").select("host", groups.alias("groups"), F.pmod(F.xxhash64("page_id", "url"), groups).alias("part"), "page_id", "url", "html")
     n = parts_for(spark, sized.agg(F.sum("bytes")).first()[0])
-    rows = map_arrow(dealt.select("host", "part", "large", "page_id", "url", "html"), parse, schema).union(shared)
-    return map_arrow(rows.repartition(n, "host", "part").sortWithinPartitions("host", "part", F.col("shared").isNull(), "page_id", "url"), clean, TEXTS)
+    # Pages without a host are compared with none.
+    found = map_arrow(dealt.where("host <> ''").select("host", "groups", "part", "html"), outside, OUTSIDE).repartition(n, "host", "group").sortWithinPartitions("host", "group", "class")
+    counted = map_arrow(found, runs, COUNTED).repartition(n, "host", "bucket").sortWithinPartitions("host", "bucket")
+    told = stage_table(map_arrow(counted, sums, TOLD), "repeats")
+    sizes = told.where(F.col("law") == PAGES).select("host", F.get("holders", F.lit(0)).alias("pages"))
+    nulls = [F.lit(None).cast(t).alias(c) for c, t in (("page_id", "long"), ("url", "string"), ("blocks", "string"), ("kinds", "string"))]
+    shared = told.where(F.col("law") != PAGES).join(sizes, "host", "left").select("host", "part", *nulls, "law", "prints", "holders", F.coalesce("pages", F.lit(0)).alias("pages"))
+    rows = map_arrow(dealt.select("host", "part", "page_id", "url", "html"), parse, "host string, part long, page_id long, url string, blocks string, kinds string").unionByName(shared, allowMissingColumns=True)
+    return map_arrow(rows.repartition(n, "host", "part").sortWithinPartitions("host", "part", F.col("law").isNull(), "page_id", "url"), clean, TEXTS)
 
 
 def op6_page_text(spark, sf_dir: str) -> DataFrame:

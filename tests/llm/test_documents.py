@@ -614,3 +614,17 @@ def test_stray_tags_and_blank_lines_take_linear_time():
         licenses.one_line(text)
     assert time.perf_counter() - began < 10
     assert licenses.one_line("a \n\n # b\r\n\r\n// c") == "a b c"
+
+
+def test_page_counts_do_not_depend_on_groups(spark, monkeypatch):
+    """Marked and open text that pages far apart share, copies among them: groups change neither texts nor counts."""
+    notes = [f"<footer>note {'abcd'[i % 4]} {'of this very house ' * (i % 3)}</footer><nav>item {i} {i % 17}</nav>" for i in range(60)]
+    bodies = [f"<div>{'own %d words that only this page has' % (i if i % 5 else 0)}</div><div>all rights kept {i % 20}</div>" for i in range(60)]
+    rows = [(i, f"http://{'ab'[i % 7 == 0]}.c/{i}", f"{n}{'<article>text</article>' if i % 2 else ''}{b}") for i, (n, b) in enumerate(zip(notes, bodies, strict=True))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = []
+    for group in (400, 7, 2):
+        monkeypatch.setattr(extraction, "GROUP", group)
+        found.append(sorted(map(tuple, extraction.extract(pages).collect())))
+    assert found[0] == found[1] == found[2]
+    assert sum(r[4] for r in found[0]) > 300 and sum(r[5] for r in found[0]) > 0
