@@ -140,21 +140,20 @@ def card_nodes(pages: DataFrame, key: str = "page_id", html: str = "html", kind:
 def _first(*patterns: str, where: Column | None = None, column: str = "attrs") -> Column:
     """An aggregate over a card's nodes: the first text, in page order, whose node the earliest possible pattern names."""
     rank = F.coalesce(*(F.when(F.col(column).rlike(f"(?i){p}"), i) for i, p in enumerate(patterns)))
-    ok = rank.isNotNull() & (F.col("node") > F.col("root")) & (F.col("clean") != "")
+    ok = rank.isNotNull() & F.col("block").isNull() & (F.col("clean") != "")
     return F.coalesce(F.min_by("clean", F.when(ok if where is None else ok & where, F.struct(rank.alias("r"), F.col("node")))), F.lit(""))
 
 
-def _cards(nodes: DataFrame, most: int) -> DataFrame:
-    """Nodes with clean texts, of cards whose block has 4 to `most` characters."""
-    root = nodes.where("block is not null").select("page", "card", F.col("node").alias("root"), clean_text(F.col("block")).alias("lines"), "tags").where(F.length("lines").between(4, most))
-    return nodes.drop("tags").join(root, ["page", "card"]).withColumn("clean", clean_text(F.col("text")))
+def _cards(nodes: DataFrame) -> DataFrame:
+    """Nodes with clean texts; of the card itself, which alone has a block, the clean lines and its place."""
+    own = F.col("block").isNotNull()
+    return nodes.withColumns({"clean": clean_text(F.col("text")), "lines": F.when(own, clean_text(F.col("block"))), "root": F.when(own, F.col("node"))})
 
 
 def reviews_of_pages(nodes: DataFrame, meta: DataFrame | None = None) -> DataFrame:
     """EXT4: one row a card: text (else the longest line that says something), user, sku, later addition, reply, date, rating,
     likes and media; equal ones of a page once.  meta: page, platform and product_id, which the hash takes in."""
-    cards = _cards(nodes, 5000)
-    cards = cards.groupBy("page", "card").agg(
+    cards = _cards(nodes).groupBy("page", "card").agg(
         F.max("lines").alias("block"), F.min("root").alias("root"),
         _first(r"^content--", r"(review|comment|rate|feedback).*(content|text|body)", r"(content|text).*(review|comment|rate|feedback)", r"(评价|评论).*(内容|正文)").alias("found"),
         _first(r"(seller|merchant|shop).*(reply|response)", r"商家.*回复").alias("reply_text"), _first(r"(append|followup|additional)", r"追评").alias("append_text"), _first(r"^meta--").alias("meta_text"),
@@ -162,10 +161,11 @@ def reviews_of_pages(nodes: DataFrame, meta: DataFrame | None = None) -> DataFra
         _first("", where=F.col("inside_user") & (F.col("tag") == "span")).alias("user_span"),
         F.coalesce(F.min_by("node_id", "node"), F.lit("")).alias("platform_review_id"), F.count_if(F.col("tag") == "img").alias("image_count"), F.count_if(F.col("tag") == "video").alias("video_count"),
         F.max(F.regexp_extract("class_name", r"star-?([1-5])", 1)).alias("stars"),
-    )
+    ).where(F.length("block").between(4, 5000))
     lines = F.filter(F.transform(F.split("block", "\n"), clean_text), lambda x: (x != "") & ~x.rlike(REVIEW_NOISE))
     longest = F.array_max(F.transform(lines, lambda x, i: F.struct(F.length(x).alias("n"), (-i).alias("i"), x.alias("x"))))["x"]
-    cards = cards.withColumn("text", text_or_empty(F.when(F.col("found") != "", F.col("found")).otherwise(longest)))
+    # From an array of one element, what is looked at more than once is made once a row, before the filters.
+    cards = cards.select("*", F.explode(F.array(text_or_empty(F.when(F.col("found") != "", F.col("found")).otherwise(longest)))).alias("text"))
     cards = cards.where((F.length("text") >= 2) & ~F.col("text").rlike(REVIEW_NOISE) & ~F.col("text").isin(F.col("reply_text"), F.col("append_text")))
     raw, day = review_date(F.when(F.col("meta_text") != "", F.col("meta_text")).otherwise(F.col("block")))
     said = F.regexp_extract("block", r"([1-5](?:\.\d)?)\s*(?:分|星)", 1)
@@ -185,24 +185,26 @@ def questions_of_pages(nodes: DataFrame, meta: DataFrame) -> DataFrame:
     """EXT5: one row a card (card_nodes of kind question) with a question: its answer, the answer count, the status of who
     answers, the page's tags; equal pairs of a page once.  meta: page, platform, product_id, marked (the page says that it has
     questions); pages of other platforms without the mark have none.  A question without an answer has confidence 0.55."""
-    cards = _cards(nodes, 3000).join(meta.select("page", "platform", "product_id", "marked"), "page").where(F.col("platform").isin("taobao", "tmall") | F.col("marked"))
+    cards = _cards(nodes).join(meta.select("page", "platform", "product_id", "marked"), "page").where(F.col("platform").isin("taobao", "tmall") | F.col("marked"))
     after = lambda name: _first(name, column="after")
-    stated = F.col("tag").isin("span", "div") & ~F.col("clean").isin("问", "查看全部回答", "已购", "回头客") & (F.col("node") > F.col("root")) & (F.col("clean") != "")
+    stated = F.col("tag").isin("span", "div") & ~F.col("clean").isin("问", "查看全部回答", "已购", "回头客") & (F.col("block").isNull()) & (F.col("clean") != "")
     found = cards.groupBy("page", "card", "platform", "product_id").agg(
         F.max("lines").alias("block"), F.min("root").alias("root"), F.first("tags", ignorenulls=True).alias("tags"), after("questionIcon--").alias("icon_question"), after("initTag--").alias("tag_answer"), _first("initTag--", column="class_name").alias("status"),
         _first("(question|ask|quest|issue|问)").alias("hint_question"), _first("(answer|reply|response|答)").alias("hint_answer"), F.sort_array(F.collect_list(F.when(stated, F.struct("node", "clean")))).alias("said"),
-    )
+    ).where(F.length("block").between(4, 3000))
     bare = lambda c, mark: clean_text(F.regexp_replace(c, rf"^\s*(?:{mark})\s*[:：]?\s*", ""))
-    lines = F.filter(F.transform(F.split("block", "\n"), clean_text), lambda x: x != "")
-    marked = lambda mark: F.transform(F.filter(lines, lambda x: x.rlike(rf"(?i)^(?:{mark})\s*[:：]")), lambda x: bare(x, mark))
-    useful = F.filter(lines, lambda x: ~x.rlike(r"^(?:已购|查看.*|全部回答|\d+个?回答)$"))
+    found = found.select("*", F.explode(F.array(F.filter(F.transform(F.split("block", "\n"), clean_text), lambda x: x != ""))).alias("_lines"))
+    marked = lambda mark: F.transform(F.filter("_lines", lambda x: x.rlike(rf"(?i)^(?:{mark})\s*[:：]")), lambda x: bare(x, mark))
+    useful = F.filter("_lines", lambda x: ~x.rlike(r"^(?:已购|查看.*|全部回答|\d+个?回答)$"))
     last = lambda a: F.try_element_at(a, F.lit(-1))
-    guessed = (F.size(marked("问题|问|Q")) == 0) & (F.size(useful) >= 2)
+    guessed = (F.size("_asked") == 0) & (F.size(useful) >= 2)
     some = lambda *cs: F.coalesce(*(F.nullif(c, F.lit("")) for c in cs), F.lit(""))
     others = F.filter("said", lambda x: (x["clean"] != F.col("icon_question")) & (x["clean"] != F.col("status")) & ~x["clean"].startswith(F.concat(F.lit("问"), F.col("icon_question"))))
     icon_answer = F.when((F.col("icon_question") != "") & (F.col("tag_answer") == ""), last(others)["clean"]).otherwise(F.col("tag_answer"))
-    found = found.withColumns({"_q": some(bare(some(F.col("icon_question"), F.col("hint_question")), "问题|问|Q")), "_a": some(bare(some(icon_answer, F.col("hint_answer")), "回答|答|A"))})
-    found = found.withColumns({"question": some(F.col("_q"), last(marked("问题|问|Q")), F.when(guessed, F.get(useful, F.lit(0)))), "_answer": some(F.col("_a"), F.when(guessed, F.get(useful, F.lit(1))).otherwise(last(marked("回答|答|A"))))})
+    # From an array of one element, what is looked at more than once is made once a row, before the filters.
+    once = lambda df, **named: df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in named.items())))))
+    found = once(found, _q=some(bare(some(F.col("icon_question"), F.col("hint_question")), "问题|问|Q")), _a=some(bare(some(icon_answer, F.col("hint_answer")), "回答|答|A")), _asked=marked("问题|问|Q"))
+    found = once(found, question=some(F.col("_q"), last("_asked"), F.when(guessed, F.get(useful, F.lit(0)))), _answer=some(F.col("_a"), F.when(guessed, F.get(useful, F.lit(1))).otherwise(last(marked("回答|答|A")))))
     found = found.where("question <> ''").withColumn("answer", F.when(F.col("_answer") == F.col("question"), "").otherwise(F.col("_answer")))
     buyer = F.col("block").rlike("已购|购买过|买家")
     found = found.withColumns({
@@ -222,14 +224,16 @@ def question_pairs(text: Column) -> tuple[Column, Column]:
 
 
 def contents_of(reviews: DataFrame, questions: DataFrame) -> DataFrame:
-    """EXT6, EXT7: reviews, later additions, questions and answers in one list with an order; empty answers are left out."""
-    rows = [
-        reviews.select("page", F.lit(0).alias("_p"), F.col("card").alias("_o"), F.lit("review").alias("content_role"), F.col("text").alias("content_text_clean"), F.lit("").alias("parent_text_clean")),
-        reviews.where("append_text <> ''").select("page", F.lit(0).alias("_p"), F.col("card").alias("_o"), F.lit("followup").alias("content_role"), F.col("append_text").alias("content_text_clean"), F.col("text").alias("parent_text_clean")),
-        questions.select("page", F.lit(1).alias("_p"), F.col("card").alias("_o"), F.lit("question").alias("content_role"), F.col("question").alias("content_text_clean"), F.lit("").alias("parent_text_clean")),
-        questions.where("answer <> ''").select("page", F.lit(1).alias("_p"), F.col("card").alias("_o"), F.lit("answer").alias("content_role"), F.col("answer").alias("content_text_clean"), F.col("question").alias("parent_text_clean")),
-    ]
-    both = rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+    """EXT6, EXT7: reviews, later additions, questions and answers in one list with an order; empty answers are left out.  A row
+    gives its one or two contents at once, so that no page is read again for the second."""
+
+    def pairs(df: DataFrame, kind: int, first: tuple[str, str], second: tuple[str, str]) -> DataFrame:
+        content = lambda role, text, parent: F.struct(F.lit(role).alias("content_role"), F.col(text).alias("content_text_clean"), parent.alias("parent_text_clean"))
+        (role, text), (other, more) = first, second
+        own = F.array_compact(F.array(content(role, text, F.lit("")), F.when(F.col(more) != "", content(other, more, F.col(text)))))
+        return df.select("page", F.lit(kind).alias("_p"), F.col("card").alias("_o"), F.explode(own).alias("c")).select("page", "_p", "_o", "c.*")
+
+    both = pairs(reviews, 0, ("review", "text"), ("followup", "append_text")).unionByName(pairs(questions, 1, ("question", "question"), ("answer", "answer")))
     return both.withColumn("content_order", F.row_number().over(Window.partitionBy("page").orderBy("_p", "_o", "content_role"))).drop("_p", "_o")
 
 

@@ -529,3 +529,11 @@ def test_times(spark):
     df = spark.createDataFrame([("2026/06/03",), ("2026-06-04 10:00",), ("x",)], "t string")
     assert df.agg(X.latest_minute(F.col("t"))).first()[0] == "2026-06-04 10:00"
     assert df.select(X.parse_time(F.col("t")).alias("t")).collect()[0].t == datetime.datetime(2026, 6, 3)
+
+
+def test_contents_parse_each_page_once_for_each_kind(spark):
+    """Cards, their later additions and answers come from one pass over the pages for reviews and one for questions."""
+    from loomfeed.plans.catalog import QUERIES
+
+    plan = QUERIES["q_page_contents"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 2
