@@ -8,6 +8,7 @@ themselves have what squeezing drops.  A pattern is tried only where a text hold
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable
 
 import pyarrow as pa
@@ -80,6 +81,15 @@ class TermIndex:
                     out[kind].append(place)
         return [sorted(x) for x in out]
 
+    def lists(self, column: pa.Array) -> list[pa.Array]:
+        """Of each kind the terms that each text holds.  A text is copied out at a time, and of what it holds only places stay."""
+        found, ends = [array("i") for _ in self.kinds], [array("i", [0]) for _ in self.kinds]
+        for x in column:
+            for own, end, places in zip(found, ends, self.find(x.as_py()), strict=True):
+                own.extend(places)
+                end.append(len(own))
+        return [pa.ListArray.from_arrays(pa.array(end, pa.int32()), pa.array(terms, pa.string()).take(pa.array(own, pa.int32()))) for own, end, terms in zip(found, ends, self.kinds.values(), strict=True)]
+
     def matches(self, spark: SparkSession, *texts: Column) -> Column:
         """A struct with an array of the terms found for each kind and text: <kind>_0 for the first text, <kind>_1 for the next..."""
         ship(spark)
@@ -88,27 +98,11 @@ class TermIndex:
 
         @F.arrow_udf(f"struct<{','.join(f'`{n}`:array<string>' for n in names)}>")
         def hits(*columns: pa.Array) -> pa.Array:
-            index = shared.value
-            lists = []
-            for column in columns:
-                found = [index.find(x) for x in column.to_pylist()]
-                for k, terms in enumerate(index.kinds.values()):
-                    own = [x[k] for x in found]
-                    offsets = pa.array([0, *_sums(own)], pa.int32())
-                    lists.append(pa.ListArray.from_arrays(offsets, pa.array([terms[i] for x in own for i in x], pa.string())))
-            return pa.StructArray.from_arrays(lists, names)
+            return pa.StructArray.from_arrays([x for column in columns for x in shared.value.lists(column)], names)
 
         return hits(*map(text_or_empty, texts))
 
 
-def _sums(lists: list[list]) -> list[int]:
-    total, out = 0, []
-    for x in lists:
-        total += len(x)
-        out.append(total)
-    return out
-
-
 def index_of(terms: DataFrame) -> TermIndex:
     """The index of a table of terms: kind, term and place (their order within a kind)."""
     kinds: dict[str, list[str]] = {}

@@ -60,3 +60,22 @@ def test_a_lexicon_from_a_file(spark, tmp_path):
     df = spark.createDataFrame([("I asked oracle, then bought",), ("an en-gine. Worth  it?",), ("nothing",)], "content_text_clean string").withColumns({"content_role": F.lit("review"), "parent_text_clean": F.lit("")})
     got = [(r.evidence_level, r.ai_source_terms, r.ai_action_terms, r.decision_context_terms) for r in classify.classify(df, lexicon).collect()]
     assert got == [("A", ["Oracle"], ["asked"], []), ("B", ["engine"], [], ["worth it"]), ("", [], [], [])]
+
+
+def test_texts_of_a_batch_are_not_held_at_once():
+    """A worker's memory hangs on one text and on the places of terms, whatever the batch holds."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from loomfeed.functions.terms import TermIndex
+
+    index = TermIndex({"a": ("two", "one"), "none": ()})
+    column = pa.array([f"{'word ' * 1500}{'one two' if i % 3 else 'nothing'}" for i in range(1000)])
+    index.find("one")
+    tracemalloc.start()
+    found = index.lists(column)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [x.to_pylist() for x in found] == [[["two", "one"] if i % 3 else [] for i in range(1000)], [[]] * 1000]
+    assert peak < 1 << 20 < column.nbytes
