@@ -57,9 +57,10 @@ def upsert_images(store: DataFrame, incoming: DataFrame, batch: str) -> tuple[Da
     n = F.row_number().over(Window.partitionBy("local_review_id", "image_stage").orderBy("seq", "content_sha256"))
     fresh = fresh.withColumn("_n", n).join(top, ["local_review_id", "image_stage"], "left").withColumn("image_index", (F.coalesce("_top", F.lit(0)) + F.col("_n")).cast("int"))
     fresh = fresh.withColumn("image_id", F.sha2(F.concat_ws("|", *key), 256)).select("image_id", "local_review_id", "image_stage", "image_index", "content_sha256")
-    after = store.select("image_id", "local_review_id", "image_stage", "image_index", "content_sha256").unionByName(fresh)
-    was_new = fresh.select("image_id", F.lit(1).alias("_new"))
-    watched = seen.join(after, key).join(was_new, "image_id", "left").select(F.lit(batch).alias("batch_id"), "image_id", "local_review_id", F.coalesce("_new", F.lit(0)).alias("was_new"))
+    # Which images are new is known where they are put together; no join by their ids tells it again.
+    told = store.select("image_id", "local_review_id", "image_stage", "image_index", "content_sha256", F.lit(0).alias("was_new")).unionByName(fresh.withColumn("was_new", F.lit(1)))
+    after = told.drop("was_new")
+    watched = seen.join(told, key).select(F.lit(batch).alias("batch_id"), "image_id", "local_review_id", "was_new")
     return after, watched
 
 

@@ -545,3 +545,14 @@ def test_cases_of_a_level_stay_apart(spark):
     got = reviews.markdown_cases(df).withColumn("part", F.spark_partition_id()).collect()
     assert len({r.part for r in got if r.level == "A"}) > 1 and len(got) == 401
     assert [(r.match_score, r.seq, r.text) for r in got if r.level == "C"] == [(None, None, "(none)")]
+
+
+def test_observed_images_are_told_in_one_join(spark):
+    """Whether an observed image is new comes with it: the observations are joined with the images alone."""
+    store = spark.createDataFrame([("i1", "r1", "review", 1, "a"), ("i2", "r1", "review", 2, "b")], "image_id string, local_review_id string, image_stage string, image_index int, content_sha256 string")
+    incoming = spark.createDataFrame([("r1", "review", "b", 1), ("r1", "review", "c", 2), ("r1", "review", "c", 3), ("r2", "append", "a", 4)], "local_review_id string, image_stage string, content_sha256 string, seq long")
+    after, watched = assets.upsert_images(store, incoming, "b1")
+    assert rows(after.withColumn("k", F.concat_ws(" ", "local_review_id", "image_stage", "content_sha256")), "k", "image_index") == [("r1 review a", 1), ("r1 review b", 2), ("r1 review c", 3), ("r2 append a", 1)]
+    assert sorted((r.local_review_id, r.was_new) for r in watched.collect()) == [("r1", 0), ("r1", 1), ("r2", 1)]
+    plan = watched._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftOuter" not in plan
