@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.lexicon import Lexicon
-from ..lineage import scratch_dir
+from ..lineage import kept_columns, scratch_dir
 from ..operators import answers, assets, filters, imports, metrics, sentiment, snapshots
 from ..sources import pages
 from ..streaming import landing
@@ -28,7 +28,7 @@ def q_import_batch(spark, d):
     """Events of a user as contents by value, in three captures: the first is the store, two later ones are one batch."""
     e = table(spark, d, "events")
     text, k = F.concat_ws(" ", "event_type", F.floor("value").cast("string")), F.col("event_id") % 3
-    rows = e.select(F.concat(F.lit("u:"), F.col("user_id").cast("string")).alias("item_key"), k.alias("k"), text.alias("content_text_clean")).distinct()
+    rows = kept_columns(e.select(F.concat(F.lit("u:"), F.col("user_id").cast("string")).alias("item_key"), k.alias("k"), text.alias("content_text_clean")).distinct())
     day, native = F.concat(F.lit("2024-01-0"), (F.col("k") + 1).cast("string")), F.concat_ws(":", F.lit("native"), "item_key", "content_text_clean")
     rows = rows.withColumns({"project_id": F.lit("p"), "seq": F.lit(0).cast("long"), "strict_key": native, "composite_key": native, "text_key": native, "identity_key": native, "capture_time": day, "snapshot_id": F.concat_ws("|", "item_key", "k"), "source_file": day, "file_hash": F.concat_ws("|", "item_key", "k")})
     rows = rows.withColumns({c: F.lit("") for c in ("user_name_masked", "content_time", "sku", "parent_text_clean")})

@@ -122,3 +122,29 @@ def test_failed_captures_stand_alone(spark):
     results = {r.snapshot_id: r for r in out["results"].collect()}
     assert results["s1"].result == "success" and results["s1"].new_count == 3 and results["s7"].result == "failed" and len(results) == 6
     assert imports.import_batch(tables, batch.limit(0))["results"].count() == 0
+
+
+def test_only_contents_that_something_else_holds_are_compared(spark):
+    """Of 300 contents in three captures one is stored and two come again; the rest are new without a look at any other."""
+    keys = lambda x: {"identity_key": x, "strict_key": "", "composite_key": f"c{x}", "text_key": f"t{x}"}
+    blank = {"user_name_masked": "", "content_time": "", "sku": "", "parent_text_clean": ""}
+    rows = [{"project_id": "p", "item_key": "i", "snapshot_id": f"s{k}", "capture_time": f"2026-07-0{k + 1} 10:00:00", "source_file": f"s{k}.html", "file_hash": f"h{k}", "seq": 100 * k + j, **keys(str(100 * k + j)), **blank} for k in range(3) for j in range(100)]
+    rows[150] |= keys("7")  # of the first capture
+    rows[250] |= {**keys("8"), "composite_key": "other"}  # its text alone
+    stored = [{**rows[60], "content_id": "m1", "seq": -1, "first": "s", "last": "s", "active": True}, {**rows[60], **keys("x"), "content_id": "m2", "seq": -2, "first": "s", "last": "s", "active": True}]
+    master = spark.createDataFrame([(m["content_id"], "p", "i", m["identity_key"], m["strict_key"], m["composite_key"], m["text_key"], "s", "", "s", "", "", "", True, m["seq"]) for m in stored], MASTER)
+    asked = []
+    keep = lambda df: (asked.append(df.count()) if "found" in df.columns else None, imports.kept(df))[1]
+    out = imports.import_batch({"content_master": master, "snapshots": spark.createDataFrame([], SNAPSHOTS)}, frame(spark, rows), keep=keep)
+    want, log = by_turns(stored, [], rows, False)
+    got, got_log = told(out)
+    assert got_log == log and got == sorted((m["content_id"], m["first"], m["last"], m["active"]) for m in want)
+    assert asked and max(asked) <= 5
+    assert {"_alone", "_latest", "_own_id"}.isdisjoint(out["compared"].columns) and out["compared"].count() == 300
+
+
+def test_counts_and_problems_of_a_capture_whose_rows_differ(spark):
+    """Rows of one capture from several files are counted as one capture; one with two times is ambiguous, an unreadable one tells first."""
+    rows = [{**r, "snapshot_id": s, "file_hash": "h" + s, "capture_time": t, "source_file": f} for r, s, t, f in zip(random_batch(3, 40, 1), ["a", "a", "b", "b", "c", "c"], ["2026-07-01", "2026-07-01", "2026-07-02", "2026-07-03", "2026-07-04", "no time"], ["f1", "f2", "f", "f", "f", "f"], strict=False)]
+    states = {r.snapshot_id: r for r in imports.capture_states(frame(spark, rows), spark.createDataFrame([], SNAPSHOTS)).collect()}
+    assert [(states[s].extracted_count, states[s].source_file, states[s].error) for s in "abc"] == [(2, "f2", None), (2, "f", "ambiguous_snapshot"), (2, "f", "unreadable_time")]
