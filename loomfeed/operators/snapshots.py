@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import Lexicon
 from ..functions.text import parse_time, split_terms, text_or_empty, truthy
+from ..lineage import kept
 from .classify import classify
 from .identity import overlap_boundary
 from .joins import content_analysis, update_analysis
@@ -77,27 +80,30 @@ def upsert_products(products: DataFrame, seen: DataFrame) -> DataFrame:
     return both.select("project_id", "item_key", F.coalesce("n.platform", "p.platform").alias("platform"), F.coalesce("n.platform_product_id", "p.platform_product_id").alias("platform_product_id"), newer("product_title", "product_title_current"), newer("shop_name", "shop_name_current"), newer("capture_time", "last_updated_at"))
 
 
-def _survivors(master: DataFrame, contents: DataFrame, snapshots: DataFrame, gone: DataFrame) -> DataFrame:
-    """content_id, item_key and the ordered snapshots that still hold it (first hit of the tokens decides)."""
-    left = snapshots.join(gone, "snapshot_id", "left_anti")
-    touched = snapshots.join(gone, "snapshot_id", "left_semi").select("item_key").distinct()
-    left = left.join(touched, "item_key", "left_semi")
-    order = F.struct(parse_time(F.col("capture_time")).alias("c"), parse_time(F.col("imported_at")).alias("m"), F.col("snapshot_id").alias("id"))
-    left = left.select("item_key", "snapshot_id", order.alias("at"), "capture_time", "source_file")
+def _standing(snapshots: DataFrame, gone: DataFrame) -> DataFrame:
+    """The snapshots of items that lose one: those that stay have their turn among them, from 1, and is_latest; others have none."""
+    order = F.struct(parse_time(F.col("capture_time")), parse_time(F.col("imported_at")), F.col("snapshot_id"))
+    own, stays = Window.partitionBy("item_key"), F.col("_gone").isNull()
+    marked = snapshots.join(gone.select("snapshot_id").distinct().withColumn("_gone", F.lit(True)), "snapshot_id", "left")
+    marked = marked.withColumns({"_turn": F.row_number().over(own.orderBy(F.asc_nulls_first("_gone"), order)), "_left": F.count_if(stays).over(own), "_all": F.count("*").over(own)})
+    turn = F.when(stays, F.col("_turn"))
+    return marked.where("_left < _all").select("item_key", "snapshot_id", turn.alias("turn"), (turn == F.col("_left")).alias("is_latest"), "capture_time", "source_file")
+
+
+def _survivors(master: DataFrame, contents: DataFrame, standing: DataFrame) -> DataFrame:
+    """The contents of these items with the turns of their first and last remaining snapshot, null where none holds them (the
+    first kind of key that a snapshot has decides).  Turns are summed up for each key, so no key meets all its snapshots."""
 
     def tokens(df: DataFrame, *keep: str) -> DataFrame:
-        named = F.filter(F.array(*(F.struct(F.lit(i).alias("rank"), F.concat(F.lit(f"{t}:"), F.trim(text_or_empty(F.col(t)))).alias("token")) for i, t in enumerate(TOKENS))), lambda x: ~x["token"].rlike("^[a-z_]+:$"))
-        return df.select(*keep, F.explode(named).alias("t")).select(*keep, "t.rank", "t.token")
+        value = lambda t: F.trim(text_or_empty(F.col(t)))
+        named = F.array_compact(F.array(*(F.when(value(t) != "", F.struct(F.lit(i).alias("rank"), value(t).alias("token"))) for i, t in enumerate(TOKENS))))
+        return df.select(*keep, F.explode_outer(named).alias("t")).select(*keep, "t.rank", "t.token")
 
-    held = tokens(contents.join(left.select("snapshot_id"), "snapshot_id", "left_semi"), "item_key", "snapshot_id").select("item_key", "token", "snapshot_id").distinct()
-    mine = tokens(master.join(touched, "item_key", "left_semi"), "item_key", "content_id")
-    hits = mine.join(held, ["item_key", "token"])
-    first = hits.groupBy("content_id").agg(F.min("rank").alias("rank"))
-    seen = hits.join(first, ["content_id", "rank"]).join(left, ["item_key", "snapshot_id"])
-    row = F.struct("snapshot_id", "capture_time", "source_file")
-    latest = left.groupBy("item_key").agg(F.max("at").alias("latest"))
-    out = seen.groupBy("item_key", "content_id").agg(F.min_by(row, "at").alias("first"), F.max_by(row, "at").alias("last"), F.max("at").alias("last_at")).join(latest, "item_key")
-    return out.select("content_id", "first", "last", (F.col("last_at") == F.col("latest")).alias("is_active"))
+    turns = standing.where("turn is not null").select("item_key", "snapshot_id", "turn")
+    held = tokens(contents.join(turns, ["item_key", "snapshot_id"]), "item_key", "turn").groupBy("item_key", "rank", "token").agg(F.min("turn").alias("first"), F.max("turn").alias("last"))
+    mine = tokens(master.join(standing.select("item_key").distinct(), "item_key", "left_semi"), "item_key", "content_id")
+    best = lambda f, c: F.coalesce(*(f(F.when(F.col("rank") == i, F.col(c))) for i in range(len(TOKENS)))).alias(c)
+    return mine.join(held, ["item_key", "rank", "token"], "left").groupBy("item_key", "content_id").agg(best(F.min, "first"), best(F.max, "last"))
 
 
 def check_deletion(snapshots: DataFrame, contents: DataFrame, gone: DataFrame) -> None:
@@ -109,26 +115,25 @@ def check_deletion(snapshots: DataFrame, contents: DataFrame, gone: DataFrame) -
         raise ValueError("snapshots without stored contents: " + ", ".join(r.snapshot_id for r in missing))
 
 
-def deletion_impact(master: DataFrame, contents: DataFrame, snapshots: DataFrame, gone: DataFrame) -> DataFrame:
+def deletion_impact(master: DataFrame, contents: DataFrame, snapshots: DataFrame, gone: DataFrame, keep: Callable[[DataFrame], DataFrame] = kept) -> DataFrame:
     """SNP5: what each deleted snapshot's item would lose."""
-    alive = _survivors(master, contents, snapshots, gone)
-    target = snapshots.join(gone, "snapshot_id", "left_semi")
-    items = target.select("item_key").distinct()
-    lost = master.join(items, "item_key", "left_semi").join(alive, "content_id", "left_anti").groupBy("item_key").agg(F.count("*").alias("removed_content_count"))
-    rest = snapshots.join(gone, "snapshot_id", "left_anti").groupBy("item_key").agg(F.count("*").alias("remaining_snapshot_count"))
-    out = target.join(lost, "item_key", "left").join(rest, "item_key", "left").fillna(0, ["removed_content_count", "remaining_snapshot_count"])
+    standing = keep(_standing(snapshots, gone))
+    lost = _survivors(master, contents, standing).where("first is null").groupBy("item_key").agg(F.count("*").alias("removed_content_count"))
+    rest = standing.groupBy("item_key").agg(F.count("turn").alias("remaining_snapshot_count"))
+    out = standing.where("turn is null").join(lost, "item_key", "left").join(rest, "item_key", "left").fillna(0, ["removed_content_count", "remaining_snapshot_count"])
     return out.select("snapshot_id", "item_key", "removed_content_count", "remaining_snapshot_count", (F.col("remaining_snapshot_count") == 0).alias("removes_product"))
 
 
-def delete_from_master(master: DataFrame, contents: DataFrame, snapshots: DataFrame, gone: DataFrame) -> DataFrame:
+def delete_from_master(master: DataFrame, contents: DataFrame, snapshots: DataFrame, gone: DataFrame, keep: Callable[[DataFrame], DataFrame] = kept) -> DataFrame:
     """SNP5: the master without the deleted snapshots (gone: snapshot_id): contents that no other snapshot of the item holds
-    go, others get their first and last sights anew."""
-    alive = _survivors(master, contents, snapshots, gone)
-    touched = snapshots.join(gone, "snapshot_id", "left_semi").select("item_key").distinct().withColumn("_touched", F.lit(True))
-    both = master.join(touched, "item_key", "left").join(alive.withColumnRenamed("is_active", "_active"), "content_id", "left")
-    both = both.where(F.col("_touched").isNull() | F.col("first").isNotNull())
+    go, others get their first and last sights anew.  keep makes a table once (a checkpoint)."""
+    standing = keep(_standing(snapshots, gone))
+    sight = lambda side: standing.where("turn is not null").select("item_key", F.col("turn").alias(side), F.struct("snapshot_id", "capture_time", "source_file", "is_latest").alias(f"_{side}"))
+    alive = _survivors(master, contents, standing).join(sight("first"), ["item_key", "first"], "left").join(sight("last"), ["item_key", "last"], "left")
+    alive = alive.select("content_id", F.lit(True).alias("_touched"), F.col("_first").alias("first"), F.col("_last").alias("last"))
+    both = master.join(alive, "content_id", "left").where(F.col("_touched").isNull() | F.col("first").isNotNull())
     new = lambda value, old: F.coalesce(value, F.col(old)).alias(old)
-    fresh = {"first_seen_snapshot_id": F.col("first.snapshot_id"), "first_seen_at": F.col("first.capture_time"), "last_seen_snapshot_id": F.col("last.snapshot_id"), "last_seen_at": F.col("last.capture_time"), "source_file_first": F.col("first.source_file"), "source_file_last": F.col("last.source_file"), "is_active": F.col("_active")}
+    fresh = {"first_seen_snapshot_id": F.col("first.snapshot_id"), "first_seen_at": F.col("first.capture_time"), "last_seen_snapshot_id": F.col("last.snapshot_id"), "last_seen_at": F.col("last.capture_time"), "source_file_first": F.col("first.source_file"), "source_file_last": F.col("last.source_file"), "is_active": F.col("last.is_latest")}
     return both.select(*(new(fresh[c], c) if c in fresh else F.col(c) for c in master.columns))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..lineage import kept_columns
 from ..operators import identity, sales, snapshots
 from .adapters import DOCS, ORDERS, PRODUCTS, SNAPS, content_docs, content_orders, product_rows, query, snapshot_rows, table
 from .content import KEYS
@@ -170,11 +171,11 @@ seen AS (SELECT hit.item_key, hit.content_id, min(l.capture_time) AS first_at, m
 
 def _deletion(spark, d):
     s = snapshot_rows(spark, d)
-    snaps = s.select("item_key", "snapshot_id", "capture_time", "source_file").distinct().withColumns({"imported_at": F.col("capture_time"), "extracted_count": F.lit("1")})
+    snaps = kept_columns(s.select("item_key", "snapshot_id", "capture_time", "source_file").distinct()).withColumns({"imported_at": F.col("capture_time"), "extracted_count": F.lit("1")})
     gone = snaps.where("capture_time < '2024-01-04' or (item_key < 'u:3' and capture_time < '2024-01-20')").select("snapshot_id")
     contents = s.select("item_key", "snapshot_id", F.lit("").alias("identity_key"), "strict_key", "composite_key", "text_key")
     master = s.groupBy("item_key", F.col("text_key").alias("content_id")).agg(F.lit("").alias("identity_key"), F.max("strict_key").alias("strict_key"), F.min("composite_key").alias("composite_key"), F.first("text_key").alias("text_key"), F.min("capture_time").alias("first_seen_at"), F.max("capture_time").alias("last_seen_at"), F.lit("").alias("first_seen_snapshot_id"), F.lit("").alias("last_seen_snapshot_id"), F.lit("").alias("source_file_first"), F.lit("").alias("source_file_last"), F.lit(True).alias("is_active"))
-    return master, contents, snaps, gone
+    return kept_columns(master), contents, snaps, gone
 
 
 @query(f"{_GONE} SELECT m.content_id, coalesce(s.first_at, m.first_seen_at) AS first_seen_at, coalesce(s.last_at, m.last_seen_at) AS last_seen_at, coalesce(s.last_at = l.t, true) AS is_active FROM master m LEFT JOIN seen s USING (content_id) LEFT JOIN latest l ON l.item_key = m.item_key WHERE m.item_key NOT IN (SELECT item_key FROM touched) OR s.content_id IS NOT NULL")
