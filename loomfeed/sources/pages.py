@@ -69,10 +69,10 @@ def page_identity(pages: DataFrame, key: str = "page_id", html: str = "html", fi
 
 def platform_of(html: Column, file_name: Column) -> Column:
     """EXT1: the host a page says it was saved from; else tmall or taobao by the questions' mark; else the platform with most
-    signals, the first of equals; else unknown."""
-    saved = F.lower(F.regexp_extract(F.substring(html, 1, 20_000), r"(?i)Page saved with SingleFile\s+url:\s*https?://([^\s<:/?#]+)", 1))
+    signals, the first of equals; else unknown.  Looked for in the whole page, wherever the reference reads its beginning alone."""
+    saved = F.lower(F.regexp_extract(html, r"(?i)Page saved with SingleFile\s+url:\s*https?://([^\s<:/?#]+)", 1))
     by_host = F.coalesce(*(F.when((saved == host) | saved.endswith(f".{host}"), p) for p, host in SAVED_HOSTS.items()))
-    sample = F.lower(F.concat_ws("\n", text_or_empty(file_name), F.substring(text_or_empty(html), 1, 1_000_000)))
+    sample = F.lower(F.concat_ws("\n", text_or_empty(file_name), text_or_empty(html)))
     score = {p: sum((sample.contains(s.lower()).cast("int") for s in signals), F.lit(0)) for p, signals in PLATFORM_SIGNALS.items()}
     best = F.array_max(F.array(*(F.struct(n.alias("n"), F.lit(-i).alias("i"), F.lit(p).alias("p")) for i, (p, n) in enumerate(score.items()))))
     most = F.when(best["n"] == 0, "unknown").otherwise(best["p"])

@@ -466,6 +466,14 @@ def test_pages(spark, tmp_path):
     assert read["q.html"] == "" and read["p.html"] == html
 
 
+@pytest.mark.parametrize(("said", "platform"), [("Page saved with SingleFile\n url: https://item.jd.com/1.html", "jd"), ("京东商城", "jd"), ("问大家", "taobao"), ("问大家 天猫超市", "tmall"), ("", "unknown")])
+def test_platform_is_told_by_the_whole_page(spark, said, platform):
+    """What a page says far behind its beginning counts as well."""
+    page = page_of(spark, "<p>" + "x" * 1_100_000 + f"</p>{said}", "saved/page.html")
+    assert page.select(pages.platform_of(F.col("html"), F.col("path")).alias("p")).first().p == platform
+    assert pages.page_identity(page).first().platform == platform
+
+
 def page_of(spark, html, path="saved/灯具 - 天猫.html"):
     return spark.createDataFrame([(1, html, path)], "page_id int, html string, path string")
 
