@@ -35,12 +35,17 @@ def scratch_dir(spark: SparkSession) -> str:
 _STAGED: dict[str, list[str]] = {}
 
 
-def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: short lineage, sizes known to the optimizer."""
+def stage_table(df: DataFrame, name: str, group_bytes: int | None = None) -> DataFrame:
+    """Write df as a table in the shared folder and read it again: short lineage, sizes known to the optimizer.
+
+    group_bytes: a new row group begins after about so many bytes, looked at after every row.  A reader unpacks up to thousands
+    of rows of a row group at once, so where a row holds long arrays this bounds what it holds.
+    """
     ship(df.sparkSession)
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     _STAGED.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
-    df.write.parquet(path)
+    options = {} if group_bytes is None else {"parquet.block.size": str(group_bytes), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -34,6 +34,8 @@ from .common import batches, map_arrow, read_table, stage_table, word_hashes
 TOP = 50
 #: Terms (with repeats) in a shard, at least one document; bounds what a task holds.
 SHARD_TERMS = 1_000_000
+#: Bytes of a row group of the index, about; a larger stratum stands alone.
+GROUP_BYTES = 8 << 20
 #: Terms of items in a block of a search, and numbers that one numpy step holds.
 PAIRS, CELLS = 1_000_000, 250_000
 #: A term's weight and impact, and m: fixed by the contract.
@@ -122,7 +124,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", shard_
             yield shard_rows(keys, np.concatenate(hashes), np.concatenate(sizes), n_docs, n_terms)
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    return SearchIndex(stage_table(map_arrow(rows, index, INDEX), "index"), n_docs, n_terms)
+    return SearchIndex(stage_table(map_arrow(rows, index, INDEX), "index", GROUP_BYTES), n_docs, n_terms)
 
 
 class Block:

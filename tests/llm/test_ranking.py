@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +116,19 @@ def test_search_of_odd_rows(spark, monkeypatch, shard_terms, pairs, cells):
     assert got == brute_search(rows, queries)
 
 
+def test_search_reads_its_index_in_small_steps(spark, monkeypatch):
+    """Row groups of the index are bounded, as a reader unpacks the long arrays of a group at once; the rows found are the same."""
+    docs, items = (spark.read.parquet(f"/root/testdata/sf0.01/{x}.parquet") for x in ("documents", "benchmark"))
+    docs, items = docs.coalesce(1), items.limit(3)
+    want = search.search(search.build_index(docs), items).collect()
+    monkeypatch.setattr(search, "GROUP_BYTES", 1 << 17, raising=False)
+    index = search.build_index(docs, shard_terms=100_000)
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in index.rows.inputFiles()]
+    groups = [f.row_group(i) for f in files for i in range(f.num_row_groups)]
+    assert len(groups) > 10 and all(g.num_rows == 1 or g.total_byte_size < 3 << 17 for g in groups)
+    assert sorted(search.search(index, items).collect()) == sorted(want)
+
+
 def test_search_of_empty_tables(spark):
     none, some = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     assert search.search(search.build_index(none), some, item="doc_id").count() == 0
