@@ -69,7 +69,7 @@ def page_identity(pages: DataFrame, key: str = "page_id", html: str = "html", fi
 
 def platform_of(html: Column, file_name: Column) -> Column:
     """EXT1: the host a page says it was saved from; else tmall or taobao by the questions' mark; else the platform with most
-    signals, the first of equals; else unknown.  Looked for in the whole page, wherever the reference reads its beginning alone."""
+    signals, the first of equals; else unknown.  Looked for in the whole page, where the reference reads its beginning alone."""
     saved = F.lower(F.regexp_extract(html, r"(?i)Page saved with SingleFile\s+url:\s*https?://([^\s<:/?#]+)", 1))
     by_host = F.coalesce(*(F.when((saved == host) | saved.endswith(f".{host}"), p) for p, host in SAVED_HOSTS.items()))
     sample = F.lower(F.concat_ws("\n", text_or_empty(file_name), text_or_empty(html)))
